@@ -25,7 +25,10 @@ def sha256(text: Column) -> Column:
 def keyed_state(rows: DataFrame, files_per_batch: int = 256) -> DataFrame:
     """rows (digest, doc_id, locator), a written table, as a stream -> (digest, keep_id, group_size, locator), one row a digest."""
     spark = rows.sparkSession
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")}
+    # Without fallocate a store's files take what they hold: there is a store per state partition.
+    store = "spark.sql.streaming.stateStore"
+    conf = {f"{store}.providerClass": ROCKS, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
     states, marks = new_folder(spark, "states"), new_folder(spark, "stream")
     folder = rows.inputFiles()[0].rsplit("/", 1)[0]
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
@@ -35,8 +38,8 @@ def keyed_state(rows: DataFrame, files_per_batch: int = 256) -> DataFrame:
         changed.write.mode("overwrite").parquet(f"{states}/batch={batch}")
 
     try:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+        for k, v in conf.items():
+            spark.conf.set(k, v)
         query = state.writeStream.outputMode("update").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
     finally:
