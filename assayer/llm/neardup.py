@@ -6,8 +6,8 @@ densification), so that borrowed bins of two sets agree independently. BANDS x R
 all bands miss with probability (1 - 0.8**ROWS)**BANDS, 6e-8 at 32 x 4.
 
 Sets that are equal are one node. A bucket is searched by stars: its least node is compared with the others, then leaves the
-bucket, and the next star runs over what is left, until no bucket spans two components. A pair is skipped only if that cannot
-lose a link: nodes already in one component, sizes further apart than the threshold, or distances to one leader that differ by
+bucket; of what is left the least nodes of 4, 16, ... hashed parts lead the next stars, until no bucket spans two components. A pair is skipped only if that cannot
+lose a link: nodes already in one component, sizes further apart than the threshold, or distances to the first leader that differ by
 more than it allows (1 - Jaccard is a metric). Links are confirmed on the full sets of 64-bit shingle hashes.
 """
 
@@ -136,44 +136,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     # With fewer than percent / (100 - percent) shingles only equal sets are similar enough.
     searched = nodes.where(F.col("n") * (100 - percent) + (100 - percent) >= percent).select("node", "n", F.explode("keys").alias("key"))
     shared = searched.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members")).where("members > 1").select("key")
-    buckets = written(searched.join(shared, "key").select("key", "node", "n", F.col("node").alias("comp"), F.lit(None).cast("double").alias("far"), F.lit(None).cast("long").alias("star")), "buckets")
+    buckets = written(searched.join(shared, "key").select("key", "node", "n", F.col("node").alias("comp"), F.lit(None).cast("double").alias("far")), "buckets")
     inside = written(buckets.select("node").distinct().join(nodes.select("node", "digest"), "node"), "candidates")
     texts = text_bytes(docs).join(inside.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     items = full_sets(texts, width).join(inside.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     items = written(items.select(F.col("doc_id").alias("node"), "items"), "sets")
 
-    links: list[DataFrame] = []
-    while True:
-        leader = buckets.groupBy("key").agg(F.min(F.struct("node", "n", "comp", "far", "star")).alias("top"))
-        joined = buckets.join(leader, "key").where("node <> top.node")
-        cuts = F.col("far").isNotNull() & F.col("top.far").isNotNull() & (F.col("star") == F.col("top.star")) & (F.abs(F.col("far") - F.col("top.far")) > 1.0 - percent / 100 + 1e-9)
-        wanted = (F.col("comp") != F.col("top.comp")) & (F.least("n", "top.n") * 100 >= F.greatest("n", "top.n") * percent) & ~cuts
-        pairs = written(joined.where(wanted).select(F.col("top.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            # No star crosses components now. Buckets whose later members could are tried from their next leader.
-            rest = _narrowed(joined.select("key", "node", "n", "comp", "far", "star"))
-            buckets = written(rest, "buckets")
-            if buckets.isEmpty():
-                break
-            continue
-        sized = pairs.join(items.withColumnRenamed("node", "b").withColumnRenamed("items", "y"), "b").join(items.withColumnRenamed("node", "a").withColumnRenamed("items", "x"), "a")
-        both = F.size(F.array_intersect("x", "y"))
-        tested = written(sized.select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("all")), "tested")
-        edges = tested.where(F.col("both") * 100 >= F.col("all") * percent).select("a", "b")
-        links.append(edges)
-        labels = components(union_all(links)) if not edges.isEmpty() else None
-        after = joined.select("key", "node", "n", F.col("top.node").alias("star"), "comp").join(tested.select(F.col("a").alias("star"), F.col("b").alias("node"), (1 - F.col("both") / F.col("all")).alias("far")), ["star", "node"], "left")
-        if labels is not None:
-            after = after.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        buckets = written(_narrowed(after.select("key", "node", "n", "comp", "far", "star")), "buckets")
-        if buckets.isEmpty():
-            break
-
-    labels = components(union_all(links)) if links else None
-    at = nodes.select("digest", "node")
-    at = at.join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id")) if labels is not None else at.select("digest", F.col("node").alias("component_id"))
+    maps: list[DataFrame] = []
+    leaders = 1
+    while not buckets.isEmpty():
+        # The leader of each of so many parts of a bucket; parts are hashed, so a large bucket is aggregated before it is shuffled.
+        part = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)) if leaders > 1 else F.lit(0)
+        top = buckets.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "n", "comp", "far")).alias("top")).select("key", "top")
+        top = written(top, "leaders") if leaders > 1 else top
+        apart = F.col("far").isNotNull() & F.col("top.far").isNotNull() & (F.abs(F.col("far") - F.col("top.far")) > 1.0 - percent / 100 + 1e-9)
+        wanted = (F.col("comp") != F.col("top.comp")) & (F.least("n", "top.n") * 100 >= F.greatest("n", "top.n") * percent) & ~apart
+        pairs = buckets.join(top, "key").where(wanted).select(F.struct(F.col("top.node").alias("node"), F.col("top.comp").alias("comp")).alias("x"), F.struct("node", "comp").alias("y"))
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        pairs = written(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")), "pairs")
+        rest = buckets.join(top.select("key", F.col("top.node").alias("node")), ["key", "node"], "left_anti")
+        if not pairs.isEmpty():
+            sized = pairs.join(items.withColumnRenamed("node", "b").withColumnRenamed("items", "y"), "b").join(items.withColumnRenamed("node", "a").withColumnRenamed("items", "x"), "a")
+            both = F.size(F.array_intersect("x", "y"))
+            tested = written(sized.select("a", "b", "ca", "cb", both.alias("both"), (F.size("x") + F.size("y") - both).alias("all")), "tested")
+            if leaders == 1:  # of the first star the distances are kept
+                first = top.select("key", F.col("top.node").alias("a"))
+                far = tested.select("a", F.col("b").alias("node"), (1 - F.col("both") / F.col("all")).alias("far"))
+                rest = rest.drop("far").join(first, "key").join(far, ["a", "node"], "left").select("key", "node", "n", "comp", "far")
+            edges = tested.where(F.col("both") * 100 >= F.col("all") * percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            if not edges.isEmpty():
+                maps.append(components(edges))
+                rest = _relabelled(rest, maps[-1])
+        buckets = written(_narrowed(rest), "buckets")
+        leaders *= 4
+
+    at = nodes.select("digest", F.col("node").alias("comp"))
+    for labels in maps:
+        at = _relabelled(at, labels)
     out = found.select("doc_id", "n_shingles", "digest").join(at, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    own = F.coalesce("comp", "doc_id")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    new = labels.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    return rows.join(new, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
 
 
 def _narrowed(buckets: DataFrame) -> DataFrame:
