@@ -7,14 +7,14 @@ all bands miss with probability (1 - 0.8**ROWS)**BANDS, 6e-8 at 32 x 4.
 
 Sets that are equal are one node. A bucket is searched by stars: its least node is compared with the others, then leaves the
 bucket; of what is left the least nodes of 4, 16, ... hashed parts lead the next stars, until no bucket spans two components. A pair is skipped only if that cannot
-lose a link: nodes already in one component, sizes further apart than the threshold, or distances to the first leader that differ by
-more than it allows (1 - Jaccard is a metric). Links are confirmed on the full sets of 64-bit shingle hashes.
+lose a link: nodes already in one component, sizes further apart than the threshold, or parities of hashed cells that differ in more
+places than similar sets have different items. Links are confirmed on the full sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mix, portions, ship, spread, text_bytes, union_all, written
 
 BANDS, ROWS = 32, 4
+BITS = 1024
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -76,6 +77,12 @@ def band_keys(table: np.ndarray, bands: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """int64[sets, BITS / 64]: whether each of BITS cells has an odd number of a set's hashes. Two sets differ in at least as many items as cells."""
+    odd = np.stack([np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1 for s in sets]).astype(np.uint8)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     hashes = WordHashes()
     for part in portions(batches):
@@ -83,16 +90,16 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null for the empty set), keys (a bucket key per band)."""
+    """doc_id, n_shingles, digest (of the set; null for the empty set), keys (a bucket key per band), cells (parities)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, width):
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             keys = band_keys(signatures(sets, bands * rows), bands)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "keys"])
+            lists, cells = (pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())) for x in (keys, parities(sets)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists, cells], names=["doc_id", "n_shingles", "digest", "keys", "cells"])
 
-    return spread(text_bytes(docs)).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return spread(text_bytes(docs)).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, cells array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -131,26 +138,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     ship(docs.sparkSession)
     percent = round(threshold * 100)
     found = written(sketches(docs, width, bands, rows), "sketches")
-    nodes = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    nodes = written(nodes.select("digest", "node", "n", "keys"), "nodes")
+    nodes = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("cells").alias("cells"))
+    nodes = written(nodes.select("digest", "node", "n", "keys", "cells"), "nodes")
     # With fewer than percent / (100 - percent) shingles only equal sets are similar enough.
     searched = nodes.where(F.col("n") * (100 - percent) + (100 - percent) >= percent).select("node", "n", F.explode("keys").alias("key"))
     shared = searched.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members")).where("members > 1").select("key")
-    buckets = written(searched.join(shared, "key").select("key", "node", "n", F.col("node").alias("comp"), F.lit(None).cast("double").alias("far")), "buckets")
+    buckets = written(searched.join(shared, "key").select("key", "node", "n", F.col("node").alias("comp")), "buckets")
     inside = written(buckets.select("node").distinct().join(nodes.select("node", "digest"), "node"), "candidates")
     texts = text_bytes(docs).join(inside.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     items = full_sets(texts, width).join(inside.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     items = written(items.select(F.col("doc_id").alias("node"), "items"), "sets")
 
     maps: list[DataFrame] = []
-    leaders = 1
+    leaders, cells = 1, []
     while not buckets.isEmpty():
         # The leader of each of so many parts of a bucket; parts are hashed, so a large bucket is aggregated before it is shuffled.
         part = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)) if leaders > 1 else F.lit(0)
-        top = buckets.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "n", "comp", "far")).alias("top")).select("key", "top")
+        top = buckets.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "n", "comp", *cells)).alias("top")).select("key", "top")
         top = written(top, "leaders") if leaders > 1 else top
-        apart = F.col("far").isNotNull() & F.col("top.far").isNotNull() & (F.abs(F.col("far") - F.col("top.far")) > 1.0 - percent / 100 + 1e-9)
-        wanted = (F.col("comp") != F.col("top.comp")) & (F.least("n", "top.n") * 100 >= F.greatest("n", "top.n") * percent) & ~apart
+        wanted = (F.col("comp") != F.col("top.comp")) & (F.least("n", "top.n") * 100 >= F.greatest("n", "top.n") * percent)
+        if cells:  # similar sets differ in at most this share of their sizes' sum
+            differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"top.{c}"))) for c in cells))
+            wanted &= differ * (100 + percent) <= (F.col("n") + F.col("top.n")) * (100 - percent)
         pairs = buckets.join(top, "key").where(wanted).select(F.struct(F.col("top.node").alias("node"), F.col("top.comp").alias("comp")).alias("x"), F.struct("node", "comp").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         pairs = written(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")), "pairs")
@@ -159,15 +168,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
             sized = pairs.join(items.withColumnRenamed("node", "b").withColumnRenamed("items", "y"), "b").join(items.withColumnRenamed("node", "a").withColumnRenamed("items", "x"), "a")
             both = F.size(F.array_intersect("x", "y"))
             tested = written(sized.select("a", "b", "ca", "cb", both.alias("both"), (F.size("x") + F.size("y") - both).alias("all")), "tested")
-            if leaders == 1:  # of the first star the distances are kept
-                first = top.select("key", F.col("top.node").alias("a"))
-                far = tested.select("a", F.col("b").alias("node"), (1 - F.col("both") / F.col("all")).alias("far"))
-                rest = rest.drop("far").join(first, "key").join(far, ["a", "node"], "left").select("key", "node", "n", "comp", "far")
             edges = tested.where(F.col("both") * 100 >= F.col("all") * percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
             if not edges.isEmpty():
                 maps.append(components(edges))
                 rest = _relabelled(rest, maps[-1])
-        buckets = written(_narrowed(rest), "buckets")
+        rest = _narrowed(rest)
+        if not cells:  # few rows are left after the first star; they carry the parities from now on
+            cells = [f"c{i}" for i in range(BITS // 64)]
+            rest = written(rest, "buckets").join(nodes.select("node", *(F.col("cells")[i].alias(c) for i, c in enumerate(cells))), "node")
+        buckets = written(rest, "buckets")
         leaders *= 4
 
     at = nodes.select("digest", F.col("node").alias("comp"))
