@@ -1,15 +1,608 @@
-"""Named queries over the test tables, each with the SQL that must give the same rows."""
+"""Named queries over the test tables, each with the SQL that must give the same rows.
+
+documents with their labels stand for labelled examples (required: lang, source; optional: quality, toxic), the event types of a
+user's day for a multi-value cell, embeddings with their label for categories, and vectors with vec_id < 20 for seeds.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import labels as L
+from ..functions.vectors import cosine_distance, normalized
+from ..operators import coverage as C
+from ..operators import pairwise as P
+from ..operators import repair as R
+from ..operators import spherical as S
+from ..operators import transport as T
+from ..operators import workflow as W
+from ..schema import Schema, seed_combinations
+from ..workers import ship
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            ship(spark)
+            return f(spark, d)
+
+        _queries[f.__name__] = run
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+# ---- inputs -------------------------------------------------------------------------------------------------------------
+
+REQUIRED, OPTIONAL = ["lang", "source"], ["quality", "toxic"]
+FOUR = [*REQUIRED, *OPTIONAL]
+KINDS = ["click", "purchase", "view"]
+
+
+def examples(spark: SparkSession, d: str) -> DataFrame:
+    lab = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic"))
+    return table(spark, d, "documents").select("doc_id", "lang", "source").join(lab, "doc_id", "left").withColumnRenamed("doc_id", "row_id")
+
+
+EX = "ex AS (SELECT d.doc_id AS row_id, d.lang, d.source, CAST(l.quality AS VARCHAR) AS quality, CAST(l.toxic AS VARCHAR) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def days(spark: SparkSession, d: str) -> DataFrame:
+    """A row per user and day: the cell `kinds` and the weekday."""
+    e = table(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
+    g = e.groupBy("user_id", "day").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "; ").alias("kinds"))
+    return g.withColumn("row_id", F.concat_ws("/", F.col("user_id").cast("string"), "day")).withColumn("month", F.substring("day", 6, 2))
+
+
+DAYS = "days AS (SELECT user_id::VARCHAR || '/' || strftime(ts, '%Y-%m-%d') AS row_id, strftime(ts, '%m') AS month, string_agg(DISTINCT event_type, '; ' ORDER BY event_type) AS kinds FROM events GROUP BY 1, 2)"
+
+
+def vectors(spark: SparkSession, d: str, grouped: bool = False) -> DataFrame:
+    grp = F.concat(F.lit("label="), F.col("label").cast("string")) if grouped else F.lit("all")
+    return table(spark, d, "embeddings").select(grp.alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("emb"))
+
+
+def VEC(grouped: bool = False) -> str:
+    grp = "'label=' || label::VARCHAR" if grouped else "'all'"
+    return f"""raw AS (SELECT {grp} AS grp, vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+v AS (SELECT grp, id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-10)) AS emb FROM raw)"""
+
+
+def expected(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
+    ex = examples(spark, d)
+    return C.expected_combinations({c: ex.where(F.col(c).isNotNull()).select(c).distinct() for c in columns})
+
+
+def EXP(columns: list[str]) -> str:
+    parts = ", ".join(f"(SELECT DISTINCT {c} FROM ex WHERE {c} IS NOT NULL)" for c in columns)
+    return f"exp AS (SELECT * FROM {parts})"
+
+
+def CNT(columns: list[str]) -> str:
+    return f"cnt AS (SELECT {', '.join(columns)}, count(*) AS n FROM ex WHERE {' AND '.join(f'{c} IS NOT NULL' for c in columns)} GROUP BY ALL)"
+
+
+COVER = ["lang", "quality", "toxic"]
+BASE = f"WITH {EX}, {EXP(COVER)}, {CNT(COVER)}, g AS (SELECT exp.*, coalesce(n, 0)::BIGINT AS n FROM exp LEFT JOIN cnt USING ({', '.join(COVER)})) "
+
+
+def counts(spark: SparkSession, d: str, columns: list[str] = COVER) -> DataFrame:
+    return C.combination_counts(examples(spark, d), columns)
+
+
+def groups(spark: SparkSession, d: str, columns: list[str] = COVER) -> DataFrame:
+    return C.with_counts(expected(spark, d, columns), counts(spark, d, columns), columns)
+
+
+# ---- coverage -----------------------------------------------------------------------------------------------------------
+
+
+@query(BASE + "SELECT lang, quality, toxic, n, n >= 1 AS covered, round(1.0 - least(n, 10)::DOUBLE / 10, 6) AS penalty_k FROM g")
+def coverage_counts(spark, d):
+    return groups(spark, d).select(*COVER, "n", (F.col("n") >= 1).alias("covered"), r6(L.penalty(F.col("n"), F.lit(10))).alias("penalty_k"))
+
+
+@query(BASE + "SELECT lang, quality, toxic FROM exp")
+def coverage_expected(spark, d):
+    return expected(spark, d, COVER)
+
+
+@query(BASE + "SELECT * FROM cnt")
+def coverage_observed(spark, d):
+    return counts(spark, d)
+
+
+@query(BASE + "SELECT lang, quality, toxic FROM g WHERE n < 3")
+def coverage_missing(spark, d):
+    return C.missing(expected(spark, d, COVER), counts(spark, d), COVER, 3)
+
+
+@query(BASE + "SELECT count(*) AS expected, count(*) FILTER (n >= 1) AS observed, round(count(*) FILTER (n >= 1)::DOUBLE / count(*), 6) AS ratio FROM g")
+def coverage_ratio(spark, d):
+    return C.completeness(expected(spark, d, COVER), counts(spark, d), COVER).withColumn("ratio", r6(F.col("ratio")))
+
+
+@query(BASE + ", m AS (SELECT greatest(3, (SELECT count(*) FROM ex) // greatest(1, (SELECT count(DISTINCT coalesce(lang,'NA') || '+' || coalesce(quality,'NA') || '+' || coalesce(toxic,'NA')) FROM ex))) AS k) SELECT (SELECT count(*) FROM exp) AS expected, count(*) AS observed, round(count(*)::DOUBLE / (SELECT count(*) FROM exp), 6) AS ratio FROM cnt, m WHERE n >= k")
+def coverage_dynamic_min_count_compat(spark, d):
+    ex = examples(spark, d)
+    k = ex.agg(F.greatest(F.lit(3), F.floor(F.count("*") / F.greatest(F.lit(1), F.countDistinct(L.composite(COVER))))).alias("k"))
+    cnt = counts(spark, d).crossJoin(F.broadcast(k))
+    return C.completeness(expected(spark, d, COVER), cnt, COVER, F.col("k"), intersect=False).withColumn("ratio", r6(F.col("ratio")))
+
+
+@query(BASE + "SELECT k, round(avg(1.0 - least(n, k)::DOUBLE / k), 6) AS score FROM g, (SELECT unnest(range(1, greatest(1, (SELECT max(n) FROM g)) + 1)) AS k) GROUP BY k")
+def coverage_vary_curve(spark, d):
+    return C.curve(groups(spark, d)).withColumn("score", r6(F.col("score")))
+
+
+@query(BASE + "SELECT 10::BIGINT AS k, round(avg(1.0 - least(n, 10)::DOUBLE / 10), 6) AS score, round(1 - avg(1.0 - least(n, 10)::DOUBLE / 10), 6) AS coverage FROM g")
+def coverage_vary_default(spark, d):
+    return C.curve(groups(spark, d), 10).where("k = 10").select("k", r6(F.col("score")).alias("score"), r6(1 - F.col("score")).alias("coverage"))
+
+
+@query(BASE + "SELECT count(*) AS group_count, round(avg(n), 6) AS group_mean, round(median(n)::DOUBLE, 6) AS group_median FROM g")
+def coverage_group_stats(spark, d):
+    return groups(spark, d).agg(F.count("*").alias("group_count"), r6(F.avg("n")).alias("group_mean"), r6(F.median("n")).alias("group_median"))
+
+
+RULES = [["en", "0"], ["fr", "1", "1"], ["de"]]
+RULE_SQL = """(list_contains([lang, quality, toxic], 'en') AND list_contains([lang, quality, toxic], '0'))
+ OR (lang = 'fr' AND quality = '1' AND toxic = '1') OR lang = 'de'"""
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, r) for i, r in enumerate(RULES)], "rule_id int, values array<string>")
+
+
+@query(BASE + f"SELECT lang, quality, toxic FROM exp WHERE {RULE_SQL}")
+def not_realistic_match(spark, d):
+    return C.excluded(expected(spark, d, COVER), rules(spark), COVER, keep=True)
+
+
+@query(BASE + f", r AS (SELECT * FROM g WHERE NOT ({RULE_SQL})) SELECT count(*) AS expected, count(*) FILTER (n >= 1) AS observed, round(count(*) FILTER (n >= 1)::DOUBLE / count(*), 6) AS ratio, (SELECT count(*) FROM exp) - count(*) AS excluded FROM r")
+def coverage_constrained(spark, d):
+    exp = expected(spark, d, COVER)
+    left = C.excluded(exp, rules(spark), COVER)
+    one = C.completeness(left, counts(spark, d), COVER)
+    return one.crossJoin(exp.agg(F.count("*").alias("whole"))).select("expected", "observed", r6(F.col("ratio")).alias("ratio"), (F.col("whole") - F.col("expected")).alias("excluded"))
+
+
+@query(BASE + f"SELECT k, round(avg(1.0 - least(n, k)::DOUBLE / k), 6) AS score FROM g, (SELECT unnest(range(1, 21)) AS k) WHERE NOT ({RULE_SQL}) GROUP BY k")
+def coverage_vary_constrained(spark, d):
+    return C.curve(C.excluded(groups(spark, d), rules(spark), COVER), 20).withColumn("score", r6(F.col("score")))
+
+
+BASE4 = f"WITH {EX}, {EXP(FOUR)}, {CNT(FOUR)}, g AS (SELECT exp.*, coalesce(n, 0)::BIGINT AS n FROM exp LEFT JOIN cnt USING (lang, source, quality, toxic)) "
+
+
+@query(BASE4 + "SELECT k, round(avg(1.0 - least(n, k)::DOUBLE / k), 6) AS score FROM g, (SELECT unnest(range(1, 31)) AS k) GROUP BY k")
+def coverage_vary_all(spark, d):
+    return C.curve(groups(spark, d, FOUR), 30).withColumn("score", r6(F.col("score")))
+
+
+def expected_values(spark: SparkSession) -> DataFrame:
+    rows = [("lang", v) for v in ("en", "de", "it")] + [("quality", v) for v in ("0", "1", "2")] + [("toxic", "1 (so marked)")]
+    return spark.createDataFrame(rows, "col string, value string")
+
+
+EV = "ev AS (SELECT * FROM (VALUES ('lang','en'),('lang','de'),('lang','it'),('quality','0'),('quality','1'),('quality','2'),('toxic','1 (so marked)')) t(col, value))"
+UNP = "u AS (SELECT row_id, 'lang' AS col, lang AS value FROM ex UNION ALL SELECT row_id, 'quality', quality FROM ex UNION ALL SELECT row_id, 'toxic', toxic FROM ex)"
+MARG = f"WITH {EX}, {EV}, {UNP}, o AS (SELECT DISTINCT col, value FROM u WHERE value IS NOT NULL), m AS (SELECT coalesce(o.col, ev.col) AS col, count(ev.value) AS expected, count(*) FILTER (o.value IS NOT NULL AND ev.value IS NOT NULL) AS covered, count(*) FILTER (ev.value IS NULL) AS new_values FROM o FULL JOIN ev ON o.col = ev.col AND o.value = ev.value GROUP BY 1) "
+
+
+@query(MARG + "SELECT col, expected, covered, new_values, round(covered::DOUBLE / expected, 6) AS ratio FROM m")
+def marginal_coverage(spark, d):
+    return C.marginal_coverage(examples(spark, d), expected_values(spark), COVER).withColumn("ratio", r6(F.col("ratio")))
+
+
+@query(MARG + "SELECT round(avg(covered::DOUBLE / expected), 6) AS ratio FROM m")
+def marginal_coverage_overall(spark, d):
+    return C.marginal_coverage(examples(spark, d), expected_values(spark), COVER).agg(r6(F.avg("ratio")).alias("ratio"))
+
+
+@query(f"WITH {EX} SELECT round((avg((quality IS NOT NULL)::INT) + avg((toxic IS NOT NULL)::INT)) / 2, 6) AS holistic FROM ex")
+def holistic_completeness(spark, d):
+    return C.holistic(examples(spark, d), OPTIONAL).select(r6(F.col("holistic")).alias("holistic"))
+
+
+@query(f"WITH {EX}, {UNP} SELECT col, coalesce(value, 'NA') AS value, round(100.0 * count(*) / (SELECT count(*) FROM ex), 6)::DOUBLE AS percent FROM u GROUP BY 1, 2")
+def cross_distribution(spark, d):
+    return C.cross_distribution(examples(spark, d), COVER).withColumn("percent", r6(F.col("percent")))
+
+
+@query(f"WITH {EX}, {EV}, {UNP}, w AS (SELECT DISTINCT col, trim(split_part(value, '(', 1)) AS value FROM ev) SELECT w.col, w.value, round(100.0 * count(u.row_id) / (SELECT count(*) FROM ex), 6)::DOUBLE AS percent FROM w LEFT JOIN u ON u.col = w.col AND u.value = w.value GROUP BY 1, 2")
+def marginal_distribution(spark, d):
+    return C.marginal_distribution(examples(spark, d), expected_values(spark), COVER).withColumn("percent", r6(F.col("percent")))
+
+
+# ---- labels -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DAYS} SELECT row_id, unnest(list_filter(list_transform(string_split(kinds, ';'), lambda x: trim(x)), lambda x: x <> '')) AS kind FROM days")
+def atomic_explode(spark, d):
+    return days(spark, d).select("row_id", F.explode(L.atoms_or_na("kinds")).alias("kind"))
+
+
+@query(f"WITH {EX} SELECT row_id, unnest([quality]) AS quality FROM ex WHERE quality IS NOT NULL")
+def atomic_explode_coverage(spark, d):
+    return examples(spark, d).select("row_id", F.explode(L.atoms("quality")).alias("quality"))
+
+
+@query(f"WITH {DAYS}, x AS (SELECT month, unnest(string_split(kinds, '; ')) AS kind FROM days) SELECT month, kind, count(*) AS n FROM x GROUP BY ALL")
+def multi_value_combos(spark, d):
+    return C.combination_counts(days(spark, d), ["month", "kinds"]).withColumnRenamed("kinds", "kind")
+
+
+@query("SELECT DISTINCT c_mktsegment AS segment, trim(split_part(replace(replace(' ' || c_mktsegment || '’s (“so”)', '’', ''''), '“', '\"'), '(', 1)) AS canonical FROM customer")
+def canonical_category(spark, d):
+    segment = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment")).distinct()
+    return segment.select("segment", L.canonical(F.concat(F.lit(" "), F.col("segment"), F.lit("’s (“so”)"))).alias("canonical"))
+
+
+@query(f"WITH {EX} SELECT row_id, quality IS NULL AS no_quality, lower(trim(lang)) IN ('optional', 'none', '', 'na') AS no_lang FROM ex")
+def placeholder_flags(spark, d):
+    return examples(spark, d).select("row_id", L.placeholder("quality").alias("no_quality"), L.placeholder("lang").alias("no_lang"))
+
+
+@query(f"WITH {EX} SELECT row_id, 'lang=' || lang || '+quality=' || coalesce(quality, 'NA') || '+toxic=' || coalesce(toxic, 'NA') AS label FROM ex")
+def composite_labels(spark, d):
+    return examples(spark, d).select("row_id", L.composite(COVER).alias("label"))
+
+
+@query(f"WITH {EX}, p AS (SELECT row_id, ['lang=' || lang, 'quality=' || coalesce(quality, 'NA'), 'toxic=' || coalesce(toxic, 'NA')] AS parts FROM ex), m AS (SELECT row_id, unnest(parts) AS category, 'coarse' AS kind FROM p UNION ALL SELECT row_id, array_to_string(parts, '+'), 'composite' FROM p) SELECT category, kind, count(*) AS n FROM m GROUP BY ALL")
+def category_membership(spark, d):
+    parts = F.array(*(F.struct(L.part(c).alias("category"), F.lit("coarse").alias("kind")) for c in COVER), F.struct(L.composite(COVER).alias("category"), F.lit("composite").alias("kind")))
+    return examples(spark, d).select("row_id", F.explode(parts).alias("m")).groupBy("m.category", "m.kind").agg(F.count("*").alias("n"))
+
+
+INVALID = [("en", "0", "0"), ("fr", "1", "1"), ("xx", "1", "1")]
+INV = "inv AS (SELECT * FROM (VALUES ('en','0','0'),('fr','1','1'),('xx','1','1')) t(lang, quality, toxic))"
+
+
+def invalid(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(INVALID, "lang string, quality string, toxic string")
+
+
+@query(f"WITH {EX}, {INV} SELECT lang, quality, toxic, count(row_id) AS rows FROM inv LEFT JOIN ex USING (lang, quality, toxic) GROUP BY ALL")
+def invalid_combo_audit(spark, d):
+    return C.audit(examples(spark, d), invalid(spark), COVER)
+
+
+@query(f"WITH {EX}, {INV} SELECT row_id FROM ex SEMI JOIN inv USING (lang, quality, toxic)")
+def invalid_row_flags(spark, d):
+    return examples(spark, d).join(F.broadcast(invalid(spark)), COVER, "left_semi").select("row_id")
+
+
+CODES = f"WITH {EX}, {INV}, lo AS (SELECT lang, quantile_cont(n_chars, 0.1) AS cut FROM documents GROUP BY 1), far AS (SELECT doc_id AS row_id FROM documents d JOIN lo ON d.lang = lo.lang WHERE n_chars < cut), c AS (SELECT ex.row_id, ((far.row_id IS NOT NULL)::INT + 2 * (inv.lang IS NOT NULL)::INT)::INT AS outlier FROM ex LEFT JOIN far ON ex.row_id = far.row_id LEFT JOIN inv ON ex.lang = inv.lang AND ex.quality = inv.quality AND ex.toxic = inv.toxic) "
+
+
+def codes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), F.col("n_chars").alias("ll"))
+    return C.outlier_codes(examples(spark, d), S.outliers(docs).withColumnRenamed("id", "row_id"), invalid(spark), COVER)
+
+
+@query(CODES + "SELECT row_id, outlier FROM c")
+def outlier_codes(spark, d):
+    return codes(spark, d)
+
+
+@query(CODES + "SELECT outlier, count(*) AS rows FROM c GROUP BY 1")
+def row_level_summary(spark, d):
+    return codes(spark, d).groupBy("outlier").agg(F.count("*").alias("rows"))
+
+
+@query("SELECT doc_id, n_chars, CASE WHEN n_chars = 0 THEN 0.0 ELSE round(n_chars * pow(10.0, 1 - floor(log10(n_chars)))) / pow(10.0, 1 - floor(log10(n_chars))) END AS rounded FROM documents")
+def sigfig_round(spark, d):
+    return table(spark, d, "documents").select("doc_id", "n_chars", L.significant(F.col("n_chars")).alias("rounded"))
+
+
+# ---- vectors ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {VEC()} SELECT id, round(emb[1], 6) AS x1, round(emb[64], 6) AS x64, round(sqrt(list_dot_product(emb, emb)), 6) AS norm FROM v")
+def l2_normalize(spark, d):
+    v = S.unit(vectors(spark, d))
+    return v.select("id", r6(F.col("emb")[0]).alias("x1"), r6(F.col("emb")[63]).alias("x64"), r6(F.sqrt(F.aggregate("emb", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"))
+
+
+def PAIRS(grouped: bool) -> str:
+    return f"WITH {VEC(grouped)}, p AS (SELECT a.grp, a.id AS id_a, b.id AS id_b, list_dot_product(a.emb, b.emb) AS sim FROM v a JOIN v b ON a.grp = b.grp AND a.id < b.id) "
+
+
+@query(PAIRS(True) + "SELECT grp, count(*) AS pairs, round(avg(sim), 6) AS mean_sim, round(min(sim), 6) AS min_sim FROM p GROUP BY 1")
+def pairwise_similarity_by_label(spark, d):
+    return P.pair_statistics(vectors(spark, d, True)).select("grp", "pairs", r6(F.col("mean_sim")).alias("mean_sim"), r6(F.col("min_sim")).alias("min_sim"))
+
+
+@query(PAIRS(False) + "SELECT grp, count(*) AS pairs, round(avg(sim), 6) AS mean_sim, round(min(sim), 6) AS min_sim FROM p GROUP BY 1")
+def pairwise_mean_similarity(spark, d):
+    return P.pair_statistics(vectors(spark, d)).select("grp", "pairs", r6(F.col("mean_sim")).alias("mean_sim"), r6(F.col("min_sim")).alias("min_sim"))
+
+
+@query(PAIRS(False) + "SELECT id_a, id_b, round(sim, 6) AS sim FROM p WHERE sim > 0.45")
+def redundant_pairs(spark, d):
+    return P.similar_pairs(vectors(spark, d), 0.45).select("id_a", "id_b", r6(F.col("sim")).alias("sim"))
+
+
+@query(PAIRS(True) + "SELECT grp, id_a, id_b, round(sim, 6) AS sim FROM p WHERE sim > 0.4")
+def redundant_pairs_by_label(spark, d):
+    return P.similar_pairs(vectors(spark, d, True), 0.4).select("grp", "id_a", "id_b", r6(F.col("sim")).alias("sim"))
+
+
+@query(PAIRS(True) + "SELECT round(1 - avg(sim), 6) AS diversity FROM p")
+def within_label_diversity(spark, d):
+    s = P.pair_statistics(vectors(spark, d, True))
+    return s.agg(r6(1 - F.sum(F.col("mean_sim") * F.col("pairs")) / F.sum("pairs")).alias("diversity"))
+
+
+def MEANS(grouped: bool) -> str:
+    return f"WITH {VEC(grouped)}, x AS (SELECT grp, generate_subscripts(emb, 1) AS pos, unnest(emb) AS x FROM v), m AS (SELECT grp, pos, count(*) AS n, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY ALL), q AS (SELECT grp, max(n) AS n, sqrt(sum(m * m)) AS r, max(s) AS s, list(m ORDER BY pos) AS mean FROM m GROUP BY 1), c AS (SELECT *, list_transform(mean, lambda y: y / greatest(r, 1e-10)) AS centroid FROM q) "
+
+
+@query(MEANS(True) + "SELECT grp, n, round(centroid[1], 6) AS c1, round(centroid[2], 6) AS c2, round(centroid[64], 6) AS c64 FROM c")
+def atomic_centroids(spark, d):
+    c = S.centroids(vectors(spark, d, True))
+    return c.select("grp", "n", r6(F.col("centroid")[0]).alias("c1"), r6(F.col("centroid")[1]).alias("c2"), r6(F.col("centroid")[63]).alias("c64"))
+
+
+@query(MEANS(True) + "SELECT v.grp, id, round(1 - list_dot_product(emb, centroid), 6) AS distance FROM v JOIN c ON v.grp = c.grp")
+def centroid_dist(spark, d):
+    return S.centroid_distances(vectors(spark, d, True)).withColumn("distance", r6(F.col("distance")))
+
+
+@query(MEANS(False) + "SELECT v.grp, id, round(1 - list_dot_product(emb, centroid), 6) AS distance FROM v JOIN c ON v.grp = c.grp")
+def dataset_center_dist(spark, d):
+    return S.centroid_distances(vectors(spark, d)).withColumn("distance", r6(F.col("distance")))
+
+
+@query(MEANS(True) + "SELECT grp, n >= 2 AND s >= 1e-6 AS sufficient FROM c")
+def sufficient_variance(spark, d):
+    m = S.mean_vectors(S.unit(vectors(spark, d, True)))
+    return m.select("grp", ((F.col("n") >= 2) & (F.col("std_max") >= 1e-6)).alias("sufficient"))
+
+
+@query(MEANS(True) + "SELECT grp, n, round(r, 6) AS r, round(greatest(r * (64 - r * r) / (1 - r * r), 1e-3), 6) AS kappa FROM c WHERE n >= 2")
+def vmf_closed_form(spark, d):
+    return S.closed_form(vectors(spark, d, True)).select("grp", "n", r6(F.col("r")).alias("r"), r6(F.col("kappa")).alias("kappa"))
+
+
+NOV = f"WITH {VEC()}, s AS (SELECT * FROM v WHERE id < 20), n AS (SELECT v.id, min(1 - list_dot_product(v.emb, s.emb)) AS novelty_min, avg(1 - list_dot_product(v.emb, s.emb)) AS novelty_avg FROM v, s WHERE v.id >= 20 GROUP BY 1) "
+
+
+@query(NOV + "SELECT id, round(novelty_min, 6) AS novelty_min, round(novelty_avg, 6) AS novelty_avg FROM n")
+def novelty_min_avg(spark, d):
+    v = vectors(spark, d)
+    return P.novelty(v.where("id >= 20"), v.where("id < 20")).select("id", r6(F.col("novelty_min")).alias("novelty_min"), r6(F.col("novelty_avg")).alias("novelty_avg"))
+
+
+@query(NOV + "SELECT round(avg(novelty_min), 6) AS novelty_min, round(avg(novelty_avg), 6) AS novelty_avg FROM n")
+def novelty_dataset(spark, d):
+    v = vectors(spark, d)
+    return P.novelty(v.where("id >= 20"), v.where("id < 20")).agg(r6(F.avg("novelty_min")).alias("novelty_min"), r6(F.avg("novelty_avg")).alias("novelty_avg"))
+
+
+@query(MEANS(False) + "SELECT round(1 / (1 + avg(1 - list_dot_product(emb, centroid))), 6) AS style_score FROM v JOIN c ON v.grp = c.grp")
+def style_score(spark, d):
+    return S.centroid_distances(vectors(spark, d)).agg(r6(1 / (1 + F.avg("distance"))).alias("style_score"))
+
+
+def DC(kernel: str, grouped: bool) -> str:
+    return f"WITH {VEC(grouped)}, k AS (SELECT a.grp, a.id AS i, b.id AS j, exp({kernel}) AS e FROM v a JOIN v b ON a.grp = b.grp), p AS (SELECT grp, i, max(CASE WHEN i = j THEN e END) / sum(e) AS p FROM k GROUP BY ALL), dc AS (SELECT grp, count(*) AS n, avg(p) AS dc_score FROM p GROUP BY 1) "
+
+
+_DOT = "list_dot_product(a.emb, b.emb)"
+
+
+def _dc(spark: SparkSession, d: str, grouped: bool, kernel: str = "cs", tau: float = 1.0) -> DataFrame:
+    return P.dc_scores(vectors(spark, d, grouped), kernel, tau).withColumn("dc_score", r6(F.col("dc_score")))
+
+
+@query(DC(_DOT, False) + "SELECT grp, n, round(dc_score, 6) AS dc_score FROM dc")
+def dc_score_cs(spark, d):
+    return _dc(spark, d, False)
+
+
+@query(DC(f"exp(-(2 - 2 * {_DOT}))", False) + "SELECT grp, n, round(dc_score, 6) AS dc_score FROM dc")
+def dc_score_rbf(spark, d):
+    return _dc(spark, d, False, "rbf")
+
+
+@query(DC("exp(-list_sum(list_transform(list_zip(a.emb, b.emb), lambda z: abs(z[1] - z[2]))))", True) + "SELECT grp, n, round(dc_score, 6) AS dc_score FROM dc")
+def dc_score_laplacian(spark, d):
+    return _dc(spark, d, True, "laplacian")
+
+
+@query(DC(f"pow({_DOT} / 64 + 1, 3)", False) + "SELECT grp, n, round(dc_score, 6) AS dc_score FROM dc")
+def dc_score_polynomial(spark, d):
+    return _dc(spark, d, False, "polynomial", 3.0)
+
+
+@query(DC(_DOT, True) + "SELECT grp, n, round(dc_score, 6) AS dc_score FROM dc")
+def dc_score_by_label(spark, d):
+    return _dc(spark, d, True)
+
+
+@query(DC(_DOT, True) + "SELECT round(avg(dc_score), 6) AS marginal_diversity FROM dc WHERE n >= 6")
+def marginal_diversity(spark, d):
+    return P.dc_scores(vectors(spark, d, True)).where("n >= 6").agg(r6(F.avg("dc_score")).alias("marginal_diversity"))
+
+
+@query(DC(_DOT, True) + "SELECT grp, round(dc_score, 6) AS dc_score FROM dc ORDER BY dc.dc_score, grp LIMIT 5")
+def lowest_diversity_groups(spark, d):
+    return P.dc_scores(vectors(spark, d, True)).orderBy("dc_score", "grp").limit(5).select("grp", r6(F.col("dc_score")).alias("dc_score"))
+
+
+@query(DC(_DOT, True) + "SELECT grp, dc_score < least(1.0, 2.0 / greatest(n, 1)) AS collapsed FROM dc")
+def mode_collapse_flags(spark, d):
+    return P.dc_scores(vectors(spark, d, True)).select("grp", (F.col("dc_score") < F.least(F.lit(1.0), 2.0 / F.greatest("n", F.lit(1)))).alias("collapsed"))
+
+
+# ---- kernels without SQL --------------------------------------------------------------------------------------------------
+
+
+@query()
+def vmf_fit(spark, d):
+    return S.fit(vectors(spark, d, True)).select("grp", "n", r6(F.col("kappa")).alias("kappa"), r6(F.col("log_c")).alias("log_c"))
+
+
+@query()
+def vmf_log_likelihood(spark, d):
+    v = vectors(spark, d, True)
+    return S.log_likelihoods(v, S.fit(v)).withColumn("ll", r6(F.col("ll")))
+
+
+@query()
+def category_outliers(spark, d):
+    v = vectors(spark, d, True)
+    return S.outliers(S.log_likelihoods(v, S.fit(v))).withColumn("ll", r6(F.col("ll")))
+
+
+@query()
+def hierarchical_coherence(spark, d):
+    """Rows whose likelihood under a coarse part of their label is below minus that part's kappa."""
+    e = table(spark, d, "embeddings")
+    parts = F.array(F.concat(F.lit("label="), F.col("label").cast("string")), F.concat(F.lit("third="), (F.col("vec_id") % 3).cast("string")))
+    v = e.select(F.explode(parts).alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("emb"))
+    fits = S.fit(v)
+    flagged = S.log_likelihoods(v, fits).join(fits.select("grp", "kappa"), "grp").withColumn("flag", F.col("ll") < -F.col("kappa"))
+    return flagged.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("grp", r6(F.col("ll")))))).cast("string").alias("lls"), F.max("flag").alias("flagged"))
+
+
+@query()
+def scope_flags(spark, d):
+    """Whether a generated vector is as likely as the tenth percentile of the seeds under one fit of both."""
+    v = vectors(spark, d)
+    lls = S.log_likelihoods(v, S.fit(v))
+    cut = lls.where("id < 20").agg(F.percentile("ll", 0.1).alias("cut"))
+    return lls.where("id >= 20").crossJoin(F.broadcast(cut)).select("id", (F.col("ll") >= F.col("cut")).alias("in_scope"))
+
+
+@query()
+def realism_category_stats(spark, d):
+    """Per category: fit of seeds and generated, seed validity, containment, novelty, extrapolation."""
+    v = vectors(spark, d, True)
+    lls = S.log_likelihoods(v, S.fit(v)).withColumn("is_seed", F.col("id") < 20)
+    cut = lls.where("is_seed").groupBy("grp").agg(F.avg("ll").alias("seed_validity"), F.percentile("ll", 0.1).alias("cut"))
+    held = lls.where("not is_seed").join(cut, "grp").groupBy("grp", "seed_validity").agg(F.avg((F.col("ll") >= F.col("cut")).cast("double")).alias("containment"))
+    new = P.novelty(v.where("id >= 20"), v.where("id < 20")).groupBy("grp").agg(F.avg("novelty_min").alias("novelty_min"), F.avg("novelty_avg").alias("novelty_avg"))
+    return held.join(new, "grp", "left").select("grp", *(r6(F.col(c)).alias(c) for c in ("seed_validity", "containment", "novelty_min", "novelty_avg")), r6(F.col("novelty_min") * F.col("containment")).alias("extrapolation"))
+
+
+@query()
+def vendi_score(spark, d):
+    return S.vendi(vectors(spark, d)).withColumn("vendi", r6(F.col("vendi")))
+
+
+@query()
+def vendi_score_by_label(spark, d):
+    return S.vendi(vectors(spark, d, True), normalize=True).withColumn("vendi", r6(F.col("vendi")))
+
+
+@query()
+def sinkhorn_calibrated(spark, d):
+    v = vectors(spark, d)
+    return T.calibrated(v.where("id >= 20 and id < 220"), v.where("id < 20")).select(*(F.round(c, 4).alias(c) for c in ("raw", "near", "far", "score", "low", "high")))
+
+
+# ---- workflow -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS job, unnest(range(0, (n + 24) // 25))::INT AS chunk, least(25, n - 25 * unnest(range(0, (n + 24) // 25)))::INT AS chunk_rows FROM (SELECT c_custkey, c_custkey % 97 AS n FROM customer) WHERE n > 0")
+def chunk_plan(spark, d):
+    jobs = table(spark, d, "customer").select(F.col("c_custkey").alias("job"), (F.col("c_custkey") % 97).alias("n"))
+    return W.chunk_plan(jobs).select("job", "chunk", "chunk_rows")
+
+
+@query("SELECT p_size AS n, least(40000, 200 + 350 * p_size)::INT AS baseline, floor(least(40000, 200 + 350 * p_size) * 12 / 10)::INT AS schema FROM (SELECT DISTINCT p_size FROM part)")
+def token_budget(spark, d):
+    sizes = table(spark, d, "part").select(F.col("p_size").alias("n")).distinct()
+    return sizes.select("n", W.token_budget(F.col("n"), F.lit("baseline")).alias("baseline"), W.token_budget(F.col("n"), F.lit("schema")).alias("schema"))
+
+
+@query("WITH x AS (SELECT p_partkey, repeat(p_type || '_', 1 + p_partkey::INT % 4) AS stem FROM part), y AS (SELECT p_partkey, 'schema__' || stem || '__' || lpad((p_partkey % 50)::VARCHAR, 4, '0') AS whole, 'schema__' || substr(stem, 1, 41) || '-' || substr(sha1(stem), 1, 8) || '__' || lpad((p_partkey % 50)::VARCHAR, 4, '0') AS short FROM x) SELECT p_partkey, CASE WHEN length(whole) <= 64 THEN whole ELSE short END AS custom_id FROM y")
+def custom_ids(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.expr("repeat(p_type || '_', cast(1 + p_partkey % 4 as int))").alias("stem"))
+    return p.select("p_partkey", W.custom_id(F.lit("schema"), F.col("stem"), F.col("p_partkey") % 50).alias("custom_id"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS chunks FROM conversations GROUP BY 1")
+def chunk_assembly(spark, d):
+    return W.assemble(table(spark, d, "conversations"), ["conv_id"], "turn")
+
+
+@query("SELECT n_nationkey, coalesce(nullif(trim(n_name), ''), 'none') AS text FROM nation")
+def response_text(spark, d):
+    said = F.to_json(F.struct(F.lit(" ").alias("output_text"), F.array(F.struct(F.array(F.struct(F.lit("output_text").alias("type"), F.col("n_name").alias("text"))).alias("content"))).alias("output")))
+    return table(spark, d, "nation").select("n_nationkey", F.coalesce(W.response_text(said), F.lit("none")).alias("text"))
+
+
+@query("SELECT o_orderkey AS custom_id, CASE WHEN c_custkey IS NULL THEN 'unknown id' WHEN o_orderstatus = 'P' THEN 'no text' ELSE 'ok' END AS state FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) ON o_orderkey = c_custkey")
+def manifest_join(spark, d):
+    results = table(spark, d, "orders").select(F.col("o_orderkey").alias("custom_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("text"))
+    manifest = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("custom_id"))
+    ok, failed = W.with_manifest(results, manifest)
+    return ok.select("custom_id", F.lit("ok").alias("state")).unionByName(failed.select("custom_id", F.col("error").alias("state")))
+
+
+@query("SELECT c.conv_id, c.turn, c.text, l.text AS label FROM conversations c LEFT JOIN (SELECT conv_id, turn, text FROM conversations WHERE turn < 2) l ON c.conv_id = l.conv_id AND c.turn = l.turn")
+def label_positional_zip(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return W.positional_zip(c, c.where("turn < 2").withColumnRenamed("text", "label"), "conv_id", "turn")
+
+
+@query("SELECT s_name AS stem FROM supplier WHERE s_suppkey % 3 <> 0")
+def unlabeled_files(spark, d):
+    s = table(spark, d, "supplier")
+    return s.select(F.col("s_name").alias("stem")).join(s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("stem")), "stem", "left_anti")
+
+
+SCHEMA = Schema.parse(
+    {
+        "fixedFields": {"capability": "x", "systematizedConcept": "x", "deploymentPopulation": "readers", "contextualConstraints": "x", "systematizedInstance": "x"},
+        "constituents": {"lang": {"required": True, "value": ["en", "de"]}, "marks": {"subConstituents": {"quality": {"value": "0; 1"}, "toxic": {"value": None}}}},
+        "seedExamples": ["a", "b", "c", "d"],
+    }
+)
+
+
+@query()
+def ablation_variants(spark, d):
+    return W.variants(spark, SCHEMA)
+
+
+@query()
+def request_cross_product(spark, d):
+    models = spark.createDataFrame([("a", "m/1"), ("b", "m:2")], "provider string, model string")
+    combos = spark.createDataFrame([(i, len(c), list(c)) for i, c in enumerate(seed_combinations(4, [0, 2], 5))], "combo_id int, n_seeds int, seeds array<int>")
+    return W.requests(models, W.variants(spark, SCHEMA).limit(8).select("variant_id"), combos, 2, 60).select("custom_id", "kind", "stem", "chunk", "chunk_rows", "max_tokens")
+
+
+@query("SELECT p_partkey, 'k,example_text' || chr(10) || p_partkey || ',\"' || p_type || ', ' || p_name || '\"' || chr(10) AS fixed FROM part")
+def csv_repair(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("```csv\nk,example_text\n"), F.col("p_partkey").cast("string"), F.lit(","), "p_type", F.lit(", "), "p_name", F.lit("\n```")).alias("text"))
+    return p.select("p_partkey", R.repaired(F.col("text")).alias("fixed"))
