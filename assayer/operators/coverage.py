@@ -81,12 +81,12 @@ def cross_distribution(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def marginal_distribution(rows: DataFrame, expected: DataFrame, columns: list[str]) -> DataFrame:
-    """Percent of rows that have each expected(col, value), canonical on both sides; a row counts once per value."""
+    """Percent of rows that have each expected(col, value), canonical on both sides; a row counts once per value; 0 of no rows."""
     cells = _unpivot(rows, columns, lambda c: F.array_distinct(F.transform(L.atoms(c), L.canonical)))
     counts = cells.select("col", F.explode("value").alias("value")).groupBy("col", "value").agg(F.count("*").alias("n"))
     wanted = expected.select("col", L.canonical("value").alias("value")).distinct()
     total = rows.agg(F.count("*").alias("total"))
-    return wanted.join(counts, ["col", "value"], "left").crossJoin(F.broadcast(total)).select("col", "value", (100.0 * F.coalesce("n", F.lit(0)) / F.col("total")).alias("percent"))
+    return wanted.join(counts, ["col", "value"], "left").crossJoin(F.broadcast(total)).select("col", "value", (100.0 * F.coalesce("n", F.lit(0)) / F.greatest("total", F.lit(1))).alias("percent"))
 
 
 def marginal_coverage(rows: DataFrame, expected: DataFrame, columns: list[str]) -> DataFrame:
