@@ -6,7 +6,7 @@ import json
 import math
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import Schema
@@ -23,8 +23,17 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     df = df.toDF(*(c.strip() for c in df.columns))
     df = df.select(*(F.when(F.trim(f"`{c}`").isin(*MISSING), None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns))
     df = df.withColumnRenamed(text_column(df.columns), "example")
-    indexed = df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    return spark.createDataFrame(indexed, "row_id long, " + ", ".join(f"`{c}` string" for c in df.columns))
+    return numbered(df)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with row_id from 0 in its order. Only the rows per partition are counted; they are one small row each."""
+    at = df.withColumn("_at", F.monotonically_increasing_id())
+    partition, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = at.groupBy(partition.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_start"))
+    return at.withColumn("_part", partition).join(F.broadcast(starts), "_part").select((F.col("_start") + within).alias("row_id"), *(F.col(f"`{c}`") for c in df.columns))
 
 
 def text_column(columns: list[str]) -> str:

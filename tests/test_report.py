@@ -53,6 +53,27 @@ def test_report(inputs, tmp_path):
     assert json.loads((tmp_path / "r.json").read_text())["summary"]["coverage"] == 0.75
 
 
+def test_numbered(spark):
+    from assayer.sources.tables import numbered
+
+    df = spark.range(0, 1000, 1, 7).where("id % 3 > 0 and id not between 200 and 500").withColumnRenamed("id", "a b")
+    assert [r.row_id for r in numbered(df).orderBy("a b").collect()] == list(range(df.count()))
+
+
+def test_command_line(inputs, tmp_path, capsys):
+    from assayer import __main__ as cli
+
+    _, vectors, seeds = inputs
+    (tmp_path / "s.json").write_text(json.dumps(DOC))
+    (tmp_path / "d.csv").write_text("a, b ,c,text\n" + "".join(f'{a},{b or ""},{c or ""},"t ""{i}"",\nx"\n' for i, a, b, c in ROWS))
+    vectors.write.parquet(str(tmp_path / "v"))
+    seeds.write.parquet(str(tmp_path / "seeds"))
+    cli.main(["evaluate", *(x for k, v in (("schema", "s.json"), ("dataset", "d.csv"), ("vectors", "v"), ("seeds", "seeds"), ("out-json", "o.json"), ("out-csv", "rows")) for x in (f"--{k}", str(tmp_path / v))), "--not-realistic", '[["y", "p"]]'])
+    assert "combinations: 3 of 4" in capsys.readouterr().out
+    got = json.loads((tmp_path / "o.json").read_text())
+    assert got["coverage"]["completeness_ratio"] == 0.75 and got["row_level"]["n_rows"] == 6 and got["realism_full"]["style_realism_score"] is None
+
+
 def test_report_without_rows(inputs):
     rows, vectors, seeds = inputs
     got = report.evaluate(rows.where("false"), Schema.parse(DOC), vectors.where("false"), seeds)
