@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,9 @@ from ..operators import repair as R
 from ..operators import spherical as S
 from ..operators import transport as T
 from ..operators import workflow as W
-from ..schema import Schema, seed_combinations
+from ..report import Options, evaluate
+from ..schema import Schema
+from ..schema import seed_combinations as drawn_combinations
 from ..workers import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -526,7 +529,24 @@ def vendi_score_by_label(spark, d):
 @query()
 def sinkhorn_calibrated(spark, d):
     v = vectors(spark, d)
-    return T.calibrated(v.where("id >= 20 and id < 220"), v.where("id < 20")).select(*(F.round(c, 4).alias(c) for c in ("raw", "near", "far", "score", "low", "high")))
+    return T.calibrated(v.where("id >= 20"), v.where("id < 20")).select(*(F.round(c, 4).alias(c) for c in ("raw", "near", "far", "score", "low", "high")))
+
+
+@query()
+def sinkhorn_raw(spark, d):
+    v = vectors(spark, d)
+    return T.calibrated(v.where("id >= 20"), v.where("id < 20"), boots=1).select(F.round("raw", 4).alias("raw"))
+
+
+@query()
+def row_metrics(spark, d):
+    """The rows of an evaluation with their four metrics; alignment has queries of its own."""
+    e = table(spark, d, "embeddings")
+    schema = Schema.parse({"fixedFields": {"deploymentPopulation": "readers"}, "constituents": {"label": {"required": True, "value": [str(i) for i in range(10)]}}, "invalidCombinations": [["3"]]})
+    v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"))
+    rows = e.where("vec_id >= 20").select(F.col("vec_id").alias("row_id"), F.col("label").cast("string").alias("label"))
+    out = evaluate(rows, schema, v.where("id >= 20"), v.where("id < 20"), options=Options(transport=False)).rows
+    return out.select("row_id", "label", "outlier", *(r6(F.col(c)).alias(c) for c in ("centroid_dist", "dataset_center_dist", "min_seed_dist")))
 
 
 # ---- workflow -----------------------------------------------------------------------------------------------------------
@@ -590,6 +610,29 @@ SCHEMA = Schema.parse(
 )
 
 
+@query("SELECT * FROM (VALUES ('lang', true), ('quality', false), ('toxic', false)) AS t(col, required)")
+def required_split(spark, d):
+    return spark.createDataFrame([(c, c in SCHEMA.required) for c in SCHEMA.columns], "col string, required boolean")
+
+
+@query("SELECT 0 AS size, '' AS seeds UNION ALL SELECT 2, a || ',' || b FROM range(4) x(a), range(4) y(b) WHERE a < b")
+def seed_combinations(spark, d):
+    return spark.createDataFrame([(len(c), ",".join(map(str, c))) for c in drawn_combinations(4, [0, 2], 6)], "size int, seeds string")
+
+
+@query("SELECT p_partkey, unnest([1, 2]) AS position, unnest([p_brand, '']) AS brand, unnest([p_type || ', new', '']) AS kind FROM part")
+def label_csv_parse(spark, d):
+    """An answer with one row where two are expected: the last column takes the overflow, the missing row is empty."""
+
+    def parse(parts):
+        for p in parts:
+            rows = [(k, i + 1, *r) for k, t in zip(p.p_partkey, p.text, strict=True) for i, r in enumerate(R.parse_labels(t, ["brand", "kind"], 2))]
+            yield pd.DataFrame(rows, columns=["p_partkey", "position", "brand", "kind"])
+
+    p = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit(","), "p_type", F.lit(", new\n")).alias("text"))
+    return p.mapInPandas(parse, "p_partkey long, position int, brand string, kind string").withColumn("kind", F.replace("kind", F.lit(",new"), F.lit(", new")))
+
+
 @query()
 def ablation_variants(spark, d):
     return W.variants(spark, SCHEMA)
@@ -598,8 +641,8 @@ def ablation_variants(spark, d):
 @query()
 def request_cross_product(spark, d):
     models = spark.createDataFrame([("a", "m/1"), ("b", "m:2")], "provider string, model string")
-    combos = spark.createDataFrame([(i, len(c), list(c)) for i, c in enumerate(seed_combinations(4, [0, 2], 5))], "combo_id int, n_seeds int, seeds array<int>")
-    return W.requests(models, W.variants(spark, SCHEMA).limit(8).select("variant_id"), combos, 2, 60).select("custom_id", "kind", "stem", "chunk", "chunk_rows", "max_tokens")
+    combos = spark.createDataFrame([(i, len(c), list(c)) for i, c in enumerate(drawn_combinations(4, [0, 2], 5))], "combo_id int, n_seeds int, seeds array<int>")
+    return W.requests(models, W.variants(spark, SCHEMA).select("variant_id"), combos, 2, 60).select("custom_id", "kind", "stem", "chunk", "chunk_rows", "max_tokens")
 
 
 @query("SELECT p_partkey, 'k,example_text' || chr(10) || p_partkey || ',\"' || p_type || ', ' || p_name || '\"' || chr(10) AS fixed FROM part")

@@ -74,3 +74,9 @@ def test_schema():
     assert s.invalid_combinations() == [("x", "q")]
     assert parse_exclusions('[["a", " "]]') == [["a"]] and parse_indices("0, 2") == [0, 2]
     assert seed_combinations(3, [0, 2], 5) == [(), (0, 1), (0, 2), (1, 2)] and len(set(seed_combinations(30, [3], 7))) == 7
+
+
+def test_plan_of_a_set_with_itself():
+    x = np.random.default_rng(1).normal(size=(40, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert abs(T.plan_cost(x, x, 0.1) - T.plan_cost(x, x.copy(), 0.1)) < 1e-7

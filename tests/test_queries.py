@@ -7,7 +7,7 @@ from assayer.plans import catalogue
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["coverage_counts", "coverage_vary_curve", "coverage_constrained", "marginal_distribution", "multi_value_combos", "outlier_codes", "novelty_min_avg", "dc_score_by_label", "chunk_plan", "custom_ids", "csv_repair"]
+SOME = ["coverage_counts", "coverage_vary_curve", "coverage_constrained", "marginal_distribution", "multi_value_combos", "outlier_codes", "novelty_min_avg", "dc_score_by_label", "chunk_plan", "custom_ids", "csv_repair", "required_split", "seed_combinations", "label_csv_parse"]
 
 
 def canon(value):
