@@ -88,7 +88,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(shown + CASE WHEN goes_on THEN 6 ELSE role_shown + 15 END)::BIGINT AS formatted_chars,
+  sum(shown + CASE WHEN goes_on THEN length('[NEXT]') ELSE role_shown + length('[ROLE:][/ROLE]') END)::BIGINT AS formatted_chars,
   count(*) FILTER (NOT goes_on) AS n_blocks
 FROM m GROUP BY conv_id
 """
