@@ -507,13 +507,17 @@ def scope_flags(spark, d):
 
 @query()
 def realism_category_stats(spark, d):
-    """Per category: fit of seeds and generated, seed validity, containment, novelty, extrapolation."""
+    """Per category with generated vectors: fit of seeds and generated, seed validity, containment, novelty, extrapolation.
+
+    Without seeds all generated vectors are contained and the other measures are null; a category without a fit has no row."""
     v = vectors(spark, d, True)
     lls = S.log_likelihoods(v, S.fit(v)).withColumn("is_seed", F.col("id") < 20)
-    cut = lls.where("is_seed").groupBy("grp").agg(F.avg("ll").alias("seed_validity"), F.percentile("ll", 0.1).alias("cut"))
-    held = lls.where("not is_seed").join(cut, "grp").groupBy("grp", "seed_validity").agg(F.avg((F.col("ll") >= F.col("cut")).cast("double")).alias("containment"))
+    seeds = lls.where("is_seed").groupBy("grp").agg(F.count("*").alias("n_seeds"), F.avg("ll").alias("seed_validity"), F.percentile("ll", 0.1).alias("cut"))
+    contained = F.coalesce(F.col("ll") >= F.col("cut"), F.col("cut").isNull()).cast("double")
+    held = lls.where("not is_seed").join(seeds, "grp", "left").groupBy("grp", "n_seeds", "seed_validity").agg(F.count("*").alias("n_generated"), F.avg(contained).alias("containment"))
     new = P.novelty(v.where("id >= 20"), v.where("id < 20")).groupBy("grp").agg(F.avg("novelty_min").alias("novelty_min"), F.avg("novelty_avg").alias("novelty_avg"))
-    return held.join(new, "grp", "left").select("grp", *(r6(F.col(c)).alias(c) for c in ("seed_validity", "containment", "novelty_min", "novelty_avg")), r6(F.col("novelty_min") * F.col("containment")).alias("extrapolation"))
+    measures = (r6(F.col(c)).alias(c) for c in ("seed_validity", "containment", "novelty_min", "novelty_avg"))
+    return held.join(new, "grp", "left").select("grp", "n_generated", F.coalesce("n_seeds", F.lit(0)).alias("n_seeds"), *measures, r6(F.col("novelty_min") * F.col("containment")).alias("extrapolation"))
 
 
 @query()
