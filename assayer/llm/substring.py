@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mix, portions, ship, spread, text_bytes, written
@@ -131,6 +131,20 @@ def anchors(words: np.ndarray, valid: np.ndarray, window: int = WINDOW, levels:
     return keys[starts], valid[starts], np.diff(np.append(starts, len(valid)))
 
 
+#: Documents of a group: null, which min and max pass over, comes before all other ids.
+_SEVERAL = "low < high OR (nameless AND high IS NOT NULL)"
+_SAME = "doc_id <=> _id AND text_key = _key"
+
+
+def _ids() -> tuple[Column, Column, Column]:
+    return F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.col("doc_id").isNull()).alias("nameless")
+
+
+def _later() -> Column:
+    """Whether the group of _ids has an id before the row's."""
+    return F.col("doc_id").isNotNull() & (F.col("nameless") | (F.col("low") < F.col("doc_id")))
+
+
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -144,8 +158,8 @@ def _flat(docs: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.n
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """What to remove: (doc_id, text_key, n_words, sha256, copy_of) per row of docs, and (doc_id, text_key, kept, n_removed, kept_sha256)
-    of the documents that lose some, not all, of their words. copy_of: the smallest doc_id with the same word sequence."""
+    """What to remove: (doc_id, text_key, n_words, sha256, again) per row of docs, and (doc_id, sha256, kept, n_removed, kept_sha256)
+    of the documents that lose some, not all, of their words. again: a smaller doc_id has the same word sequence."""
     ship(docs.sparkSession)
     source = docs.select("doc_id", "text")
     keyed = text_bytes(source).withColumn("text_key", F.xxhash64("body"))
@@ -167,16 +181,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS) -> tupl
             )
 
     found = written(spread(keyed).mapInArrow(read, "doc_id long, text_key long, n_words long, sha256 string, keys array<long>, firsts array<int>, numbers array<int>"), "anchors")
-    least = found.groupBy("sha256").agg(F.min("doc_id").alias("copy_of"))
-    rows = written(found.select("doc_id", "text_key", "n_words", "sha256").join(least, "sha256"), "word-sequences")
+    least = found.groupBy("sha256").agg(*_ids())
+    rows = written(found.select("doc_id", "text_key", "n_words", "sha256").join(least, "sha256").select("doc_id", "text_key", "n_words", "sha256", _later().alias("again")), "word-sequences")
 
-    # Copies lose all their words; the search is among the first documents of each word sequence.
-    one = rows.where((F.col("doc_id") == F.col("copy_of")) & (F.col("n_words") >= window)).groupBy("sha256", "doc_id").agg(F.min("text_key").alias("text_key"))
-    search = found.select("doc_id", "text_key", "keys", "firsts", "numbers").join(one.select("doc_id", "text_key").hint("shuffle_hash"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    # Copies lose all their words; the search is among the first documents of each word sequence, in one spelling of its white space.
+    one = rows.where(~F.col("again") & (F.col("n_words") >= window)).groupBy("sha256", "doc_id").agg(F.min("text_key").alias("text_key"))
+    one = one.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).hint("shuffle_hash")
+    search = found.select("doc_id", "text_key", "keys", "firsts", "numbers").join(one, F.expr(_SAME), "left_semi").dropDuplicates(["doc_id", "text_key"])
     picked = search.select("doc_id", "text_key", F.explode(F.arrays_zip("keys", "firsts", "numbers")).alias("p")).select("doc_id", "text_key", F.col("p.keys").alias("key"), F.col("p.firsts").alias("first"), F.col("p.numbers").alias("number"))
-    shared = picked.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    spans = picked.join(shared, "key").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "number")).alias("spans"))
-    texts = written(keyed.join(spans.hint("shuffle_hash"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]), "searched")
+    shared = picked.groupBy("key").agg(*_ids()).where(_SEVERAL).select("key")
+    spans = picked.join(shared, "key").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("first", "number")).alias("spans"))
+    texts = keyed.join(spans.hint("shuffle_hash"), F.expr(_SAME)).select("doc_id", "body", "text_key", "spans")
+    texts = written(texts.dropDuplicates(["doc_id", "text_key"]), "searched")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -190,16 +206,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS) -> tupl
                     owner.append(np.full(s["number"], i))
             at, owner = np.concatenate(at), np.concatenate(owner)
             h1, h2 = stretch_hashes(flat, at, at + window), stretch_hashes(mix(flat + _B2), at, at + window, _B2)
-            ids, text_keys = (np.asarray(part.column(c)) for c in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[owner], text_keys[owner], (at - begin[owner]).astype(np.int32), h1.view(np.int64), h2.view(np.int64))], names=["doc_id", "text_key", "at", "h1", "h2"])
+            ids, text_keys = (part.column(c).take(pa.array(owner)) for c in (0, 2))
+            yield pa.RecordBatch.from_arrays([ids, text_keys, *map(pa.array, ((at - begin[owner]).astype(np.int32), h1.view(np.int64), h2.view(np.int64)))], names=["doc_id", "text_key", "at", "h1", "h2"])
 
     every = texts.select("doc_id", "body", "text_key", "spans").mapInArrow(windows, "doc_id long, text_key long, at int, h1 long, h2 long")
-    least = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
-    hits = every.join(least, ["h1", "h2"]).where("low < doc_id").groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("hits"))
+    least = every.groupBy("h1", "h2").agg(*_ids()).where(_SEVERAL).drop("high")
+    hits = every.join(least, ["h1", "h2"]).where(_later()).groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("hits"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
-            kept, removed = [], []
+            kept, removed, own = [], [], []
             for body, hit in zip(part.column(1).to_pylist(), part.column(3), strict=True):
                 words = body.split()
                 edge = np.zeros(len(words) + 1, np.int64)
@@ -209,11 +225,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS) -> tupl
                 stay = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
                 kept.append(b" ".join([words[i] for i in stay]))
                 removed.append(len(words) - len(stay))
+                own.append(_sha(words))
             shas = [hashlib.sha256(k).hexdigest() for k in kept]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "text_key", "kept", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.string()), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "sha256", "kept", "n_removed", "kept_sha256"])
 
     cut = texts.select("doc_id", "body", "text_key").join(hits, ["doc_id", "text_key"]).select("doc_id", "body", "text_key", "hits")
-    return rows, cut.mapInArrow(remove, "doc_id long, text_key long, kept binary, n_removed long, kept_sha256 string")
+    return rows, cut.mapInArrow(remove, "doc_id long, sha256 string, kept binary, n_removed long, kept_sha256 string")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS) -> DataFrame:
@@ -221,10 +238,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS)
 
     Words are what stands between spaces and control whites. A word goes if a window of words around it also starts in a
     document with a smaller doc_id; windows are judged on the input. A null or empty text has no words; a text of fewer words
-    than a window loses none; rows that share a doc_id never take words from each other. Null ids come before all others."""
+    than a window loses none; rows that share a doc_id never take words from each other. Null is one such id, before all others."""
     rows, cut = repeats(docs, window, levels)
-    whole = (F.col("doc_id") > F.col("copy_of")) & (F.col("n_words") >= window)
-    return rows.join(cut.drop("kept"), ["doc_id", "text_key"], "left").select(
+    whole = F.col("again") & (F.col("n_words") >= window)
+    return rows.join(cut.drop("kept"), ["doc_id", "sha256"], "left").select(
         "doc_id",
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -235,8 +252,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS)
 def kept_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the repeats cut from text (and n_chars set anew where there is such a column); other texts stay as they are."""
     rows, cut = repeats(docs, window)
-    whole = rows.where((F.col("doc_id") > F.col("copy_of")) & (F.col("n_words") >= window)).select("doc_id", "text_key", F.lit("").alias("_new"))
-    changed = whole.unionByName(cut.select("doc_id", "text_key", F.col("kept").cast("string").alias("_new"))).dropDuplicates(["doc_id", "text_key"])
+    whole = rows.where(F.col("again") & (F.col("n_words") >= window)).select("doc_id", "text_key", F.lit("").alias("_new"))
+    part = cut.select("doc_id", "sha256", "kept").join(rows.select("doc_id", "sha256", "text_key"), ["doc_id", "sha256"])
+    changed = whole.unionByName(part.select("doc_id", "text_key", F.col("kept").cast("string").alias("_new"))).dropDuplicates(["doc_id", "text_key"])
     keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")))
     both = keyed.join(changed.hint("shuffle_hash"), ["doc_id", "text_key"], "left")
     out = {c: F.col(c) for c in docs.columns}

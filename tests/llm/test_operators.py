@@ -194,6 +194,30 @@ def test_substring_dedup(docs, spark, empty):
     assert substring.substring_dedup(empty).collect() == []
 
 
+def test_substring_dedup_of_null_and_shared_ids(spark):
+    """Null ids are one document before all others; rows of one id and word sequence lose the same words, whatever their white space."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    own = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    rows = [(None, base[:120] + own(5)), (None, base[:80]), (None, base[300:360]), (1, own(9) + base[10:90] + own(3)), (2, base[200:280]), (3, own(4) + base[210:275] + own(6)), (4, base[300:360]), (5, own(60)), (6, base[:80])]
+    rows += [(3, rows[5][1]), (3, rows[5][1]), (1, rows[3][1]), (2, base[190:260] + own(2)), (-7, base[100:170])]
+    first = {}
+    rank = lambda i: (i is not None, i or 0)
+    for i, w in sorted(rows, key=lambda x: rank(x[0])):
+        for j in range(len(w) - 49):
+            first.setdefault(tuple(w[j : j + 50]), rank(i))
+    want, texts_want = [], []
+    table = [(i, (" ", "\n", "  ", "\t ")[k % 4].join(w), 0) for k, (i, w) in enumerate(rows)]
+    for (i, w), (_, text, _) in zip(rows, table, strict=True):
+        gone = {k for j in range(len(w) - 49) if first[tuple(w[j : j + 50])] < rank(i) for k in range(j, j + 50)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+        texts_want.append((i, kept if gone else text))
+    df = spark.createDataFrame(table, "doc_id long, text string, n_chars long").repartition(3)
+    assert sorted(map(tuple, substring.substring_dedup(df).collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(((x.doc_id, x.text) for x in substring.kept_texts(df).collect()), key=repr) == sorted(texts_want, key=repr)
+
+
 def test_chat(spark):
     turns = [(1, 1, "user", "a\\(b\\\\([NEXT]["), (1, 0, "user", None), (1, 2, "assistant", "\\"), (1, 3, "assistant", ""), (1, 4, "x]y[", "[/ROLE][ROLE:x]\n"), (2, 0, None, "x[]"), (None, 0, "user", "n")]
     df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
