@@ -30,24 +30,39 @@ def unescaped(c: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, blocks: one row per conversation of turns(conv_id, turn, role, text).
+    """conv_id, formatted, blocks, loss: one row per conversation of turns(conv_id, turn, role, text).
+
+    loss: array<struct<start, length>>, the span of each LOSS_ROLE turn's escaped text in formatted, in characters from 0; an
+    empty text has a span of length 0. Marks and roles are in no span.
 
     Null text or role: empty. Turns of equal number follow in the order of role and text, repeated rows stay, null numbers
     come first; a null conv_id is a conversation of its own. Other columns are not read; no turns, no rows."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sorted_turns = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    shown = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escaped_role(t["role"]).alias("name"), escaped(t["text"]).alias("text")))
+
     # A turn that follows one of its own role adds to the block, any other one closes it and opens the next.
-    written_out = F.aggregate(
-        "turns",
-        F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("blocks")),
-        lambda state, t: F.struct(
+    def add(state: Column, t: Column) -> Column:
+        goes_on = F.coalesce(state["role"] == t["role"], F.lit(False))
+        mark = F.when(goes_on, F.lit(NEXT)).otherwise(F.concat(F.when(state["role"].isNotNull(), F.lit(CLOSE)).otherwise(F.lit("")), F.lit(OPEN), t["name"], F.lit(MID)))
+        start = state["at"] + F.length(mark)
+        span = F.struct(start.alias("start"), F.length(t["text"]).alias("length"))
+        return F.struct(
             t["role"].alias("role"),
-            F.concat(state["pieces"], F.array(F.when(state["role"] == t["role"], F.concat(F.lit(NEXT), escaped(t["text"]))).otherwise(F.concat(F.when(state["role"].isNotNull(), F.lit(CLOSE)).otherwise(F.lit("")), F.lit(OPEN), escaped_role(t["role"]), F.lit(MID), escaped(t["text"]))))).alias("pieces"),
-            (state["blocks"] + F.when(state["role"] == t["role"], 0).otherwise(1)).alias("blocks"),
-        ),
-        lambda state: F.struct(F.concat(F.array_join(state["pieces"], ""), F.lit(CLOSE)).alias("formatted"), state["blocks"].alias("blocks")),
-    )
-    return sorted_turns.select("conv_id", written_out.alias("out")).select("conv_id", "out.formatted", "out.blocks")
+            F.concat(state["pieces"], F.array(F.concat(mark, t["text"]))).alias("pieces"),
+            (state["blocks"] + F.when(goes_on, 0).otherwise(1)).alias("blocks"),
+            (start + F.length(t["text"])).alias("at"),
+            F.when(t["role"] == LOSS_ROLE, F.concat(state["loss"], F.array(span))).otherwise(state["loss"]).alias("loss"),
+        )
+
+    nothing = F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("blocks"), F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
+    written_out = F.aggregate("shown", nothing, add, lambda state: F.struct(F.concat(F.array_join(state["pieces"], ""), F.lit(CLOSE)).alias("formatted"), state["blocks"].alias("blocks"), state["loss"].alias("loss")))
+    return sorted_turns.select("conv_id", shown.alias("shown")).select("conv_id", written_out.alias("out")).select("conv_id", "out.formatted", "out.blocks", "out.loss")
+
+
+def loss_texts(formatted: Column, loss: Column) -> Column:
+    """array<string>: the texts that the spans cut from the formatted conversation, as they were before escaping."""
+    return F.transform(loss, lambda s: unescaped(F.substr(formatted, s["start"] + 1, s["length"])))
 
 
 def read_back(formatted: Column) -> Column:
@@ -64,8 +79,8 @@ def read_back(formatted: Column) -> Column:
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """The formatted conversations, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_blocks."""
-    back = format_conversations(turns).select("conv_id", "blocks", "formatted", read_back(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")
+    """The formatted conversations, read back, and what their loss spans cut out: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_blocks."""
+    back = format_conversations(turns).select("conv_id", "blocks", "formatted", "loss", read_back(F.col("formatted")).alias("turns"))
+    loss = F.array_join(loss_texts(F.col("formatted"), F.col("loss")), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.col("blocks").cast("long").alias("n_blocks"))

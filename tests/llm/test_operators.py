@@ -228,6 +228,22 @@ def test_chat(spark):
     assert chat.digests(df.where("false")).collect() == []
 
 
+def test_chat_loss_spans(spark):
+    turns = [(1, 0, "user", "[ü\\"), (1, 1, "assistant", "😀 a[b]\\(c"), (1, 2, "assistant", ""), (1, 3, "assistant", "[NEXT]"), (1, 4, "a[s]", "assistant"), (1, 5, "assistant", "é\n"), (2, 0, "user", "q"), (3, 0, "assistant", None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    want = {c: [t or "" for i, _, role, t in turns if i == c and role == "assistant"] for c in (1, 2, 3)}
+    rows = chat.format_conversations(df).select("formatted", "conv_id", "loss", chat.loss_texts(F.col("formatted"), F.col("loss")).alias("said")).collect()
+    assert {r.conv_id: r.said for r in rows} == want
+    for r in rows:
+        cut = [r.formatted[s.start : s.start + s.length] for s in r.loss]
+        assert cut == [t.replace("\\", "\\\\").replace("[", "\\(") for t in want[r.conv_id]]
+        for s in r.loss:
+            assert r.formatted[: s.start].endswith(("[ROLE:assistant]", "[NEXT]")) and r.formatted[s.start + s.length :].startswith(("[NEXT]", "[/ROLE]"))
+    for r in chat.digests(df).collect():
+        said = "".join(want[r.conv_id])
+        assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
 def test_quality(spark, docs, empty):
     r = random.Random(4)
     rows = [(i, " ".join(r.choice(["good", "plain", "words", "here"]) for _ in range(60)) if i % 2 else "BUY!! " * 40) for i in range(200)]
