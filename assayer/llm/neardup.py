@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import WordHashes, mix, portions, ship, spread, text_bytes, union_all, written
 
@@ -129,25 +130,52 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def _surrogates(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """nodes with a number that is no doc_id as the node of each set that only rows without an id have."""
+    ids = found.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    low, high = (0, -1) if ids.low is None else ids
+    number, most = F.monotonically_increasing_id(), nodes.rdd.getNumPartitions() << 33
+    if high + most < 1 << 63:
+        other = F.lit(high) + 1 + number
+    elif low - most >= -1 << 63:
+        other = F.lit(low) - 1 - number
+    else:
+        raise ValueError("doc_ids leave no numbers for rows without an id")
+    return nodes.withColumn("node", F.coalesce("node", other))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs.
 
     Words are what is left between spaces and control whites after lower-casing A-Z. A null or empty text has the empty set,
     links with nothing and is its own component. Rows that share a doc_id are one node. Rows with equal sets are linked.
-    Extra columns are not read; an empty table gives no rows."""
+    A row with a null id is a document of its own: its component_id is the smallest doc_id of its component, null where there
+    is none, and of a component without any id one row is kept. Extra columns are not read; an empty table gives no rows."""
+    return _linked(docs, width, threshold, bands, rows).drop("digest")
+
+
+def _linked(docs: DataFrame, width: int, threshold: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """near_duplicates with the digests of the sets."""
     ship(docs.sparkSession)
     percent = round(threshold * 100)
-    found = written(sketches(docs, width, bands, rows), "sketches")
-    nodes = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("cells").alias("cells"))
-    nodes = written(nodes.select("digest", "node", "n", "keys", "cells"), "nodes")
+    found = written(sketches(docs, width, bands, rows).withColumn("row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), "sketches")
+    nodes = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("cells").alias("cells"), F.min("row").alias("row"))
+    nodes = written(nodes.select("digest", "node", "n", "keys", "cells", "row", F.col("node").isNull().alias("nameless")), "nodes")
+    nameless = not nodes.where("node is null").isEmpty()
+    if nameless:
+        nodes = written(_surrogates(nodes, found), "nodes")
     # With fewer than percent / (100 - percent) shingles only equal sets are similar enough.
     searched = nodes.where(F.col("n") * (100 - percent) + (100 - percent) >= percent).select("node", "n", F.explode("keys").alias("key"))
     shared = searched.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members")).where("members > 1").select("key")
     buckets = written(searched.join(shared, "key").select("key", "node", "n", F.col("node").alias("comp")), "buckets")
-    inside = written(buckets.select("node").distinct().join(nodes.select("node", "digest"), "node"), "candidates")
+    inside = written(buckets.select("node").distinct().join(nodes.select("node", "digest", "nameless"), "node"), "candidates")
     texts = text_bytes(docs).join(inside.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     items = full_sets(texts, width).join(inside.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
-    items = written(items.select(F.col("doc_id").alias("node"), "items"), "sets")
+    items = items.select(F.col("doc_id").alias("node"), "items")
+    if nameless:
+        others = full_sets(text_bytes(docs.where("doc_id is null")), width).join(inside.where("nameless").select("node", "digest"), "digest")
+        items = items.unionByName(others.dropDuplicates(["node"]).select("node", "items"))
+    items = written(items, "sets")
 
     maps: list[DataFrame] = []
     leaders, cells = 1, []
@@ -179,12 +207,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
         buckets = written(rest, "buckets")
         leaders *= 4
 
-    at = nodes.select("digest", F.col("node").alias("comp"))
+    at = nodes.select("digest", "node", "nameless", "row", F.col("node").alias("comp"))
     for labels in maps:
         at = _relabelled(at, labels)
-    out = found.select("doc_id", "n_shingles", "digest").join(at, "digest", "left")
-    own = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    if nameless:
+        named = F.when(~F.col("nameless"), F.col("node"))
+        names = at.groupBy("comp").agg(F.min(named).alias("id"), F.min(F.when(F.col("node") == F.col("comp"), F.col("row"))).alias("lead"))
+        at = at.join(names, "comp").select("digest", "id", F.when(F.col("id").isNull(), F.col("lead")).alias("lead"))
+    else:
+        at = at.select("digest", F.col("comp").alias("id"), F.lit(None).cast("long").alias("lead"))
+    out = found.select("doc_id", "n_shingles", "digest", "row").join(at, "digest", "left")
+    own = F.coalesce("id", "doc_id")
+    leads = F.col("digest").isNull() | F.coalesce(F.col("row") == F.col("lead"), F.lit(False))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.when(F.col("doc_id").isNull(), leads).otherwise(own == F.col("doc_id")).alias("kept"), "digest")
 
 
 def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -198,7 +233,26 @@ def _narrowed(buckets: DataFrame) -> DataFrame:
     return buckets.join(wide, "key")
 
 
+def _with_digest(docs: DataFrame, width: int) -> DataFrame:
+    """docs and the digest of each row's set; null for the empty set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _sets(batches, width):
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary())], names=["_row", "_digest"])
+
+    both = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
+    return both.mapInArrow(run, StructType([both.schema["_row"], StructField("_digest", BinaryType())])).select("_row.*", "_digest")
+
+
 def kept_rows(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs whose doc_id names their component."""
-    stay = near_duplicates(docs, width, threshold).where("kept").select("doc_id").distinct()
-    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    """The rows of docs whose doc_id names their component; of a component without any id one row."""
+    linked = _linked(docs, width, threshold).where("kept")
+    stay = linked.select("doc_id").where("doc_id is not null").distinct()
+    out = docs.join(stay.hint("shuffle_hash"), docs["doc_id"] == stay["doc_id"], "left_semi")
+    others = docs.where("doc_id is null")
+    if others.isEmpty():
+        return out
+    others = _with_digest(others, width)
+    first = others.join(linked.where("doc_id is null").select(F.col("digest").alias("_digest")), "_digest", "left_semi").dropDuplicates(["_digest"])
+    return union_all([out, *(x.select(*(f"`{c}`" for c in docs.columns)) for x in (first, others.where("_digest is null")))])

@@ -145,6 +145,34 @@ def test_near_duplicates(docs, width):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(s), comp[i], comp[i] == i) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("largest", [50, 2**63 - 1])
+def test_near_duplicates_with_null_ids(spark, largest):
+    """Rows without an id link like others; of their components without any id one row stays."""
+    r = random.Random(9)
+    new = lambda: [f"w{r.randrange(10**9)}" for _ in range(60)]
+    other = lambda w, *at: [f"n{r.randrange(10**9)}" if i in at else x for i, x in enumerate(w)]
+    a, b, c, d, e, f = (new() for _ in range(6))
+    rows = [(1, a), (None, other(a, 30)), (None, b), (None, other(b, 7)), (None, c), (None, c), (None, other(c, 59)), (None, new()), (7, e), (None, e), (largest, f)]
+    rows += [(9, other(d, 5, 9)), (None, d), (4, other(d, 40, 50)), (None, []), (None, [])]  # 9 and 4 are linked by d alone
+    sets = [{tuple(w[j : j + 2]) for j in range(len(w) - 1)} for _, w in rows]
+    comp = list(range(len(rows)))
+    for _ in range(4):
+        for x, s in enumerate(sets):
+            for y, t in enumerate(sets):
+                if s & t and 100 * len(s & t) >= 80 * len(s | t):
+                    comp[x] = comp[y] = min(comp[x], comp[y])
+    assert comp[11] == comp[12] == comp[13] and 100 * len(sets[11] & sets[13]) < 80 * len(sets[11] | sets[13])
+    ids = {k: min((i for (i, _), m in zip(rows, comp, strict=True) if m == k and i is not None), default=None) for k in comp}
+    df = spark.createDataFrame([(i, " ".join(w), k) for k, (i, w) in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    got = neardup.near_duplicates(df, 2).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == sorted(((i, len(s), ids[k]) for (i, _), s, k in zip(rows, sets, comp, strict=True)), key=repr)
+    assert {x.doc_id for x in got if x.kept and x.doc_id is not None} == {i for i in ids.values() if i is not None}
+    assert sum(x.kept for x in got) == len(ids)
+    kept = neardup.kept_rows(df, 2).collect()
+    assert sorted(comp[x.n] for x in kept) == sorted(ids)
+    assert all(x.doc_id == ids[comp[x.n]] and x.text == " ".join(rows[x.n][1]) for x in kept)
+
+
 def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).collect() == []
 
