@@ -99,6 +99,14 @@ def marginal_coverage(rows: DataFrame, expected: DataFrame, columns: list[str])
     return both.withColumn("ratio", F.when(F.col("expected") == 0, 1.0).otherwise(F.col("covered") / F.col("expected")))
 
 
+def marginal_values(rows: DataFrame, expected: DataFrame, columns: list[str]) -> DataFrame:
+    """(col, value, kind): the expected values that no row has (missing) and the values of rows that are not expected (new)."""
+    seen = _unpivot(rows, columns, L.atoms).select("col", F.explode("value").alias("value")).distinct()
+    wanted = expected.select("col", "value").distinct()
+    missing = wanted.join(seen, ["col", "value"], "left_anti").withColumn("kind", F.lit("missing"))
+    return missing.unionByName(seen.join(wanted, ["col", "value"], "left_anti").withColumn("kind", F.lit("new")))
+
+
 def audit(rows: DataFrame, rules: DataFrame, columns: list[str]) -> DataFrame:
     """Rows per invalid combination, those without rows too."""
     hits = rows.groupBy(*columns).agg(F.count("*").alias("rows"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import labels as L
@@ -139,7 +139,15 @@ def _coverage(rows: DataFrame, schema: Schema, exclusions, options: Options, fra
             real = C.excluded(expected, rules, required)
             left = _dicts(C.completeness(real, counts, required))[0]
             out["coverage_constrained"] = {"expected_count": left["expected"], "observed_count": left["observed"], "excluded_count": ratio["expected"] - left["expected"], "missing_count": left["expected"] - left["observed"], "coverage_constrained": left["ratio"]}
-    marginal = _dicts(C.marginal_coverage(rows, schema.expected(spark).where(F.col("col").isin(required)), required).orderBy("col")) if required else []
+    marginal: list[dict] = []
+    if required:
+        of_required = schema.expected(spark).where(F.col("col").isin(required))
+        marginal = _dicts(C.marginal_coverage(rows, of_required, required).orderBy("col"))
+        frames["marginal_values"] = C.marginal_values(rows, of_required, required)
+        place = F.row_number().over(Window.partitionBy("col", "kind").orderBy("value"))
+        firsts = frames["marginal_values"].withColumn("place", place).where("place <= 20").orderBy("col", "kind", "value").collect()
+        for m in marginal:
+            m |= {f"{kind}_values_sample": [r.value for r in firsts if (r.col, r.kind) == (m["col"], kind)] for kind in ("missing", "new")}
     out["coverage"] = {
         "expected_combinations_count": ratio["expected"], "observed_combinations_count": ratio["observed"], "missing_combinations_count": ratio["expected"] - ratio["observed"], "missing_combinations_sample": missing,
         "completeness_ratio": ratio["ratio"], "holistic_completeness_score": C.holistic(rows, schema.optional).first().holistic,

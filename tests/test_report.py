@@ -53,6 +53,15 @@ def test_report(inputs, tmp_path):
     assert json.loads((tmp_path / "r.json").read_text())["summary"]["coverage"] == 0.75
 
 
+def test_marginal_values(inputs):
+    rows, vectors, seeds = inputs
+    doc = {**DOC, "constituents": {**DOC["constituents"], "a": {"required": True, "value": ["y", "w", "v"]}}, "invalidCombinations": []}
+    got = report.evaluate(rows, Schema.parse(doc), vectors, seeds, options=report.Options(transport=False))
+    a = got.document["coverage"]["marginal_coverage"]["a"]
+    assert (a["missing_values_sample"], a["new_values_sample"], a["new_values"]) == (["v", "w"], ["x", "z"], 2)
+    assert {tuple(r) for r in got.frames["marginal_values"].select("col", "value", "kind").collect()} == {("a", "v", "missing"), ("a", "w", "missing"), ("a", "x", "new"), ("a", "z", "new")}
+
+
 def test_numbered(spark):
     from assayer.sources.tables import numbered
 
