@@ -6,8 +6,12 @@ and equal substrings get equal symbols except near their ends. With each symbol
 a window of WINDOW words fixes all symbols whose stretch lies in it. After three rounds a stretch without runs has at most 36
 words, so every window of 50 fixes some symbol of the third level; in windows with runs a lower level steps in, at the last
 the words themselves. Of the symbols of the highest level that a window fixes it picks the least by hash: equal windows pick
-the same symbol, wherever they stand. Only windows whose symbol occurs in another document can repeat there; for these the
-window's full content is compared, as two independent 64-bit hashes, and the smallest document of each content found.
+the same symbol, wherever they stand. Only windows whose symbol occurs in another document can repeat there.
+
+Consecutive windows that pick one occurrence form a stretch, named by two independent 64-bit hashes of all its words. Equal
+stretches are one class: of its documents the smallest stands for it, and the others lose the whole stretch. Only where a
+symbol has several classes are their stretches spelled out in windows, once a class, to be compared as hashes of the same kind.
+So a passage or text with many copies costs a row per copy and stretch, not one per copy and window.
 """
 
 from __future__ import annotations
@@ -133,7 +137,6 @@ def anchors(words: np.ndarray, valid: np.ndarray, window: int = WINDOW, levels:
 
 #: Documents of a group: null, which min and max pass over, comes before all other ids.
 _SEVERAL = "low < high OR (nameless AND high IS NOT NULL)"
-_SAME = "doc_id <=> _id AND text_key = _key"
 
 
 def _ids() -> tuple[Column, Column, Column]:
@@ -142,7 +145,17 @@ def _ids() -> tuple[Column, Column, Column]:
 
 def _later() -> Column:
     """Whether the group of _ids has an id before the row's."""
-    return F.col("doc_id").isNotNull() & (F.col("nameless") | (F.col("low") < F.col("doc_id")))
+    return F.coalesce(F.col("doc_id").isNotNull() & (F.col("nameless") | (F.col("low") < F.col("doc_id"))), F.lit(False))
+
+
+def _tag(doc_id: Column, body: Column) -> Column:
+    """One number for a row's id and text; only with an equal id does it stand for the row."""
+    return F.xxhash64(doc_id.cast("long"), body)
+
+
+def _same_id(a: Column, b: Column) -> Column:
+    """a <=> b in a form that stays a condition beside the tag, so that the tag alone deals the rows."""
+    return F.coalesce(a == b, a.isNull() & b.isNull())
 
 
 def _sha(words: list[bytes]) -> str:
@@ -157,12 +170,31 @@ def _flat(docs: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.n
     return np.concatenate([*parts, np.empty(0, np.uint64)]), np.cumsum([0, *(len(w) + 1 for w in docs)])
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """What to remove: (doc_id, text_key, n_words, sha256, again) per row of docs, and (doc_id, sha256, kept, n_removed, kept_sha256)
-    of the documents that lose some, not all, of their words. again: a smaller doc_id has the same word sequence."""
-    ship(docs.sparkSession)
-    source = docs.select("doc_id", "text")
-    keyed = text_bytes(source).withColumn("text_key", F.xxhash64("body"))
+def _names(flat: np.ndarray, start: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each stretch."""
+    return stretch_hashes(flat, start, start + length), stretch_hashes(mix(flat + _B2), start, start + length, _B2)
+
+
+def _first_of(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Indices of the first occurrence of each (owner, a, b), in the order of owners."""
+    if not len(owner):
+        return np.empty(0, np.int64)
+    order = np.lexsort((b, a, owner))
+    o, x, y = owner[order], a[order], b[order]
+    return order[np.concatenate([[True], (o[1:] != o[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])]
+
+
+def _ranges(first: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """first[0], ..., first[0] + number[0] - 1, first[1], ..."""
+    to = np.cumsum(number)
+    return np.repeat(first - (to - number), number) + np.arange(to[-1] if len(to) else 0)
+
+
+_READ = "doc_id long, tag long, n_words long, sha256 string, keys array<long>, firsts array<int>, numbers array<int>, s1 array<long>, s2 array<long>, new array<boolean>"
+
+
+def _stretches(keyed: DataFrame, window: int, levels: int) -> DataFrame:
+    """A row per row of keyed(doc_id, body, tag) with its word sequence's digest and its stretches. new: the first of its class in the text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -171,66 +203,106 @@ def repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS) -> tupl
             flat, begin = _flat(words, hashes)
             valid = np.concatenate([*(np.arange(b, b + len(w) - window + 1) for b, w in zip(begin, words, strict=False) if len(w) >= window), np.empty(0, np.int64)]).astype(np.int64)
             keys, first, number = anchors(flat, valid, window, levels)
+            s1, s2 = _names(flat, first, number + window - 1)
             to = np.searchsorted(first, begin)
+            owner = np.repeat(np.arange(len(words)), np.diff(to))
+            new = np.zeros(len(first), bool)
+            new[_first_of(owner, s1, s2)] = True
             offsets = pa.array(to, pa.int32())
-            at = first - np.repeat(begin[:-1], np.diff(to))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (keys.view(np.int64), at.astype(np.int32), number.astype(np.int32))]
+            lists = (keys.view(np.int64), (first - begin[owner]).astype(np.int32), number.astype(np.int32), s1.view(np.int64), s2.view(np.int64), new)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array(map(_sha, words), pa.string()), *lists],
-                names=["doc_id", "text_key", "n_words", "sha256", "keys", "firsts", "numbers"],
+                [part.column(0), part.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array(map(_sha, words), pa.string()), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists)],
+                names=["doc_id", "tag", "n_words", "sha256", "keys", "firsts", "numbers", "s1", "s2", "new"],
             )
 
-    found = written(spread(keyed).mapInArrow(read, "doc_id long, text_key long, n_words long, sha256 string, keys array<long>, firsts array<int>, numbers array<int>"), "anchors")
-    least = found.groupBy("sha256").agg(*_ids())
-    rows = written(found.select("doc_id", "text_key", "n_words", "sha256").join(least, "sha256").select("doc_id", "text_key", "n_words", "sha256", _later().alias("again")), "word-sequences")
+    return spread(keyed).mapInArrow(read, _READ)
+
+
+def _places(part: pa.RecordBatch, name: str, hashes: WordHashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, flat symbols and begins of the texts; owner, first and number of their stretches that are in the list of this name."""
+    column = lambda c: part.column(part.schema.get_field_index(c))
+    words = [body.split() for body in column("body").to_pylist()]
+    flat, begin = _flat(words, hashes)
+    owner, first, number = [], [], []
+    for i in range(part.num_rows):
+        listed = lambda c, i=i: column(c)[i].values.to_numpy(zero_copy_only=False)
+        mine = column(name)[i].values
+        a, b = (mine.field(k).to_numpy(zero_copy_only=False) for k in ("s1", "s2"))
+        at = np.flatnonzero(np.isin(listed("s1"), a) & np.isin(listed("s2"), b))
+        owner.append(np.full(len(at), i))
+        first.append(listed("firsts")[at] + begin[i])
+        number.append(listed("numbers")[at])
+    return words, flat, begin, *(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (owner, first, number))
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """What to remove: (doc_id, tag, n_words, sha256, again) per row of docs, and (doc_id, sha256, kept, n_removed, kept_sha256)
+    of the documents that may lose some, not all, of their words. again: a smaller doc_id has the same word sequence."""
+    ship(docs.sparkSession)
+    keyed = text_bytes(docs).withColumn("tag", _tag(F.col("doc_id"), F.col("body")))
+    found = written(_stretches(keyed, window, levels).withColumn("row", F.monotonically_increasing_id()), "stretches")
+
+    # What is grouped is written before it is joined to the rows: then a hot key's rows are split by adaptive execution.
+    copies = written(found.groupBy("sha256").agg(*_ids()).where(_SEVERAL), "copies")
+    rows = written(found.select("row", "doc_id", "tag", "n_words", "sha256").join(copies, "sha256", "left").select("row", "doc_id", "tag", "n_words", "sha256", _later().alias("again")), "word-sequences")
 
     # Copies lose all their words; the search is among the first documents of each word sequence, in one spelling of its white space.
-    one = rows.where(~F.col("again") & (F.col("n_words") >= window)).groupBy("sha256", "doc_id").agg(F.min("text_key").alias("text_key"))
-    one = one.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).hint("shuffle_hash")
-    search = found.select("doc_id", "text_key", "keys", "firsts", "numbers").join(one, F.expr(_SAME), "left_semi").dropDuplicates(["doc_id", "text_key"])
-    picked = search.select("doc_id", "text_key", F.explode(F.arrays_zip("keys", "firsts", "numbers")).alias("p")).select("doc_id", "text_key", F.col("p.keys").alias("key"), F.col("p.firsts").alias("first"), F.col("p.numbers").alias("number"))
-    shared = picked.groupBy("key").agg(*_ids()).where(_SEVERAL).select("key")
-    spans = picked.join(shared, "key").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("first", "number")).alias("spans"))
-    texts = keyed.join(spans.hint("shuffle_hash"), F.expr(_SAME)).select("doc_id", "body", "text_key", "spans")
-    texts = written(texts.dropDuplicates(["doc_id", "text_key"]), "searched")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    one = rows.where(~F.col("again") & (F.col("n_words") >= window)).groupBy("sha256", "doc_id").agg(F.min("row").alias("row")).select("row")
+    stretch = F.explode(F.arrays_zip("keys", "s1", "s2", "new")).alias("p")
+    picked = found.join(one.hint("shuffle_hash"), "row", "left_semi").select("row", "doc_id", stretch).where("p.new").select("row", "doc_id", F.col("p.keys").alias("key"), "p.s1", "p.s2")
+    shared = written(picked.groupBy("key").agg(*_ids()).where(_SEVERAL).select("key"), "shared-keys")
+    picked = written(picked.join(shared, "key"), "shared-stretches")
+    classes = written(picked.groupBy("key", "s1", "s2").agg(*_ids()), "classes")
+    several = written(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("contested")), "contested")
+    told = picked.join(classes, ["key", "s1", "s2"]).select("row", "key", "s1", "s2", _later().alias("later")).join(several, "key", "left").where("later OR contested")
+    mine = F.struct("s1", "s2")
+    lists = told.groupBy("row").agg(F.collect_list(F.when(F.col("later"), mine)).alias("whole"), F.collect_list(F.when(~F.col("later"), mine)).alias("open"))
+    lists = found.select("row", F.col("doc_id").alias("_id"), "tag", "sha256", "firsts", "numbers", "s1", "s2").join(lists, "row")
+    texts = keyed.join(lists.hint("shuffle_hash"), "tag").where(_same_id(F.col("doc_id"), F.col("_id"))).drop("_id")
+    texts = written(texts.dropDuplicates(["tag", "row"]).drop("tag"), "searched")
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in portions(batches, 400_000):
-            words = [body.split() for body in part.column(1).to_pylist()]
-            flat, begin = _flat(words, hashes)
-            at, owner = [], []
-            for i, spans in enumerate(part.column(3).to_pylist()):
-                for s in spans:
-                    at.append(np.arange(s["first"], s["first"] + s["number"], dtype=np.int64) + begin[i])
-                    owner.append(np.full(s["number"], i))
-            at, owner = np.concatenate(at), np.concatenate(owner)
-            h1, h2 = stretch_hashes(flat, at, at + window), stretch_hashes(mix(flat + _B2), at, at + window, _B2)
-            ids, text_keys = (part.column(c).take(pa.array(owner)) for c in (0, 2))
-            yield pa.RecordBatch.from_arrays([ids, text_keys, *map(pa.array, ((at - begin[owner]).astype(np.int32), h1.view(np.int64), h2.view(np.int64)))], names=["doc_id", "text_key", "at", "h1", "h2"])
-
-    every = texts.select("doc_id", "body", "text_key", "spans").mapInArrow(windows, "doc_id long, text_key long, at int, h1 long, h2 long")
-    least = every.groupBy("h1", "h2").agg(*_ids()).where(_SEVERAL).drop("high")
-    hits = every.join(least, ["h1", "h2"]).where(_later()).groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("hits"))
+            _, flat, _, owner, first, number = _places(part, "open", hashes)
+            at, own = _ranges(first, number), np.repeat(owner, number)
+            h1, h2 = _names(flat, at, window)
+            pick = _first_of(own, h1, h2)
+            rows_, ids = (part.column(part.schema.get_field_index(c)).take(pa.array(own[pick])) for c in ("row", "doc_id"))
+            yield pa.RecordBatch.from_arrays([rows_, ids, pa.array(h1[pick].view(np.int64)), pa.array(h2[pick].view(np.int64))], names=["row", "doc_id", "h1", "h2"])
+
+    windows = written(texts.where(F.size("open") > 0).mapInArrow(spelled, "row long, doc_id long, h1 long, h2 long"), "windows")
+    least = written(windows.groupBy("h1", "h2").agg(*_ids()).where(_SEVERAL), "shared-windows")
+    hits = windows.join(least, ["h1", "h2"]).where(_later()).groupBy("row").agg(F.collect_list(F.struct("h1", "h2")).alias("hits"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for part in portions(batches):
-            kept, removed, own = [], [], []
-            for body, hit in zip(part.column(1).to_pylist(), part.column(3), strict=True):
-                words = body.split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                at = np.asarray(hit.values)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
-                stay = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
-                kept.append(b" ".join([words[i] for i in stay]))
-                removed.append(len(words) - len(stay))
-                own.append(_sha(words))
+            words, flat, begin, owner, first, number = _places(part, "whole", hashes)
+            edge = np.zeros(len(flat) + 1, np.int64)
+            np.add.at(edge, first, 1)
+            np.add.at(edge, first + number + window - 1, -1)
+            _, _, _, owner, first, number = _places(part, "open", hashes)
+            at, own = _ranges(first, number), np.repeat(owner, number)
+            h1, h2 = (h.view(np.int64) for h in _names(flat, at, window))
+            ends = np.searchsorted(own, np.arange(part.num_rows + 1))
+            hits = part.column(part.schema.get_field_index("hits"))
+            for i in range(part.num_rows):
+                if hits[i].is_valid and len(hits[i].values):
+                    a, b = (hits[i].values.field(k).to_numpy(zero_copy_only=False) for k in ("h1", "h2"))
+                    here = slice(ends[i], ends[i + 1])
+                    gone = at[here][np.isin(h1[here], a) & np.isin(h2[here], b)]
+                    np.add.at(edge, gone, 1)
+                    np.add.at(edge, gone + window, -1)
+            stay = np.cumsum(edge)[:-1] == 0
+            kept = [b" ".join([w[i] for i in np.flatnonzero(stay[b : b + len(w)])]) for b, w in zip(begin, words, strict=False)]
+            removed = [len(w) - int(stay[b : b + len(w)].sum()) for b, w in zip(begin, words, strict=False)]
+            ids, own_sha = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "sha256"))
             shas = [hashlib.sha256(k).hexdigest() for k in kept]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.string()), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "sha256", "kept", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([ids, own_sha, pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "sha256", "kept", "n_removed", "kept_sha256"])
 
-    cut = texts.select("doc_id", "body", "text_key").join(hits, ["doc_id", "text_key"]).select("doc_id", "body", "text_key", "hits")
-    return rows, cut.mapInArrow(remove, "doc_id long, sha256 string, kept binary, n_removed long, kept_sha256 string")
+    cut = texts.join(hits, "row", "left").mapInArrow(remove, "doc_id long, sha256 string, kept binary, n_removed long, kept_sha256 string")
+    return rows.drop("row"), cut.where("n_removed > 0")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS) -> DataFrame:
@@ -238,7 +310,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS)
 
     Words are what stands between spaces and control whites. A word goes if a window of words around it also starts in a
     document with a smaller doc_id; windows are judged on the input. A null or empty text has no words; a text of fewer words
-    than a window loses none; rows that share a doc_id never take words from each other. Null is one such id, before all others."""
+    than a window loses none; rows that share a doc_id never take words from each other. Null is one such id, before all others.
+    An empty table gives no rows; extra columns are not read."""
     rows, cut = repeats(docs, window, levels)
     whole = F.col("again") & (F.col("n_words") >= window)
     return rows.join(cut.drop("kept"), ["doc_id", "sha256"], "left").select(
@@ -250,15 +323,19 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS)
 
 
 def kept_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the repeats cut from text (and n_chars set anew where there is such a column); other texts stay as they are."""
+    """docs with the repeats cut from text (and n_chars set anew where there is such a column): all its rows, columns and order of columns.
+
+    Texts without repeats, null and empty ones stay as they are; a text that is all repeats becomes empty. Rows alike are cut
+    alike. No rows give no rows. Columns may have any names."""
     rows, cut = repeats(docs, window)
-    whole = rows.where(F.col("again") & (F.col("n_words") >= window)).select("doc_id", "text_key", F.lit("").alias("_new"))
-    part = cut.select("doc_id", "sha256", "kept").join(rows.select("doc_id", "sha256", "text_key"), ["doc_id", "sha256"])
-    changed = whole.unionByName(part.select("doc_id", "text_key", F.col("kept").cast("string").alias("_new"))).dropDuplicates(["doc_id", "text_key"])
-    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")))
-    both = keyed.join(changed.hint("shuffle_hash"), ["doc_id", "text_key"], "left")
-    out = {c: F.col(c) for c in docs.columns}
-    out["text"] = F.coalesce("_new", "text")
+    whole = rows.where(F.col("again") & (F.col("n_words") >= window)).select("doc_id", "tag", F.lit("").alias("new"))
+    part = cut.select("doc_id", "sha256", "kept").join(rows.select("doc_id", "sha256", "tag"), ["doc_id", "sha256"])
+    changed = whole.unionByName(part.select("doc_id", "tag", F.col("kept").cast("string").alias("new"))).dropDuplicates(["tag", "doc_id"])
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    keyed = docs.select(F.struct("*").alias("row"), _tag(F.col("doc_id"), body).alias("tag"))
+    both = keyed.join(changed.hint("shuffle_hash"), (keyed["tag"] == changed["tag"]) & _same_id(F.col("row.doc_id").cast("long"), changed["doc_id"]), "left")
+    out = {f.name: F.col("row").getField(f.name) for f in docs.schema}
+    out["text"] = F.coalesce("new", out["text"])
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("new").isNull(), out["n_chars"]).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)
     return both.select(*(v.alias(k) for k, v in out.items()))
