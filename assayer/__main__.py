@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import argparse
 import datetime
-import json
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import report, runs
 from .operators import repair as R
-from .schema import Schema, parse_exclusions, parse_indices
+from .schema import Schema, parse_indices
 from .sources import tables as T
 from .workers import ship
 
@@ -25,25 +25,48 @@ def _vectors(spark: SparkSession, path: str | None) -> DataFrame | None:
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    schema = _schema(spark, a.schema)
-    names = {"style": _vectors(spark, a.style), "style_seeds": _vectors(spark, a.style_seeds)}
-    got = report.evaluate(T.read_dataset(spark, a.dataset), schema, _vectors(spark, a.vectors), _vectors(spark, a.seeds), **names, subset=parse_indices(a.seed_subset) if a.seed_subset else None, exclusions=parse_exclusions(a.not_realistic), options=report.Options(k=a.coverage_k))
-    report.write(got, a.out_json, a.out_csv)
-    print("\n".join(got.lines()))
+    """One dataset, or each labelled dataset of a folder; vectors(id, emb) then have a column `dataset` with the file's stem."""
+    if bool(a.dataset) == bool(a.input_dir):
+        raise SystemExit("give either --dataset or --input-dir")
+    schema, vectors, style = _schema(spark, a.schema), _vectors(spark, a.vectors), _vectors(spark, a.style)
+    seeds, style_seeds = _vectors(spark, a.seeds), _vectors(spark, a.style_seeds)
+    options = report.Options(k=a.coverage_k)
+    rules, subset = T.read_exclusions(spark, a.not_realistic), parse_indices(a.seed_subset) if a.seed_subset else None
+    files = [(r.stem, r.path) for r in T.labelled_files(spark, a.input_dir).collect()] if a.input_dir else [(None, a.dataset)]
+    for stem, path in files:
+        own = lambda v, stem=stem: v if v is None or stem is None else v.where(F.col("dataset") == stem).drop("dataset")
+        got = report.evaluate(T.read_dataset(spark, path), schema, own(vectors), seeds, style=own(style), style_seeds=style_seeds, subset=subset, exclusions=rules, options=options)
+        at = lambda given, ending, stem=stem: given if stem is None else f"{given or a.input_dir}/{stem}_metrics{ending}"
+        report.write(got, at(a.out_json, ".json"), at(a.out_csv, ""))
+        print("\n".join([*([f"{stem}: {got.document['row_level']['n_rows']} rows"] if stem else []), *got.lines()]))
 
 
 def stage(spark: SparkSession, a: argparse.Namespace) -> None:
     models = [tuple(m.split("=", 1)) for m in a.models]
     skipped = {int(x) for x in a.exclude_s.split(",") if x.strip()}
-    asked = runs.stage(spark, a.folder, _schema(spark, a.schema), models, a.n, a.runs, [s for s in range(0, a.max_s + 1, a.inc_s) if s not in skipped], a.max_combinations, a.ablation, a.chunk)
+    sizes = [s for s in range(0, a.max_s + 1, a.inc_s) if s not in skipped]
+    only = spark.read.text(a.rerun).withColumnRenamed("value", "name") if a.rerun else None
+    asked = runs.stage(spark, a.folder, _schema(spark, a.schema), models, a.n, a.runs, sizes, a.max_combinations, a.ablation, a.chunk, only, domain=a.domain or "")
     print(f"{asked.count()} requests in {a.folder}")
 
 
 def collect(spark: SparkSession, a: argparse.Namespace) -> None:
-    texts, failures = runs.collect(spark, a.folder, a.results)
-    _new_version(texts.select("stem", "kind", "text"), a.folder, "texts", ["kind", "stem"], "text")
+    _collected(spark, runs.collect(spark, a.folder, a.results), a)
+
+
+def collect_local(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Answers of a function module:name, which takes a request's body and gives a text; without one, of the built-in stub."""
+    module, _, name = (a.generator or "assayer.runs:stub").partition(":")
+    _collected(spark, runs.run_local(spark, a.folder, getattr(importlib.import_module(module), name), a.rounds, a.chunk), a)
+
+
+def _collected(spark: SparkSession, got: runs.Collected, a: argparse.Namespace) -> None:
+    _new_version(got.texts.select("stem", "kind", "text"), a.folder, "texts", ["kind", "stem"], "text")
+    _new_version(got.texts.where("examples is not null").select("stem", F.col("examples").alias("text")), a.folder, "examples", ["stem"], "text")
+    if not got.raw.isEmpty():
+        _new_version(got.raw, a.folder, "raw_responses", ["kind", "stem"], "text")
     runs.summary(runs.manifest(spark, a.folder), a.ablation).write.mode("append").csv(f"{a.folder}/summary", header=True)
-    _failures(failures, a.folder)
+    _failures(got.failures, a.folder)
 
 
 def stage_labels(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -99,9 +122,10 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument(f"--{n.replace('_', '-')}", **kind)
         return sub
 
-    command(evaluate, "schema", "dataset", "vectors", "seeds", style=None, style_seeds=None, seed_subset=None, not_realistic=None, coverage_k=10, out_json=None, out_csv=None)
-    command(stage, "schema", "folder", runs=1, n=100, chunk=25, max_s=0, inc_s=1, exclude_s="", max_combinations=5, ablation=False).add_argument("--models", nargs="+", required=True, help="provider=model")
+    command(evaluate, "schema", "vectors", "seeds", dataset=None, input_dir=None, style=None, style_seeds=None, seed_subset=None, not_realistic=None, coverage_k=10, out_json=None, out_csv=None)
+    command(stage, "schema", "folder", runs=1, n=100, chunk=25, max_s=0, inc_s=1, exclude_s="", max_combinations=5, ablation=False, rerun=None, domain=None).add_argument("--models", nargs="+", required=True, help="provider=model")
     command(collect, "folder", "results", ablation=False)
+    command(collect_local, "folder", generator=None, rounds=5, chunk=25, ablation=False)
     command(stage_labels, "texts", "vocabulary", "folder", all=False)
     command(collect_labels, "folder", "results", "texts", "vocabulary")
     command(scan_labels, "texts")

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 
 
-def expected_combinations(values: dict[str, DataFrame]) -> DataFrame:
-    """The product of the distinct values of each dimension; schema-sized, so a product of small tables."""
-    parts = [v.select(F.col(v.columns[0]).alias(name)).distinct() for name, v in values.items()]
-    return reduce(DataFrame.crossJoin, parts)
+def expected_combinations(values: dict[str, DataFrame], distinct: bool = True) -> DataFrame:
+    """The product of the values of each dimension; schema-sized, so a product of small tables. distinct: a value listed twice counts once."""
+    parts = [v.select(F.col(v.columns[0]).alias(name)) for name, v in values.items()]
+    return reduce(DataFrame.crossJoin, [p.distinct() for p in parts] if distinct else parts)
 
 
 def row_combinations(rows: DataFrame, columns: list[str], id_col: str = "row_id", elide: bool = False) -> DataFrame:
@@ -47,11 +47,13 @@ def missing(expected: DataFrame, counts: DataFrame, columns: list[str], min_coun
 
 
 def curve(counted: DataFrame, max_k: int | None = None) -> DataFrame:
-    """k, score: the mean penalty of the groups of counted(n), for k from 1 to max_k (default: the largest n). Groups are first counted by n."""
+    """k, score: the mean penalty 1 - min(n, k) / k of the groups of counted(n), for k from 1 to max_k (default: the largest n).
+
+    Groups are first counted by n, and whole numbers are summed, so that a score is one division."""
     sizes = counted.groupBy("n").agg(F.count("*").alias("groups"))
     top = sizes.agg(F.max("n").alias("top")).select(F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.lit(max_k) if max_k else F.col("top")).cast("long"))).alias("k"))
-    both = sizes.crossJoin(F.broadcast(top))
-    return both.groupBy("k").agg((F.sum(L.penalty(F.col("n"), F.col("k")) * F.col("groups")) / F.sum("groups")).alias("score"))
+    lacking = F.sum(F.col("groups") * (F.col("k") - F.least("n", "k")))
+    return sizes.crossJoin(F.broadcast(top)).groupBy("k").agg((lacking / (F.col("k") * F.sum("groups"))).alias("score"))
 
 
 def excluded(combos: DataFrame, rules: DataFrame, columns: list[str], keep: bool = False) -> DataFrame:

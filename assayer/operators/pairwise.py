@@ -1,7 +1,8 @@
 """All-pairs kernels over vectors, as products of blocks.
 
 Vectors of a group are dealt to blocks of bounded size; each task multiplies two blocks and emits sums per row, or the pairs
-that pass. Neither side is broadcast, and no pair of vectors becomes a row unless it is asked for.
+that pass. Blocks meet by a shuffle on (group, block, block), so that one group of all vectors is spread over all tasks.
+Neither side is broadcast, and no pair of vectors becomes a row unless it is asked for.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import normalized
+from .spherical import beside, mean_vectors, unit
 
-BLOCK = 512
+BLOCK = 1024
 
 
 def blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """vectors(grp, id, emb) -> (grp, block, items), emb normalised."""
+    """vectors(grp, id, emb) -> (grp, blocks, block, items), emb normalised; blocks: their number in the group."""
     sizes = vectors.groupBy("grp").agg(F.ceil(F.count("*") / size).alias("blocks"))
-    dealt = vectors.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.struct(F.col("id").cast("long").alias("id"), normalized(F.col("emb")).alias("emb")).alias("item"))
-    return dealt.groupBy("grp", "block").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    dealt = beside(vectors, sizes).select("grp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.struct(F.col("id").cast("long").alias("id"), normalized(F.col("emb")).alias("emb")).alias("item"))
+    return dealt.groupBy("grp", "blocks", "block").agg(F.collect_list("item").alias("items"))
 
 
 def _matrix(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,13 +34,26 @@ def _matrix(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def over_pairs(x: DataFrame, y: DataFrame, ordered: bool, fn: Callable, schema: str) -> DataFrame:
-    """fn(grp, ids_x, X, ids_y, Y) -> columns, for each pair of blocks of one group; not ordered: each pair of blocks once."""
-    left = x.select("grp", F.col("block").alias("bx"), F.col("items").alias("x"))
-    right = y.select("grp", F.col("block").alias("by"), F.col("items").alias("y"))
-    pairs = left.join(right, (left["grp"] == right["grp"]) & (F.lit(True) if ordered else F.col("bx") <= F.col("by"))).select(left["grp"], "x", "y", (F.col("bx") == F.col("by")).alias("same"))
+    """fn(grp, ids_x, X, ids_y, Y, same) -> columns, for each pair of blocks of one group; not ordered: each pair of blocks once.
+
+    A block goes to each pair that it is part of: its copies are as many as the blocks of the other side."""
+    kind = x.schema["grp"].dataType.simpleString()
     names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
     arrow = [{"long": pa.int64(), "double": pa.float64()}[k] for k in kinds]
-    grp_kind = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[x.schema["grp"].dataType.simpleString()]
+    grp_kind = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
+    if x is y:
+        other = lambda lo, hi: F.explode(F.sequence(lo, hi))
+        last = F.col("blocks") - 1
+        left = x.withColumn("by", other(F.lit(0).cast("long") if ordered else F.col("block"), last))
+        right = y.withColumn("bx", other(F.lit(0).cast("long"), last if ordered else F.col("block")))
+    else:
+        of = lambda df: df.groupBy("grp").agg(F.max("blocks").alias("others"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))
+        left = x.join(of(y), "grp").withColumn("by", every)
+        right = y.join(of(x), "grp").withColumn("bx", every)
+    left = left.select("grp", F.col("block").alias("bx"), "by", F.col("items").alias("x"))
+    right = right.select("grp", "bx", F.col("block").alias("by"), F.col("items").alias("y"))
+    pairs = left.join(right, ["grp", "bx", "by"]).select("grp", "x", "y", (F.col("bx") == F.col("by")).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -47,7 +62,7 @@ def over_pairs(x: DataFrame, y: DataFrame, ordered: bool, fn: Callable, schema:
                 out = fn(grp, *_matrix(b.column(1), i), *_matrix(b.column(2), i), b.column(3)[i].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([grp] * len(out[0]), grp_kind), *map(pa.array, out, arrow)], names=["grp", *names])
 
-    return pairs.mapInArrow(run, f"grp {x.schema['grp'].dataType.simpleString()}, {schema}")
+    return pairs.mapInArrow(run, f"grp {kind}, {schema}")
 
 
 def kernel(name: str, x: np.ndarray, y: np.ndarray, tau: float, gamma: float | None = None) -> np.ndarray:
@@ -63,15 +78,22 @@ def kernel(name: str, x: np.ndarray, y: np.ndarray, tau: float, gamma: float | N
     raise ValueError(f"no kernel {name}")
 
 
+def own_kernel(name: str, x: np.ndarray, tau: float, gamma: float | None = None) -> np.ndarray:
+    """kernel of each row of x with itself."""
+    square = (x * x).sum(1)
+    if name == "cs":
+        return square / tau
+    return ((gamma or 1.0 / x.shape[1]) * square + 1.0) ** tau if name == "polynomial" else np.ones(len(x))
+
+
 def dc_scores(vectors: DataFrame, name: str = "cs", tau: float = 1.0, size: int = BLOCK) -> DataFrame:
-    """(grp, n, dc_score): the mean over rows of exp(K_ii) / sum_j exp(K_ij). K is at most 1 / tau or a bounded power, so no shift is needed."""
+    """(grp, n, dc_score): the mean over rows of exp(K_ii) / sum_j exp(K_ij). Each term is exp(K_ij - K_ii), which a small tau cannot overflow."""
 
     def sums(grp, ids, x, other, y, same):
-        k = np.exp(kernel(name, x, y, tau))
-        return ids, k.sum(1), np.diagonal(k).copy() if same else np.zeros(len(ids))
+        return ids, np.exp(kernel(name, x, y, tau) - own_kernel(name, x, tau)[:, None]).sum(1)
 
     b = blocks(vectors, size)
-    rows = over_pairs(b, b, True, sums, "id long, total double, own double").groupBy("grp", "id").agg((F.sum("own") / F.sum("total")).alias("p"))
+    rows = over_pairs(b, b, True, sums, "id long, total double").groupBy("grp", "id").agg((1 / F.sum("total")).alias("p"))
     return rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg("p").alias("dc_score"))
 
 
@@ -89,17 +111,26 @@ def similar_pairs(vectors: DataFrame, threshold: float, size: int = BLOCK) -> Da
     return over_pairs(b, b, False, pick, "id_a long, id_b long, sim double")
 
 
+def mean_similarity(vectors: DataFrame) -> DataFrame:
+    """(grp, pairs, mean_sim) over unordered pairs, from the sum of the unit vectors: no pair is made. mean_sim is null without pairs."""
+    m = mean_vectors(unit(vectors))
+    n = F.col("n").cast("double")
+    of_mean = F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x)
+    mean = (n * of_mean - F.col("square")) / (n - 1)
+    return m.select("grp", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), F.when(n > 1, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean))).alias("mean_sim"))
+
+
 def pair_statistics(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(grp, pairs, mean_sim, min_sim) over unordered pairs."""
+    """(grp, pairs, mean_sim, min_sim) over unordered pairs; only the least one needs the pairs."""
 
-    def stats(grp, ids, x, other, y, same):
+    def least(grp, ids, x, other, y, same):
         s = np.clip(x @ y.T, -1, 1)
         s = s[np.triu_indices(len(ids), 1)] if same else s.ravel()
-        return ([len(s)], [float(s.sum())], [float(s.min())]) if len(s) else ([], [], [])
+        return ([float(s.min())],) if len(s) else ([],)
 
     b = blocks(vectors, size)
-    parts = over_pairs(b, b, False, stats, "pairs long, total double, low double")
-    return parts.groupBy("grp").agg(F.sum("pairs").alias("pairs"), (F.sum("total") / F.sum("pairs")).alias("mean_sim"), F.min("low").alias("min_sim"))
+    low = over_pairs(b, b, False, least, "low double").groupBy("grp").agg(F.min("low").alias("min_sim"))
+    return mean_similarity(vectors).join(low, "grp")
 
 
 def novelty(vectors: DataFrame, seeds: DataFrame, size: int = BLOCK) -> DataFrame:

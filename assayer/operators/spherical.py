@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,51 +22,103 @@ def unit(vectors: DataFrame) -> DataFrame:
 
 
 def mean_vectors(vectors: DataFrame) -> DataFrame:
-    """(grp, n, mean, std_max) of unit vectors(grp, id, emb); summed per dimension, so partial sums meet before the shuffle."""
-    dims = vectors.select("grp", F.posexplode("emb").alias("pos", "x")).groupBy("grp", "pos").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    ordered = dims.groupBy("grp").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("d"), F.max("s").alias("std_max"))
-    return ordered.select("grp", "n", F.transform("d", lambda x: x["m"]).alias("mean"), "std_max")
+    """(grp, n, mean, std_max, square) of unit vectors(grp, id, emb); square: the mean of their squared lengths. Summed per dimension,
+    so partial sums meet before the shuffle."""
+    dims = vectors.select("grp", F.posexplode("emb").alias("pos", "x")).groupBy("grp", "pos").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.avg(F.col("x") * F.col("x")).alias("q"))
+    ordered = dims.groupBy("grp").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("d"), F.max("s").alias("std_max"), F.sum("q").alias("square"))
+    return ordered.select("grp", "n", F.transform("d", lambda x: x["m"]).alias("mean"), "std_max", "square")
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
     return mean_vectors(unit(vectors)).select("grp", "n", normalized(F.col("mean")).alias("centroid"))
 
 
+def beside(rows: DataFrame, per_group: DataFrame, most: int = 1_000, how: str = "inner") -> DataFrame:
+    """rows with the one row of per_group that their grp has. A few groups, counted first, are broadcast, so that a group of all rows
+    is not gathered; more are joined by shuffles."""
+    few = rows.select("grp").distinct().limit(most + 1).count() <= most
+    return rows.join(F.broadcast(per_group) if few else per_group, "grp", how)
+
+
 def centroid_distances(vectors: DataFrame) -> DataFrame:
     """(grp, id, distance) of each vector to its group's centroid."""
-    return unit(vectors).join(centroids(vectors), "grp").select("grp", "id", cosine_distance(F.col("emb"), F.col("centroid")).alias("distance"))
+    return beside(unit(vectors), centroids(vectors)).select("grp", "id", cosine_distance(F.col("emb"), F.col("centroid")).alias("distance"))
 
 
 def closed_form(vectors: DataFrame, least: int = 2) -> DataFrame:
-    """(grp, n, mu, r, kappa): kappa = r (d - r^2) / (1 - r^2), r clipped to [1e-6, 1 - 1e-6], kappa 1e-3 at least."""
+    """(grp, n, mu, r, kappa): kappa = r (d - r^2) / (1 - r^2), r clipped to [1e-6, 1 - 1e-6], kappa 1e-3 at least; mu of a mean of no
+    length is the first axis."""
     m = mean_vectors(unit(vectors)).where((F.col("n") >= least) & (F.col("std_max") >= 1e-6))
     r = F.least(F.greatest(F.sqrt(dot(F.col("mean"), F.col("mean"))), F.lit(1e-6)), F.lit(1 - 1e-6))
-    return m.withColumn("r", r).select("grp", "n", normalized(F.col("mean")).alias("mu"), "r", F.greatest(F.col("r") * (F.size("mean") - F.col("r") ** 2) / (1 - F.col("r") ** 2), F.lit(1e-3)).alias("kappa"))
+    axis = F.transform("mean", lambda x, i: F.when(i == 0, 1.0).otherwise(0.0))
+    mu = F.when(dot(F.col("mean"), F.col("mean")) > 1e-24, normalized(F.col("mean"))).otherwise(axis)
+    return m.withColumn("r", r).select("grp", "n", mu.alias("mu"), "r", F.greatest(F.col("r") * (F.size("mean") - F.col("r") ** 2) / (1 - F.col("r") ** 2), F.lit(1e-3)).alias("kappa"))
+
+
+@lru_cache(1)
+def _debye(terms: int = 8) -> list[list[tuple[int, float]]]:
+    """The polynomials u_k(t) of the uniform expansion of I_v, as (power, factor) pairs, by their recurrence:
+    u_{k+1} = t^2 (1 - t^2) u_k' / 2 + the integral of (1 - 5 s^2) u_k / 8 from 0 to t."""
+    u, out = {0: Fraction(1)}, []
+    for _ in range(terms):
+        new: dict[int, Fraction] = {}
+        for n, c in u.items():
+            for power, more in ((n + 1, c * n / 2 + c / (8 * (n + 1))), (n + 3, -c * n / 2 - 5 * c / (8 * (n + 3)))):
+                new[power] = new.get(power, Fraction(0)) + more
+        u = new
+        out.append([(n, float(c)) for n, c in u.items() if c])
+    return out
+
+
+def _correction(v: float, x: float) -> float:
+    """log of 1 + u_1(t) / v + u_2(t) / v^2 + ..., t = v / sqrt(v^2 + x^2); all powers of v cancel, so v may be 0."""
+    q = 1 / math.hypot(v, x)
+    return math.log1p(sum(c * q**k * (v * q) ** (n - k) for k, u in enumerate(_debye(), 1) for n, c in u))
+
+
+#: From this value of sqrt(v^2 + x^2) on the uniform expansion has all digits of a double; below it a series of few terms has.
+_FAR = 60.0
+
+
+def log_bessel(v: float, x: float) -> float:
+    """log I_v(x) for v >= 0, x > 0."""
+    r = math.hypot(v, x)
+    if r >= _FAR:
+        return r - v * math.asinh(v / x) - math.log(2 * math.pi * r) / 2 + _correction(v, x)
+    # sum of (x / 2)^(2 k + v) / (k! gamma(k + v + 1)) over k; its terms rise up to k near x / 2
+    k = np.arange(int(x) + 60)
+    log_terms = (2 * k + v) * math.log(x / 2) - np.array([math.lgamma(i + 1) + math.lgamma(i + v + 1) for i in k.tolist()])
+    top = float(log_terms.max())
+    return top + math.log(np.exp(log_terms - top).sum())
+
+
+def log_bessel_ratio(kappa: float, d: int) -> float:
+    """log of I_{d/2}(kappa) / I_{d/2-1}(kappa), the mean length of a sum's share, without the loss that a difference of large logs has."""
+    v = d / 2 - 1
+    low, high = math.hypot(v, kappa), math.hypot(v + 1, kappa)
+    if low < _FAR:
+        return log_bessel(v + 1, kappa) - log_bessel(v, kappa)
+    more = (2 * v + 1) / (low + high)
+    return more - (v + 1) * math.asinh((v + 1) / kappa) + v * math.asinh(v / kappa) - math.log1p(more / low) / 2 + _correction(v + 1, kappa) - _correction(v, kappa)
 
 
 def bessel_ratio(kappa: float, d: int) -> float:
-    """I_{d/2}(kappa) / I_{d/2-1}(kappa) by its continued fraction, from below."""
-    value = 0.0
-    for i in range(int(2 * kappa + d) + 200, -1, -1):
-        value = 1.0 / ((d + 2 * i) / kappa + value)
-    return value
-
-
-def log_bessel(v: float, kappa: float) -> float:
-    k = np.arange(int(2 * kappa) + 200)
-    terms = (2 * k + v) * math.log(kappa / 2) - np.array([math.lgamma(i + 1) + math.lgamma(i + v + 1) for i in k])
-    return float(terms.max() + np.log(np.exp(terms - terms.max()).sum()))
+    return math.exp(log_bessel_ratio(kappa, d))
 
 
 def exact_kappa(r: float, d: int) -> float:
-    """Bisection for the ratio r."""
-    low, high = 1e-8, max(10.0, 4 * d / (1 - r))
-    for _ in range(200):
+    """The kappa whose ratio is r, by bisection of its logarithm: the ratio rises with kappa. 1e-8 at least."""
+    want = math.log(r)
+    guess = max(1e-8, r * (d - r * r) / (1 - r * r))
+    low, high = math.log(guess) - 1, math.log(guess) + 1
+    while log_bessel_ratio(math.exp(low), d) > want and low > math.log(1e-8):
+        low -= 2
+    while log_bessel_ratio(math.exp(high), d) < want:
+        high += 2
+    for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if bessel_ratio(mid, d) < r else (low, mid)
-        if high - low < 1e-12 * high:
-            break
-    return (low + high) / 2
+        low, high = (mid, high) if log_bessel_ratio(math.exp(mid), d) < want else (low, mid)
+    return max(1e-8, math.exp((low + high) / 2))
 
 
 def fit(vectors: DataFrame, least: int = 2, exact: bool = True) -> DataFrame:
@@ -84,13 +138,30 @@ def fit(vectors: DataFrame, least: int = 2, exact: bool = True) -> DataFrame:
 
 def log_likelihoods(vectors: DataFrame, fits: DataFrame) -> DataFrame:
     """(grp, id, ll); fits are one row per category."""
-    return unit(vectors).join(fits, "grp").select("grp", "id", (F.col("log_c") + F.col("kappa") * dot(F.col("emb"), F.col("mu"))).alias("ll"))
+    return beside(unit(vectors), fits).select("grp", "id", (F.col("log_c") + F.col("kappa") * dot(F.col("emb"), F.col("mu"))).alias("ll"))
+
+
+def percentiles(rows: DataFrame, value: str, p: float, accuracy: int = 10_000) -> DataFrame:
+    """(grp, cut): the exact interpolated percentile of value in each group.
+
+    Of a group of more than twice `accuracy` rows a bounded sketch, off by a share of 1 / accuracy at most, gives two values around the
+    percentile; the rows below the first are only counted, those between are sorted. Null values do not count."""
+    x = F.col(value)
+    some = rows.where(x.isNotNull()).select("grp", x.cast("double").alias("x"))
+    around, whole = 3 / accuracy, 2 * accuracy
+    near = F.percentile_approx("x", [max(0.0, p - around), min(1.0, p + around)], accuracy)
+    sketch = some.groupBy("grp").agg(F.count("*").alias("n"), near.alias("near"), F.min("x").alias("least"), F.max("x").alias("most"))
+    bounds = sketch.select("grp", "n", F.when(F.col("n") <= whole, F.col("least")).otherwise(F.col("near")[0]).alias("from"), F.when(F.col("n") <= whole, F.col("most")).otherwise(F.col("near")[1]).alias("to"))
+    kept = beside(some, bounds).where("x <= `to`").groupBy("grp", "n", F.when(F.col("x") < F.col("from"), None).otherwise(F.col("x")).alias("x")).agg(F.count("*").alias("times"))
+    upto = kept.withColumn("upto", F.sum("times").over(Window.partitionBy("grp").orderBy(F.col("x").asc_nulls_first())))
+    rank = (F.col("n") - 1) * F.lit(p)
+    at = upto.groupBy("grp", "n").agg(F.min(F.when(F.col("upto") > F.floor(rank), F.col("x"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil(rank), F.col("x"))).alias("b"))
+    return at.select("grp", (F.col("a") + (F.col("b") - F.col("a")) * (rank - F.floor(rank))).alias("cut"))
 
 
 def outliers(lls: DataFrame, percent: float = 0.1) -> DataFrame:
     """Rows below the percentile (interpolated) of their group, strictly."""
-    cut = lls.groupBy("grp").agg(F.percentile("ll", percent).alias("cut"))
-    return lls.join(cut, "grp").where("ll < cut").select("grp", "id", "ll")
+    return beside(lls, percentiles(lls, "ll", percent)).where("ll < cut").select("grp", "id", "ll")
 
 
 def vendi(vectors: DataFrame, normalize: bool = False) -> DataFrame:

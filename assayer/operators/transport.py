@@ -1,6 +1,7 @@
 """Entropic optimal transport between vector sets, and its calibration against near and far replicates.
 
-A replicate is a row: the two matrices of at most `most` vectors each are broadcast (their size is checked first), the solves run in parallel.
+A replicate is a row: the two matrices of at most `MOST` vectors each are broadcast (their size is checked first), the solves run in
+parallel. A solve holds one matrix of costs, 8 bytes a pair; all else is made a band of rows at a time.
 """
 
 from __future__ import annotations
@@ -12,6 +13,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MOST, BAND = 6_000, 256
+
+
+def _softmin(c: np.ndarray, potential: np.ndarray, reg: float) -> np.ndarray:
+    """Per row of c the log of the sum of exp((potential - c) / reg)."""
+    out = np.empty(len(c))
+    for at in range(0, len(c), BAND):
+        m = (potential[None] - c[at : at + BAND]) / reg
+        top = m.max(1, keepdims=True)
+        np.exp(np.subtract(m, top, out=m), out=m)
+        out[at : at + BAND] = top[:, 0] + np.log(m.sum(1))
+    return out
+
+
+def _plan_rows(c: np.ndarray, f: np.ndarray, g: np.ndarray, reg: float) -> Iterator[tuple[slice, np.ndarray]]:
+    for at in range(0, len(c), BAND):
+        rows = slice(at, at + BAND)
+        yield rows, np.exp((f[rows, None] + g[None] - c[rows]) / reg)
+
 
 def plan_cost(x: np.ndarray, y: np.ndarray, reg: float = 0.01, rounds: int = 1000, tol: float = 1e-9) -> float:
     """<P, C> of the entropic plan with uniform marginals, in the log domain. Of a set with itself the plan is symmetric: one
@@ -19,13 +39,8 @@ def plan_cost(x: np.ndarray, y: np.ndarray, reg: float = 0.01, rounds: int = 100
     c = 1 - np.clip(x @ y.T, -1, 1)
     la, lb = -np.log(len(x)), -np.log(len(y))
     f, g = np.zeros(len(x)), np.zeros(len(y))
-
-    def soft(m: np.ndarray, axis: int) -> np.ndarray:
-        top = m.max(axis, keepdims=True)
-        return (top + np.log(np.exp(m - top).sum(axis, keepdims=True))).squeeze(axis)
-
     for i in range(rounds):
-        new = reg * (la - soft((g[None] - c) / reg, 1))
+        new = reg * (la - _softmin(c, g, reg))
         if x is y:
             done, f = np.abs(np.exp((f - new) / reg) - 1).max() < tol * len(x), (f + new) / 2
             g = f
@@ -33,12 +48,10 @@ def plan_cost(x: np.ndarray, y: np.ndarray, reg: float = 0.01, rounds: int = 100
                 break
             continue
         f = new
-        g = reg * (lb - soft((f[:, None] - c) / reg, 0))
-        if i % 10 == 9:
-            p = np.exp((f[:, None] + g[None] - c) / reg)
-            if np.abs(p.sum(1) - 1 / len(x)).max() < tol:
-                break
-    return float((np.exp((f[:, None] + g[None] - c) / reg) * c).sum())
+        g = reg * (lb - _softmin(c.T, f, reg))
+        if i % 10 == 9 and max(np.abs(p.sum(1) - 1 / len(x)).max() for _, p in _plan_rows(c, f, g, reg)) < tol:
+            break
+    return float(sum((p * c[rows]).sum() for rows, p in _plan_rows(c, f, g, reg)))
 
 
 def sinkhorn(x: np.ndarray, y: np.ndarray, reg: float = 0.01) -> float:
@@ -50,7 +63,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
 
 
-def matrix(vectors: DataFrame, most: int = 20_000) -> np.ndarray:
+def matrix(vectors: DataFrame, most: int = MOST) -> np.ndarray:
     """vectors(id, emb) in the order of id; ValueError beyond `most` rows, as a solve needs the whole matrix."""
     if vectors.count() > most:
         raise ValueError(f"more than {most} vectors: sample them first")
@@ -58,12 +71,31 @@ def matrix(vectors: DataFrame, most: int = 20_000) -> np.ndarray:
     return _unit(np.stack(rows.emb.to_list())) if len(rows) else np.zeros((0, 1))
 
 
+def raw(generated: DataFrame, seeds: DataFrame, reg: float = 0.01) -> DataFrame:
+    """One row: the debiased cost alone, without replicates. Both sets have at most MOST vectors, else ValueError."""
+    return _solved(generated, seeds, [("raw", 0)], reg, 0).select(F.col("value").alias("raw"))
+
+
 def calibrated(generated: DataFrame, seeds: DataFrame, boots: int = 25, reg: float = 0.01, seed: int = 42) -> DataFrame:
     """One row: raw, near, far, score, low, high. near: between resamples of the seeds; far: from seeds to random directions."""
+    kinds = [("raw", 0), *((kind, i) for kind in ("near", "far", "ci") for i in range(boots))]
+    values = _solved(generated, seeds, kinds, reg, seed)
+    one = values.agg(
+        F.max(F.when(F.col("kind") == "raw", F.col("value"))).alias("raw"),
+        F.median(F.when(F.col("kind") == "near", F.col("value"))).alias("near"),
+        F.median(F.when(F.col("kind") == "far", F.col("value"))).alias("far"),
+        F.percentile(F.when((F.col("kind") == "ci") & ~F.isnan("value"), F.col("value")), 0.05).alias("least"),
+        F.percentile(F.when((F.col("kind") == "ci") & ~F.isnan("value"), F.col("value")), 0.95).alias("most"),
+    )
+    of = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (F.col(c) - F.col("near")) / F.greatest(F.col("far") - F.col("near"), F.lit(1e-8))))
+    return one.select("raw", "near", "far", of("raw").alias("score"), F.coalesce(of("most"), of("raw")).alias("low"), F.coalesce(of("least"), of("raw")).alias("high"))
+
+
+def _solved(generated: DataFrame, seeds: DataFrame, specs: list[tuple[str, int]], reg: float, seed: int) -> DataFrame:
+    """(kind, value): a solve per spec; near: two resamples of the seeds, far: seeds and random directions, ci: resamples of both sets."""
     spark = generated.sparkSession
     s, g = matrix(seeds), matrix(generated)
     sent = spark.sparkContext.broadcast((s, g))
-    specs = [("raw", 0), *(("near", i) for i in range(boots)), *(("far", i) for i in range(boots)), *(("ci", i) for i in range(boots))]
     kinds = {"raw": 0, "near": 1, "far": 2, "ci": 3}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,13 +116,4 @@ def calibrated(generated: DataFrame, seeds: DataFrame, boots: int = 25, reg: flo
             yield pd.DataFrame({"kind": p.kind, "value": out})
 
     frame = spark.createDataFrame(specs, "kind string, i int").repartition(min(len(specs), spark.sparkContext.defaultParallelism))
-    values = frame.mapInPandas(run, "kind string, value double")
-    one = values.agg(
-        F.max(F.when(F.col("kind") == "raw", F.col("value"))).alias("raw"),
-        F.median(F.when(F.col("kind") == "near", F.col("value"))).alias("near"),
-        F.median(F.when(F.col("kind") == "far", F.col("value"))).alias("far"),
-        F.percentile(F.when((F.col("kind") == "ci") & ~F.isnan("value"), F.col("value")), 0.05).alias("least"),
-        F.percentile(F.when((F.col("kind") == "ci") & ~F.isnan("value"), F.col("value")), 0.95).alias("most"),
-    )
-    of = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (F.col(c) - F.col("near")) / F.greatest(F.col("far") - F.col("near"), F.lit(1e-8))))
-    return one.select("raw", "near", "far", of("raw").alias("score"), F.coalesce(of("most"), of("raw")).alias("low"), F.coalesce(of("least"), of("raw")).alias("high"))
+    return frame.mapInPandas(run, "kind string, value double")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import FIXED, Schema, without
+from ..sources.tables import numbered
 
 
 def chunk_plan(jobs: DataFrame, n_col: str = "n", size: int = 25) -> DataFrame:
@@ -25,11 +26,18 @@ def label_budget(text: Column) -> Column:
 
 
 def custom_id(kind: Column, stem: Column, chunk: Column, most: int = 64) -> Column:
-    """kind__stem__NNNN, the stem cut and marked with eight digits of its SHA-1 where the whole would be longer than most."""
-    whole = F.concat_ws("__", kind, stem, F.lpad(chunk.cast("string"), 4, "0"))
-    room = most - F.length(kind) - 4 - 4 - 9
-    short = F.concat_ws("__", kind, F.concat(F.substr(stem, F.lit(1), room), F.lit("-"), F.substring(F.sha1(stem), 1, 8)), F.lpad(chunk.cast("string"), 4, "0"))
-    return F.when(F.length(whole) <= most, whole).otherwise(short)
+    """kind__stem__chunkNNN; where that is longer than most, the stem is cut and marked with eight digits of its SHA-1."""
+    suffix = F.format_string("__chunk%03d", chunk.cast("int"))
+    room = F.lit(most - 2) - F.length(kind) - F.length(suffix)
+    mark = F.substring(F.sha1(stem), 1, 8)
+    cut = F.when(room > 9, F.concat(F.substr(stem, F.lit(1), room - 9), F.lit("_"), mark)).otherwise(mark)
+    return F.concat(kind, F.lit("__"), F.when((room > 0) & (F.length(stem) <= room), stem).otherwise(cut), suffix)
+
+
+def label_id(path: Column, most: int = 64) -> Column:
+    """label__stem__digest for the text file at path: other characters than letters, digits, _ and - as one _, ten digits of the path's SHA-1."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1), "[^a-zA-Z0-9_-]+", "_")
+    return F.concat(F.lit("label__"), F.substring(stem, 1, most - 19), F.lit("__"), F.substring(F.sha1(path), 1, 10))
 
 
 def model_tag(provider: Column, model: Column) -> Column:
@@ -78,22 +86,22 @@ def positional_zip(texts: DataFrame, labels: DataFrame, key: str, order: str = "
 def variants(spark: SparkSession, schema: Schema, seedless: bool = True) -> DataFrame:
     """(variant_id, missing_fixed, missing_constituents, missing_seeds, distinct_key): what each ablation leaves out; 0 is the whole schema.
 
-    The first two fixed fields go together as soon as more than one part goes; ablations of nothing or of everything are left out."""
-    names = list(FIXED[:5])
-    columns = schema.columns
-    rows, flags = [(0, "", "", False, "")], len(names) + len(columns) + bool(seedless)
-    for mask in range(1, 1 << flags):
-        gone = [i for i in range(flags) if mask >> i & 1]
-        fixed = {names[i] for i in gone if i < len(names)}
-        parts = {columns[i - len(names)] for i in gone if len(names) <= i < len(names) + len(columns)}
-        seeds = seedless and flags - 1 in gone
-        if len(gone) > 1 and fixed & set(names[:2]):
-            fixed |= set(names[:2])
-        if len(fixed) + len(parts) + seeds == flags:
-            continue
-        key = "|".join([",".join(sorted(fixed)), ",".join(sorted(parts)), str(int(seeds))])
-        rows.append((len(rows), ",".join(sorted(fixed)), ",".join(sorted(parts)), bool(seeds), key))
-    return spark.createDataFrame(rows, "variant_id int, missing_fixed string, missing_constituents string, missing_seeds boolean, distinct_key string")
+    The first two fixed fields go together as soon as more than one part goes; ablations of nothing or of everything are left out.
+    A mask's bits say which parts go, so 2 ** parts rows are made by a range, in the order of the masks."""
+    names, columns = list(FIXED[:5]), schema.columns
+    flags = len(names) + len(columns) + bool(seedless)
+    bit = lambda i: F.col("id").bitwiseAND(1 << i) != 0
+    several = F.bit_count("id") > 1
+    tied = several & (bit(0) | bit(1))
+    gone = [F.when(bit(i) | (tied if i < 2 else F.lit(False)), F.lit(n)) for i, n in enumerate(names)]
+    gone_columns = [F.when(bit(len(names) + i), F.lit(c)) for i, c in enumerate(columns)]
+    listed = lambda cs: F.array_sort(F.array_compact(F.array(*cs))) if cs else F.array().cast("array<string>")
+    seeds = bit(flags - 1) if seedless else F.lit(False)
+    rows = spark.range(1 << flags).select("id", listed(gone).alias("f"), listed(gone_columns).alias("c"), seeds.alias("missing_seeds"))
+    rows = rows.where(F.size("f") + F.size("c") + F.col("missing_seeds").cast("int") < flags)
+    text = rows.select(F.array_join("f", ",").alias("missing_fixed"), F.array_join("c", ",").alias("missing_constituents"), "missing_seeds")
+    key = F.when((F.col("missing_fixed") == "") & (F.col("missing_constituents") == "") & ~F.col("missing_seeds"), "").otherwise(F.concat_ws("|", "missing_fixed", "missing_constituents", F.col("missing_seeds").cast("int").cast("string")))
+    return numbered(text.withColumn("distinct_key", key)).select(F.col("row_id").cast("int").alias("variant_id"), "missing_fixed", "missing_constituents", "missing_seeds", "distinct_key")
 
 
 def variant_document(schema: Schema, row) -> dict:
@@ -103,3 +111,27 @@ def variant_document(schema: Schema, row) -> dict:
 
 def labelling_prompt(text: Column, options_json: str) -> Column:
     return F.concat(F.lit(f"Assign to the text between the marks one or more of the allowed values of each column.\nAllowed values: {options_json}\nAnswer as CSV with a header.\n<<<\n"), text, F.lit("\n>>>"))
+
+
+def rerun(planned: DataFrame, names: DataFrame) -> DataFrame:
+    """The planned(stem) files that names(name) lists by stem or file name; the extension does not matter."""
+    wanted = names.select(F.regexp_replace(F.regexp_extract(F.trim("name"), r"([^/]*)$", 1), r"\.(txt|csv)$", "").alias("stem")).distinct()
+    return planned.join(wanted, "stem", "left_semi")
+
+
+def without_output(planned: DataFrame, done: DataFrame) -> DataFrame:
+    """The planned(stem, kind) files that are not among done(stem, kind)."""
+    return planned.join(done.select("stem", "kind").distinct(), ["stem", "kind"], "left_anti")
+
+
+def seed_indices(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """texts(text) with seed_idx: the last index that seeds(idx, text) has for the text, null for none."""
+    last = seeds.groupBy("text").agg(F.max("idx").alias("seed_idx"))
+    return texts.join(last, "text", "left")
+
+
+def shortfall(planned: DataFrame, made: DataFrame, size: int = 25) -> DataFrame:
+    """What is still to be asked for: planned(stem, kind, n) less made(stem, kind, rows), in chunks whose numbers go on from those planned before."""
+    have = made.groupBy("stem", "kind").agg(F.sum("rows").alias("have"), F.max("chunk").alias("last"))
+    left = planned.join(have, ["stem", "kind"], "left").withColumn("missing", F.greatest(F.col("n") - F.coalesce("have", F.lit(0)), F.lit(0)))
+    return chunk_plan(left, "missing", size).withColumn("chunk", (F.col("chunk") + F.coalesce("last", F.lit(-1)) + 1).cast("int")).drop("have", "last", "missing")

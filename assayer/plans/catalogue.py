@@ -16,13 +16,15 @@ from ..functions import labels as L
 from ..functions.vectors import cosine_distance, normalized
 from ..operators import coverage as C
 from ..operators import pairwise as P
+from ..operators import realism as Z
 from ..operators import repair as R
 from ..operators import spherical as S
 from ..operators import transport as T
 from ..operators import workflow as W
-from ..report import Options, evaluate
+from ..report import row_metrics as row_metrics_of
 from ..schema import Schema
 from ..schema import seed_combinations as drawn_combinations
+from ..sources.tables import unlabelled
 from ..workers import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,12 +160,12 @@ def coverage_dynamic_min_count_compat(spark, d):
     return C.completeness(expected(spark, d, COVER), cnt, COVER, F.col("k"), intersect=False).withColumn("ratio", r6(F.col("ratio")))
 
 
-@query(BASE + "SELECT k, round(avg(1.0 - least(n, k)::DOUBLE / k), 6) AS score FROM g, (SELECT unnest(range(1, greatest(1, (SELECT max(n) FROM g)) + 1)) AS k) GROUP BY k")
+@query(BASE + "SELECT k, round(sum(k - least(n, k))::DOUBLE / (k * count(*)), 6) AS score FROM g, (SELECT unnest(range(1, greatest(1, (SELECT max(n) FROM g)) + 1)) AS k) GROUP BY k")
 def coverage_vary_curve(spark, d):
     return C.curve(groups(spark, d)).withColumn("score", r6(F.col("score")))
 
 
-@query(BASE + "SELECT 10::BIGINT AS k, round(avg(1.0 - least(n, 10)::DOUBLE / 10), 6) AS score, round(1 - avg(1.0 - least(n, 10)::DOUBLE / 10), 6) AS coverage FROM g")
+@query(BASE + "SELECT 10::BIGINT AS k, round(sum(10 - least(n, 10))::DOUBLE / (10 * count(*)), 6) AS score, round(1 - sum(10 - least(n, 10))::DOUBLE / (10 * count(*)), 6) AS coverage FROM g")
 def coverage_vary_default(spark, d):
     return C.curve(groups(spark, d), 10).where("k = 10").select("k", r6(F.col("score")).alias("score"), r6(1 - F.col("score")).alias("coverage"))
 
@@ -195,7 +197,7 @@ def coverage_constrained(spark, d):
     return one.crossJoin(exp.agg(F.count("*").alias("whole"))).select("expected", "observed", r6(F.col("ratio")).alias("ratio"), (F.col("whole") - F.col("expected")).alias("excluded"))
 
 
-@query(BASE + f"SELECT k, round(avg(1.0 - least(n, k)::DOUBLE / k), 6) AS score FROM g, (SELECT unnest(range(1, 21)) AS k) WHERE NOT ({RULE_SQL}) GROUP BY k")
+@query(BASE + f"SELECT k, round(sum(k - least(n, k))::DOUBLE / (k * count(*)), 6) AS score FROM g, (SELECT unnest(range(1, 21)) AS k) WHERE NOT ({RULE_SQL}) GROUP BY k")
 def coverage_vary_constrained(spark, d):
     return C.curve(C.excluded(groups(spark, d), rules(spark), COVER), 20).withColumn("score", r6(F.col("score")))
 
@@ -203,7 +205,7 @@ def coverage_vary_constrained(spark, d):
 BASE4 = f"WITH {EX}, {EXP(FOUR)}, {CNT(FOUR)}, g AS (SELECT exp.*, coalesce(n, 0)::BIGINT AS n FROM exp LEFT JOIN cnt USING (lang, source, quality, toxic)) "
 
 
-@query(BASE4 + "SELECT k, round(avg(1.0 - least(n, k)::DOUBLE / k), 6) AS score FROM g, (SELECT unnest(range(1, 31)) AS k) GROUP BY k")
+@query(BASE4 + "SELECT k, round(sum(k - least(n, k))::DOUBLE / (k * count(*)), 6) AS score FROM g, (SELECT unnest(range(1, 31)) AS k) GROUP BY k")
 def coverage_vary_all(spark, d):
     return C.curve(groups(spark, d, FOUR), 30).withColumn("score", r6(F.col("score")))
 
@@ -298,7 +300,8 @@ def invalid_combo_audit(spark, d):
 
 @query(f"WITH {EX}, {INV} SELECT row_id FROM ex SEMI JOIN inv USING (lang, quality, toxic)")
 def invalid_row_flags(spark, d):
-    return examples(spark, d).join(F.broadcast(invalid(spark)), COVER, "left_semi").select("row_id")
+    ex = examples(spark, d)
+    return C.outlier_codes(ex, ex.where("false"), invalid(spark), COVER).where("outlier >= 2").select("row_id")
 
 
 CODES = f"WITH {EX}, {INV}, lo AS (SELECT lang, quantile_cont(n_chars, 0.1) AS cut FROM documents GROUP BY 1), far AS (SELECT doc_id AS row_id FROM documents d JOIN lo ON d.lang = lo.lang WHERE n_chars < cut), c AS (SELECT ex.row_id, ((far.row_id IS NOT NULL)::INT + 2 * (inv.lang IS NOT NULL)::INT)::INT AS outlier FROM ex LEFT JOIN far ON ex.row_id = far.row_id LEFT JOIN inv ON ex.lang = inv.lang AND ex.quality = inv.quality AND ex.toxic = inv.toxic) "
@@ -342,9 +345,9 @@ def pairwise_similarity_by_label(spark, d):
     return P.pair_statistics(vectors(spark, d, True)).select("grp", "pairs", r6(F.col("mean_sim")).alias("mean_sim"), r6(F.col("min_sim")).alias("min_sim"))
 
 
-@query(PAIRS(False) + "SELECT grp, count(*) AS pairs, round(avg(sim), 6) AS mean_sim, round(min(sim), 6) AS min_sim FROM p GROUP BY 1")
+@query(PAIRS(False) + "SELECT grp, count(*) AS pairs, round(avg(sim), 6) AS mean_sim FROM p GROUP BY 1")
 def pairwise_mean_similarity(spark, d):
-    return P.pair_statistics(vectors(spark, d)).select("grp", "pairs", r6(F.col("mean_sim")).alias("mean_sim"), r6(F.col("min_sim")).alias("min_sim"))
+    return P.mean_similarity(vectors(spark, d)).select("grp", "pairs", r6(F.col("mean_sim")).alias("mean_sim"))
 
 
 @query(PAIRS(False) + "SELECT id_a, id_b, round(sim, 6) AS sim FROM p WHERE sim > 0.45")
@@ -359,7 +362,7 @@ def redundant_pairs_by_label(spark, d):
 
 @query(PAIRS(True) + "SELECT round(1 - avg(sim), 6) AS diversity FROM p")
 def within_label_diversity(spark, d):
-    s = P.pair_statistics(vectors(spark, d, True))
+    s = P.mean_similarity(vectors(spark, d, True))
     return s.agg(r6(1 - F.sum(F.col("mean_sim") * F.col("pairs")) / F.sum("pairs")).alias("diversity"))
 
 
@@ -465,59 +468,97 @@ def mode_collapse_flags(spark, d):
     return P.dc_scores(vectors(spark, d, True)).select("grp", (F.col("dc_score") < F.least(F.lit(1.0), 2.0 / F.greatest("n", F.lit(1)))).alias("collapsed"))
 
 
-# ---- kernels without SQL --------------------------------------------------------------------------------------------------
+# ---- fits, realism ------------------------------------------------------------------------------------------------------
 
 
-@query()
+def r4(c: Column) -> Column:
+    return F.round(c, 4)
+
+
+def FITS(vec: str = VEC(True), least: int = 2) -> str:
+    """SQL of fits of 64 dimensions: kappa by bisection of the ratio of two Bessel series, each term scaled by exp(-kappa)."""
+    series = "list_sum(list_transform(range(0, 700), lambda k: exp((2 * k + {v}) * ln({x} / 2) - lgamma(k + 1) - lgamma(k + {v} + 1) - {x})))"
+    x = "((lo + hi) / 2)"
+    ratio = f"{series.format(v=32, x=x)} / {series.format(v=31, x=x)}"
+    return f"""WITH RECURSIVE {vec},
+x AS (SELECT grp, generate_subscripts(emb, 1) AS pos, unnest(emb) AS x FROM fitted),
+m AS (SELECT grp, pos, count(*) AS n, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY ALL),
+q AS (SELECT grp, max(n) AS n, sqrt(sum(m * m)) AS r, max(s) AS s, list(m ORDER BY pos) AS mean FROM m GROUP BY 1),
+c AS (SELECT grp, n, least(greatest(r, 1e-6), 1 - 1e-6) AS r, list_transform(mean, lambda y: y / greatest(r, 1e-10)) AS mu FROM q WHERE n >= {least} AND s >= 1e-6),
+b AS (SELECT grp, r, 0 AS i, 1e-3::DOUBLE AS lo, 1000.0::DOUBLE AS hi FROM c UNION ALL
+ SELECT grp, r, i + 1, CASE WHEN a < r THEN {x} ELSE lo END, CASE WHEN a < r THEN hi ELSE {x} END FROM (SELECT *, {ratio} AS a FROM b WHERE i < 60)),
+k AS (SELECT grp, (lo + hi) / 2 AS kappa FROM b WHERE i = 60),
+fits AS (SELECT c.grp, n, mu, kappa, 31 * ln(kappa) - 32 * ln(2 * pi()) - (ln({series.format(v=31, x="kappa")}) + kappa) AS log_c FROM c JOIN k USING (grp)),
+lls AS (SELECT v.grp, id, log_c + kappa * list_dot_product(emb, mu) AS ll FROM v JOIN fits USING (grp)) """
+
+
+def fitted(where: str = "true", vec: str | None = None) -> str:
+    """The vectors v and those of them that are fitted."""
+    return f"{vec or VEC(True)}, fitted AS (SELECT * FROM v WHERE {where})"
+
+
+@query(FITS(fitted()) + "SELECT grp, n, round(kappa, 4) AS kappa, round(log_c, 4) AS log_c FROM fits")
 def vmf_fit(spark, d):
-    return S.fit(vectors(spark, d, True)).select("grp", "n", r6(F.col("kappa")).alias("kappa"), r6(F.col("log_c")).alias("log_c"))
+    return S.fit(vectors(spark, d, True)).select("grp", "n", r4(F.col("kappa")).alias("kappa"), r4(F.col("log_c")).alias("log_c"))
 
 
-@query()
+@query(FITS(fitted()) + "SELECT grp, id, round(ll, 4) AS ll FROM lls")
 def vmf_log_likelihood(spark, d):
     v = vectors(spark, d, True)
-    return S.log_likelihoods(v, S.fit(v)).withColumn("ll", r6(F.col("ll")))
+    return S.log_likelihoods(v, S.fit(v)).withColumn("ll", r4(F.col("ll")))
 
 
-@query()
+@query(FITS(fitted()) + ", cut AS (SELECT grp, quantile_cont(ll, 0.1) AS cut FROM lls GROUP BY 1) SELECT grp, id, round(ll, 4) AS ll FROM lls JOIN cut USING (grp) WHERE ll < cut")
 def category_outliers(spark, d):
     v = vectors(spark, d, True)
-    return S.outliers(S.log_likelihoods(v, S.fit(v))).withColumn("ll", r6(F.col("ll")))
+    return S.outliers(S.log_likelihoods(v, S.fit(v))).withColumn("ll", r4(F.col("ll")))
 
 
-@query()
+@query("SELECT lang AS grp, round(quantile_cont(n_chars, 0.1), 4) AS cut FROM documents GROUP BY 1")
+def group_percentiles(spark, d):
+    docs = table(spark, d, "documents").select(F.col("lang").alias("grp"), "n_chars")
+    return S.percentiles(docs, "n_chars", 0.1, accuracy=50).withColumn("cut", r4(F.col("cut")))
+
+
+PARTS = """raw AS (SELECT unnest(['label=' || label::VARCHAR, 'third=' || (vec_id % 3)::VARCHAR]) AS grp, vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+v AS (SELECT grp, id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-10)) AS emb FROM raw)"""
+
+
+@query(FITS(fitted(vec=PARTS)) + "SELECT id, grp, round(ll, 4) AS ll, ll < -kappa AS flag FROM lls JOIN fits USING (grp)")
 def hierarchical_coherence(spark, d):
-    """Rows whose likelihood under a coarse part of their label is below minus that part's kappa."""
+    """The likelihood of each row under each coarse part of its label, flagged below minus that part's kappa."""
     e = table(spark, d, "embeddings")
     parts = F.array(F.concat(F.lit("label="), F.col("label").cast("string")), F.concat(F.lit("third="), (F.col("vec_id") % 3).cast("string")))
     v = e.select(F.explode(parts).alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("emb"))
     fits = S.fit(v)
-    flagged = S.log_likelihoods(v, fits).join(fits.select("grp", "kappa"), "grp").withColumn("flag", F.col("ll") < -F.col("kappa"))
-    return flagged.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("grp", r6(F.col("ll")))))).cast("string").alias("lls"), F.max("flag").alias("flagged"))
+    lls = S.log_likelihoods(v, fits)
+    return S.beside(lls, fits.select("grp", "kappa")).select("id", "grp", r4(F.col("ll")).alias("ll"), (F.col("ll") < -F.col("kappa")).alias("flag"))
 
 
-@query()
+@query(FITS(fitted(vec=VEC())) + ", cut AS (SELECT quantile_cont(ll, 0.1) AS cut FROM lls WHERE id < 20) SELECT id, ll >= cut AS in_scope FROM lls, cut WHERE id >= 20")
 def scope_flags(spark, d):
     """Whether a generated vector is as likely as the tenth percentile of the seeds under one fit of both."""
     v = vectors(spark, d)
-    lls = S.log_likelihoods(v, S.fit(v))
-    cut = lls.where("id < 20").agg(F.percentile("ll", 0.1).alias("cut"))
-    return lls.where("id >= 20").crossJoin(F.broadcast(cut)).select("id", (F.col("ll") >= F.col("cut")).alias("in_scope"))
+    return Z.scope(v.where("id >= 20"), v.where("id < 20"))[0].select("id", "in_scope")
 
 
-@query()
-def realism_category_stats(spark, d):
-    """Per category with generated vectors: fit of seeds and generated, seed validity, containment, novelty, extrapolation.
+_CATEGORIES = """, seeds AS (SELECT grp, count(*) AS n_seeds, avg(ll) AS validity, quantile_cont(ll, 0.1) AS cut FROM lls WHERE id < 20 GROUP BY 1),
+held AS (SELECT lls.grp, count(*) AS n_generated, max(n_seeds) AS n_seeds, max(validity) AS validity, avg(CASE WHEN cut IS NULL OR ll >= cut THEN 1.0 ELSE 0.0 END) AS inside FROM lls LEFT JOIN seeds USING (grp) WHERE id >= 20 GROUP BY 1),
+far AS (SELECT a.grp, a.id, min(1 - list_dot_product(a.emb, b.emb)) AS low, avg(1 - list_dot_product(a.emb, b.emb)) AS mean FROM v a JOIN v b ON a.grp = b.grp AND a.id >= 20 AND b.id < 20 GROUP BY ALL),
+new AS (SELECT grp, avg(low) AS low, avg(mean) AS mean FROM far GROUP BY 1)
+SELECT grp, n_generated, coalesce(n_seeds, 0)::BIGINT AS n_seeds, round(validity, 4) AS seed_validity, round(inside, 4) AS containment, round(low, 4) AS novelty_min, round(mean, 4) AS novelty_avg, round(low * inside, 4) AS extrapolation
+FROM held LEFT JOIN new USING (grp)"""
+
 
-    Without seeds all generated vectors are contained and the other measures are null; a category without a fit has no row."""
+@query(FITS(fitted()) + _CATEGORIES)
+def realism_category_stats(spark, d):
     v = vectors(spark, d, True)
-    lls = S.log_likelihoods(v, S.fit(v)).withColumn("is_seed", F.col("id") < 20)
-    seeds = lls.where("is_seed").groupBy("grp").agg(F.count("*").alias("n_seeds"), F.avg("ll").alias("seed_validity"), F.percentile("ll", 0.1).alias("cut"))
-    contained = F.coalesce(F.col("ll") >= F.col("cut"), F.col("cut").isNull()).cast("double")
-    held = lls.where("not is_seed").join(seeds, "grp", "left").groupBy("grp", "n_seeds", "seed_validity").agg(F.count("*").alias("n_generated"), F.avg(contained).alias("containment"))
-    new = P.novelty(v.where("id >= 20"), v.where("id < 20")).groupBy("grp").agg(F.avg("novelty_min").alias("novelty_min"), F.avg("novelty_avg").alias("novelty_avg"))
-    measures = (r6(F.col(c)).alias(c) for c in ("seed_validity", "containment", "novelty_min", "novelty_avg"))
-    return held.join(new, "grp", "left").select("grp", "n_generated", F.coalesce("n_seeds", F.lit(0)).alias("n_seeds"), *measures, r6(F.col("novelty_min") * F.col("containment")).alias("extrapolation"))
+    stats = Z.category_stats(v.where("id >= 20"), v.where("id < 20"))
+    measures = ("seed_validity", "containment", "novelty_min", "novelty_avg", "extrapolation")
+    return stats.select("grp", "n_generated", "n_seeds", *(r4(F.col(c)).alias(c) for c in measures))
+
+
+# An eigenvalue problem and an iteration to convergence: tests compare these with plain numpy.
 
 
 @query()
@@ -539,39 +580,82 @@ def sinkhorn_calibrated(spark, d):
 @query()
 def sinkhorn_raw(spark, d):
     v = vectors(spark, d)
-    return T.calibrated(v.where("id >= 20"), v.where("id < 20"), boots=1).select(F.round("raw", 4).alias("raw"))
+    return T.raw(v.where("id >= 20"), v.where("id < 20")).select(r4(F.col("raw")).alias("raw"))
 
 
-@query()
+_ROWS = """, cut AS (SELECT grp, quantile_cont(ll, 0.1) AS cut FROM lls WHERE id >= 20 GROUP BY 1),
+far AS (SELECT id FROM lls JOIN cut USING (grp) WHERE ll < cut AND id >= 20),
+middle AS (SELECT list(m ORDER BY pos) AS mean, sqrt(sum(m * m)) AS r FROM (SELECT pos, avg(x) AS m FROM x GROUP BY 1)),
+own AS (SELECT grp, list_transform(mean, lambda y: y / greatest(r, 1e-10)) AS centre FROM q),
+near AS (SELECT a.id, min(1 - list_dot_product(a.emb, b.emb)) AS low FROM v a, v b WHERE a.id >= 20 AND b.id < 20 GROUP BY 1)
+SELECT v.id AS row_id, replace(v.grp, 'label=', '') AS label, ((v.id IN (FROM far))::INT + 2 * (v.grp = 'label=3')::INT)::INT AS outlier,
+ round(1 - list_dot_product(v.emb, own.centre), 6) AS centroid_dist, round(1 - list_dot_product(v.emb, middle.mean) / middle.r, 6) AS dataset_center_dist, round(near.low, 6) AS min_seed_dist
+FROM v JOIN own USING (grp) JOIN near USING (id), middle WHERE v.id >= 20"""
+
+
+@query(FITS(fitted("id >= 20"), 3) + _ROWS)
 def row_metrics(spark, d):
     """The rows of an evaluation with their four metrics; alignment has queries of its own."""
     e = table(spark, d, "embeddings")
-    schema = Schema.parse({"fixedFields": {"deploymentPopulation": "readers"}, "constituents": {"label": {"required": True, "value": [str(i) for i in range(10)]}}, "invalidCombinations": [["3"]]})
+    document = {
+        "fixedFields": {"deploymentPopulation": "readers"},
+        "constituents": {"label": {"required": True, "value": [str(i) for i in range(10)]}},
+        "invalidCombinations": [["3"]],
+    }
     v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"))
     rows = e.where("vec_id >= 20").select(F.col("vec_id").alias("row_id"), F.col("label").cast("string").alias("label"))
-    out = evaluate(rows, schema, v.where("id >= 20"), v.where("id < 20"), options=Options(transport=False)).rows
+    out = row_metrics_of(rows, Schema.parse(document), v.where("id >= 20"), v.where("id < 20"))
     return out.select("row_id", "label", "outlier", *(r6(F.col(c)).alias(c) for c in ("centroid_dist", "dataset_center_dist", "min_seed_dist")))
 
 
 # ---- workflow -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT c_custkey AS job, unnest(range(0, (n + 24) // 25))::INT AS chunk, least(25, n - 25 * unnest(range(0, (n + 24) // 25)))::INT AS chunk_rows FROM (SELECT c_custkey, c_custkey % 97 AS n FROM customer) WHERE n > 0")
+@query("""SELECT c_custkey AS job, unnest(range(0, (n + 24) // 25))::INT AS chunk, least(25, n - 25 * unnest(range(0, (n + 24) // 25)))::INT AS chunk_rows
+FROM (SELECT c_custkey, c_custkey % 97 AS n FROM customer) WHERE n > 0""")
 def chunk_plan(spark, d):
     jobs = table(spark, d, "customer").select(F.col("c_custkey").alias("job"), (F.col("c_custkey") % 97).alias("n"))
     return W.chunk_plan(jobs).select("job", "chunk", "chunk_rows")
 
 
-@query("SELECT p_size AS n, least(40000, 200 + 350 * p_size)::INT AS baseline, floor(least(40000, 200 + 350 * p_size) * 12 / 10)::INT AS schema FROM (SELECT DISTINCT p_size FROM part)")
+@query("""WITH planned AS (SELECT c_custkey AS n_, 'c' || c_custkey::VARCHAR AS stem, c_custkey % 97 AS n FROM customer),
+made AS (SELECT stem, sum(rows) AS have, max(chunk) AS last FROM (SELECT 'c' || (c_custkey - c_custkey % 2)::VARCHAR AS stem, c_custkey % 2 AS chunk, 7 AS rows FROM customer) GROUP BY 1),
+l AS (SELECT stem, n, greatest(n - coalesce(have, 0), 0)::BIGINT AS missing, coalesce(last, -1) + 1 AS base FROM planned LEFT JOIN made USING (stem))
+SELECT stem, n, (base + unnest(range(0, (missing + 24) // 25)))::INT AS chunk, least(25, missing - 25 * unnest(range(0, (missing + 24) // 25)))::INT AS chunk_rows FROM l WHERE missing > 0""")
+def shortfall_chunks(spark, d):
+    """What is asked for anew where answers gave fewer rows than planned."""
+    c = table(spark, d, "customer")
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    planned = c.select(name(F.col("c_custkey")).alias("stem"), F.lit("schema").alias("kind"), (F.col("c_custkey") % 97).alias("n"))
+    made = c.select(name(F.col("c_custkey") - F.col("c_custkey") % 2).alias("stem"), F.lit("schema").alias("kind"), (F.col("c_custkey") % 2).alias("chunk"), F.lit(7).alias("rows"))
+    return W.shortfall(planned, made).select("stem", "n", "chunk", "chunk_rows")
+
+
+@query("""SELECT p_size AS n, least(40000, 200 + 350 * p_size)::INT AS baseline, floor(least(40000, 200 + 350 * p_size) * 12 / 10)::INT AS schema
+FROM (SELECT DISTINCT p_size FROM part)""")
 def token_budget(spark, d):
     sizes = table(spark, d, "part").select(F.col("p_size").alias("n")).distinct()
     return sizes.select("n", W.token_budget(F.col("n"), F.lit("baseline")).alias("baseline"), W.token_budget(F.col("n"), F.lit("schema")).alias("schema"))
 
 
-@query("WITH x AS (SELECT p_partkey, repeat(p_type || '_', 1 + p_partkey::INT % 4) AS stem FROM part), y AS (SELECT p_partkey, 'schema__' || stem || '__' || lpad((p_partkey % 50)::VARCHAR, 4, '0') AS whole, 'schema__' || substr(stem, 1, 41) || '-' || substr(sha1(stem), 1, 8) || '__' || lpad((p_partkey % 50)::VARCHAR, 4, '0') AS short FROM x) SELECT p_partkey, CASE WHEN length(whole) <= 64 THEN whole ELSE short END AS custom_id FROM y")
+def ID_SQL(kind: str, stem: str, chunk: str) -> str:
+    room = f"(64 - 2 - length({kind}) - greatest(length({chunk}::VARCHAR), 3) - 7)"
+    cut = f"substr({stem}, 1, {room} - 9) || '_' || substr(sha1({stem}), 1, 8)"
+    return f"{kind} || '__' || CASE WHEN length({stem}) <= {room} THEN {stem} ELSE {cut} END || '__chunk' || printf('%03d', {chunk})"
+
+
+@query(f"WITH x AS (SELECT p_partkey, repeat(p_type || '_', 1 + p_partkey::INT % 4) AS stem, (p_partkey % 50 * 413)::INT AS chunk FROM part) SELECT p_partkey, {ID_SQL("'schema'", 'stem', 'chunk')} AS custom_id FROM x")
 def custom_ids(spark, d):
+    """Chunk numbers of one to five digits, stems that fit and that do not."""
     p = table(spark, d, "part").select("p_partkey", F.expr("repeat(p_type || '_', cast(1 + p_partkey % 4 as int))").alias("stem"))
-    return p.select("p_partkey", W.custom_id(F.lit("schema"), F.col("stem"), F.col("p_partkey") % 50).alias("custom_id"))
+    return p.select("p_partkey", W.custom_id(F.lit("schema"), F.col("stem"), F.col("p_partkey") % 50 * 413).alias("custom_id"))
+
+
+@query("""WITH x AS (SELECT p_partkey, '/runs/' || p_brand || '/' || repeat(p_type || '! ', 1 + p_partkey::INT % 3) || '.txt' AS path, repeat(p_type || '! ', 1 + p_partkey::INT % 3) AS stem FROM part)
+SELECT p_partkey, 'label__' || substr(regexp_replace(stem, '[^a-zA-Z0-9_-]+', '_', 'g'), 1, 45) || '__' || substr(sha1(path), 1, 10) AS custom_id FROM x""")
+def label_ids(spark, d):
+    path = F.expr("concat('/runs/', p_brand, '/', repeat(p_type || '! ', cast(1 + p_partkey % 3 as int)), '.txt')")
+    return table(spark, d, "part").select("p_partkey", W.label_id(path).alias("custom_id"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS chunks FROM conversations GROUP BY 1")
@@ -579,13 +663,46 @@ def chunk_assembly(spark, d):
     return W.assemble(table(spark, d, "conversations"), ["conv_id"], "turn")
 
 
-@query("SELECT n_nationkey, coalesce(nullif(trim(n_name), ''), 'none') AS text FROM nation")
+@query("""WITH x AS (SELECT p_brand, p_partkey, p_partkey % 2 = 0 AS even, p_size FROM part),
+b AS (SELECT p_brand, bool_or(NOT even) AS odd, bool_or(even) AS even, min_by(even, p_partkey) AS even_first FROM x GROUP BY 1)
+SELECT p_brand, CASE WHEN NOT odd THEN 'k,size' WHEN NOT b.even THEN 'size,note,k' WHEN even_first THEN 'k,size,note' ELSE 'size,note,k' END || chr(10) ||
+ string_agg(CASE WHEN NOT odd THEN p_partkey || ',' || p_size WHEN even_first AND b.even THEN p_partkey || ',' || p_size || ',' || CASE WHEN x.even THEN '' ELSE '"so, it is"' END
+  ELSE p_size || ',' || CASE WHEN x.even THEN '' ELSE '"so, it is"' END || ',' || p_partkey END, chr(10) ORDER BY p_partkey) || chr(10) AS text
+FROM x JOIN b USING (p_brand) GROUP BY p_brand, odd, b.even, even_first""")
+def chunk_combination(spark, d):
+    """Answers with columns of other orders and names, fenced ones too, put together by name."""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    plain = F.concat(F.lit("k,size\n"), k, F.lit(","), size, F.lit("\n"))
+    fenced = F.concat(F.lit("```csv\nsize,note,k\n"), size, F.lit(',"so, it is",'), k, F.lit("\n```"))
+    p = table(spark, d, "part").select("p_brand", "p_partkey", F.when(F.col("p_partkey") % 2 == 0, plain).otherwise(fenced).alias("text"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "text"))), lambda x: x["text"])
+    return p.groupBy("p_brand").agg(texts.alias("texts")).select("p_brand", R.combined_csv(F.col("texts")).alias("text"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type || ', ' || p_name ELSE p_name || chr(10) || p_name END AS text FROM part""")
+def example_texts(spark, d):
+    """The text column of an answer: by name, or the longest one; short rows have none."""
+    k, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    known = F.concat(F.lit("note,prompt\na much longer note than any name that a part may have,"), name)
+    longest = F.concat(F.lit("k,story\n"), k, F.lit(',"'), F.col("p_type"), F.lit(", "), name, F.lit('"'))
+    several = F.concat(F.lit("text,k\n"), name, F.lit("\n"), name, F.lit(",2\n,3"))
+    kind = F.col("p_partkey") % 3
+    return table(spark, d, "part").select("p_partkey", R.text_lines(F.when(kind == 0, known).when(kind == 1, longest).otherwise(several)).alias("text"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE trim(n_name) || CASE WHEN n_nationkey % 5 = 2 THEN '!' ELSE '' END END AS text FROM nation")
 def response_text(spark, d):
-    said = F.to_json(F.struct(F.lit(" ").alias("output_text"), F.array(F.struct(F.array(F.struct(F.lit("output_text").alias("type"), F.col("n_name").alias("text"))).alias("content"))).alias("output")))
-    return table(spark, d, "nation").select("n_nationkey", F.coalesce(W.response_text(said), F.lit("none")).alias("text"))
+    """Each place where a response may have its text, and none."""
+    say, k = F.col("n_name"), F.col("n_nationkey") % 5
+    part = lambda kind, field, text: F.to_json(F.struct(F.lit(" ").alias("output_text"), F.array(F.struct(F.array(F.struct(F.lit(kind).alias("type"), text.alias(field)), F.struct(F.lit("other").alias("type"), F.lit("no").alias(field))).alias("content"))).alias("output")))
+    plain = F.to_json(F.struct(say.alias("output_text")))
+    choices = F.to_json(F.struct(F.array(F.struct(F.struct(say.alias("content")).alias("message"))).alias("choices")))
+    body = F.when(k == 0, plain).when(k == 1, part("output_text", "text", say)).when(k == 2, part("text", "value", F.concat(say, F.lit("!")))).when(k == 3, choices).otherwise(F.lit('{"output": [], "choices": []}'))
+    return table(spark, d, "nation").select("n_nationkey", W.response_text(body).alias("text"))
 
 
-@query("SELECT o_orderkey AS custom_id, CASE WHEN c_custkey IS NULL THEN 'unknown id' WHEN o_orderstatus = 'P' THEN 'no text' ELSE 'ok' END AS state FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) ON o_orderkey = c_custkey")
+@query("""SELECT o_orderkey AS custom_id, CASE WHEN c_custkey IS NULL THEN 'unknown id' WHEN o_orderstatus = 'P' THEN 'no text' ELSE 'ok' END AS state
+FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) ON o_orderkey = c_custkey""")
 def manifest_join(spark, d):
     results = table(spark, d, "orders").select(F.col("o_orderkey").alias("custom_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("text"))
     manifest = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("custom_id"))
@@ -593,7 +710,8 @@ def manifest_join(spark, d):
     return ok.select("custom_id", F.lit("ok").alias("state")).unionByName(failed.select("custom_id", F.col("error").alias("state")))
 
 
-@query("SELECT c.conv_id, c.turn, c.text, l.text AS label FROM conversations c LEFT JOIN (SELECT conv_id, turn, text FROM conversations WHERE turn < 2) l ON c.conv_id = l.conv_id AND c.turn = l.turn")
+@query("""SELECT c.conv_id, c.turn, c.text, l.text AS label FROM conversations c
+LEFT JOIN (SELECT conv_id, turn, text FROM conversations WHERE turn < 2) l ON c.conv_id = l.conv_id AND c.turn = l.turn""")
 def label_positional_zip(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
     return W.positional_zip(c, c.where("turn < 2").withColumnRenamed("text", "label"), "conv_id", "turn")
@@ -601,22 +719,56 @@ def label_positional_zip(spark, d):
 
 @query("SELECT s_name AS stem FROM supplier WHERE s_suppkey % 3 <> 0")
 def unlabeled_files(spark, d):
-    s = table(spark, d, "supplier")
-    return s.select(F.col("s_name").alias("stem")).join(s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("stem")), "stem", "left_anti")
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("stem"))
+    return unlabelled(s.select("stem"), s.where("s_suppkey % 3 = 0").select(F.concat("stem", F.lit("_labeled")).alias("stem")))
+
+
+@query("SELECT s_name AS stem, s_suppkey AS n FROM supplier WHERE s_suppkey % 4 IN (0, 1)")
+def rerun_filter(spark, d):
+    """Files named by path, stem or with an extension."""
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("stem"), F.col("s_suppkey").alias("n"))
+    names = s.where("n % 4 in (0, 1)").select(F.when(F.col("n") % 4 == 0, F.concat(F.lit(" /runs/schema/"), "stem", F.lit(".txt "))).otherwise(F.concat("stem", F.lit(".csv"))).alias("name"))
+    return W.rerun(s, names)
+
+
+@query("SELECT s_name AS stem, CASE s_suppkey % 2 WHEN 0 THEN 'schema' ELSE 'baseline' END AS kind FROM supplier WHERE NOT (s_suppkey % 2 = 0 AND s_suppkey % 3 = 0)")
+def existing_output_skip(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("stem"), F.when(F.col("s_suppkey") % 2 == 0, "schema").otherwise("baseline").alias("kind"))
+    return W.without_output(s.select("stem", "kind"), s.where("s_suppkey % 3 = 0").select("stem", F.lit("schema").alias("kind")))
+
+
+@query("SELECT n_nationkey, n_regionkey::VARCHAR AS text, last AS seed_idx FROM nation LEFT JOIN (SELECT c_nationkey, max(c_custkey) AS last FROM customer WHERE c_nationkey < 4 GROUP BY 1) ON c_nationkey = n_regionkey")
+def seed_lookup(spark, d):
+    seeds = table(spark, d, "customer").where("c_nationkey < 4").select(F.col("c_custkey").alias("idx"), F.col("c_nationkey").cast("string").alias("text"))
+    return W.seed_indices(table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("text")), seeds)
 
 
 SCHEMA = Schema.parse(
     {
         "fixedFields": {"capability": "x", "systematizedConcept": "x", "deploymentPopulation": "readers", "contextualConstraints": "x", "systematizedInstance": "x"},
-        "constituents": {"lang": {"required": True, "value": ["en", "de"]}, "marks": {"subConstituents": {"quality": {"value": "0; 1"}, "toxic": {"value": None}}}},
+        "constituents": {"lang": {"required": True, "value": ["en", "de", "en"]}, "marks": {"subConstituents": {"quality": {"value": "0; 1"}, "toxic": {"value": None}}}},
         "seedExamples": ["a", "b", "c", "d"],
     }
 )
 
 
-@query("SELECT * FROM (VALUES ('lang', true), ('quality', false), ('toxic', false)) AS t(col, required)")
+@query("""SELECT DISTINCT col, required, ordinal, value FROM (VALUES ('lang', true, 0, 'en'), ('lang', true, 1, 'de'), ('quality', false, 0, '0'), ('quality', false, 1, '1')) AS t(col, required, ordinal, value)""")
 def required_split(spark, d):
-    return spark.createDataFrame([(c, c in SCHEMA.required) for c in SCHEMA.columns], "col string, required boolean")
+    return SCHEMA.expected(spark).withColumn("required", F.col("col").isin(SCHEMA.required))
+
+
+@query(f"WITH {EX}, s AS (SELECT * FROM (VALUES ('en'), ('de')) l(lang), (VALUES ('0'), ('1')) q(quality)) SELECT s.lang, s.quality, count(ex.row_id) AS n FROM s LEFT JOIN ex ON s.lang = ex.lang AND s.quality = ex.quality GROUP BY ALL")
+def schema_coverage(spark, d):
+    """Combinations that a schema expects, with their rows."""
+    values = {c: spark.createDataFrame([(v,) for v in SCHEMA.values[c]], "value string") for c in ("lang", "quality")}
+    return C.with_counts(C.expected_combinations(values), C.combination_counts(examples(spark, d), ["lang", "quality"]), ["lang", "quality"])
+
+
+@query("SELECT lang, quality, n FROM (VALUES ('en', '0', 2), ('en', '1', 2), ('de', '0', 1), ('de', '1', 1)) AS t(lang, quality, n)")
+def expected_with_duplicates(spark, d):
+    """A value that the schema lists twice counts twice."""
+    values = {c: spark.createDataFrame([(v,) for v in SCHEMA.values[c]], "value string") for c in ("lang", "quality")}
+    return C.expected_combinations(values, distinct=False).groupBy("lang", "quality").agg(F.count("*").cast("int").alias("n"))
 
 
 @query("SELECT 0 AS size, '' AS seeds UNION ALL SELECT 2, a || ',' || b FROM range(4) x(a), range(4) y(b) WHERE a < b")
@@ -624,32 +776,67 @@ def seed_combinations(spark, d):
     return spark.createDataFrame([(len(c), ",".join(map(str, c))) for c in drawn_combinations(4, [0, 2], 6)], "size int, seeds string")
 
 
-@query("SELECT p_partkey, unnest([1, 2]) AS position, unnest([p_brand, '']) AS brand, unnest([p_type || ', new', '']) AS kind FROM part")
+@query("""SELECT p_partkey, unnest([1, 2]) AS position,
+ unnest(CASE p_partkey % 4 WHEN 0 THEN [p_brand, ''] WHEN 1 THEN [p_brand, p_type] WHEN 2 THEN ['brand', p_brand] ELSE [p_brand, p_brand] END) AS brand,
+ unnest(CASE p_partkey % 4 WHEN 0 THEN [p_type || ',new, ' || p_name, ''] WHEN 1 THEN [p_type, p_name] WHEN 2 THEN ['other', p_type] ELSE ['', p_type] END) AS kind FROM part""")
 def label_csv_parse(spark, d):
-    """An answer with one row where two are expected: the last column takes the overflow, the missing row is empty."""
+    """Two rows are expected of answers: without a header and with surplus cells; with all columns by name in another order; with one
+    of the names only, which is no header; with more rows than wanted and a short one."""
 
     def parse(parts):
         for p in parts:
             rows = [(k, i + 1, *r) for k, t in zip(p.p_partkey, p.text, strict=True) for i, r in enumerate(R.parse_labels(t, ["brand", "kind"], 2))]
             yield pd.DataFrame(rows, columns=["p_partkey", "position", "brand", "kind"])
 
-    p = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit(","), "p_type", F.lit(", new\n")).alias("text"))
-    return p.mapInPandas(parse, "p_partkey long, position int, brand string, kind string").withColumn("kind", F.replace("kind", F.lit(",new"), F.lit(", new")))
+    k = F.col("p_partkey") % 4
+    glued = F.concat("p_brand", F.lit(","), "p_type", F.lit(",new, "), "p_name", F.lit("\n\n"))
+    named = F.concat(F.lit("```\n Kind ,x,BRAND\n"), "p_type", F.lit(",,"), "p_brand", F.lit("\n,,\n"), "p_name", F.lit(",1,"), "p_type", F.lit("\n```"))
+    half = F.concat(F.lit("brand,other\n"), "p_brand", F.lit(","), "p_type")
+    long = F.concat("p_brand", F.lit("\n"), "p_brand", F.lit(", "), "p_type", F.lit("\nx,y\n"))
+    p = table(spark, d, "part").select("p_partkey", F.when(k == 0, glued).when(k == 1, named).when(k == 2, half).otherwise(long).alias("text"))
+    return p.mapInPandas(parse, "p_partkey long, position int, brand string, kind string")
 
 
-@query()
+_VARIANTS = """m AS (SELECT range AS mask, bit_count(range) > 1 AND (range & 3) <> 0 AS tied FROM range(512)),
+p AS (SELECT mask, list_sort(list_filter(['capability', 'systematizedConcept', 'deploymentPopulation', 'contextualConstraints', 'systematizedInstance'], lambda n, i: (mask >> (i - 1)) & 1 = 1 OR (tied AND i <= 2))) AS f,
+ list_sort(list_filter(['lang', 'quality', 'toxic'], lambda n, i: (mask >> (i + 4)) & 1 = 1)) AS c, (mask >> 8) & 1 = 1 AS s FROM m),
+variants AS (SELECT (row_number() OVER (ORDER BY mask) - 1)::INT AS variant_id, array_to_string(f, ',') AS missing_fixed, array_to_string(c, ',') AS missing_constituents, s AS missing_seeds,
+ CASE WHEN mask = 0 THEN '' ELSE array_to_string(f, ',') || '|' || array_to_string(c, ',') || '|' || s::INT::VARCHAR END AS distinct_key FROM p WHERE len(f) + len(c) + s::INT < 9)"""
+
+
+@query(f"WITH {_VARIANTS} SELECT * FROM variants")
 def ablation_variants(spark, d):
     return W.variants(spark, SCHEMA)
 
 
-@query()
+@query(f"""WITH {_VARIANTS}, models AS (SELECT * FROM (VALUES ('a_m-1'), ('b_m-2')) t(tag)), combos AS (SELECT range::INT AS combo_id, CASE WHEN range = 0 THEN 0 ELSE 2 END AS n_seeds FROM range(6)),
+r AS (SELECT variant_id, printf('%s_v%03d_s%d_combo%03d_run%d', tag, variant_id, n_seeds, combo_id, run) AS stem, unnest(['schema', 'baseline']) AS kind FROM models, variants, combos, (VALUES (1), (2)) x(run)),
+c AS (SELECT *, unnest([0, 1, 2])::INT AS chunk, unnest([25, 25, 10])::INT AS chunk_rows FROM r WHERE kind = 'schema' OR variant_id = 0)
+SELECT {ID_SQL("kind", "stem", "chunk")} AS custom_id, kind, stem, chunk, chunk_rows, (CASE WHEN kind = 'schema' THEN floor((200 + 350 * chunk_rows) * 12 / 10) ELSE 200 + 350 * chunk_rows END)::INT AS max_tokens FROM c""")
 def request_cross_product(spark, d):
     models = spark.createDataFrame([("a", "m/1"), ("b", "m:2")], "provider string, model string")
     combos = spark.createDataFrame([(i, len(c), list(c)) for i, c in enumerate(drawn_combinations(4, [0, 2], 5))], "combo_id int, n_seeds int, seeds array<int>")
     return W.requests(models, W.variants(spark, SCHEMA).select("variant_id"), combos, 2, 60).select("custom_id", "kind", "stem", "chunk", "chunk_rows", "max_tokens")
 
 
-@query("SELECT p_partkey, 'k,example_text' || chr(10) || p_partkey || ',\"' || p_type || ', ' || p_name || '\"' || chr(10) AS fixed FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 6
+ WHEN 0 THEN 'k,example_text' || chr(10) || p_partkey || ',"1,000 ' || p_type || ',' || p_name || '"'
+ WHEN 1 THEN 'k,example_text' || chr(10) || p_partkey || ',"' || p_type || ' (one, two)"'
+ WHEN 2 THEN 'example_text,k' || chr(10) || '"' || p_type || ', ' || p_name || ',really",' || p_partkey
+ WHEN 3 THEN 'k,example_text,more' || chr(10) || p_partkey || ',,'
+ WHEN 4 THEN 'k,example_text' || chr(10) || p_partkey || ',"' || p_type || chr(10) || 'a, b"'
+ ELSE 'k,text' || chr(10) || p_partkey || ',"' || p_type || ', ' || p_name || '"' END || chr(10) AS fixed FROM part""")
 def csv_repair(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("```csv\nk,example_text\n"), F.col("p_partkey").cast("string"), F.lit(","), "p_type", F.lit(", "), "p_name", F.lit("\n```")).alias("text"))
-    return p.select("p_partkey", R.repaired(F.col("text")).alias("fixed"))
+    """Surplus commas without spaces, commas in parentheses, the text first, a short row, a cell over two lines, cells that are quoted lines."""
+    k, kind, name = F.col("p_partkey").cast("string"), F.col("p_type"), F.col("p_name")
+    row = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    shapes = [
+        row("```csv\nk,example_text\n", k, ",1,000 ", kind, ",", name, "\n```"),
+        row("k,example_text\n", k, ",", kind, " (one, two)"),
+        row("example_text,k\n", kind, ", ", name, ",really, ", k),
+        row("k,example_text,more\n", k),
+        row("k,example_text\n", k, ',"', kind, '\na, b"\n'),
+        row('"k,text"\n"', k, ",", kind, ", ", name, '"'),
+    ]
+    text = F.element_at(F.array(*shapes), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", R.repaired(text).alias("fixed"))

@@ -19,6 +19,7 @@ from .functions import labels as L
 from .functions.vectors import cosine_distance, normalized
 from .operators import coverage as C
 from .operators import pairwise as P
+from .operators import realism as R
 from .operators import spherical as S
 from .operators import transport as T
 from .schema import Schema
@@ -28,9 +29,12 @@ NAN = float("nan")
 
 @dataclass(frozen=True)
 class Options:
-    """k: rows wanted per combination. least_*: rows a category needs for a fit, for diversity, for the marginal mean."""
+    """k: rows wanted per combination; curve_k: to which k the document lists the curves. least_*: rows a category needs for a fit, for
+    diversity, for the marginal mean. shown: categories that the document lists, by name; frames have all."""
 
     k: int = 10
+    curve_k: int = 1_000
+    shown: int = 1_000
     redundancy: float = 0.95
     least_samples: int = 3
     least_subgroup: int = 2
@@ -70,6 +74,7 @@ def evaluate(
     *,
     style: DataFrame | None = None,
     style_seeds: DataFrame | None = None,
+    seed_labels: DataFrame | None = None,
     subset: list[int] | None = None,
     exclusions: list[list[str]] | None = None,
     options: Options = Options(),
@@ -77,7 +82,8 @@ def evaluate(
     """rows(row_id, columns of the schema), vectors(id, emb) of the rows, seeds(id, emb) of the seed texts, id being their index.
 
     Extra columns of rows are kept. A row without a vector has null distances; a dataset without rows gives NaN scores. subset: the
-    seeds of a second realism part; ValueError if an index is not among the seeds. exclusions: combinations that do not count."""
+    seeds of a second realism part; ValueError if an index is not among the seeds. exclusions: combinations that do not count.
+    seed_labels(id, label): composite labels of seeds; with them realism has a part per category."""
     if options.k < 1:
         raise ValueError("k is 1 at least")
     rows = schema.require(rows)
@@ -92,11 +98,11 @@ def evaluate(
     grouped = memberships(rows, schema.columns).join(v.drop("grp"), "id")
     doc["coverage"] |= _categories(v, grouped, options, frames)
     doc["diversity"] = _diversity(v, grouped, options, frames)
-    doc["realism_full"] = _realism(rows, schema, v, s, style and one(style), style_seeds and one(style_seeds), options, frames, "full")
+    doc["realism_full"] = _realism(rows, schema, v, s, style and one(style), style_seeds and one(style_seeds), options, frames, "full", grouped, seed_labels)
     doc["realism_subset"] = None
     if subset is not None:
         part = lambda d: d and one(d).where(F.col("id").isin(subset))
-        doc["realism_subset"] = _realism(rows, schema, v, part(seeds), style and one(style), part(style_seeds), options, frames, "subset")
+        doc["realism_subset"] = _realism(rows, schema, v, part(seeds), style and one(style), part(style_seeds), options, frames, "subset", grouped, seed_labels)
     out = _row_metrics(rows, schema, v, grouped, frames, options)
     doc |= _row_level(out, frames)
     doc["summary"] = _summary(doc, rows, schema)
@@ -121,11 +127,11 @@ def _coverage(rows: DataFrame, schema: Schema, exclusions, options: Options, fra
 
     def vary(columns: list[str], rules: DataFrame | None = None) -> dict:
         if not columns:
-            return _curve(None, options.k, 0)
+            return _curve(None, options, 0)
         expected = C.expected_combinations(values(columns))
         wanted = expected if rules is None else C.excluded(expected, rules, columns)
         groups = C.with_counts(wanted, C.combination_counts(rows, columns), columns)
-        return _curve(groups, options.k, 0 if rules is None else expected.count() - wanted.count())
+        return _curve(groups, options, 0 if rules is None else expected.count() - wanted.count())
 
     ratio = {"expected": 0, "observed": 0, "ratio": 1.0}
     out["coverage_constrained"] = None
@@ -159,14 +165,22 @@ def _coverage(rows: DataFrame, schema: Schema, exclusions, options: Options, fra
     return out
 
 
-def _curve(groups: DataFrame | None, k: int, excluded: int) -> dict:
-    out = {"default_k": k, "excluded_group_count": excluded, "penalty_definition": "1 - min(n, k) / k, averaged over the expected combinations"}
+def _curve(groups: DataFrame | None, options: Options, excluded: int) -> dict:
+    out = {"default_k": options.k, "excluded_group_count": excluded, "penalty_definition": "1 - min(n, k) / k, averaged over the expected combinations"}
     sizes = _dicts(groups.groupBy("n").agg(F.count("*").alias("groups")).orderBy("n")) if groups is not None else []
-    total = sum(x["groups"] for x in sizes)
+    total, rows = sum(x["groups"] for x in sizes), sum(x["n"] * x["groups"] for x in sizes)
     top = max((x["n"] for x in sizes), default=0)
-    at = lambda k: sum((1 - min(x["n"], k) / k) * x["groups"] for x in sizes) / total if total else NAN
+    steps = {x["n"]: x["groups"] for x in sizes}
+    below, held, scores = 0, 0, []  # groups of fewer than k rows and the rows they have, as k rises
+    for k in range(1, max(min(top, options.curve_k), options.k) + 1):
+        below, held = below + steps.get(k - 1, 0), held + (k - 1) * steps.get(k - 1, 0)
+        scores.append((below * k - held) / (k * total) if total else NAN)
     middle = groups.agg(F.median("n").alias("m")).first().m if total else NAN
-    return out | {"default_score": at(k), "max_k": top, "k_values": list(range(1, top + 1)), "scores": [at(i) for i in range(1, top + 1)], "group_count": total, "group_count_mean": sum(x["n"] * x["groups"] for x in sizes) / total if total else NAN, "group_count_median": middle}
+    listed = min(top, options.curve_k)
+    return out | {
+        "default_score": scores[options.k - 1], "max_k": top, "k_values": list(range(1, listed + 1)), "scores": scores[:listed], "group_count": total,
+        "group_count_mean": rows / total if total else NAN, "group_count_median": middle,
+    }
 
 
 def _categories(v: DataFrame, grouped: DataFrame, options: Options, frames: dict) -> dict:
@@ -182,10 +196,14 @@ def _categories(v: DataFrame, grouped: DataFrame, options: Options, frames: dict
     )
     whole = grouped.where("not coarse").select("grp", "id", "emb")
     frames["redundant_pairs_in_labels"] = P.similar_pairs(whole, options.redundancy)
-    within = P.pair_statistics(whole).agg((F.sum(F.col("mean_sim") * F.col("pairs")) / F.sum("pairs")).alias("sim")).first().sim
+    within = P.mean_similarity(whole).agg((F.sum(F.col("mean_sim") * F.col("pairs")) / F.sum("pairs")).alias("sim")).first().sim
     per = fits.select("grp", "n", "kappa").join(P.pair_statistics(grouped.select("grp", "id", "emb")), "grp", "left")
     per = per.join(frames["category_outliers"].groupBy("grp").agg(F.count("*").alias("n_outliers")), "grp", "left").fillna(0, ["n_outliers"])
-    stats = {r.grp: {"count": r.n, "concentration_kappa": r.kappa, "mean_pairwise_similarity": r.mean_sim, "min_pairwise_similarity": r.min_sim, "n_outliers": r.n_outliers} for r in per.orderBy("grp").collect()}
+    frames["category_stats"] = per
+    stats = {
+        r.grp: {"count": r.n, "concentration_kappa": r.kappa, "mean_pairwise_similarity": r.mean_sim, "min_pairwise_similarity": r.min_sim, "n_outliers": r.n_outliers}
+        for r in per.orderBy("grp").limit(options.shown).collect()
+    }
     flagged = frames["hierarchical_results"].where(F.size("flags") > 0)
     return {
         "category_stats": stats, "overall_diversity_score": 0.0 if within is None else 1 - within, **_pairs(frames["redundant_pairs_in_labels"], "redundant_pairs"),
@@ -199,41 +217,50 @@ def _pairs(pairs: DataFrame, name: str) -> dict:
 
 def _diversity(v: DataFrame, grouped: DataFrame, options: Options, frames: dict) -> dict:
     def scores(x: DataFrame) -> DataFrame:
-        pairs = P.pair_statistics(x).select("grp", F.col("mean_sim").alias("mean_pairwise_similarity"))
-        return P.dc_scores(x, options.kernel, options.tau).join(S.vendi(x, normalize=True).drop("n"), "grp").join(pairs, "grp", "left")
+        means = P.mean_similarity(x).select("grp", F.col("mean_sim").alias("mean_pairwise_similarity"))
+        return P.dc_scores(x, options.kernel, options.tau).join(S.vendi(x, normalize=True).drop("n"), "grp").join(means, "grp", "left")
 
     frames["redundant_pairs"] = P.similar_pairs(v, options.redundancy)
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("n"), F.max("coarse").alias("coarse")).where(F.col("n") >= options.least_subgroup)
-    frames["subgroup_diversity"] = scores(grouped.join(sizes.select("grp"), "grp", "left_semi").select("grp", "id", "emb")).join(sizes.select("grp", "coarse"), "grp")
-    groups = _dicts(frames["subgroup_diversity"].orderBy("grp"))
+    groups = frames["subgroup_diversity"] = scores(grouped.join(sizes.select("grp"), "grp", "left_semi").select("grp", "id", "emb")).join(sizes.select("grp", "coarse"), "grp")
     over = (_dicts(scores(v)) or [{}])[0]
-    large = [g["dc_score"] for g in groups if g["coarse"] and g["n"] >= options.least_marginal and math.isfinite(g["dc_score"])]
+    large = groups.where(F.col("coarse") & (F.col("n") >= options.least_marginal) & ~F.isnan("dc_score")).agg(F.avg("dc_score").alias("m")).first().m
+    collapse = lambda g: g["dc_score"] < min(1.0, 2 / max(g["n"], 1))
     return {
-        "overall_dc_score": over.get("dc_score", NAN), "overall_vendi_score": over.get("vendi", NAN), "overall_mean_pairwise_similarity": over.get("mean_pairwise_similarity", NAN), "marginal_diversity": _mean(large),
-        "subgroup_stats": {g["grp"]: {"count": g["n"], "dc_score": g["dc_score"], "vendi_score": g["vendi"], "mean_pairwise_similarity": g["mean_pairwise_similarity"], "mode_collapse": g["dc_score"] < min(1.0, 2 / max(g["n"], 1))} for g in groups},
-        "lowest_diversity_groups": [[g["grp"], g["dc_score"]] for g in sorted(groups, key=lambda g: (g["dc_score"], g["grp"]))[:5]], **_pairs(frames["redundant_pairs"], "all_redundant_pairs"),
+        "overall_dc_score": over.get("dc_score", NAN), "overall_vendi_score": over.get("vendi", NAN), "overall_mean_pairwise_similarity": _or_nan(over.get("mean_pairwise_similarity")), "marginal_diversity": _or_nan(large),
+        "subgroup_stats": {
+            g["grp"]: {"count": g["n"], "dc_score": g["dc_score"], "vendi_score": g["vendi"], "mean_pairwise_similarity": g["mean_pairwise_similarity"], "mode_collapse": collapse(g)}
+            for g in _dicts(groups.orderBy("grp").limit(options.shown))
+        },
+        "lowest_diversity_groups": [[g["grp"], g["dc_score"]] for g in _dicts(groups.orderBy("dc_score", "grp").limit(5))], **_pairs(frames["redundant_pairs"], "all_redundant_pairs"),
     }
 
 
-def _realism(rows, schema, v, s, style, style_seeds, options: Options, frames: dict, name: str) -> dict:
+def _or_nan(x: float | None) -> float:
+    return NAN if x is None else x
+
+
+def _realism(rows, schema, v, s, style, style_seeds, options: Options, frames: dict, name: str, grouped: DataFrame, seed_labels: DataFrame | None) -> dict:
     """One fit of seeds and rows gives the scope: rows as likely as the seeds' percentile are in it. Without a fit none is."""
     if s.isEmpty():
         raise ValueError("realism needs one seed at least")
-    tagged = v.withColumn("seed", F.lit(False)).unionByName(s.withColumn("seed", F.lit(True)))
-    fits = S.fit(tagged.select("grp", "id", "emb"), options.least_samples)
-    lls = S.unit(tagged).join(F.broadcast(fits), "grp", "left").select("id", "seed", (F.col("log_c") + F.col("kappa") * F.aggregate(F.zip_with("emb", "mu", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)).alias("ll"))
-    cut = lls.where("seed").agg(F.percentile("ll", options.percentile).alias("cut"), F.avg("ll").alias("validity"))
-    new = P.novelty(v, s).drop("grp")
-    each = new.join(lls.where("not seed").drop("seed"), "id").crossJoin(F.broadcast(cut))
-    frames[f"instances_{name}"] = each.select("id", "novelty_min", "novelty_avg", "ll", F.coalesce(F.col("ll") >= F.col("cut"), F.lit(False)).alias("in_scope"))
+    inside, cut = R.scope(v, s, options.percentile, options.least_samples)
+    frames[f"instances_{name}"] = P.novelty(v, s).drop("grp").join(inside.drop("grp"), "id").select("id", "novelty_min", "novelty_avg", "ll", "in_scope")
     means = _dicts(frames[f"instances_{name}"].agg(F.avg("novelty_min").alias("mean_dataset_novelty_min"), F.avg("novelty_avg").alias("mean_dataset_novelty_avg"), F.avg(F.col("in_scope").cast("double")).alias("dataset_containment_rate"), F.count(F.when(~F.col("in_scope"), 1)).alias("out_of_scope_count")))[0]
-    out = {k: NAN if x is None else x for k, x in means.items()} | {"seed_validity_score": cut.first().validity}
+    first = cut.first()
+    out = {k: NAN if x is None else x for k, x in means.items()} | {"seed_validity_score": first and first.validity}
     out["dataset_extrapolation_quality"] = out["mean_dataset_novelty_min"] * out["dataset_containment_rate"]
     solved = T.calibrated(v.select("id", "emb"), s.select("id", "emb"), options.boots, seed=options.seed).first() if options.transport and not v.isEmpty() else None
     for key, of in (("raw_sinkhorn_distance", "raw"), ("calibrated_sinkhorn_distance", "score"), ("calibrated_sinkhorn_distance_ci_005", "low"), ("calibrated_sinkhorn_distance_ci_095", "high")):
         out[key] = solved[of] if solved else NAN
     far = P.novelty(style, style_seeds).agg(F.avg("novelty_avg").alias("far")).first().far if style and style_seeds else None
     out |= {"mean_style_distance_avg": NAN if far is None else far, "style_realism_score": NAN if far is None else 1 / (1 + far)}
+    out["seed_has_labels"], out["category_stats"] = seed_labels is not None, {}
+    if seed_labels is not None:
+        labelled = s.drop("grp").join(seed_labels.select(F.col("id").cast("long").alias("id"), F.col("label").alias("grp")), "id").select("grp", "id", "emb")
+        whole = grouped.where("not coarse" if len(schema.columns) > 1 else "coarse").select("grp", "id", "emb")
+        frames[f"realism_categories_{name}"] = R.category_stats(whole, labelled, options.percentile, options.least_samples)
+        out["category_stats"] = {r.pop("grp"): r for r in _dicts(frames[f"realism_categories_{name}"].orderBy("grp").limit(options.shown))}
     rules = schema.invalid_combinations()
     if rules:
         table = rows.sparkSession.createDataFrame(rules, ", ".join(f"`{c}` string" for c in schema.columns)).distinct()
@@ -262,6 +289,18 @@ def _row_metrics(rows: DataFrame, schema: Schema, v: DataFrame, grouped: DataFra
     return reduce(lambda a, b: a.join(b, "row_id", "left"), [far, frames["outlier_codes"], near], rows)
 
 
+def row_metrics(rows: DataFrame, schema: Schema, vectors: DataFrame, seeds: DataFrame, options: Options = Options()) -> DataFrame:
+    """rows with the four metrics of `evaluate` alone: without the document and what only that needs."""
+    rows, frames = schema.require(rows), {}
+    one = lambda v: v.select(F.lit("all").alias("grp"), F.col("id").cast("long").alias("id"), F.col("emb").cast("array<double>").alias("emb"))
+    v = one(vectors)
+    grouped = memberships(rows, schema.columns).join(v.drop("grp"), "id")
+    lls = S.log_likelihoods(grouped, S.fit(grouped.select("grp", "id", "emb"), options.least_samples))
+    frames["category_outliers"] = S.outliers(lls, options.percentile)
+    frames["instances_full"] = P.novelty(v, one(seeds)).select("id", "novelty_min")
+    return _row_metrics(rows, schema, v, grouped, frames, options)
+
+
 def _row_level(out: DataFrame, frames: dict) -> dict:
     r = out.agg(F.count("*").alias("n"), *(F.count(F.when(F.col("outlier") == k, 1)).alias(f"o{k}") for k in range(4)), F.avg("centroid_dist").alias("mean"), F.median("centroid_dist").alias("median"), F.avg("dataset_center_dist").alias("center"), F.avg("min_seed_dist").alias("seed")).first()
     of = lambda code: [x.row_id for x in frames["outlier_codes"].where(code).select("row_id").orderBy("row_id").limit(50).collect()]

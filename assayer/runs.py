@@ -1,13 +1,14 @@
 """Runs of generation and labelling as folders of a shared store: requests staged, answers collected, labels put beside texts.
 
 A run's folder has `requests` (custom_id, body) and `manifest` (custom_id and what it was asked for), both JSON tables. Any service
-that answers with result lines can stand between staging and collecting; none is called from here.
+that answers with result lines can stand between staging and collecting; `answered` asks one through a function in Spark's tasks.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +34,7 @@ def load_vocabulary(text: str) -> dict[str, list[str]]:
 
 
 def combinations(spark: SparkSession, schema: Schema, sizes: list[int], most: int) -> DataFrame:
-    seeds = schema.document.get("seedExamples") or []
+    seeds = schema.seeds
     rows = [(i, len(c), list(c), "\n".join(f"- {seeds[j]}" for j in c)) for i, c in enumerate(seed_combinations(len(seeds), sizes, most))]
     return spark.createDataFrame(rows, "combo_id int, n_seeds int, seed_idx array<int>, seed_texts string")
 
@@ -54,15 +55,28 @@ def generation_prompt(kind: Column, rows: Column, document: Column, seeds: Colum
     return F.concat(task, about, F.when(seeds != "", F.concat(F.lit("\nExamples that people wrote:\n"), seeds)).otherwise(""))
 
 
-def stage(spark: SparkSession, folder: str, schema: Schema, models: list[tuple[str, str]], n: int, runs: int = 1, sizes: list[int] | None = None, most: int = 5, ablation: bool = False, chunk: int = 25) -> DataFrame:
-    """Requests of model x variant x seed combination x run x chunk; returns the manifest."""
+SYSTEM = "You write examples that people in the described setting could have written. Keep to the asked form; add no comments."
+
+
+def stage(
+    spark: SparkSession, folder: str, schema: Schema, models: list[tuple[str, str]], n: int, runs: int = 1, sizes: list[int] | None = None, most: int = 5, ablation: bool = False, chunk: int = 25,
+    only: DataFrame | None = None, done: DataFrame | None = None, domain: str = "",
+) -> DataFrame:
+    """Requests of model x variant x seed combination x run x chunk; returns the manifest.
+
+    only(name): just the files of these names; done(stem, kind): not these. domain: words about the setting for every request."""
     variants, combos = variant_table(spark, schema, ablation), combinations(spark, schema, sizes or [0], most)
     asked = spark.createDataFrame(models, "provider string, model string")
     planned = W.requests(asked, variants, combos, runs, n, chunk)
+    planned = planned if only is None else W.rerun(planned, only)
+    planned = planned if done is None else W.without_output(planned, done)
     seeds = F.when(F.col("missing_seeds"), "").otherwise(F.col("seed_texts"))
     prompt = generation_prompt(F.col("kind"), F.col("chunk_rows"), F.col("document"), seeds, F.col("variant_id") > 0, schema.columns)
     full = planned.withColumn("prompt", prompt)
-    write_requests(full.select("custom_id", F.struct("provider", "model", "max_tokens", F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("messages")).alias("body")), f"{folder}/requests")
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    system = F.lit(" ".join(filter(None, [SYSTEM, domain.strip()])))
+    body = F.struct("provider", "model", "max_tokens", F.array(said("system", system), said("user", F.col("prompt"))).alias("messages"))
+    write_requests(full.select("custom_id", body.alias("body")), f"{folder}/requests")
     write_requests(full.drop("prompt", "document", "seed_texts"), f"{folder}/manifest")
     return manifest(spark, folder)
 
@@ -78,22 +92,106 @@ def _answers(results: DataFrame) -> DataFrame:
     return results.select("custom_id", text.alias("text")).groupBy("custom_id").agg(least.alias("text"))
 
 
-def collect(spark: SparkSession, folder: str, results: DataFrame | str) -> tuple[DataFrame, DataFrame]:
-    """(texts, failures). texts: stem, kind, text of the files whose chunks are all there, CSV repaired; failures: custom_id, error."""
+class Collected(NamedTuple):
+    """texts: stem, kind, text and, of CSV, examples (its text column, one a line); failures: custom_id, error; raw: stem, kind, text of
+    the answers to a file that could not be put together."""
+
+    texts: DataFrame
+    failures: DataFrame
+    raw: DataFrame
+
+
+def collect(spark: SparkSession, folder: str, results: DataFrame | str) -> Collected:
+    """The files whose chunks are all there, put together: CSV by the names of its columns, repaired where it does not parse."""
     ship(spark)
     asked = manifest(spark, folder)
     found, failures = W.with_manifest(_answers(read_results(spark, results) if isinstance(results, str) else results), asked)
     lost = asked.join(found.select("custom_id"), "custom_id", "left_anti")
     unanswered = lost.join(failures, "custom_id", "left_anti").select("custom_id", F.lit("no answer").alias("error"))
-    whole = found.join(lost.select("stem", "kind").distinct(), ["stem", "kind"], "left_anti")
-    csv = (F.col("kind") == "schema") & (F.col("variant_id") == 0)
-    lines = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
-    fixed = R.repaired(F.col("text"))
-    shown = whole.withColumn("text", F.when(csv, fixed).otherwise(lines))
-    # Of CSV chunks after the first, the header goes.
-    body = F.when(csv & (F.col("chunk") > 0), F.regexp_replace("text", r"^[^\n]*\n", "")).otherwise(F.col("text"))
-    texts = W.assemble(shown.withColumn("text", F.regexp_replace(body, r"\n+$", "")), ["stem", "kind"])
-    return texts.select("stem", "kind", "text"), failures.unionByName(unanswered)
+    # What was asked for later, to make up for missing rows, may stay without an answer.
+    needed = lost.where("round is null") if "round" in asked.columns else lost
+    whole = found.join(needed.select("stem", "kind").distinct(), ["stem", "kind"], "left_anti")
+    chunks = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"])
+    csv = (F.col("kind") == "schema") & F.col("whole_schema")
+    files = whole.groupBy("stem", "kind", (F.col("variant_id") == 0).alias("whole_schema")).agg(chunks.alias("chunks"))
+    plain = R.plain_lines(F.array_join("chunks", "\n"))
+    made = files.select("stem", "kind", "chunks", F.when(csv, R.combined_csv(F.col("chunks"))).otherwise(F.when(plain != "", plain)).alias("text"), csv.alias("csv"))
+    broken = made.where("text is null")
+    raw = broken.select("stem", "kind", F.array_join("chunks", "\n\n").alias("text"))
+    unusable = broken.select(F.concat_ws("__", "kind", "stem").alias("custom_id"), F.lit("no rows in the answers").alias("error"))
+    texts = made.where("text is not null").select("stem", "kind", "text", F.when(F.col("csv"), R.text_lines(F.col("text"))).alias("examples"))
+    return Collected(texts, failures.unionByName(unanswered).unionByName(unusable), raw)
+
+
+#: A service: (body of a request) -> text, or None where it has none.
+Generator = Callable[[dict], str | None]
+
+
+def stub(body: dict) -> str | None:
+    """A service that needs no network: as many rows as are asked for, made of a digest of the request, in the form that is asked for."""
+    import hashlib
+    import re
+
+    asked = body["messages"][-1]["content"]
+    n = re.search(r"Write (\d+) new", asked)
+    header = re.search(r"with the header ([^.]*)\.", asked)
+    mark = hashlib.sha256(asked.encode()).hexdigest()[:8]
+    if n is None:
+        return None
+    rows = [f"example {i} of {mark}" for i in range(int(n[1]))]
+    if header is None:
+        return "\n".join(rows)
+    names = header[1].split(",")
+    return "\n".join([header[1], *(",".join([f'"{r}"', *[f"v{i % 3}"] * (len(names) - 1)]) for i, r in enumerate(rows))])
+
+
+def answered(requests: DataFrame, generator: Generator) -> DataFrame:
+    """(custom_id, status, body): what the generator says to each of requests(custom_id, body); 500 where it fails or says nothing."""
+    ship(requests.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for custom_id, body in zip(p.custom_id, p.body, strict=True):
+                try:
+                    text = generator(json.loads(body))
+                except Exception as e:  # noqa: BLE001  a failure of one request is that request's result
+                    text = None
+                    print(f"{custom_id}: {type(e).__name__}: {e}")
+                out.append((custom_id, 500 if text is None else 200, json.dumps({"output_text": text or ""})))
+            yield pd.DataFrame(out, columns=["custom_id", "status", "body"])
+
+    return requests.select("custom_id", F.to_json("body").alias("body")).mapInPandas(run, "custom_id string, status int, body string")
+
+
+def run_local(spark: SparkSession, folder: str, generator: Generator, rounds: int = 5, chunk: int = 25) -> Collected:
+    """Staged requests answered by the generator; files that are short of rows are asked for anew, until none is, a round brings no
+    rows, or `rounds` have passed. Answers are kept in the run's folder."""
+    ship(spark)
+    todo = spark.read.json(f"{folder}/requests")
+    for turn in range(rounds):
+        answered(todo, generator).write.mode("overwrite").parquet(f"{folder}/answers/turn={turn}")
+        answers = spark.read.parquet(f"{folder}/answers").drop("turn")
+        asked = manifest(spark, folder)
+        rows = R.per_cell(R.row_count, "int")(F.col("text"))
+        made = _answers(answers).join(asked, "custom_id").select("stem", "kind", "chunk", F.coalesce(rows, F.lit(0)).alias("rows"))
+        made = made.where("chunk is not null")
+        # A file without rows in its last round gets no further one.
+        last = asked.groupBy("stem", "kind").agg(F.max("round").alias("round")) if "round" in asked.columns else None
+        alive = made if last is None else made.join(asked.select("stem", "kind", "chunk", "round").join(last, ["stem", "kind", "round"]), ["stem", "kind", "chunk"], "left_semi")
+        alive = alive.groupBy("stem", "kind").agg(F.sum("rows").alias("some")).where("some > 0").select("stem", "kind")
+        first = asked.where("chunk = 0").join(alive, ["stem", "kind"], "left_semi")
+        more = W.shortfall(first.drop("chunk", "chunk_rows", "custom_id", "max_tokens", "round"), made, chunk)
+        more = more.withColumn("custom_id", W.custom_id(F.col("kind"), F.col("stem"), F.col("chunk"))).withColumn("max_tokens", W.token_budget(F.col("chunk_rows"), F.col("kind"))).withColumn("round", F.lit(turn + 1))
+        bodies = spark.read.json(f"{folder}/requests").join(first.select("custom_id", "stem", "kind"), "custom_id").select("stem", "kind", "body")
+        said = F.transform("body.messages", lambda m: F.struct(F.regexp_replace(m["content"], r"^Write \d+ ", F.concat(F.lit("Write "), F.col("chunk_rows").cast("string"), F.lit(" "))).alias("content"), m["role"].alias("role")))
+        new = more.join(bodies, ["stem", "kind"]).select("custom_id", F.struct(F.col("body.provider").alias("provider"), F.col("body.model").alias("model"), "max_tokens", said.alias("messages")).alias("body"))
+        if turn + 1 == rounds or more.isEmpty():
+            break
+        new.write.json(f"{folder}/requests-{turn + 1}")
+        more.write.mode("append").json(f"{folder}/manifest")
+        todo = spark.read.json(f"{folder}/requests-{turn + 1}")
+    return collect(spark, folder, spark.read.parquet(f"{folder}/answers").drop("turn"))
 
 
 def summary(asked: DataFrame, ablation: bool = False) -> DataFrame:
@@ -109,15 +207,16 @@ def examples_of(files: DataFrame) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(stem, text) of the .txt files under a folder."""
+    """(stem, path, text) of the .txt files under a folder."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    return files.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.txt$", 1).alias("stem"), F.col("value").alias("text"))
+    path = F.col("_metadata.file_path")
+    return files.select(F.regexp_extract(path, r"([^/]+)\.txt$", 1).alias("stem"), path.alias("path"), F.col("value").alias("text"))
 
 
 def stage_labels(files: DataFrame, labelled: DataFrame, vocabulary: dict[str, list[str]], folder: str) -> DataFrame:
-    """Requests for the files(stem, text) that are not among labelled(stem); returns the manifest."""
+    """Requests for the files(stem, text[, path]) with some text that are not among labelled(stem); returns the manifest."""
     todo = files.join(labelled.select("stem"), "stem", "left_anti")
-    asked = todo.withColumn("custom_id", W.custom_id(F.lit("label"), F.col("stem"), F.lit(0)))
+    asked = todo.where(F.trim("text") != "").withColumn("custom_id", W.label_id(F.col("path") if "path" in files.columns else F.concat("stem", F.lit(".txt"))))
     prompt = W.labelling_prompt(F.col("text"), json.dumps(vocabulary, ensure_ascii=False))
     body = F.struct(W.label_budget(F.col("text")).alias("max_tokens"), F.lit(0).alias("temperature"), F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content"))).alias("messages"))
     write_requests(asked.select("custom_id", body.alias("body")), f"{folder}/requests")

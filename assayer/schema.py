@@ -37,6 +37,11 @@ class Schema:
     def columns(self) -> list[str]:
         return [name for name, _ in leaves(self.document.get("constituents") or {})]
 
+    @property
+    def seeds(self) -> list[str]:
+        """The seed texts that are not blank."""
+        return [str(s) for s in self.document.get("seedExamples") or [] if s is not None and str(s).strip()]
+
     @property
     def population(self) -> str | None:
         value = (self.document.get("fixedFields") or {}).get("deploymentPopulation")

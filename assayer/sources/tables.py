@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import Schema
+from ..schema import Schema, parse_exclusions
 
 # Column names that hold the example text, in the order in which they are tried.
 TEXT_COLUMNS = ("example", "example text", "example_text", "text", "prompt")
@@ -65,11 +66,33 @@ def labelled_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("stem", stem).where(F.col("stem").contains("_labeled") & ~F.col("stem").contains("_metrics")).orderBy("path")
 
 
+def label_targets(spark: SparkSession, folders: list[str], recursive: bool = True) -> DataFrame:
+    """(txt, csv, exists): each text file under the folders and the labelled file that belongs beside it; a folder that is not there is
+    passed over with a warning."""
+    from pyspark.errors import AnalysisException
+
+    found = spark.createDataFrame([], "path string")
+    for folder in folders:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{txt,csv}")
+        try:
+            found = found.unionByName(files.load(folder).select("path"))
+        except AnalysisException:
+            warnings.warn(f"no folder {folder}", stacklevel=2)
+    texts = found.where(F.col("path").endswith(".txt")).select(F.col("path").alias("txt"), F.regexp_replace("path", r"\.txt$", "_labeled.csv").alias("csv"))
+    return texts.join(found.select(F.col("path").alias("csv"), F.lit(True).alias("there")), "csv", "left").select("txt", "csv", F.coalesce("there", F.lit(False)).alias("exists"))
+
+
 def unlabelled(texts: DataFrame, labelled: DataFrame) -> DataFrame:
     """texts(stem) without a labelled file of the same stem."""
     return texts.join(labelled.select(F.regexp_replace("stem", "_labeled$", "").alias("stem")), "stem", "left_anti")
 
 
+def read_exclusions(spark: SparkSession, raw: str | None) -> list[list[str]] | None:
+    """Exclusion rules given as JSON or as the path of a JSON file."""
+    inline = not raw or raw.strip().startswith("[") or not raw.strip()
+    return parse_exclusions(raw if inline else "\n".join(r.value for r in spark.read.text(raw.strip()).collect()))
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False, quote_all: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=quote_all)
 

@@ -1,8 +1,11 @@
 """Hand-computed fixtures: coverage, canonical categories, exclusion, repair, kernels."""
 
+import itertools
 import math
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import labels as L
@@ -50,22 +53,122 @@ def test_kernels(spark):
     assert [(r.id_a, r.id_b) for r in P.similar_pairs(v, 0.95, size=1).collect()] == [(0, 1)]
 
 
-def test_bessel_and_transport():
+def test_bessel():
     assert abs(S.log_bessel(0.5, 7.3) - 5.387124) < 1e-6
-    assert abs(S.bessel_ratio(7.3, 3) - (1 / math.tanh(7.3) - 1 / 7.3)) < 1e-9
-    x = T._unit(np.random.default_rng(0).normal(size=(20, 8)))
-    assert T.sinkhorn(x, x) < 1e-9
+    for x in (0.01, 7.3, 59.0, 61.0, 5e4):
+        assert abs(S.log_bessel(0.5, x) - (math.log(math.sqrt(2 / (x * math.pi))) + x + math.log1p(-math.exp(-2 * x)) - math.log(2))) < 1e-10 * max(1, x)
+        assert abs(S.bessel_ratio(x, 3) - (1 / math.tanh(x) - 1 / x)) < 1e-12
+    for d, r in itertools.product((2, 3, 64, 768), (1e-6, 0.3, 0.99, 1 - 1e-6)):
+        assert abs(S.bessel_ratio(S.exact_kappa(r, d), d) / r - 1) < 1e-9
+    began = time.perf_counter()
+    assert abs(S.exact_kappa(1 - 1e-6, 768) / (767 / 2 / 1e-6) - 1) < 1e-3 and time.perf_counter() - began < 1
+
+
+def plain_plan_cost(x, y, reg):
+    """Alternate scaling until it stands still."""
+    c = 1 - x @ y.T
+    k = np.exp(-c / reg)
+    u, v = np.ones(len(x)), np.ones(len(y))
+    for _ in range(5000):
+        u = 1 / len(x) / (k @ v)
+        v = 1 / len(y) / (k.T @ u)
+    return float((u[:, None] * k * v[None] * c).sum())
+
+
+def test_transport(spark):
+    r = np.random.default_rng(0)
+    x, y = (T._unit(r.normal(size=(n, 4))) for n in (300, 20))
+    assert T.sinkhorn(y, y) < 1e-9
+    for a, b in ((x, y), (y, x), (y, y)):
+        assert abs(T.plan_cost(a, b, 0.1) - plain_plan_cost(a, b, 0.1)) < 1e-6
+    frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, emb array<double>")
+    want = max(0.0, plain_plan_cost(y, x, 0.1) - plain_plan_cost(x, x, 0.1) / 2 - plain_plan_cost(y, y, 0.1) / 2)
+    assert abs(T.raw(frame(x), frame(y), 0.1).first().raw - want) < 1e-6
+    got = T.calibrated(frame(x), frame(y), boots=3, reg=0.1).first()
+    assert abs(got.raw - want) < 1e-6 and 0 <= got.low <= got.high <= 1
+    assert got.score == pytest.approx(min(1, max(0, 1 - (got.raw - got.near) / max(got.far - got.near, 1e-8))))
+
+
+def test_vendi(spark):
+    r = np.random.default_rng(2)
+    x = T._unit(r.normal(size=(50, 6)))
+    v = spark.createDataFrame([("g", i, e.tolist()) for i, e in enumerate(x)] + [("h", 0, [1.0] * 6)], "grp string, id long, emb array<double>").repartition(3)
+    e = np.linalg.eigvalsh(x @ x.T / 50)
+    e = e[e > 1e-12]
+    want = float(np.exp(-(e * np.log(e)).sum()))
+    got = {q.grp: q.vendi for q in S.vendi(v).collect()}
+    assert got["g"] == pytest.approx(want) and got["h"] == 1.0
+    assert {q.grp: q.vendi for q in S.vendi(v, normalize=True).collect()}["g"] == pytest.approx(want / 50)
+
+
+def test_small_tau_and_similarities(spark):
+    r = np.random.default_rng(3)
+    x = T._unit(r.normal(size=(30, 4)))
+    v = spark.createDataFrame([("g", i, e.tolist()) for i, e in enumerate(x)] + [("one", 0, [1.0, 0.0, 0.0, 0.0])], "grp string, id long, emb array<double>").repartition(3)
+    k = x @ x.T
+    assert P.dc_scores(v, tau=0.001, size=7).where("grp = 'g'").first().dc_score == pytest.approx(np.mean(1 / np.exp((k - np.diag(k)[:, None]) / 0.001).sum(1)))
+    pairs = k[np.triu_indices(30, 1)]
+    got = P.pair_statistics(v, size=7).collect()
+    assert [(q.grp, q.pairs) for q in got] == [("g", 435)] and got[0].mean_sim == pytest.approx(pairs.mean()) and got[0].min_sim == pytest.approx(pairs.min())
+    assert {q.grp: q.mean_sim for q in P.mean_similarity(v).collect()}["one"] is None
+    assert {(q.id_a, q.id_b) for q in P.similar_pairs(v, 0.5, size=7).collect()} == {(a, b) for a in range(30) for b in range(a + 1, 30) if k[a, b] > 0.5}
+    far = P.novelty(v.where("id >= 5"), v.where("id < 5"), size=4).collect()
+    assert len(far) == 25 and all(q.novelty_min == pytest.approx((1 - k[q.id, :5]).min()) and q.novelty_avg == pytest.approx((1 - k[q.id, :5]).mean()) for q in far)
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_percentiles(spark, accuracy):
+    r = np.random.default_rng(4)
+    sets = {"a": r.normal(size=501), "b": r.integers(0, 4, 400).astype(float), "c": np.array([1.0, 2.0, 4.0, 9.0]), "d": np.array([3.0])}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in sets.items() for x in xs] + [("a", None)], "grp string, x double").repartition(4)
+    for p in (0.1, 0.5, 0.0, 1.0):
+        got = {q.grp: q.cut for q in S.percentiles(df, "x", p, accuracy).collect()}
+        assert got == {g: pytest.approx(np.percentile(xs, 100 * p)) for g, xs in sets.items()}
+
+
+def test_curve_at_a_tie(spark):
+    """159 rows short of 30 wanted in 15 of 16 groups: 0.9584375 is rounded up."""
+    sizes = [0] * 12 + [1, 2, 8, 9]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long")
+    lacking = sum(30 - n for n in sizes)
+    assert lacking / 480 == 0.9583333333333334
+    assert C.curve(df, 30).where("k = 30").first().score == lacking / 480
 
 
 def test_repair():
-    assert R.repair("k,example_text\n1,hello, world") == 'k,example_text\n1,"hello, world"\n'
-    assert R.repair("k,example_text\n1") == "k,example_text\n1,\n"
-    assert R.repair("```csv\nk,t\n1,2\n```") == "k,t\n1,2\n"
-    assert R.repair("example_text,k\na, b,1") == 'example_text,k\n"a, b",1\n'
-    assert R.repair("k,t\n1,a (b, c)") == 'k,t\n1,"a (b, c)"\n'
-    assert R.repair('k,t\n1,"a, b"') == 'k,t\n1,"a, b"\n'
-    assert R.repair(" ") is None
+    for text, want in {
+        "k,example_text\n1,hello, world": 'k,example_text\n1,"hello, world"\n',
+        "k,example_text\n1,1,000 people came,really": 'k,example_text\n1,"1,000 people came,really"\n',
+        "k,example_text\n1": "k,example_text\n1,\n",
+        "```csv\nk,t\n1,2\n```": "k,t\n1,2\n",
+        "example_text,k\na, b,1": 'example_text,k\n"a, b",1\n',
+        "example text,k\na (b, c), d,1": 'example text,k\n"a (b, c), d",1\n',
+        "text,k\na, b,1": 'text,k\na,"b,1"\n',
+        "k,t\n1,a (b, c)": 'k,t\n1,"a (b, c)"\n',
+        'k,t\n1,"a, b"': 'k,t\n1,"a, b"\n',
+        'k,t\r\n1,"a\r\nb"\r\n\r\n': 'k,t\n1,"a\nb"\n',
+        '"k,t"\n"1,""x"" y"': 'k,t\n1,x y\n',
+        "k,t,u\n(1,2,3,4),5": 'k,t,u\n(1,2,"3,4),5"\n',
+        " ": None,
+        None: None,
+    }.items():
+        assert R.repair(text) == want, text
+    long = "k,t\n" + "\n".join(f'{i},"a' for i in range(20_001))
+    assert len(R.logical_lines(long)) == 2 + 10_000
+
+
+def test_parse_labels():
     assert R.parse_labels("a,b\n1,2\n", ["a", "b"], 2) == [["1", "2"], ["", ""]]
+    assert R.parse_labels("A,x\n1,2, 3\n", ["a", "b"], 3) == [["A", "x"], ["1", "2, 3"], ["", ""]]
+    assert R.parse_labels("b , A\n1,2\n\n,\n3", ["a", "b"], 3) == [["2", "1"], ["", "3"], ["", ""]]
+    assert R.parse_labels(None, ["a"], 1) == [[""]]
+
+
+def test_tables_of_answers():
+    assert R.combined(["a,b\n1,2\n", "b,c\n3,4,5\n", "c\n"]) == 'a,b,c\n1,2,\n,3,"4,5"\n'
+    assert R.combined(["a,a\n1,2"]) is None and R.combined([None, ""]) is None
+    assert R.example_lines("k,prompt\n1,x\n2,\n") == "x" and R.example_lines("k,story\n1,long words\n22,x") == "long words\nx"
+    assert R.tokenised_lines(' a, "b, c"\n\n,\n') == "a,b, c\n,"
 
 
 def test_schema():

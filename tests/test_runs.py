@@ -25,17 +25,18 @@ def test_generation(spark, tmp_path):
     sent = {r.custom_id: r.body for r in spark.read.json(f"{folder}/requests").collect()}
     assert set(sent) == set(rows)
     for i, r in rows.items():
-        prompt = sent[i].messages[0].content
+        prompt = sent[i].messages[-1].content
         assert f"Write {r.chunk_rows} new" in prompt and ("- one" in prompt) == (0 in r.seed_idx) and ("capability" in prompt) == (r.kind == "schema")
     whole = [r for r in rows.values() if r.n_seeds == 0]
     answers = [line(r.custom_id, f"```csv\nexample_text,k\nt{r.chunk}, more,a\n```" if r.kind == "schema" else f" b{r.chunk} \n\n") for r in whole]
     part = [r for r in rows.values() if r.n_seeds and r.chunk == 0][:1]
     answers += [line(part[0].custom_id, "x"), line("unknown", "x"), line([r for r in rows.values() if r.n_seeds and r.chunk == 1][0].custom_id, "x", 500)]
     (tmp_path / "results.jsonl").write_text("\n".join(answers) + "\n\n")
-    texts, failures = runs.collect(spark, folder, str(tmp_path / "results.jsonl"))
+    texts, failures, raw = runs.collect(spark, folder, str(tmp_path / "results.jsonl"))
     got = {r.kind: r.text for r in texts.collect() if "_s0_" in r.stem}
     assert got["baseline"] == "b0\nb1"
     assert list(csv.reader(got["schema"].splitlines())) == [["example_text", "k"], ["t0, more", "a"], ["t1, more", "a"]]
+    assert [r.examples for r in texts.collect() if r.kind == "schema"] == ["t0, more\nt1, more"] and raw.isEmpty()
     lost = {r.custom_id: r.error for r in failures.collect()}
     assert lost["unknown"] == "unknown id" and sorted(set(lost.values())) == ["no answer", "no text", "unknown id"]
     assert len(lost) == len(rows) - len(whole) - 1 + 1
@@ -47,7 +48,7 @@ def test_ablations_ask_for_plain_lines(spark, tmp_path):
     asked = runs.stage(spark, str(tmp_path / "run"), Schema.parse(DOC), [("p", "m")], 1, ablation=True)
     kinds = {(r.variant_id > 0, r.kind) for r in asked.collect()}
     assert kinds == {(False, "schema"), (False, "baseline"), (True, "schema")}
-    assert all("Answer as CSV" not in r.body.messages[0].content for r in spark.read.json(str(tmp_path / "run/requests")).collect() if "v000" not in r.custom_id)
+    assert all("Answer as CSV" not in r.body.messages[-1].content for r in spark.read.json(str(tmp_path / "run/requests")).collect() if "v000" not in r.custom_id)
 
 
 def test_labels(spark, tmp_path, capsys):
@@ -71,6 +72,53 @@ def test_labels(spark, tmp_path, capsys):
     assert glob.glob(f"{folder}/labels-*/stem=one/*.csv")
 
 
+def test_files_that_cannot_be_put_together(spark, tmp_path):
+    folder = str(tmp_path / "run")
+    asked = runs.stage(spark, folder, Schema.parse(DOC), [("p", "m")], 1).collect()
+    (tmp_path / "r.jsonl").write_text("\n".join(line(r.custom_id, "k,k\n1,2\n" if r.kind == "schema" else "one, two") for r in asked))
+    texts, failures, raw = runs.collect(spark, folder, str(tmp_path / "r.jsonl"))
+    assert [(r.kind, r.text) for r in texts.collect()] == [("baseline", "one,two")]
+    assert [(r.kind, r.text) for r in raw.collect()] == [("schema", "k,k\n1,2\n")]
+    assert [r.error for r in failures.collect()] == ["no rows in the answers"]
+
+
+def test_only_and_done(spark, tmp_path):
+    one = lambda **k: {(r.stem, r.kind) for r in runs.stage(spark, str(tmp_path / "-".join(["run", *k])), Schema.parse(DOC), [("p", "m")], 1, 2, **k).collect()}
+    every = one()
+    stem = sorted(every)[0][0]
+    assert one(only=spark.createDataFrame([(f"x/{stem}.csv",)], "name string")) == {x for x in every if x[0] == stem}
+    assert one(done=spark.createDataFrame([(stem, "schema")], "stem string, kind string")) == every - {(stem, "schema")}
+
+
+def test_run_local_asks_again_for_missing_rows(spark, tmp_path):
+    folder = str(tmp_path / "run")
+    runs.stage(spark, folder, Schema.parse(DOC), [("p", "m")], 10, chunk=6)
+
+    def short(body):
+        """The stub, with at most 4 rows an answer, and nothing for a baseline."""
+        text = runs.stub(body)
+        return "\n".join(text.split("\n")[:5]) if "with the header" in body["messages"][-1]["content"] else None
+
+    texts, failures, raw = runs.run_local(spark, folder, short, rounds=4)
+    got = {r.kind: list(csv.reader(r.text.splitlines())) for r in texts.collect()}
+    assert set(got) == {"schema"} and got["schema"][0] == ["example_text", "k"] and len(got["schema"]) == 11
+    assert {r.error for r in failures.collect()} == {"no text"} and raw.isEmpty()
+    cli.main(["collect-local", "--folder", folder])
+    assert len(glob.glob(f"{folder}/texts-*/kind=*/stem=*")) == 2
+
+
+def test_label_targets(spark, tmp_path):
+    from assayer.sources.tables import label_targets
+
+    for name in ("a.txt", "a_labeled.csv", "b.txt", "deep/c.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    with pytest.warns(UserWarning, match="no folder"):
+        got = label_targets(spark, [str(tmp_path), str(tmp_path / "none")]).collect()
+    assert {(r.txt.rsplit("/", 1)[1], r.exists) for r in got} == {("a.txt", True), ("b.txt", False), ("c.txt", False)}
+    assert label_targets(spark, [str(tmp_path)], recursive=False).count() == 2
+
+
 @pytest.mark.parametrize("text", ["{}", '{"columns": {}}', '{"columns": ["k"]}'])
 def test_vocabulary_needs_columns(text):
     with pytest.raises(ValueError):
