@@ -1,20 +1,22 @@
 """Exact deduplication (operator 6) as a stateful stream, with Spark's own expressions only.
 
 The stream's keyed state has, per digest, the stable identifier (the largest doc_id), the number of rows and a content
-locator (the file that row was read from). It lives in RocksDB on the executors' disks, with its changelog in the shared
-folder, and never expires: there is no watermark. Digests with more than one row are hits; their full texts are compared
-by grouping on the text itself, and rows whose digest is shared by different texts are classed by text instead.
+locator (the file and place of that row). It lives in RocksDB on the executors' disks, with its changelog in the shared
+folder, and never expires: there is no watermark. Digests with more than one row are hits; their rows are fetched by their
+locators and their full texts compared by grouping on the text itself; rows whose digest is shared by different texts are
+classed by text instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_folder, written
 
+LOCATOR = "locator struct<file: string, place: long>"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,7 +48,7 @@ def keyed_state(rows: DataFrame, files_per_batch: int = 256) -> DataFrame:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # Each batch has the new state of the digests that it touched; the state of the last one counts.
-    every = spark.read.schema("digest string, keep_id long, group_size long, locator string, batch int").parquet(states)
+    every = spark.read.schema(f"digest string, keep_id long, group_size long, {LOCATOR}, batch int").parquet(states)
     return every.groupBy("digest").agg(*(F.max_by(c, "batch").alias(c) for c in ("keep_id", "group_size", "locator")))
 
 
@@ -54,47 +56,57 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     """doc_id, keep_id, group_size, kept, text_sha256, locator: one row per row of docs.
 
     A null text equals an empty one. Of equal texts the row with the largest doc_id stays; rows that repeat that doc_id with
-    the same text are one document and all marked as kept. Rows with a null doc_id are a group's keepers only if it has no
-    other. An empty table gives an empty result. Extra columns are not read."""
+    the same text are one document and all marked as kept. Rows with a null doc_id stay only if their text has no other row;
+    they too are one document. An empty table gives an empty result. Extra columns are not read, whatever their names."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("_metadata.file_path").alias("locator") if _from_files(docs) else F.lit("").alias("locator"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")) if _from_files(docs) else F.lit(None).cast(LOCATOR.split(" ", 1)[1])
+    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), place.alias("locator"))
     rows = written(seen.select(digest(F.col("text")).alias("digest"), "doc_id", "locator", F.sha2("text", 256).alias("text_sha256")), "digests")
     if not rows.inputFiles() or rows.isEmpty():
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(False).alias("kept"), "text_sha256", "locator")
     state = written(keyed_state(rows.select("digest", "doc_id", "locator"), files_per_batch), "state")
 
-    # Full bytes of the hits: texts of digests with several rows, each text once per task before it is shuffled.
-    hits = rows.join(state.where("group_size > 1"), "digest", "left_semi").select("doc_id").distinct()
-    texts = seen.select("doc_id", "text").join(hits.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("digest", digest(F.col("text")))
+    # Full bytes of the hits, the rows of digests with several; each text once per task before it is shuffled.
+    several = state.where("group_size > 1").select("digest")
+    if _from_files(docs):
+        hits = rows.join(several, "digest", "left_semi").select(F.col("locator.file").alias("file"), F.col("locator.place").alias("place"))
+        texts = seen.select("text", F.col("locator.file").alias("file"), F.col("locator.place").alias("place"), "doc_id").join(hits.hint("shuffle_hash"), ["file", "place"], "left_semi")
+        texts = texts.select("doc_id", "text", digest(F.col("text")).alias("digest"))
+    else:
+        texts = seen.select("doc_id", "text", digest(F.col("text")).alias("digest")).join(several.hint("shuffle_hash"), "digest", "left_semi")
     classes = texts.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = written(classes.select("digest", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"), "classes")
-    clash = classes.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    apart = classes.join(clash, "digest", "left_semi").select("text_sha256", F.col("keep_id").alias("own_id"), F.col("group_size").alias("own_size"))
-    return (
-        rows.join(state.drop("locator"), "digest")
-        .join(apart, "text_sha256", "left")
-        .select("doc_id", F.coalesce("own_id", "keep_id").alias("keep_id"), F.coalesce("own_size", "group_size").alias("group_size"), F.coalesce(F.col("doc_id") == F.coalesce("own_id", "keep_id"), F.lit(False)).alias("kept"), "text_sha256", "locator")
-    )
+    clash = written(classes.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "clashes")
+    found = rows.join(state.drop("locator"), "digest")
+    if not clash.isEmpty():
+        apart = written(classes.join(clash, "digest", "left_semi").select("text_sha256", F.struct("keep_id", "group_size").alias("own")), "apart")
+        found = found.join(apart, "text_sha256", "left")
+        found = found.withColumn("keep_id", F.when(F.col("own").isNull(), F.col("keep_id")).otherwise(F.col("own.keep_id"))).withColumn("group_size", F.coalesce("own.group_size", "group_size"))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "locator")
 
 
 def _from_files(docs: DataFrame) -> bool:
+    """Whether rows say from which place of which file they come."""
     try:
-        docs.select("_metadata.file_path")
-    except Exception:  # noqa: BLE001  not read from files: no such hidden column
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except Exception:  # noqa: BLE001  not read from such files: no such hidden columns
         return False
     return True
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their columns; of rows alike in doc_id and text one."""
+    """The rows of docs that stay, with their columns, of any names and types; of rows alike in doc_id and text the one whose other
+    columns come first as JSON. A null text equals an empty one and stays as it is. No rows give no rows."""
     return _kept(docs, exact_dedup(docs))
 
 
 def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
-    stay = found.where("kept").select("doc_id", F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    once = marked.join(stay.hint("shuffle_hash"), ["doc_id", "_sha"], "left_semi")
-    if found.where("kept").count() == stay.count():
-        return once.select(docs.columns)
-    order = Window.partitionBy("doc_id", "_sha").orderBy(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text")))
-    return once.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(docs.columns)
+    stay = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("times"))
+    stay = written(stay.select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"), "times"), "kept")
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), sha.alias("sha"))
+    same = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("doc_id").isNull() & F.col("keep_id").isNull())
+    once = marked.join(stay.hint("shuffle_hash"), (F.col("sha") == F.col("keep_sha")) & same, "left_semi")
+    if not stay.where("times > 1").isEmpty():
+        once = once.groupBy("doc_id", "sha").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
