@@ -166,7 +166,8 @@ def _linked(docs: DataFrame, width: int, threshold: float, bands: int = BANDS, r
         nodes = written(_surrogates(nodes, found), "nodes")
     # With fewer than percent / (100 - percent) shingles only equal sets are similar enough.
     searched = nodes.where(F.col("n") * (100 - percent) + (100 - percent) >= percent).select("node", "n", F.explode("keys").alias("key"))
-    shared = searched.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members")).where("members > 1").select("key")
+    # What is grouped is written before it is joined to the rows: then a hot key's rows are split by adaptive execution.
+    shared = written(searched.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "shared-keys")
     buckets = written(searched.join(shared, "key").select("key", "node", "n", F.col("node").alias("comp")), "buckets")
     inside = written(buckets.select("node").distinct().join(nodes.select("node", "digest", "nameless"), "node"), "candidates")
     texts = text_bytes(docs).join(inside.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
@@ -183,7 +184,7 @@ def _linked(docs: DataFrame, width: int, threshold: float, bands: int = BANDS, r
         # The leader of each of so many parts of a bucket; parts are hashed, so a large bucket is aggregated before it is shuffled.
         part = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)) if leaders > 1 else F.lit(0)
         top = buckets.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "n", "comp", *cells)).alias("top")).select("key", "top")
-        top = written(top, "leaders") if leaders > 1 else top
+        top = written(top, "leaders")
         wanted = (F.col("comp") != F.col("top.comp")) & (F.least("n", "top.n") * 100 >= F.greatest("n", "top.n") * percent)
         if cells:  # similar sets differ in at most this share of their sizes' sum
             differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"top.{c}"))) for c in cells))
@@ -230,29 +231,33 @@ def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def _narrowed(buckets: DataFrame) -> DataFrame:
     """Without the buckets that lie in one component."""
     wide = buckets.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    return buckets.join(wide, "key")
+    return buckets.join(written(wide, "wide-keys"), "key")
 
 
 def _with_digest(docs: DataFrame, width: int) -> DataFrame:
-    """docs and the digest of each row's set; null for the empty set."""
+    """(row, digest): each row of docs as a struct and the digest of its set; null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, width):
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary())], names=["_row", "_digest"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary())], names=["row", "digest"])
 
-    both = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
-    return both.mapInArrow(run, StructType([both.schema["_row"], StructField("_digest", BinaryType())])).select("_row.*", "_digest")
+    both = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
+    return both.mapInArrow(run, StructType([both.schema["row"], StructField("digest", BinaryType())]))
 
 
 def kept_rows(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs whose doc_id names their component; of a component without any id one row."""
+    """The rows of docs whose doc_id names their component, with their columns, of any names; of a component without any id one row.
+
+    Rows that share such a doc_id all stay, and so does every row with a null id and no words; a null text is one without words.
+    No rows give no rows."""
     linked = _linked(docs, width, threshold).where("kept")
-    stay = linked.select("doc_id").where("doc_id is not null").distinct()
-    out = docs.join(stay.hint("shuffle_hash"), docs["doc_id"] == stay["doc_id"], "left_semi")
-    others = docs.where("doc_id is null")
-    if others.isEmpty():
+    stay = linked.select(F.col("doc_id").alias("keep_id")).where("keep_id is not null").distinct()
+    out = docs.join(stay.hint("shuffle_hash"), docs["doc_id"].cast("long") == stay["keep_id"], "left_semi")
+    nameless = docs.where(docs["doc_id"].isNull())
+    if nameless.isEmpty():
         return out
-    others = _with_digest(others, width)
-    first = others.join(linked.where("doc_id is null").select(F.col("digest").alias("_digest")), "_digest", "left_semi").dropDuplicates(["_digest"])
-    return union_all([out, *(x.select(*(f"`{c}`" for c in docs.columns)) for x in (first, others.where("_digest is null")))])
+    others = _with_digest(nameless, width)
+    first = others.join(linked.where("doc_id is null").select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    rows = union_all([x.select("row") for x in (first, others.where("digest is null"))])
+    return out.unionByName(rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
