@@ -29,6 +29,22 @@ def unescaped(c: Column) -> Column:
     return F.array_join(parts, "\\")
 
 
+STEP = 256
+
+
+def running_sums(lengths: Column, step: int = STEP) -> Column:
+    """array<int>: the sum of what stands before each element. Sums run within slices of step elements, which start at the running
+    sums of the slices, so that a long array is not copied anew for each of its elements."""
+    none = F.array().cast("array<int>")
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    # The state is the sum so far and the sums before each element.
+    fold = lambda xs, start: F.aggregate(xs, F.struct(start.alias("s"), none.alias("out")), lambda a, x: F.struct((a["s"] + x).alias("s"), F.array_append(a["out"], a["s"]).alias("out")), lambda a: a["out"])
+    starts = F.when(F.size(lengths) > 0, F.sequence(F.lit(0), F.size(lengths) - 1, F.lit(step))).otherwise(none)
+    slices = F.transform(starts, lambda at: F.slice(lengths, at + 1, step))
+    begins = fold(F.transform(slices, total), F.lit(0))
+    return F.flatten(F.zip_with(slices, begins, fold))
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, blocks, loss: one row per conversation of turns(conv_id, turn, role, text).
 
@@ -39,25 +55,24 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     come first; a null conv_id is a conversation of its own. Other columns are not read; no turns, no rows."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sorted_turns = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    shown = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escaped_role(t["role"]).alias("name"), escaped(t["text"]).alias("text")))
-
-    # A turn that follows one of its own role adds to the block, any other one closes it and opens the next.
-    def add(state: Column, t: Column) -> Column:
-        goes_on = F.coalesce(state["role"] == t["role"], F.lit(False))
-        mark = F.when(goes_on, F.lit(NEXT)).otherwise(F.concat(F.when(state["role"].isNotNull(), F.lit(CLOSE)).otherwise(F.lit("")), F.lit(OPEN), t["name"], F.lit(MID)))
-        start = state["at"] + F.length(mark)
-        span = F.struct(start.alias("start"), F.length(t["text"]).alias("length"))
-        return F.struct(
-            t["role"].alias("role"),
-            F.concat(state["pieces"], F.array(F.concat(mark, t["text"]))).alias("pieces"),
-            (state["blocks"] + F.when(goes_on, 0).otherwise(1)).alias("blocks"),
-            (start + F.length(t["text"])).alias("at"),
-            F.when(t["role"] == LOSS_ROLE, F.concat(state["loss"], F.array(span))).otherwise(state["loss"]).alias("loss"),
-        )
-
-    nothing = F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("blocks"), F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
-    written_out = F.aggregate("shown", nothing, add, lambda state: F.struct(F.concat(F.array_join(state["pieces"], ""), F.lit(CLOSE)).alias("formatted"), state["blocks"].alias("blocks"), state["loss"].alias("loss")))
-    return sorted_turns.select("conv_id", shown.alias("shown")).select("conv_id", written_out.alias("out")).select("conv_id", "out.formatted", "out.blocks", "out.loss")
+
+    # A turn that follows one of its own role adds to the block, any other one closes that block and opens the next.
+    def piece(t: Column, i: Column) -> Column:
+        before = F.get("turns", i - 1)["role"]
+        goes_on = F.coalesce(before == t["role"], F.lit(False))
+        opening = F.concat(F.when(i > 0, F.lit(CLOSE)).otherwise(F.lit("")), F.lit(OPEN), escaped_role(t["role"]), F.lit(MID))
+        return F.struct(F.when(goes_on, F.lit(NEXT)).otherwise(opening).alias("mark"), escaped(t["text"]).alias("text"), goes_on.alias("goes_on"), (t["role"] == LOSS_ROLE).alias("loss"))
+
+    pieces = sorted_turns.select("conv_id", F.transform("turns", piece).alias("pieces"))
+    length = lambda p: F.length(p["mark"]) + F.length(p["text"])
+    placed = pieces.select("conv_id", "pieces", running_sums(F.transform("pieces", length)).alias("before"))
+    span = lambda p, i: F.when(p["loss"], F.struct((F.get("before", i) + F.length(p["mark"])).alias("start"), F.length(p["text"]).alias("length")))
+    return placed.select(
+        "conv_id",
+        F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["text"])), ""), F.lit(CLOSE)).alias("formatted"),
+        F.size(F.filter("pieces", lambda p: ~p["goes_on"])).alias("blocks"),
+        F.array_compact(F.transform("pieces", span)).alias("loss"),
+    )
 
 
 def loss_texts(formatted: Column, loss: Column) -> Column:
