@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, setup: Setup = Setup(), training:
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id, score, predicted: one row per row of docs; a null text is scored as an empty one. Extra columns are not read."""
+    """doc_id, score, predicted: one row per row of docs; a null text is scored as an empty one, repeated rows alike, null ids stay null.
+    An empty table gives no rows. Extra columns are not read."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -189,15 +191,15 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with their columns, that score least or more."""
+    """The rows of docs, with their columns, of any names, that score least or more. A null text is scored as an empty one and stays
+    or goes as it is; repeated rows are scored each for itself; no rows give no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, by = WordHashes(), sent.value
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            bodies = batch.column(at).cast(pa.binary()).fill_null(b"")
+            bodies = pc.struct_field(batch.column(0), "text").cast(pa.binary()).fill_null(b"")
             whole = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), bodies], names=["row", "body"])
             stay = [np.zeros(0, bool)]
             for part in portions([whole]):
@@ -205,4 +207,5 @@ def kept_rows(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFram
                 stay.append(1 / (1 + np.exp(-np.clip(z, -60, 60))) >= least)
             yield batch.filter(pa.array(np.concatenate(stay)))
 
-    return spread(docs).mapInArrow(run, docs.schema)
+    rows = spread(docs).select(F.struct("*").alias("row"))
+    return rows.mapInArrow(run, rows.schema).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
