@@ -272,6 +272,45 @@ def test_chat_loss_spans(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
 
 
+def test_long_conversations(spark):
+    """More turns than a slice of running sums has, with blocks over its edges."""
+    r = random.Random(5)
+    turns = [(c, t, r.choice(["user", "assistant", "assistant"]), "ab[\\c"[: r.randrange(6)]) for c, n in ((1, 255), (2, 256), (3, 257), (4, 1500), (5, 1)) for t in range(n)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(4)
+    rows = chat.format_conversations(df).select("conv_id", chat.read_back(F.col("formatted")).alias("t"), chat.loss_texts(F.col("formatted"), F.col("loss")).alias("said")).collect()
+    for x in rows:
+        assert [(t.role, t.text) for t in x.t] == [(role, text) for c, _, role, text in turns if c == x.conv_id]
+        assert x.said == [text for c, _, role, text in turns if c == x.conv_id and role == "assistant"]
+    assert len(rows) == 5
+
+
+def test_pairwise_terms_of_the_factorisation_machine():
+    """The sum-of-squares identity against the sum over explicit pairs of all features."""
+    setup = quality.Setup(slots=64, rank=3)
+    m, r = quality.Machine(setup), np.random.default_rng(7)
+    m.w, m.v, m.bias = r.normal(size=m.w.shape).astype(np.float32), r.normal(size=m.v.shape).astype(np.float32), 0.25
+    m.mean, m.spread = r.normal(size=quality.N_DENSE).astype(np.float32), r.uniform(1, 2, quality.N_DENSE).astype(np.float32)
+    bodies = [b"", b"a", b"one two two three", b"Some, more; WORDS here\nand there 12 " * 9]
+    dense, slots, weights, ends = quality._features(bodies, quality.WordHashes(), setup)
+    got = m.logits(dense, slots, weights, ends)
+    for i in range(len(bodies)):
+        x = np.zeros(setup.slots + quality.N_DENSE)
+        x[slots[ends[i] : ends[i + 1]]] = weights[ends[i] : ends[i + 1]]
+        x[setup.slots :] = m.scaled(dense[i : i + 1])[0]
+        pairs = sum(float(m.v[a].astype(float) @ m.v[b].astype(float)) * x[a] * x[b] for a in range(len(x)) for b in range(a + 1, len(x)) if x[a] and x[b])
+        assert abs(got[i] - (m.bias + float(m.w.astype(float) @ x) + pairs)) < 1e-4 * max(1, abs(got[i]))
+
+
+def test_quality_of_held_out_rows(spark):
+    """On the given tables: rows that were not learnt from are told apart."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 50 and len(bad) > 5
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.95
+
+
 def test_quality(spark, docs, empty):
     r = random.Random(4)
     rows = [(i, " ".join(r.choice(["good", "plain", "words", "here"]) for _ in range(60)) if i % 2 else "BUY!! " * 40) for i in range(200)]
