@@ -17,80 +17,134 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import portions, ship, spread, text_bytes, union_all, written
+from .common import portions, ship, spread, text_bytes, written
 
 ROW = 576
 SEGMENTS = "array<struct<position: int, kind: string, text: string, digest: string, caption: string>>"
-_SKIP, _VOID = {"script", "style", "template", "noscript"}, {"img", "source", "embed"}
-_BREAK = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "figcaption", "table", "ul", "ol", "pre", "blockquote", "td", "th", "body", "title", "nav", "header", "footer"}
+# Elements without visible text, media elements, and elements that end a text.
+_SKIP, _MEDIA = {"script", "style", "template", "noscript"}, {"img", "source", "embed", "video", "audio"}
+_BREAK = {
+    "p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "table", "ul", "ol", "pre", "blockquote", "td", "th",
+    "body", "title", "nav", "header", "footer", "main", "aside", "dl", "dt", "dd", "hr", "form",
+}
+#: Elements that no caption has inside: where one begins, a caption that was never closed ends.
+_BEYOND_CAPTION = {"article", "section", "table", "h1", "h2", "h3", "h4", "h5", "h6", "nav", "header", "footer", "body", "main", "aside"}
+
+
+class _Figure:
+    def __init__(self) -> None:
+        self.media: list[int] = []
+        self.captions: list[str] = []
 
 
 class _Segments(HTMLParser):
-    """Texts and media references in the order of the page; the caption of a figure goes to its media, else the alt text."""
+    """Texts and media references in the order of the page.
+
+    A figure's caption, wherever in the figure it stands, goes to its media that have no nearer figure with a caption; else the alt
+    text does. A caption of a figure without media, or without a figure, is text. Whatever is not closed ends with what holds it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.segments: list[dict] = []
         self.text: list[str] = []
         self.skip = 0
-        self.figure: list[int] | None = None
+        self.figures: list[_Figure] = []
         self.caption: list[str] | None = None
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """<![...]>, whatever its name, is a comment."""
+        return self.parse_bogus_comment(i)
+
+    def add_text(self, text: str) -> None:
+        if text := text.strip():
+            self.segments.append({"position": len(self.segments), "kind": "text", "text": text, "digest": None, "caption": None})
+
     def flush(self) -> None:
-        text = "".join(self.text).strip()
+        self.add_text("".join(self.text))
         self.text = []
-        if text:
-            self.segments.append({"position": len(self.segments), "kind": "text", "text": text, "digest": None, "caption": None})
+
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        caption, self.caption = "".join(self.caption).strip(), None
+        if self.figures and caption:
+            self.figures[-1].captions.append(caption)
+        else:
+            self.add_text(caption)
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.flush()
+        if not self.figures:
+            return
+        figure = self.figures.pop()
+        caption = " ".join(figure.captions)
+        if caption and figure.media:
+            for i in figure.media:
+                self.segments[i]["caption"] = caption
+        else:
+            self.add_text(caption)
+            if self.figures:
+                self.figures[-1].media += figure.media
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _SKIP:
             self.skip += 1
-        elif tag in _VOID or tag in ("video", "audio"):
+        elif tag in _MEDIA:
             found = dict(attrs)
-            src = found.get("src") or ""
-            if src:
+            if src := found.get("src") or "":
                 self.flush()
-                if self.figure is not None:
-                    self.figure.append(len(self.segments))
+                if self.figures:
+                    self.figures[-1].media.append(len(self.segments))
                 digest = src.removeprefix("sha256:") if src.startswith("sha256:") else hashlib.sha256(src.encode("utf-8", "replace")).hexdigest()
                 self.segments.append({"position": len(self.segments), "kind": "media", "text": None, "digest": digest, "caption": found.get("alt") or None})
-        elif tag == "figure":
+        elif tag in ("figure", "figcaption"):
+            self.end_caption()
             self.flush()
-            self.figure = []
-        elif tag == "figcaption":
-            self.flush()
-            self.caption = []
+            if tag == "figure":
+                self.figures.append(_Figure())
+            else:
+                self.caption = []
         elif tag in _BREAK:
+            if tag in _BEYOND_CAPTION:
+                self.end_caption()
+            elif self.caption:
+                self.caption.append(" ")
             self.flush()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SKIP:
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            caption, self.caption = "".join(self.caption).strip(), None
-            for i in self.figure or []:
-                self.segments[i]["caption"] = caption or self.segments[i]["caption"]
-        elif tag in _BREAK:
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure":
+            self.end_figure()
+        elif tag in _BREAK and self.caption is None:
             self.flush()
-            if tag == "figure":
-                self.figure = None
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
             (self.text if self.caption is None else self.caption).append(data)
 
+    def finish(self) -> list[dict]:
+        self.close()
+        self.end_caption()
+        self.flush()
+        while self.figures:
+            self.end_figure()
+        return self.segments
+
 
 def segments(page: str) -> list[dict]:
     parser = _Segments()
     parser.feed(page)
-    parser.close()
-    parser.flush()
-    return parser.segments
+    return parser.finish()
 
 
 def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(doc_id, segments): one row per row of pages; a null or empty page has no segments."""
+    """(doc_id, segments): one row per row of pages; a null or empty page has no segments. Malformed pages are read as far as they go."""
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +152,9 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
         for part in portions(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([segments(b.decode("utf-8", "replace")) for b in part.column(1).to_pylist()], kind)], names=["doc_id", "segments"])
 
-    return spread(text_bytes(pages, id_col, html_col)).mapInArrow(run, f"doc_id long, segments {SEGMENTS}")
+    bodies = pages.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("body"))
+    schema = StructType([bodies.schema["doc_id"], *StructType.fromDDL(f"segments {SEGMENTS}").fields])
+    return spread(bodies).mapInArrow(run, schema)
 
 
 def stored(payload: bytes) -> bytes:
@@ -127,58 +183,90 @@ def padded(body: bytes) -> bytes:
     return body + b"\xff" * (max(1, -(-len(body) // ROW)) * ROW - len(body))
 
 
-def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption: one row per row of docs.
+DESCRIBED = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    Each text becomes a page of the text followed by a figure of its bytes. A null text is empty: its payload is one row of
-    bytes 255. Repeated rows refer to one payload; rows of one doc_id stay apart. Extra columns are not read."""
-    ship(docs.sparkSession)
 
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in portions(batches):
-            payloads = list(map(padded, part.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array(map(stored, payloads), pa.binary())], names=["digest", "media"])
+def store(payloads: DataFrame) -> DataFrame:
+    """(digest, media), written, of payloads(body): each padded and stored as an image under the digest of its bytes."""
 
-    def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
-            out: list[tuple] = []
-            for doc_id, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                digest, caption = hashlib.sha256(padded(body)).hexdigest(), f"bytes of a text, {len(body)}"
-                page = f'<p>{html.escape(body.decode("utf-8", "replace"))}</p><figure><img src="sha256:{digest}"><figcaption>{caption}</figcaption></figure>'
-                out += [(doc_id, len(body), s["digest"], s["position"], s["caption"]) for s in segments(page) if s["kind"] == "media"]
-            kinds = pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "digest", "position", "caption"])
+            padded_ = list(map(padded, part.column(part.schema.get_field_index("body")).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).hexdigest() for p in padded_]), pa.array(map(stored, padded_), pa.binary())], names=["digest", "media"])
+
+    return written(payloads.select("body").mapInArrow(run, "digest string, media binary"), "media", "zstd")
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def described(media: DataFrame) -> DataFrame:
+    """A row per row of media(digest, media): what the stored bytes say."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches, text="media"):
             out: list[tuple] = []
-            for digest, media in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                samples = read_samples(media)
+            for digest, image in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                samples = read_samples(image)
                 payload = samples.tobytes()
-                out.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
+                out.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(samples)))
             kinds = pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()
-            names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in DESCRIBED.split(", ")])
+
+    return media.mapInArrow(run, DESCRIBED)
+
 
+def text_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, html) per row of docs(doc_id, body): a page of the text and, in a figure, a reference to the text's bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in portions(batches):
+            pages, sizes = [], []
+            for body in part.column(1).to_pylist():
+                digest, caption = hashlib.sha256(padded(body)).hexdigest(), f"bytes of a text, {len(body)}"
+                pages.append(f'<p>{html.escape(body.decode("utf-8", "replace"))}</p><figure><img src="sha256:{digest}"><figcaption>{caption}</figcaption></figure>')
+                sizes.append(len(body))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(pages, pa.string())], names=["doc_id", "n_bytes", "html"])
+
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, html string")
+
+
+def text_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption, n_segments: one
+    row per row of docs.
+
+    Each text becomes a page of the text followed by a figure of its bytes; the page is parsed and its sequence resolved against the
+    stored payloads, and the columns are read from the resolved sequence. A null text is empty: its payload is one row of bytes 255.
+    Repeated rows refer to one payload; rows of one doc_id and null ids stay apart. No rows give no rows; extra columns are not read."""
+    ship(docs.sparkSession)
     texts = spread(text_bytes(docs))
-    media = written(texts.mapInArrow(store, "digest string, media binary"), "media")
-    references = texts.mapInArrow(refer, "doc_id long, n_bytes long, digest string, position int, caption string")
-    descriptors = media.mapInArrow(describe, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").dropDuplicates(["digest"])
-    return references.join(descriptors, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    descriptors = described(store(texts))
+    pages = text_pages(texts).withColumn("row", F.struct("doc_id", "n_bytes"))
+    # What is carried through the join are the texts' digests; they keep their places as the texts would.
+    light = lambda s: s.withField("text", F.sha2(s["text"], 256))
+    sequences = parse_pages(pages, "row", "html").withColumn("segments", F.transform("segments", light))
+    found = resolve(sequences, descriptors)
+    one = F.filter("segments", lambda s: s["segment"]["kind"] == "media")[0]
+    return found.select(
+        "doc_id.doc_id", "doc_id.n_bytes", *(one["media"][c].alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")),
+        one["segment"]["position"].alias("position"), one["segment"]["caption"].alias("caption"), F.size("segments").alias("n_segments"),
+    )
+
+
+def page_sequences(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """(page_id, position, kind, text_sha256, digest, caption, media_bytes): a row per segment of pages(page_id, html), resolved against
+    known(digest, media_bytes)."""
+    found = resolve(parse_pages(pages), known.select("digest", "media_bytes"))
+    s = found.select(F.col("doc_id").alias("page_id"), F.explode("segments").alias("s")).select("page_id", "s.segment.*", F.col("s.media.media_bytes").alias("media_bytes"))
+    return s.select("page_id", "position", "kind", F.sha2("text", 256).alias("text_sha256"), "digest", "caption", "media_bytes")
 
 
 def resolve(sequences: DataFrame, store: DataFrame) -> DataFrame:
     """sequences(doc_id, segments) with store(digest, ...) put into each reference as a struct `media` (null where no payload is known).
 
-    The digests of a store are unique after dropDuplicates; segments keep their order by position."""
+    The rows of sequences stay apart, whatever their ids, which may be of any type; segments keep their order by position. Of a digest
+    that the store has several times one row counts; the store's rows are written first, so that the join is split where a reference is hot."""
     extra = [c for c in store.columns if c != "digest"]
-    rows = sequences.select("doc_id", F.posexplode_outer("segments").alias("at", "segment"))
-    found = store.dropDuplicates(["digest"]).select("digest", F.struct(*extra).alias("media"))
-    joined = union_all(
-        [
-            rows.where("segment.digest is null").withColumn("media", F.lit(None).cast(found.schema["media"].dataType)),
-            rows.where("segment.digest is not null").withColumn("digest", F.col("segment.digest")).join(found, "digest", "left").drop("digest"),
-        ]
-    )
-    back = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("segment").isNotNull(), F.struct("at", "segment", "media")))).alias("segments"))
-    return back.withColumn("segments", F.transform("segments", lambda s: F.struct(s["segment"].alias("segment"), s["media"].alias("media"))))
+    numbered = sequences.select(F.monotonically_increasing_id().alias("number"), "doc_id", "segments")
+    rows = numbered.select("number", "doc_id", F.posexplode_outer("segments").alias("at", "segment"))
+    found = written(store.dropDuplicates(["digest"]).select("digest", F.struct(*extra).alias("media")), "resolved")
+    joined = rows.withColumn("digest", F.col("segment.digest")).join(found, "digest", "left").drop("digest")
+    back = joined.groupBy("number").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.when(F.col("segment").isNotNull(), F.struct("at", "segment", "media")))).alias("segments"))
+    return back.select("doc_id", F.transform("segments", lambda s: F.struct(s["segment"].alias("segment"), s["media"].alias("media"))).alias("segments"))

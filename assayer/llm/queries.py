@@ -59,6 +59,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over the table of pages: every segment, resolved against payloads that are the addresses of the references of every
+    other page (there are no media in the test tables)."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    known = media.parse_pages(pages.where("page_id % 2 = 0")).select(F.explode("segments.digest").alias("digest")).where("digest is not null")
+    return media.page_sequences(pages, known.select("digest", F.length("digest").cast("long").alias("media_bytes")).distinct())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_lm_scoring, op2_byte_bpe, op3_media_columns, op4_token_counts, op5_minhash_near_dedup, op6_exact_dedup, op7_substring_dedup, op8_chat_formatting, op9_quality_classifier, op10_best_fit_packing, pipeline)
+    every = (op1_lm_scoring, op2_byte_bpe, op3_media_columns, op4_token_counts, op5_minhash_near_dedup, op6_exact_dedup, op7_substring_dedup, op8_chat_formatting, op9_quality_classifier, op10_best_fit_packing, media_pages, pipeline)
     return {f.__name__: f for f in every}
 
 

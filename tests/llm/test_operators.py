@@ -86,6 +86,9 @@ def test_bpe(docs, empty):
 def test_media(docs, empty):
     got = {r.doc_id: r for r in media.text_media(docs).collect()}
     for i, t in texts():
+        samples = np.frombuffer(media.padded(body(t)), np.uint8).reshape(-1, 576).astype(float)
+        assert got[i].feature.startswith(f"mean={samples.mean():.4f};std={samples.std():.4f};left={samples[:, :64].mean():.4f};dhash=")
+        assert (got[i].n_segments, got[i].position, got[i].caption) == (1 + bool((t or "").strip()), bool((t or "").strip()), f"bytes of a text, {len(body(t))}")
         p = media.padded(body(t))
         assert len(p) % 576 == 0 and len(p) and p.startswith(body(t))
         r = got[i]
@@ -95,6 +98,41 @@ def test_media(docs, empty):
     assert [(s["kind"], s["text"], s["digest"], s["caption"]) for s in seq] == [("text", "ab", None, None), ("media", None, "d", "cap"), ("text", "tail", None, None)]
 
 
+def test_malformed_pages():
+    short = lambda page: [(s["kind"][0], s["text"] or s["digest"], s["caption"]) for s in media.segments(page)]
+    img = lambda d: f'<img src="sha256:{d}" alt="alt {d}">'
+    for page, want in {
+        "<![foo bar]>a<![CDATA[x]]>b": [("t", "ab", None)],
+        "a<![": [("t", "a<![", None)],
+        f"<figure><figcaption>before</figcaption>{img(1)}{img(2)}</figure>z": [("m", "1", "before"), ("m", "2", "before"), ("t", "z", None)],
+        f"<figure>{img(1)}<figcaption>open<p>more</figure><p>rest": [("m", "1", "open more"), ("t", "rest", None)],
+        f"<figure>{img(1)}<figcaption>open<h2>head</h2><p>rest": [("m", "1", "open"), ("t", "head", None), ("t", "rest", None)],
+        f"<figure>{img(1)}<figure>{img(2)}<figcaption>in</figcaption></figure><figure>{img(3)}</figure><figcaption>out</figcaption></figure>": [("m", "1", "out"), ("m", "2", "in"), ("m", "3", "out")],
+        "<figure><figcaption>no media</figcaption></figure>": [("t", "no media", None)],
+        "x<figcaption>no figure</figcaption>y": [("t", "x", None), ("t", "no figure", None), ("t", "y", None)],
+        f"<figure>{img(1)}": [("m", "1", "alt 1")],
+        "<p>a<script>b": [("t", "a", None)],
+        "</figure></p></figcaption>a<img><img src=''>": [("t", "a", None)],
+        "a<b": [("t", "a<b", None)],
+    }.items():
+        assert short(page) == want, page
+
+
+def test_pages_of_the_table(spark):
+    """Every visible word of the given pages is in some segment, in order, and resolving changes neither order nor captions."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {r.page_id: media.segments(r.html or "") for r in pages.collect()}
+    assert any(s["kind"] == "text" for p in want.values() for s in p)
+    got = collections.defaultdict(list)
+    known = {s["digest"]: 9 for p in list(want.values())[::2] for s in p if s["digest"]}
+    store = spark.createDataFrame([("d", 1), *known.items()], "digest string, media_bytes long")
+    for r in media.page_sequences(pages, store).collect():
+        got[r.page_id].append(r)
+    for k, p in want.items():
+        sha = lambda t: t and hashlib.sha256(t.encode()).hexdigest()
+        assert [(s["position"], s["kind"], sha(s["text"]), s["digest"], s["caption"], known.get(s["digest"])) for s in p] == [tuple(r)[1:] for r in sorted(got[k], key=lambda r: r.position)]
+
+
 def test_resolve_keeps_positions(spark):
     pages = spark.createDataFrame([(1, '<p>a</p><img src="sha256:d"><p>b</p><img src="sha256:none">'), (2, None)], "page_id long, html string")
     store = spark.createDataFrame([("d", 7), ("d", 7)], "digest string, size long")
