@@ -1,11 +1,13 @@
 """A hashed maximum-entropy language model with class-factored softmax (operator 1).
 
-A word's class is a hash of its ending, so a word never seen has one too; the end of a text is a class of its own. Given the
-two words before, P(word) = P(class | words before) P(word | class). The class part is a softmax over sums of weights of hashed
-features: a bias, the word before (2-gram), the one before that (skip) and both together (3-gram). The word part is the class's
-add-one unigram distribution over all counts. What the class part needs of the corpus are counts of (bucket of each of the two
-words before, class): they are gathered in one pass with the word counts, and the weights are fitted by gradient updates that
-tasks compute from their share of these counts and the driver adds up. All tables but the word counts have a fixed size.
+A word's class is a hash of its ending, so a word never seen has one too; the end of a text is a class of its own. Within a class,
+words fall into groups by a hash. Given the two words before, P(word) = P(class | words before) P(group | class, words before)
+P(word | group). The first two are softmaxes over sums of weights of hashed features: a bias, the word before (2-gram), the one
+before that (skip) and both together (3-gram); the last is the group's add-one unigram distribution over all counts. What the
+softmaxes need of the corpus are counts of (hashed words before, class) and (hashed words before, class and group): they are gathered
+in one pass with the word counts, and the weights are fitted by gradient updates that tasks compute from their share of these counts
+and the driver adds up. All tables but the word counts have a fixed size. Probabilities of the words that were learnt and of one
+unknown word per group sum to 1.
 """
 
 from __future__ import annotations
@@ -30,12 +32,16 @@ _MARKS = b".,;:!?\"'()"
 
 @dataclass(frozen=True)
 class Setup:
-    """classes, buckets: sizes of the hashed tables; pairs: of the 3-gram features; prior: precision of the weights' Gaussian prior;
-    head: most words whose counts are broadcast."""
+    """classes, buckets: sizes of the hashed tables of the class part; pairs: of its 3-gram features; groups: of the words of a class,
+    with near and near_pairs as the sizes of their context tables; prior: precision of the weights' Gaussian prior; head: most words
+    whose counts are broadcast."""
 
     classes: int = 64
     buckets: int = 128
     pairs: int = 4096
+    groups: int = 64
+    near: int = 32
+    near_pairs: int = 64
     rounds: int = 12
     rate: float = 0.5
     prior: float = 20.0
@@ -47,20 +53,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Words(dict):
-    """word -> its place in a worker's bounded table, with class and context bucket."""
+    """word -> its place in a worker's bounded table, with class, group (numbered over all classes) and context bucket."""
 
     BOUND = 400_000
 
     def __init__(self, setup: Setup):
         super().__init__()
         self.setup = setup
-        self.words, self.classes, self.buckets = [b"", b""], [-1, 0], [0, 0]
+        self.words, self.classes, self.groups, self.buckets = [b"", b""], [-1, 0], [-1, 0], [0, 0]
 
     def __missing__(self, word: bytes) -> int:
         place = self[word] = len(self.words)
         core = word.strip(_MARKS) or word
         self.words.append(word)
-        self.classes.append(1 + zlib.crc32(core[-3:]) % (self.setup.classes - 1))
+        kind = 1 + zlib.crc32(core[-3:]) % (self.setup.classes - 1)
+        self.classes.append(kind)
+        self.groups.append(kind * self.setup.groups + zlib.crc32(word, 13) % self.setup.groups)
         self.buckets.append(1 + zlib.crc32(core[-4:], 7) % (self.setup.buckets - 1))
         return place
 
@@ -79,32 +87,47 @@ class Words(dict):
         return out, sizes + 1
 
 
-def _contexts(flat: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, context codes (bucket of the word before and of the one before it) and classes of the tokens that are not start marks."""
-    buckets, classes = np.array(words.buckets), np.array(words.classes)
-    b = buckets[flat]
-    token = flat[2:] != START
-    return flat[2:][token], (b[1:-1] * words.setup.buckets + b[:-2])[token], classes[flat[2:]][token]
+def _contexts(flat: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens that are not start marks: places, context codes (buckets of the word before and of the one before it) of the class
+    and of the group part, classes and groups."""
+    buckets, classes, groups = np.array(words.buckets), np.array(words.classes), np.array(words.groups)
+    b, token, some = buckets[flat], flat[2:] != START, words.setup.near
+    places = flat[2:][token]
+    return places, (b[1:-1] * words.setup.buckets + b[:-2])[token], (b[1:-1] % some * some + b[:-2] % some)[token], classes[places], groups[places]
+
+
+#: Kinds of counts besides those of words, which are the numbers of their groups.
+CLASS_CELL, GROUP_CELL = -1, -2
 
 
 def gather(docs: DataFrame, setup: Setup) -> DataFrame:
-    """(kind, key, n): counts of all tokens of docs(doc_id, body). kind: a word's class with the word, or -1 with a context code and class."""
+    """(kind, key, n): counts of all tokens of docs(doc_id, body). kind: a word's group with the word, or a negative one with a context code
+    and class or group as one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, cells = Words(setup), setup.buckets**2 * setup.classes
-        counts, seen = np.zeros(2, np.int64), np.zeros(cells, np.int64)
+        words, counts = Words(setup), np.zeros(2, np.int64)
+        size = {CLASS_CELL: setup.buckets**2 * setup.classes, GROUP_CELL: setup.near**2 * setup.classes * setup.groups}
+        seen, waiting = {k: np.zeros(n, np.int64) for k, n in size.items()}, {k: [] for k in size}
 
         def batch(kinds, keys, numbers) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int64())], names=["kind", "key", "n"])
 
         def flush() -> pa.RecordBatch:
             at = np.flatnonzero(counts)
-            return batch(np.array(words.classes)[at], [words.words[i] for i in at], counts[at])
+            return batch(np.array(words.groups)[at], [words.words[i] for i in at], counts[at])
+
+        def count(least: int) -> None:
+            for k, codes in waiting.items():
+                if sum(map(len, codes)) >= least:
+                    seen[k] += np.bincount(np.concatenate([*codes, np.empty(0, np.int64)]), minlength=size[k])
+                    codes.clear()
 
         for part in portions(batches, 3_000_000):
             flat, _ = words.flat(part.column(1).to_pylist())
-            places, context, kind = _contexts(flat, words)
-            seen += np.bincount(context * setup.classes + kind, minlength=cells)
+            places, context, near, kind, group = _contexts(flat, words)
+            waiting[CLASS_CELL].append(context * setup.classes + kind)
+            waiting[GROUP_CELL].append(near * setup.classes * setup.groups + group)
+            count(2_000_000)
             more = np.bincount(places, minlength=len(words.words))
             more[: len(counts)] += counts
             counts = more
@@ -113,52 +136,57 @@ def gather(docs: DataFrame, setup: Setup) -> DataFrame:
                 words, counts = Words(setup), np.zeros(2, np.int64)
         if counts.any():
             yield flush()
-        at = np.flatnonzero(seen)
-        if len(at):
-            yield batch(np.full(len(at), -1), pa.FixedSizeBinaryArray.from_buffers(pa.binary(4), len(at), [None, pa.py_buffer(at.astype("<u4").tobytes())]).cast(pa.binary()), seen[at])
+        count(0)
+        for k, cells in seen.items():
+            at = np.flatnonzero(cells)
+            if len(at):
+                yield batch(np.full(len(at), k), pa.FixedSizeBinaryArray.from_buffers(pa.binary(4), len(at), [None, pa.py_buffer(at.astype("<u4").tobytes())]).cast(pa.binary()), cells[at])
 
     return docs.mapInArrow(run, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-class Classes:
-    """P(class | context) from weights of hashed features."""
+class Factor:
+    """P(choice | outer, context) from weights of hashed features; there are inner choices for each of outer classes."""
 
-    def __init__(self, setup: Setup, totals: np.ndarray):
-        self.setup = setup
-        b = setup.buckets
-        self.bias = np.log((totals + 0.5) / (totals + 0.5).sum())
-        self.weights = np.zeros((2 * b + setup.pairs, setup.classes))
+    def __init__(self, totals: np.ndarray, outer: int, buckets: int, pairs: int):
+        self.shape, self.buckets, self.pairs = (outer, len(totals) // outer), buckets, pairs
+        of = (totals.reshape(self.shape) + 0.5).astype(np.float64)
+        self.bias = np.log(of / of.sum(1, keepdims=True)).ravel()
+        self.weights = np.zeros((2 * buckets + pairs, len(totals)), np.float32)
 
     def features(self, codes: np.ndarray) -> np.ndarray:
         """The sparse rows: indices of the active features besides the bias."""
-        b = self.setup.buckets
-        return np.stack([codes // b, b + codes % b, 2 * b + (codes * 2654435761 >> 7) % self.setup.pairs], 1)
+        b = self.buckets
+        return np.stack([codes // b, b + codes % b, 2 * b + (codes * 2654435761 >> 7) % self.pairs], 1)
 
     def log_probs(self, codes: np.ndarray) -> np.ndarray:
         rows = self.features(codes)
-        z = self.bias + self.weights[rows[:, 0]] + self.weights[rows[:, 1]] + self.weights[rows[:, 2]]
-        z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+        z = (self.bias + self.weights[rows[:, 0]] + self.weights[rows[:, 1]] + self.weights[rows[:, 2]]).reshape(-1, *self.shape)
+        z -= z.max(2, keepdims=True)
+        return (z - np.log(np.exp(z).sum(2, keepdims=True))).reshape(len(codes), -1)
 
     def gradient(self, codes: np.ndarray, kinds: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Observed less expected counts of every feature and class, and the expected ones."""
+        """Observed less expected counts of every feature and choice, and the expected ones."""
         some, at = np.unique(codes, return_inverse=True)
-        seen = np.zeros((len(some), self.setup.classes))
-        np.add.at(seen, (at, kinds), n)
-        expected = np.exp(self.log_probs(some)) * seen.sum(1, keepdims=True)
-        rows = self.features(some)
-        grad, mass = np.zeros_like(self.weights), np.zeros_like(self.weights)
-        for j in range(rows.shape[1]):
-            np.add.at(grad, rows[:, j], seen - expected)
-            np.add.at(mass, rows[:, j], expected)
+        grad, mass = np.zeros(self.weights.shape), np.zeros(self.weights.shape)
+        order = np.argsort(at, kind="stable")
+        at, kinds, n = at[order], kinds[order], n[order]
+        for low in range(0, len(some), 512):
+            here = slice(*np.searchsorted(at, [low, low + 512]))
+            few = some[low : low + 512]
+            seen = np.bincount((at[here] - low) * len(self.bias) + kinds[here], n[here], len(few) * len(self.bias)).reshape(len(few), *self.shape)
+            expected = (np.exp(self.log_probs(few)).reshape(seen.shape) * seen.sum(2, keepdims=True)).reshape(len(few), -1)
+            lack = seen.reshape(len(few), -1) - expected
+            for rows in self.features(few).T:
+                used, of = np.unique(rows, return_inverse=True)
+                active = (of[None] == np.arange(len(used))[:, None]).astype(np.float64)
+                grad[used] += active @ lack
+                mass[used] += active @ expected
         return grad, mass
 
 
-def fit(contexts: DataFrame, totals: np.ndarray, setup: Setup) -> Classes:
+def fit(contexts: DataFrame, model: Factor, setup: Setup) -> Factor:
     """Gradient updates, scaled by the expected counts; contexts(code, kind, n) is a written table of bounded size."""
-    model = Classes(setup, totals)
-    if not totals.any():
-        return model
     spark = contexts.sparkSession
     for _ in range(setup.rounds):
         now = spark.sparkContext.broadcast(model)
@@ -171,11 +199,11 @@ def fit(contexts: DataFrame, totals: np.ndarray, setup: Setup) -> Classes:
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (grad, mass)], names=["grad", "mass"])
 
         shape, grad, mass = model.weights.shape, 0.0, 0.0
-        for row in contexts.coalesce(8).mapInArrow(run, "grad binary, mass binary").collect():
+        for row in contexts.coalesce(4).mapInArrow(run, "grad binary, mass binary").toLocalIterator():
             grad = grad + np.frombuffer(row.grad, np.float32).reshape(shape)
             mass = mass + np.frombuffer(row.mass, np.float32).reshape(shape)
         now.unpersist()
-        model.weights += setup.rate * np.clip((grad - setup.prior * model.weights) / (mass + setup.prior), -1.5, 1.5)
+        model.weights += (setup.rate * np.clip((grad - setup.prior * model.weights) / (mass + setup.prior), -1.5, 1.5)).astype(np.float32)
     return model
 
 
@@ -190,13 +218,19 @@ def score(docs: DataFrame, training: Column | None = None, setup: Setup = Setup(
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     counts = written(gather(texts.where(~held if training is None else training), setup), "counts")
     kinds = {r.kind: (r.n, r.v) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    totals, sizes = (np.array([kinds.get(k, (0, 0))[i] for k in range(setup.classes)], np.int64) for i in (0, 1))
+    cells = setup.classes * setup.groups
+    totals, sizes = (np.array([kinds.get(k, (0, 0))[i] for k in range(cells)], np.int64) for i in (0, 1))
     n, v = int(totals.sum()), int(sizes.sum())
 
     h = F.hex("key")  # of a little-endian number
     whole = F.conv(F.concat(*(F.substring(h, i, 2) for i in (7, 5, 3, 1))), 16, 10).cast("long")
-    contexts = counts.where("kind = -1").select((whole / setup.classes).cast("long").alias("code"), (whole % setup.classes).alias("kind"), "n")
-    model = fit(written(contexts.repartition(8, "code"), "contexts"), totals, setup)
+
+    def fitted(kind: int, choices: int, model: Factor) -> Factor:
+        rows = counts.where(F.col("kind") == kind).select(F.floor(whole / choices).alias("code"), (whole % choices).alias("kind"), "n")
+        return fit(written(rows.repartition(4, "code"), "contexts"), model, setup) if n else model
+
+    classes = fitted(CLASS_CELL, setup.classes, Factor(totals.reshape(-1, setup.groups).sum(1), 1, setup.buckets, setup.pairs))
+    groups = fitted(GROUP_CELL, cells, Factor(totals, setup.classes, setup.near, setup.near_pairs))
 
     # Frequent words are broadcast, at most setup.head of them; the bound comes from a histogram of counts of fixed size.
     words = counts.where("kind >= 0")
@@ -213,12 +247,12 @@ def score(docs: DataFrame, training: Column | None = None, setup: Setup = Setup(
     for b in frequent.select("key", "n").toArrow().to_batches():
         head |= zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
     end = head.pop(b"", int(totals[0]))
-    per_class = np.log10(totals + sizes + 1.0)
-    known = sc.broadcast((head, end, model, per_class))
+    per_group = np.log10(totals + sizes + 1.0)
+    known = sc.broadcast((head, end, classes, groups, per_group))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, end, model, per_class = known.value
-        table = model.log_probs(np.arange(setup.buckets**2)).astype(np.float32) / np.float32(math.log(10)) if setup.buckets <= 128 else None
+        head, end, classes, groups, per_group = known.value
+        by_class, by_group = (f.log_probs(np.arange(f.buckets**2)).astype(np.float32) / np.float32(math.log(10)) for f in (classes, groups))
         words, task, done = Words(setup), TaskContext.get().partitionId() << 36, 0
         count = np.array([0, end], np.int64)
         for part in portions(batches, 1_500_000):
@@ -226,15 +260,11 @@ def score(docs: DataFrame, training: Column | None = None, setup: Setup = Setup(
                 words, count = Words(setup), np.array([0, end], np.int64)
             flat, sizes = words.flat(part.column(1).to_pylist())
             count = np.concatenate([count, np.fromiter((head.get(w, -1) for w in words.words[len(count) :]), np.int64, len(words.words) - len(count))])
-            places, context, kind = _contexts(flat, words)
+            places, context, near, kind, group = _contexts(flat, words)
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            if table is not None:
-                ln = table[context, kind]
-            else:
-                some, at = np.unique(context, return_inverse=True)
-                ln = model.log_probs(some)[at, kind] / math.log(10)
+            ln = by_class[context, kind] + by_group[near, group]
             c = count[places]
-            near = np.bincount(owner, ln - per_class[kind], len(sizes))
+            context_part = np.bincount(owner, ln - per_group[group], len(sizes))
             logs = np.bincount(owner, np.where(c < 0, 0.0, np.log10(np.maximum(c, 0) + 1.0)), len(sizes))
             found = np.bincount(owner, c > 0, len(sizes)).astype(np.int64)
             rare = c < 0
@@ -248,7 +278,7 @@ def score(docs: DataFrame, training: Column | None = None, setup: Setup = Setup(
             zero, zeros = np.zeros(len(of), np.int64), np.zeros(len(of))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([rows, rows[of]])), pa.concat_arrays([ids, ids.take(pa.array(of))]), pa.array(keys, pa.binary()), pa.array(np.concatenate([np.zeros(len(rows), np.int64), times])),
-                 pa.array(np.concatenate([sizes, zero])), pa.array(np.concatenate([found, zero])), pa.array(np.concatenate([logs, zeros])), pa.array(np.concatenate([near, zeros]))],
+                 pa.array(np.concatenate([sizes, zero])), pa.array(np.concatenate([found, zero])), pa.array(np.concatenate([logs, zeros])), pa.array(np.concatenate([context_part, zeros]))],
                 names=["row", "doc_id", "key", "times", "n_tokens", "found", "logs", "near"],
             )
 

@@ -61,10 +61,68 @@ def test_language_model(docs, empty):
     assert lm.score(empty).collect() == []
 
 
-def test_class_probabilities_sum_to_one():
-    m = lm.Classes(lm.Setup(), np.arange(64))
-    m.weights += np.random.default_rng(0).normal(size=m.weights.shape)
-    assert np.allclose(np.exp(m.log_probs(np.arange(500))).sum(1), 1)
+def plain_scores(rows, setup):
+    """{doc_id: score}: the model written out: dense features, a loop over contexts, the same updates."""
+    words = lm.Words(setup)
+    tokens = {i: [lm.START, lm.START, *(words[w] for w in body(t).lower().split()), lm.END] for i, t in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    unigram = collections.Counter(w for i in train for w in tokens[i][2:])
+
+    def factor(choice, outer, inner, buckets, pairs):
+        code = lambda a, b: (words.buckets[b] % buckets, words.buckets[a] % buckets)
+        seen = collections.Counter((code(a, b), choice(w)) for i in train for a, b, w in zip(tokens[i], tokens[i][1:], tokens[i][2:], strict=False))
+        total = np.zeros(outer * inner)
+        for (_, k), n in seen.items():
+            total[k] += n
+        of = total.reshape(outer, inner) + 0.5
+        bias, w = np.log(of / of.sum(1, keepdims=True)).ravel(), np.zeros((2 * buckets + pairs, outer * inner))
+        active = lambda c: (c[0], buckets + c[1], 2 * buckets + ((c[0] * buckets + c[1]) * 2654435761 >> 7) % pairs)
+
+        def probs(c):
+            z = np.exp(bias + sum(w[f] for f in active(c))).reshape(outer, inner)
+            return (z / z.sum(1, keepdims=True)).ravel()
+
+        for _ in range(setup.rounds):
+            grad, mass = np.zeros_like(w), np.zeros_like(w)
+            for c in {c for c, _ in seen}:
+                here = np.array([seen.get((c, k), 0) for k in range(outer * inner)], float)
+                expected = (probs(c).reshape(outer, inner) * here.reshape(outer, inner).sum(1, keepdims=True)).ravel()
+                for f in active(c):
+                    grad[f] += here - expected
+                    mass[f] += expected
+            w += setup.rate * np.clip((grad - setup.prior * w) / (mass + setup.prior), -1.5, 1.5)
+        return lambda a, b, x: np.log10(probs(code(a, b))[choice(x)])
+
+    first = factor(lambda w: words.classes[w], 1, setup.classes, setup.buckets, setup.pairs)
+    second = factor(lambda w: words.groups[w], setup.classes, setup.groups, setup.near, setup.near_pairs)
+    total, size = collections.Counter(), collections.Counter()
+    for w, n in unigram.items():
+        total[words.groups[w]] += n
+        size[words.groups[w]] += 1
+    word = lambda w: np.log10((unigram[w] + 1) / (total[words.groups[w]] + size[words.groups[w]] + 1))
+    return {i: sum(first(a, b, w) + second(a, b, w) + word(w) for a, b, w in zip(t, t[1:], t[2:], strict=False)) for i, t in tokens.items()}
+
+
+def test_scores_of_the_language_model(docs):
+    setup = lm.Setup(classes=5, buckets=6, pairs=7, groups=3, near=4, near_pairs=5, rounds=3, head=40)
+    rows = [(i, t) for i, t in texts() if len(t or "") < 400]
+    want = plain_scores(rows, setup)
+    got = {r.doc_id: r.score for r in lm.score(docs.where(F.coalesce(F.length("text"), F.lit(0)) < 400), setup=setup).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 * max(1, abs(want[i])) for i in want)
+
+
+def test_probabilities_sum_to_one():
+    for outer, n in ((1, 64), (8, 64)):
+        m = lm.Factor(np.arange(n), outer, 16, 32)
+        m.weights += np.random.default_rng(0).normal(size=m.weights.shape)
+        assert np.allclose(np.exp(m.log_probs(np.arange(256))).reshape(256, outer, -1).sum(2), 1)
+
+
+def test_language_model_of_held_out_rows(spark):
+    """On the given tables: most documents that were not learnt from are likelier under the model than under the base."""
+    rows = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert sum(r.score > r.base_score for r in rows) > 0.8 * len(rows)
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
 def test_bpe(docs, empty):
