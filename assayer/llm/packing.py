@@ -2,13 +2,15 @@
 
 Pieces shorter than a sequence are dealt to shards of bounded size. A shard is evolved on several islands: an individual is a
 grouping of the shard's pieces into bins; crossover injects whole well-filled bins of one parent into the other, takes out the
-bins that held the same pieces, and puts the displaced ones back by best fit, largest first; mutation dissolves the
-least-filled bins. Between epochs each island's elite migrates to the next island of its shard. The best individual of a
-shard stands; bins that it left with room are pooled with those of other shards and packed again.
+bins that held the same pieces, the least-filled ones and some others, and fits the displaced pieces back: bin by bin, each with
+the set of pieces, around the largest one left, that fills it best. Between epochs each island's elite migrates to the next
+island of its shard; epochs go on while they bring a gain. The best individual of a shard stands; bins that it left with room
+are pooled with those of other shards and packed again.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,15 +30,19 @@ SPECIAL = "<|endoftext|>"
 
 @dataclass(frozen=True)
 class Setup:
-    """capacity: tokens of a sequence; end_id: follows each document; shard: pieces evolved together, about; loose: share of room from which a bin is packed again."""
+    """capacity: tokens of a sequence; end_id: follows each document; shard: pieces evolved together, about; epochs: at most; moved: bins of
+    either parent that a crossover moves, at most; pool: pieces that a best set is chosen among; loose: share of room from which a bin is
+    packed again."""
 
     capacity: int = 1024
     end_id: int = 2
     shard: int = 4096
     islands: int = 2
-    epochs: int = 2
-    generations: int = 3
-    population: int = 4
+    epochs: int = 4
+    generations: int = 60
+    population: int = 5
+    moved: int = 12
+    pool: int = 32
     loose: float = 0.01
     levels: int = 3
     seed: int = 11
@@ -111,23 +117,55 @@ def fitness(bins: np.ndarray, sizes: np.ndarray) -> tuple[int, float]:
     return -len(fills), float((fills * fills).sum())
 
 
-def crossed(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+def best_sets(todo: np.ndarray, sizes: np.ndarray, capacity: int, bins: np.ndarray, fills: list[int], pool: int, rng: np.random.Generator) -> None:
+    """Put the items of todo into new bins, each filled as far as the largest item left and a set of others, out of at most pool
+    drawn ones that fit beside it, allow. The sums that sets reach are the bits of a number."""
+    left = todo[np.argsort(-sizes[todo], kind="stable")].tolist()
+    sizes_, total = sizes.tolist(), int(sizes[todo].sum())
+    falling = [-sizes_[i] for i in left]
+    while left and total > capacity:
+        room = capacity - sizes_[left[0]]
+        low = bisect.bisect_left(falling, -room, 1)
+        drawn = range(low, len(left)) if len(left) - low <= pool else sorted(rng.choice(len(left) - low, pool, replace=False) + low)
+        reached, limit = [1], (1 << (room + 1)) - 1
+        for k in drawn:
+            reached.append((reached[-1] | reached[-1] << sizes_[left[k]]) & limit)
+        want, chosen = reached[-1].bit_length() - 1, []
+        for k, before in zip(reversed(drawn), reversed(reached[:-1]), strict=True):
+            if not before >> want & 1:
+                chosen.append(k)
+                want -= sizes_[left[k]]
+        fill = 0
+        for k in [*chosen, 0]:
+            fill += sizes_[left[k]]
+            bins[left.pop(k)] = len(fills)
+            del falling[k]
+        fills.append(fill)
+        total -= fill
+    if left:
+        bins[left] = len(fills)
+        fills.append(total)
+
+
+def crossed(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, setup: Setup, rng: np.random.Generator) -> np.ndarray:
     """A child of a with well-filled bins of b."""
+    capacity = setup.capacity
     fills_a, fills_b = np.bincount(a, sizes), np.bincount(b, sizes)
-    good = np.flatnonzero(fills_b >= np.quantile(fills_b, 0.5))
+    some = lambda of, n: rng.choice(of, min(len(of), n), replace=False)
     taken = np.zeros(len(fills_b), bool)
-    taken[good[rng.random(len(good)) < 0.3]] = True
+    taken[some(np.flatnonzero(fills_b >= np.quantile(fills_b, 0.5)), int(rng.integers(0, setup.moved + 1)))] = True
     injected = taken[b]
     gone = np.zeros(len(fills_a), bool)
     gone[a[injected]] = True
-    gone[np.argsort(fills_a, kind="stable")[: 1 + len(fills_a) // 50]] = True
+    gone[np.argsort(fills_a, kind="stable")[:2]] = True
+    gone[some(np.arange(len(fills_a)), setup.moved)] = True
+    gone[some(np.flatnonzero(fills_a < capacity), setup.moved)] = True
     stay = ~gone[a] & ~injected
     child = np.full(len(a), -1, np.int32)
     new_b, new_a = np.cumsum(taken) - 1, np.cumsum(~gone) - 1 + int(taken.sum())
     child[injected], child[stay] = new_b[b[injected]], new_a[a[stay]]
     fills = np.concatenate([fills_b[taken], fills_a[~gone]]).astype(np.int64).tolist()
-    todo = np.flatnonzero(child < 0)
-    best_fit(todo[np.argsort(-sizes[todo], kind="stable")], sizes, capacity, child, fills)
+    best_sets(np.flatnonzero(child < 0), sizes, capacity, child, fills, setup.pool, rng)
     return child
 
 
@@ -135,18 +173,20 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], setup: Setup, seed:
     """A population after some generations, the elite first; it starts from best fit where there is none."""
     rng = np.random.default_rng(seed)
     bound = -(-int(sizes.sum()) // setup.capacity)
-    population = list(population) or [fresh(sizes, setup.capacity)]
     rank = lambda p: fitness(p, sizes)
-    while len(population) < setup.population and -rank(population[0])[0] > bound:
-        population.append(fresh(sizes, setup.capacity, rng))
+    found = [(rank(p), p) for p in population or [fresh(sizes, setup.capacity)]]
+    best = lambda: sorted(found, key=lambda x: x[0], reverse=True)[: setup.population]
+    while len(found) < setup.population and -found[0][0][0] > bound:
+        p = fresh(sizes, setup.capacity, rng)
+        found.append((rank(p), p))
     for _ in range(setup.generations):
-        population.sort(key=rank, reverse=True)
-        if -rank(population[0])[0] <= bound or len(population) < 2:
+        found = best()
+        if -found[0][0][0] <= bound or len(found) < 2:
             break
-        a, b = rng.choice(len(population), 2, replace=False)
-        population = [*population[: setup.population - 1], crossed(population[min(a, b)], population[max(a, b)], sizes, setup.capacity, rng)]
-    population.sort(key=rank, reverse=True)
-    return population[: setup.population]
+        a, b = (0, rng.integers(1, len(found))) if rng.random() < 0.7 else rng.choice(len(found), 2, replace=False)
+        child = crossed(found[a][1], found[b][1], sizes, setup, rng)
+        found.append((rank(child), child))
+    return [p for _, p in best()]
 
 
 def _epoch(shards: DataFrame, setup: Setup, epoch: int) -> DataFrame:
@@ -168,7 +208,7 @@ def _epoch(shards: DataFrame, setup: Setup, epoch: int) -> DataFrame:
 def pack_level(items: DataFrame, n: int, setup: Setup, level: int) -> DataFrame:
     """items(row, length), n of them -> (row, length, sequence_id, offset, fill)."""
     shards = -(-n // setup.shard)
-    dealt = items.select(F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)).alias("shard"), "row", "length").repartition(shards, "shard")
+    dealt = items.select(F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)).alias("shard"), "row", "length")
     lists = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("row", "length"))).alias("items"))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,12 +219,18 @@ def pack_level(items: DataFrame, n: int, setup: Setup, level: int) -> DataFrame:
     lists = written(lists.mapInArrow(sizes, "shard long, items array<struct<row: long, length: long>>, sizes binary"), "shards")
     none = F.array().cast("array<binary>")
     islands = lists.select("shard", F.explode(F.sequence(F.lit(0), F.lit(setup.islands - 1))).alias("island"), "sizes", none.alias("population"))
-    width = min(shards * setup.islands, 4 * lists.sparkSession.sparkContext.defaultParallelism + shards // 4)
+    # A task evolves several shards, one after the other: tasks do not grow in number with the shards.
+    session = lists.sparkSession
+    width = min(shards * setup.islands, max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+    before = None
     for epoch in range(setup.epochs):
         islands = written(_epoch(islands.repartition(width, "shard", "island"), setup, epoch), "islands")
-        if epoch + 1 < setup.epochs:
-            elite = islands.select("shard", F.pmod(F.col("island") + 1, F.lit(setup.islands)).alias("island"), F.slice("population", 1, 1).alias("elite"))
-            islands = islands.join(elite, ["shard", "island"]).select("shard", "island", "sizes", F.array_distinct(F.concat("elite", "population")).alias("population"))
+        bins = islands.groupBy("shard").agg(F.min("n_bins").alias("n")).agg(F.sum("n").alias("n")).first().n
+        if epoch + 1 == setup.epochs or bins == before:
+            break
+        before = bins
+        elite = islands.select("shard", F.pmod(F.col("island") + 1, F.lit(setup.islands)).alias("island"), F.slice("population", 1, 1).alias("elite"))
+        islands = islands.join(elite, ["shard", "island"]).select("shard", "island", "sizes", F.array_distinct(F.concat("elite", "population")).alias("population"))
     best = islands.groupBy("shard").agg(F.max_by(F.element_at("population", 1), F.struct(-F.col("n_bins"), "squares", -F.col("island"))).alias("best"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -419,6 +419,33 @@ def test_quality(spark, docs, empty):
     assert all(0 <= x.score <= 1 for x in quality.score(docs, quality.train(empty, labels)).collect())
 
 
+def test_evolution_beats_best_fit():
+    """Sets of pieces that best fit, largest first, packs into more bins than needed; no piece is lost and no bin overfull on the way."""
+    setup, gains = packing.Setup(capacity=100, generations=300), 0
+    for seed in range(8):
+        sizes = np.random.default_rng(seed).integers(3, 60, 150)
+        plain = packing.fresh(sizes, 100)
+        best = packing.evolve(sizes, [], setup, seed)
+        for p in best:
+            assert (p >= 0).all() and np.bincount(p, sizes).max() <= 100 and np.bincount(p).min() > 0
+        gains += int(plain.max() - best[0].max())
+        assert best[0].max() <= plain.max()
+    assert gains >= 2
+
+
+def test_best_sets():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 50):
+        sizes = r.integers(1, 101, n)
+        bins, fills = np.full(n, -1, np.int32), []
+        packing.best_sets(np.arange(n), sizes, 100, bins, fills, 12, r)
+        assert (bins >= 0).all() and fills == np.bincount(bins, sizes, len(fills)).astype(int).tolist() and max(fills, default=0) <= 100
+    sizes = np.array([60, 25, 15, 50, 30, 20])
+    bins, fills = np.full(6, -1, np.int32), []
+    packing.best_sets(np.arange(6), sizes, 100, bins, fills, 12, r)
+    assert fills == [100, 100]
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
