@@ -105,17 +105,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def portions(batches: Iterable[pa.RecordBatch], most_bytes: int = 2_000_000, text: str = "body") -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in portions of about most_bytes of text, one row at least, so that work arrays stay bounded."""
+def portions(batches: Iterable[pa.RecordBatch], most_bytes: int = 2_000_000, text: str = "body", sizes: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in portions of about most_bytes of text, one row at least, so that work arrays stay bounded. sizes: a column
+    that has the rows' bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
+        column = batch.column(batch.schema.get_field_index(sizes or text))
+        upto = np.cumsum(np.asarray(pc.fill_null(column if sizes else pc.binary_length(column), 0), dtype=np.int64))
         at = 0
         while at < batch.num_rows:
-            before = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, before + most_bytes, "right")))
+            before = upto[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, before + most_bytes, "right")))
             yield batch.slice(at, to - at)
             at = to
 

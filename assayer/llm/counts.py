@@ -1,9 +1,10 @@
-"""Token counts under edits (operator 4): a segment tree over pre-token segments of each document.
+"""Token counts under edits (operator 4): a segment tree over pre-token segments of each document, kept as a table.
 
 The text is cut at sure cuts (see bpe) into segments of some hundred characters; the leaves of a complete binary tree hold
-the segments' token counts, inner nodes their sums. An edit re-encodes the segments that it touches and one beside them on
-either side when their common cut may have moved; their text then lives in the first of these leaves and the sums on the
-paths above are corrected. The tree keeps its shape.
+the segments' token counts, inner nodes their sums. `trees` encodes every document once and keeps segments and counts;
+`edit_trees` works from such a table, not from the documents: an edit re-encodes the segments that it touches and one beside
+them on either side when their common cut may have moved; their text then lives in the first of these leaves and the sums on
+the paths above are corrected. The tree keeps its shape, and the edited trees can be written and edited again.
 """
 
 from __future__ import annotations
@@ -13,30 +14,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import _CUT, Codec, codec
-from .common import portions, ship, spread, text_bytes
+from .common import portions, ship, spread, text_bytes, written
 
 SEGMENT = 256
-OUT = "doc_id long, n_tokens long, n_edits int, n_tokens_edited long, chars_edited long, chars_encoded long, text_crc32 long"
+TREE = "doc_id long, n_bytes long, n_chars long, segments array<string>, tokens array<int>"
+EDITED = "doc_id long, n_tokens long, n_edits int, n_tokens_edited long, chars_edited long, chars_encoded long, text_crc32 long"
 
 
 class TokenTree:
-    def __init__(self, codec: Codec, text: str, segment: int = SEGMENT):
-        self.codec, self.encoded = codec, 0
-        cuts, last = [0], 0
-        for m in _CUT.finditer(text):
-            if m.start() - last >= segment:
-                last = m.start()
-                cuts.append(last)
-        cuts.append(len(text))
-        self.texts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        width = 1 << max(0, len(self.texts) - 1).bit_length()
+    def __init__(self, codec: Codec, texts: list[str], tokens: list[int] | None = None):
+        """Of segments; their tokens are counted where they are not known."""
+        self.codec, self.texts, self.encoded = codec, texts, 0
+        width = 1 << max(0, len(texts) - 1).bit_length()
         self.width = width
         self.tokens, self.chars = np.zeros(2 * width, np.int64), np.zeros(2 * width, np.int64)
-        for i, part in enumerate(self.texts):
-            self.tokens[width + i], self.chars[width + i] = self._count(part), len(part)
+        self.tokens[width : width + len(texts)] = list(map(self._count, texts)) if tokens is None else tokens
+        self.chars[width : width + len(texts)] = list(map(len, texts))
         low = width
         while low > 1:
             for sums in (self.tokens, self.chars):
@@ -44,6 +42,21 @@ class TokenTree:
             low //= 2
         self.encoded = 0
 
+    @classmethod
+    def of(cls, codec: Codec, text: str, segment: int = SEGMENT) -> TokenTree:
+        cuts, last = [0], 0
+        for m in _CUT.finditer(text):
+            if m.start() - last >= segment:
+                last = m.start()
+                cuts.append(last)
+        cuts.append(len(text))
+        return cls(codec, [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    @property
+    def leaves(self) -> np.ndarray:
+        """The tokens of the segments."""
+        return self.tokens[self.width : self.width + len(self.texts)]
+
     def _count(self, part: str) -> int:
         self.encoded += len(part)
         return len(self.codec.encode(part)) // 4
@@ -72,7 +85,8 @@ class TokenTree:
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace the characters [start, end) by new and put the sums right."""
         size = self.length
-        start, end = max(0, min(start, size)), max(0, min(end, size))
+        start = max(0, min(start, size))
+        end = max(start, min(end, size))
         if size == 0:
             return self._put(0, 0, new)
         # A cut stays sure only if neither of the characters at it changes: so the one before and the one after belong to it.
@@ -95,32 +109,64 @@ class TokenTree:
                 node //= 2
 
 
-def planned_edits(text: str, doc_id: int) -> list[tuple[int, int, str]]:
+def planned_edits(n_chars: Column, doc_id: Column) -> Column:
     """Three edits that follow from the text's length and id: a replacement, an insertion and a deletion, in this order."""
-    n, seed = len(text), zlib.crc32(str(doc_id).encode())
-    a, b, c = (seed * k % (n + 1) for k in (1, 7, 13))
-    return [(a, min(n, a + 9), " replaced words"), (b, b, "in sert\n"), (c, c + 5, "")]
+    at = lambda k: (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("None")).cast("binary")) * k % (n_chars + 1)).cast("long")
+    edit = lambda start, end, new: F.struct(start.alias("start"), end.alias("end"), F.lit(new).alias("new"))
+    return F.array(edit(at(1), at(1) + 9, " replaced words"), edit(at(7), at(7), "in sert\n"), edit(at(13), at(13) + 5, ""))
 
 
-def count_with_edits(docs: DataFrame, path: str, segment: int = SEGMENT, edits=planned_edits) -> DataFrame:
-    """One row per row of docs: tokens of the whole text, and after edits(text, doc_id) applied one after the other to its tree.
-
-    A null text is empty; an edit's range is clipped to the text as it then is. Repeated rows are counted each for itself."""
+def trees(docs: DataFrame, path: str, segment: int = SEGMENT) -> DataFrame:
+    """(doc_id, n_bytes, n_chars, segments, tokens), one row per row of docs, each text encoded once. A null text is empty: one segment of
+    no tokens. Repeated rows have a tree each, null ids stay null; no rows give no rows. Other columns are not read."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = codec(path)
         for part in portions(batches, 4_000_000):
+            built = [TokenTree.of(by, body.decode("utf-8", "replace"), segment) for body in part.column(1).to_pylist()]
+            sizes = pc.binary_length(part.column(1)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), sizes, pa.array([t.length for t in built], pa.int64()), pa.array([t.texts for t in built], pa.list_(pa.string())), pa.array([t.leaves for t in built], pa.list_(pa.int32()))],
+                names=["doc_id", "n_bytes", "n_chars", "segments", "tokens"],
+            )
+
+    return spread(text_bytes(docs)).mapInArrow(run, TREE)
+
+
+def with_edits(kept: DataFrame, edits: DataFrame) -> DataFrame:
+    """The trees with a column of their edits(doc_id, place, start, end, new), in the order of place; a tree without edits has none."""
+    one = F.struct(F.col("place"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("new", F.lit("")).alias("new"))
+    listed = F.transform(F.array_sort(F.collect_list(one)), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["new"].alias("new")))
+    per = edits.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(listed.alias("edits"))
+    return kept.join(per, "doc_id", "left").select(*kept.columns, F.coalesce("edits", F.array().cast("array<struct<start: long, end: long, new: string>>")).alias("edits"))
+
+
+def edit_trees(kept: DataFrame, path: str, with_trees: bool = False) -> DataFrame:
+    """What the edits of kept(trees' columns, edits array<struct<start, end, new>>) do, one row per row: tokens before and after them,
+    applied one after the other, and the characters that had to be encoded. An edit's range is in characters and is clipped to the text
+    as it then is. with_trees: with the edited trees' columns, so that they can be kept and edited again."""
+    ship(kept.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = codec(path)
+        for part in portions(batches, 4_000_000, sizes="n_bytes"):
             out: list[tuple] = []
-            for doc_id, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                text = body.decode("utf-8", "replace")
-                tree = TokenTree(by, text, segment)
-                before, todo = tree.total, edits(text, doc_id)
-                for edit in todo:
-                    tree.edit(*edit)
-                out.append((doc_id, before, len(todo), tree.total, tree.length, tree.encoded, zlib.crc32(tree.text().encode())))
-            kinds = pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()
-            names = ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "chars_edited", "chars_encoded", "text_crc32"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    return spread(text_bytes(docs)).mapInArrow(run, OUT)
+            for doc_id, texts, tokens, edits in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "segments", "tokens", "edits")), strict=True):
+                tree = TokenTree(by, texts, tokens)
+                before = tree.total
+                for e in edits:
+                    tree.edit(e["start"], e["end"], e["new"])
+                whole = tree.text().encode()
+                out.append((doc_id, before, len(edits), tree.total, tree.length, tree.encoded, zlib.crc32(whole), *((len(whole), tree.length, tree.texts, tree.leaves.tolist()) if with_trees else ())))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.list_(pa.string()), pa.list_(pa.int32())][: len(out[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split(" ")[0] for c in ddl.split(", ")])
+
+    ddl = EDITED + (", " + TREE.split(", ", 1)[1] if with_trees else "")
+    return kept.select("doc_id", "n_bytes", "segments", "tokens", "edits").mapInArrow(run, ddl)
+
+
+def count_with_edits(docs: DataFrame, path: str, segment: int = SEGMENT) -> DataFrame:
+    """One row per row of docs: tokens of the whole text, and after the planned edits applied to its tree, from a written table of trees."""
+    kept = written(trees(docs, path, segment), "token-trees", "zstd")
+    return edit_trees(kept.withColumn("edits", planned_edits(F.col("n_chars"), F.col("doc_id"))), path)

@@ -204,7 +204,7 @@ def test_counts_under_edits(docs, empty):
     some = list("ab'sl  \n\t.1²é 9ß")
     for _ in range(200):
         s = "".join(r.choice(some) for _ in range(r.randrange(80)))
-        tree = counts.TokenTree(by, s, 5)
+        tree = counts.TokenTree.of(by, s, 5)
         for _ in range(6):
             a = r.randrange(len(s) + 1)
             b, new = min(len(s), a + r.randrange(5)), "".join(r.choice(some) for _ in range(r.randrange(6)))
@@ -215,13 +215,34 @@ def test_counts_under_edits(docs, empty):
     for i, t in texts():
         s = t or ""
         assert got[i].n_tokens == len(by.bpe.encode_ordinary(s))
-        for a, b, new in counts.planned_edits(s, i):
+        n, seed = len(s), zlib.crc32(str(i).encode())
+        a, b, c = (seed * k % (n + 1) for k in (1, 7, 13))
+        for a, b, new in ((a, a + 9, " replaced words"), (b, b, "in sert\n"), (c, c + 5, "")):
             a, b = min(a, len(s)), min(b, len(s))
             s = s[:a] + new + s[b:]
         assert (got[i].n_tokens_edited, got[i].text_crc32) == (len(by.bpe.encode_ordinary(s)), zlib.crc32(s.encode()))
     assert counts.count_with_edits(empty, RANKS).collect() == []
 
 
+def test_trees_are_kept_and_edited_again(spark, docs):
+    """Edits from a table, on trees that were written, twice; only what is near an edit is encoded."""
+    by, r = bpe.codec(RANKS), random.Random(6)
+    now = {i: t or "" for i, t in texts()}
+    kept = counts.trees(docs, RANKS, 20).cache()
+    for _ in range(2):
+        edits = [(i, k, r.randrange(-2, len(t) + 3), r.randrange(len(t) + 9), r.choice(["", "x y", "é", None])) for i, t in now.items() if i % 3 for k in range(3)]
+        table = spark.createDataFrame(edits, "doc_id long, place int, start long, `end` long, new string")
+        got = counts.edit_trees(counts.with_edits(kept, table), RANKS, with_trees=True).collect()
+        for i, _, a, b, new in sorted(edits, key=lambda e: e[:2]):
+            s = now[i]
+            a, b = max(0, min(a, len(s))), max(0, min(b, len(s)))
+            now[i] = s[:a] + (new or "") + s[max(a, b) :]
+        assert {x.doc_id: "".join(x.segments) for x in got} == now
+        assert all((x.n_tokens_edited, sum(x.tokens)) == (len(by.bpe.encode_ordinary(now[x.doc_id])),) * 2 for x in got)
+        assert all(x.chars_encoded == 0 for x in got if not x.doc_id % 3)
+        kept = spark.createDataFrame([(x.doc_id, x.n_bytes, x.n_chars, x.segments, x.tokens) for x in got], counts.TREE)
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates(docs, width):
     sets = {}
