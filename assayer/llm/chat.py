@@ -32,17 +32,19 @@ def unescaped(c: Column) -> Column:
 STEP = 256
 
 
-def running_sums(lengths: Column, step: int = STEP) -> Column:
-    """array<int>: the sum of what stands before each element. Sums run within slices of step elements, which start at the running
-    sums of the slices, so that a long array is not copied anew for each of its elements."""
+def running_sums(df: DataFrame, lengths: str, out: str, step: int = STEP) -> DataFrame:
+    """df with array<int> out: the sum of what stands before each element of lengths. Sums run within slices of step elements, which start
+    at the running sums of the slices, so that a long array is not copied anew for each of its elements. Each stage is a column of its
+    own, so that none is worked out again for every slice."""
     none = F.array().cast("array<int>")
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
     # The state is the sum so far and the sums before each element.
     fold = lambda xs, start: F.aggregate(xs, F.struct(start.alias("s"), none.alias("out")), lambda a, x: F.struct((a["s"] + x).alias("s"), F.array_append(a["out"], a["s"]).alias("out")), lambda a: a["out"])
     starts = F.when(F.size(lengths) > 0, F.sequence(F.lit(0), F.size(lengths) - 1, F.lit(step))).otherwise(none)
-    slices = F.transform(starts, lambda at: F.slice(lengths, at + 1, step))
-    begins = fold(F.transform(slices, total), F.lit(0))
-    return F.flatten(F.zip_with(slices, begins, fold))
+    sliced = df.withColumn("slices_", F.transform(starts, lambda at: F.slice(lengths, at + 1, step)))
+    begun = sliced.withColumn("sums_", F.transform("slices_", total))
+    begun = begun.withColumn("begins_", fold(F.col("sums_"), F.lit(0)))
+    return begun.withColumn(out, F.flatten(F.zip_with("slices_", "begins_", fold))).drop("slices_", "sums_", "begins_")
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     pieces = sorted_turns.select("conv_id", F.transform("turns", piece).alias("pieces"))
     length = lambda p: F.length(p["mark"]) + F.length(p["text"])
-    placed = pieces.select("conv_id", "pieces", running_sums(F.transform("pieces", length)).alias("before"))
+    placed = running_sums(pieces.withColumn("lengths", F.transform("pieces", length)), "lengths", "before")
     span = lambda p, i: F.when(p["loss"], F.struct((F.get("before", i) + F.length(p["mark"])).alias("start"), F.length(p["text"]).alias("length")))
     return placed.select(
         "conv_id",
