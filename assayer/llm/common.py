@@ -57,13 +57,32 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def mark() -> int:
+    """A point from which free_since counts."""
+    return len(_made)
+
+
+def free_since(point: int, *keep: DataFrame) -> None:
+    """Delete the tables written since the point, but for those that the frames to keep are read from: what came of the others has been
+    written itself, so that no lost executor needs them again."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
+    for made in _made[point:]:
+        if made[1].rsplit("/", 1)[-1] not in kept:
+            _delete(*made)
+            _made.remove(made)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone, and with it the folder
             return
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import WordHashes, mix, portions, ship, spread, text_bytes, union_all, written
+from .common import WordHashes, free_since, mark, mix, portions, ship, spread, text_bytes, union_all, written
 
 BANDS, ROWS = 32, 4
 BITS = 1024
@@ -116,6 +116,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, comp): the least node that each node of edges(a, b) reaches. Labels fall along links and pointers are halved."""
+    before = mark()
     both = union_all([edges.select(F.col("a").alias("node"), F.col("b").alias("to")), edges.select(F.col("b").alias("node"), F.col("a").alias("to"))])
     links = written(both.where("node <> to").distinct(), f"{name}-links")
     labels = written(links.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("comp")), f"{name}-labels")
@@ -125,8 +126,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         far = labels.select(F.col("node").alias("low"), F.col("comp").alias("far"))
         new = low.join(far, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("new"), "comp")
         new = written(new.select("node", F.col("new").alias("comp"), (F.col("new") != F.col("comp")).alias("moved")), f"{name}-labels")
-        moved, labels = new.where("moved").isEmpty(), new.drop("moved")
-        if moved:
+        still, labels = new.where("moved").isEmpty(), new.drop("moved")
+        free_since(before, links, new)
+        if still:
             return labels
 
 
@@ -180,6 +182,7 @@ def _linked(docs: DataFrame, width: int, threshold: float, bands: int = BANDS, r
 
     maps: list[DataFrame] = []
     leaders, cells = 1, []
+    point = mark()
     while not buckets.isEmpty():
         # The leader of each of so many parts of a bucket; parts are hashed, so a large bucket is aggregated before it is shuffled.
         part = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)) if leaders > 1 else F.lit(0)
@@ -206,6 +209,7 @@ def _linked(docs: DataFrame, width: int, threshold: float, bands: int = BANDS, r
             cells = [f"c{i}" for i in range(BITS // 64)]
             rest = written(rest, "buckets").join(nodes.select("node", *(F.col("cells")[i].alias(c) for i, c in enumerate(cells))), "node")
         buckets = written(rest, "buckets")
+        free_since(point, buckets, *maps)
         leaders *= 4
 
     at = nodes.select("digest", "node", "nameless", "row", F.col("node").alias("comp"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import codec
-from .common import portions, ship, spread, text_bytes, union_all, written
+from .common import free_since, mark, portions, ship, spread, text_bytes, union_all, written
 
 SPECIAL = "<|endoftext|>"
 
@@ -222,9 +222,10 @@ def pack_level(items: DataFrame, n: int, setup: Setup, level: int) -> DataFrame:
     # A task evolves several shards, one after the other: tasks do not grow in number with the shards.
     session = lists.sparkSession
     width = min(shards * setup.islands, max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
-    before = None
+    before, point = None, mark()
     for epoch in range(setup.epochs):
         islands = written(_epoch(islands.repartition(width, "shard", "island"), setup, epoch), "islands")
+        free_since(point, islands)
         bins = islands.groupBy("shard").agg(F.min("n_bins").alias("n")).agg(F.sum("n").alias("n")).first().n
         if epoch + 1 == setup.epochs or bins == before:
             break

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, portions, ship, spread, text_bytes, written
+from .common import WordHashes, free_since, mark, mix, portions, ship, spread, text_bytes, written
 
 WINDOW, LEVELS = 50, 3
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -240,6 +240,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS) -> tupl
     of the documents that may lose some, not all, of their words. again: a smaller doc_id has the same word sequence."""
     ship(docs.sparkSession)
     keyed = text_bytes(docs).withColumn("tag", _tag(F.col("doc_id"), F.col("body")))
+    point = mark()
     found = written(_stretches(keyed, window, levels).withColumn("row", F.monotonically_increasing_id()), "stretches")
 
     # What is grouped is written before it is joined to the rows: then a hot key's rows are split by adaptive execution.
@@ -260,6 +261,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS) -> tupl
     lists = found.select("row", F.col("doc_id").alias("_id"), "tag", "sha256", "firsts", "numbers", "s1", "s2").join(lists, "row")
     texts = keyed.join(lists.hint("shuffle_hash"), "tag").where(_same_id(F.col("doc_id"), F.col("_id"))).drop("_id")
     texts = written(texts.dropDuplicates(["tag", "row"]).drop("tag"), "searched")
+    free_since(point, rows, texts)
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
