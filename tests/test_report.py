@@ -93,3 +93,45 @@ def test_subset_of_unknown_seeds(inputs):
     rows, vectors, seeds = inputs
     with pytest.raises(ValueError):
         report.evaluate(rows, Schema.parse(DOC), vectors, seeds, subset=[9])
+
+
+def test_realism_per_category(inputs):
+    """Categories are the composite labels of rows; those of seeds are given."""
+    rows, vectors, seeds = inputs
+    schema = Schema.parse({**DOC, "invalidCombinations": []})
+    label = "a=x+b=p+c=m"
+    labels = seeds.sparkSession.createDataFrame([(0, label), (1, label), (2, "a=z+b=z+c=z")], "id long, label string")
+    got = report.evaluate(rows, schema, vectors, seeds, seed_labels=labels, options=report.Options(transport=False, least_samples=2))
+    part = got.document["realism_full"]
+    assert part["seed_has_labels"] and set(part["category_stats"]) == {label}
+    stats = part["category_stats"][label]
+    unit = lambda df: {r.id: np.array(r.emb) / np.linalg.norm(r.emb) for r in df.collect()}
+    v, s = unit(vectors), unit(seeds)
+    far = [[1 - v[i] @ s[j] for j in (0, 1)] for i in (0, 5)]
+    assert (stats["n_generated"], stats["n_seeds"]) == (2, 2)
+    assert stats["novelty_min"] == pytest.approx(np.min(far, 1).mean()) and stats["novelty_avg"] == pytest.approx(np.mean(far))
+    assert stats["extrapolation"] == pytest.approx(stats["novelty_min"] * stats["containment"])
+    assert report.evaluate(rows, schema, vectors, seeds, options=report.Options(transport=False)).document["realism_full"]["category_stats"] == {}
+
+
+def test_folder_of_datasets(spark, inputs, tmp_path):
+    from assayer import __main__ as cli
+
+    rows, vectors, seeds = inputs
+    (tmp_path / "schema.json").write_text(json.dumps(DOC))
+    folder = tmp_path / "data"
+    folder.mkdir()
+    for name in ("one_labeled", "two_labeled"):
+        lines = ["text,a,b,c", *(f"t{i},{a or ''},{b or ''},{c or ''}" for i, a, b, c in ROWS[: 6 if name == "one_labeled" else 4])]
+        (folder / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    (folder / "one_labeled_metrics.csv").write_text("x\n")
+    both = [vectors.selectExpr(f"'{n}' as dataset", "*") for n in ("one_labeled", "two_labeled")]
+    both[0].unionByName(both[1].where("id < 4")).write.parquet(str(tmp_path / "v"))
+    seeds.write.parquet(str(tmp_path / "s"))
+    (tmp_path / "rules.json").write_text('[["y", "p"]]')
+    args = ["evaluate", "--schema", str(tmp_path / "schema.json"), "--vectors", str(tmp_path / "v"), "--seeds", str(tmp_path / "s"), "--not-realistic", str(tmp_path / "rules.json")]
+    cli.main([*args, "--input-dir", str(folder), "--out-json", str(tmp_path), "--out-csv", str(tmp_path)])
+    got = [json.loads((tmp_path / f"{n}_metrics.json").read_text()) for n in ("one_labeled", "two_labeled")]
+    assert [g["row_level"]["n_rows"] for g in got] == [6, 4] and all(g["coverage_constrained"]["excluded_count"] == 1 for g in got)
+    with pytest.raises(SystemExit):
+        cli.main(args)
