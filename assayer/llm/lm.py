@@ -40,7 +40,7 @@ class Setup:
     buckets: int = 128
     pairs: int = 4096
     groups: int = 64
-    near: int = 32
+    near: int = 16
     near_pairs: int = 64
     rounds: int = 12
     rate: float = 0.5
