@@ -87,6 +87,15 @@ def _clean() -> None:
             return
 
 
+def from_files(df: DataFrame) -> bool:
+    """Whether rows say from which place of which file they come."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except Exception:  # noqa: BLE001  not read from such files: no such hidden columns
+        return False
+    return True
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, written
+from .common import from_files, new_folder, written
 
 LOCATOR = "locator struct<file: string, place: long>"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -59,7 +59,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     the same text are one document and all marked as kept. Rows with a null doc_id stay only if their text has no other row;
     they too are one document. An empty table gives an empty result. Extra columns are not read, whatever their names."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")) if _from_files(docs) else F.lit(None).cast(LOCATOR.split(" ", 1)[1])
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")) if from_files(docs) else F.lit(None).cast(LOCATOR.split(" ", 1)[1])
     seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), place.alias("locator"))
     rows = written(seen.select(digest(F.col("text")).alias("digest"), "doc_id", "locator", F.sha2("text", 256).alias("text_sha256")), "digests")
     if not rows.inputFiles() or rows.isEmpty():
@@ -68,7 +68,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
 
     # Full bytes of the hits, the rows of digests with several; each text once per task before it is shuffled.
     several = state.where("group_size > 1").select("digest")
-    if _from_files(docs):
+    if from_files(docs):
         hits = rows.join(several, "digest", "left_semi").select(F.col("locator.file").alias("file"), F.col("locator.place").alias("place"))
         texts = seen.select("text", F.col("locator.file").alias("file"), F.col("locator.place").alias("place"), "doc_id").join(hits.hint("shuffle_hash"), ["file", "place"], "left_semi")
         texts = texts.select("doc_id", "text", digest(F.col("text")).alias("digest"))
@@ -85,15 +85,6 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "locator")
 
 
-def _from_files(docs: DataFrame) -> bool:
-    """Whether rows say from which place of which file they come."""
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
-    except Exception:  # noqa: BLE001  not read from such files: no such hidden columns
-        return False
-    return True
-
-
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns, of any names and types; of rows alike in doc_id and text the one whose other
     columns come first as JSON. A null text equals an empty one and stays as it is. No rows give no rows."""

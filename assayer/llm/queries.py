@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over the test tables, with SQL where it can express them."""
+"""The operators and the pipeline as queries over the test tables, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, exact, lm, media, neardup, packing, quality, substring
+from . import alignment, bpe, chat, counts, exact, lm, media, neardup, packing, quality, sharding, spelling, substring
 from .common import documents
 
-RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+RANKS, VOCABULARY, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(documents(spark, sf_dir))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
 def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3 over the table of pages: every segment, resolved against payloads that are the addresses of the references of every
     other page (there are no media in the test tables)."""
@@ -74,7 +86,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_lm_scoring, op2_byte_bpe, op3_media_columns, op4_token_counts, op5_minhash_near_dedup, op6_exact_dedup, op7_substring_dedup, op8_chat_formatting, op9_quality_classifier, op10_best_fit_packing, media_pages, pipeline)
+    every = (
+        op1_lm_scoring, op2_byte_bpe, op3_media_columns, op4_token_counts, op5_minhash_near_dedup, op6_exact_dedup, op7_substring_dedup, op8_chat_formatting,
+        op9_quality_classifier, op10_best_fit_packing, op11_external_shuffle, op12_spelling_variants, op13_tokenizer_alignment, media_pages, pipeline,
+    )
     return {f.__name__: f for f in every}
 
 
