@@ -82,83 +82,93 @@ def vocabulary(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
 
 @dataclass
 class Trie:
-    """A compact trie in the order of a walk: node i's first child is i + 1, what follows its subtree is after[i]; its edge has the letters
-    edges[at[i]:at[i + 1]]; n[i] is the count of the word that ends there, or 0. Node 0 is the root. It has at most two nodes a word."""
+    """A compact trie, level by level: node i's children are first[i] to first[i + 1] - 1, in the order of their letters; its edge has the
+    letters edges[at[i]:at[i + 1]], of which letters[i] is the first; n[i] is the count of the word that ends there, or 0. Node 0 is
+    the root. It has at most two nodes a word."""
 
     edges: bytes
+    letters: bytes
     at: array
-    after: array
+    first: array
     n: array
 
     @classmethod
     def of(cls, words: list[bytes], counts: list[int]) -> Trie:
         """words are distinct and sorted."""
-        parts: list[bytes] = []
-        after, n = array("i"), array("q")
-        # To do: a node of the words lo to hi, which share `end` letters, its edge being those from `start`; or (hi < 0) the end of node lo.
-        todo = [(0, len(words), 0, 0)]
-        while todo:
-            lo, hi, start, end = todo.pop()
-            if hi < 0:
-                after[lo] = len(parts)
-                continue
-            todo.append((len(parts), -1, 0, 0))
+        edges, letters = bytearray(), bytearray()
+        at, first, n = array("i"), array("i"), array("q")
+        # Nodes to come: the words lo to hi have `end` letters in common, the node's edge being those from `start`.
+        nodes = [(0, len(words), 0, 0)]
+        for lo, hi, start, end in nodes:
             whole = lo < hi and len(words[lo]) == end
-            parts.append(words[lo][start:end] if lo < hi else b"")
+            at.append(len(edges))
+            first.append(len(nodes))
             n.append(counts[lo] if whole else 0)
-            after.append(0)
-            lo, children = lo + whole, []
+            letters.append(words[lo][start] if end else 0)
+            edges += words[lo][start:end] if lo < hi else b""
+            lo += whole
             while lo < hi:
                 letter = words[lo][end]
                 to = bisect_left(words, words[lo][:end] + bytes([letter + 1]), lo, hi) if letter < 255 else hi
-                children.append((lo, to, end, _common(words[lo], words[to - 1])))
+                nodes.append((lo, to, end, _common(words[lo], words[to - 1])))
                 lo = to
-            todo += reversed(children)
-        at = array("i", [0])
-        for part in parts:
-            at.append(at[-1] + len(part))
-        return cls(b"".join(parts), at, after, n)
+        at.append(len(edges))
+        first.append(len(nodes))
+        return cls(bytes(edges), bytes(letters), at, first, n)
 
-    def packed(self) -> tuple[bytes, bytes, bytes, bytes]:
-        return self.edges, self.at.tobytes(), self.after.tobytes(), self.n.tobytes()
+    def packed(self) -> list[bytes]:
+        return [self.edges, self.letters, self.at.tobytes(), self.first.tobytes(), self.n.tobytes()]
 
     @classmethod
-    def unpacked(cls, edges: bytes, *rest: bytes) -> Trie:
+    def unpacked(cls, edges: bytes, letters: bytes, *rest: bytes) -> Trie:
         arrays = [array(kind) for kind in "iiq"]
         for a, raw in zip(arrays, rest, strict=True):
             a.frombytes(raw)
-        return cls(edges, *arrays)
+        return cls(edges, letters, *arrays)
 
     def neighbours(self, word: bytes) -> list[tuple[bytes, int]]:
         """The words at distance one with their counts."""
-        edges, at, after, n, step = self.edges, self.at, self.after, self.n, STEP
-        size, found = len(word), []
+        edges, letters, at, first, n, step = self.edges, self.letters, self.at, self.first, self.n, STEP
+        size, found, find = len(word), [], self.letters.find
         # Places of the word with one before the first and two past the last that no letter equals.
         w = b"\0" + word + b"\0\0"
         stack = [(0, 0, FIRST, b"")]
         while stack:
             node, depth, state, prefix = stack.pop()
-            child, end = node + 1, after[node]
-            while child < end:
-                d, s = depth, state
-                low, high = at[child], at[child + 1]
-                for i in range(low, high):
+            low, high = first[node], first[node + 1]
+            x, y, z = w[depth : depth + 3]
+            if state & CLEAN:
+                children = range(low, high)
+            else:  # no more edits: a child goes on with one of three letters at most
+                children = [find(x, low, high)] if state & 1 else []
+                if state & 2 and not (state & 1 and x == y):
+                    children.append(find(y, low, high))
+                if state & 4 and not (state & 1 and x == z or state & 2 and y == z):
+                    children.append(find(z, low, high))
+            for child in children:
+                if child < 0:
+                    continue
+                c = letters[child]
+                s = step[state << 3 | (x == c) | (y == c) << 1 | (z == c) << 2]
+                if not s:
+                    continue
+                d, here, to = depth + 1, at[child] + 1, at[child + 1]
+                while here < to:
                     if d > size:
                         s = 0
                         break
-                    c = edges[i]
+                    c = edges[here]
                     s = step[s << 3 | (w[d] == c) | (w[d + 1] == c) << 1 | (w[d + 2] == c) << 2]
                     if not s:
                         break
+                    here += 1
                     d += 1
-                past = after[child]
-                if s:
-                    here = prefix + edges[low:high]
-                    if n[child] and -1 <= size - d <= 1 and s >> (size - d + 1) & 1:
-                        found.append((here, n[child]))
-                    if past > child + 1:
-                        stack.append((child, d, s, here))
-                child = past
+                if not s or d > size + 1:
+                    continue
+                if n[child] and d >= size - 1 and s >> (size - d + 1) & 1:
+                    found.append((prefix + edges[at[child] : to], n[child]))
+                if d <= size and first[child] < first[child + 1]:
+                    stack.append((child, d, s, prefix + edges[at[child] : to]))
         return found
 
 
@@ -173,15 +183,15 @@ def _common(a: bytes, b: bytes) -> int:
 
 #: A state after d letters: bits 0 to 2 for places d - 1, d, d + 1 reached with one edit, bit 3 for place d without any. A letter is
 #: compared with the word's letters at d - 1, d, d + 1 (bits 0 to 2).
-_CLEAN = 8
-FIRST = _CLEAN | 4
+CLEAN = 8
+FIRST = CLEAN | 4
 
 
 def _next(state: int, same: int) -> int:
-    clean = state & _CLEAN
+    clean = state & CLEAN
     stays = 1 if clean or state & same & 1 else 0  # a letter more than the word has, or one edit before
     goes = 2 if state & same & 2 or clean and not same & 2 else 0  # another letter
-    ahead = _CLEAN if clean and same & 2 else 0
+    ahead = CLEAN if clean and same & 2 else 0
     return ahead | stays | goes | (4 if state & same & 4 or ahead else 0)  # a letter less
 
 
@@ -189,7 +199,7 @@ STEP = bytes(_next(state, same) for state in range(16) for same in range(8))
 
 
 #: What a word adds to a trie besides its letters, at most: two nodes.
-_NODES = 32
+_NODES = 34
 
 
 def tries(words: DataFrame, setup: Setup = Setup()) -> DataFrame:
