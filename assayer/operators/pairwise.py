@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import normalized
-from .spherical import beside, mean_vectors, unit
+from ..store import written
+from .spherical import beside, mean_vectors
 
 BLOCK = 1024
 
 
 def blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
     """vectors(grp, id, emb) -> (grp, blocks, block, items), emb normalised; blocks: their number in the group."""
-    sizes = vectors.groupBy("grp").agg(F.ceil(F.count("*") / size).alias("blocks"))
+    sizes = written(vectors.groupBy("grp").agg(F.ceil(F.count("*") / size).alias("blocks")), "sizes")
     dealt = beside(vectors, sizes).select("grp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.struct(F.col("id").cast("long").alias("id"), normalized(F.col("emb")).alias("emb")).alias("item"))
     return dealt.groupBy("grp", "blocks", "block").agg(F.collect_list("item").alias("items"))
 
@@ -113,7 +114,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, size: int = BLOCK) -> Da
 
 def mean_similarity(vectors: DataFrame) -> DataFrame:
     """(grp, pairs, mean_sim) over unordered pairs, from the sum of the unit vectors: no pair is made. mean_sim is null without pairs."""
-    m = mean_vectors(unit(vectors))
+    m = mean_vectors(vectors)
     n = F.col("n").cast("double")
     of_mean = F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x)
     mean = (n * of_mean - F.col("square")) / (n - 1)

@@ -3,41 +3,127 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import cosine_distance, dot, normalized
+from ..store import written
 
 
 def unit(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("emb", normalized(F.col("emb")))
 
 
+#: Numbers that a task holds for the groups it has met before it hands their sums on.
+HELD = 4_000_000
+
+
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    """The vectors of a batch (grp, emb), made unit."""
+    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(batch.num_rows, -1)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-10)
+
+
+def _moments(a: tuple, b: tuple) -> tuple:
+    """(n, mean, sum of squared deviations, sum of squared lengths) of two parts together."""
+    n = a[0] + b[0]
+    step = b[1] - a[1]
+    return n, a[1] + step * (b[0] / n), a[2] + b[2] + step * step * (a[0] * b[0] / n), a[3] + b[3]
+
+
+def by_group(vectors: DataFrame, of: Callable, merge: Callable, give: Callable, schema: str) -> DataFrame:
+    """A row (grp, ...) per group of vectors(grp, emb): of(X) -> (n, arrays or numbers, ...) of some rows of a group, merge of two of these,
+    give of the last to values.
+
+    Tasks sum up the groups that they meet, at most HELD numbers at a time; a shuffle by group brings sorted partial sums together,
+    which are merged one after the other. No row of all its dimensions is made, and a hot group comes as a row or a few per task. Null
+    vectors do not count."""
+    kind = vectors.schema["grp"].dataType.simpleString()
+    grp_kind = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            raw = [pickle.dumps(x, 5) for x in found.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(found), grp_kind), pa.array(raw, pa.binary())], names=["grp", "part"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = b.column(0).dictionary_encode("encode")
+            names, at = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            x, ends = _rows(b)[order], np.searchsorted(at[order], np.arange(len(names) + 1))
+            for k, grp in enumerate(names):
+                part = of(x[ends[k] : ends[k + 1]])
+                if grp in found:
+                    part = merge(found[grp], part)
+                else:
+                    held += sum(np.size(p) for p in part)
+                found[grp] = part
+                if held > HELD:
+                    yield flush()
+                    found.clear()
+                    held = 0
+        if found:
+            yield flush()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        grp, part = None, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([grp], grp_kind), *(pa.array([v]) for v in give(part))], names=["grp", *names])
+
+        for b in batches:
+            for g, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                one = pickle.loads(raw)
+                if part is not None and g == grp:
+                    part = merge(part, one)
+                    continue
+                if part is not None:
+                    yield row()
+                grp, part = g, one
+        if part is not None:
+            yield row()
+
+    parts = vectors.where("emb is not null").select("grp", "emb").mapInArrow(sums, f"grp {kind}, part binary")
+    return parts.repartition("grp").sortWithinPartitions("grp").mapInArrow(merged, f"grp {kind}, {schema}")
+
+
 def mean_vectors(vectors: DataFrame) -> DataFrame:
-    """(grp, n, mean, std_max, square) of unit vectors(grp, id, emb); square: the mean of their squared lengths. Summed per dimension,
-    so partial sums meet before the shuffle."""
-    dims = vectors.select("grp", F.posexplode("emb").alias("pos", "x")).groupBy("grp", "pos").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.avg(F.col("x") * F.col("x")).alias("q"))
-    ordered = dims.groupBy("grp").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("d"), F.max("s").alias("std_max"), F.sum("q").alias("square"))
-    return ordered.select("grp", "n", F.transform("d", lambda x: x["m"]).alias("mean"), "std_max", "square")
+    """(grp, n, mean, std_max, square) of vectors(grp, id, emb), made unit; square: the mean of their squared lengths."""
+
+    def of(x: np.ndarray) -> tuple:
+        mean = x.mean(0)
+        return len(x), mean, ((x - mean) ** 2).sum(0), float((x * x).sum())
+
+    def give(part: tuple) -> tuple:
+        n, mean, spread, square = part
+        return n, mean, float(np.sqrt(spread.max(initial=0.0) / n)), square / n
+
+    return by_group(vectors, of, _moments, give, "n long, mean array<double>, std_max double, square double")
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
-    return mean_vectors(unit(vectors)).select("grp", "n", normalized(F.col("mean")).alias("centroid"))
+    return mean_vectors(vectors).select("grp", "n", normalized(F.col("mean")).alias("centroid"))
 
 
-def beside(rows: DataFrame, per_group: DataFrame, most: int = 1_000, how: str = "inner") -> DataFrame:
-    """rows with the one row of per_group that their grp has. A few groups, counted first, are broadcast, so that a group of all rows
-    is not gathered; more are joined by shuffles."""
-    few = rows.select("grp").distinct().limit(most + 1).count() <= most
-    return rows.join(F.broadcast(per_group) if few else per_group, "grp", how)
+def beside(rows: DataFrame, per_group: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the one row of per_group that their grp has. Whether it is broadcast follows from its size: that of its files where it is
+    a written table, else that of the shuffled rows, when adaptive execution has them; a hot group's rows are split where it is not."""
+    return rows.join(per_group, "grp", how)
 
 
 def centroid_distances(vectors: DataFrame) -> DataFrame:
@@ -48,7 +134,7 @@ def centroid_distances(vectors: DataFrame) -> DataFrame:
 def closed_form(vectors: DataFrame, least: int = 2) -> DataFrame:
     """(grp, n, mu, r, kappa): kappa = r (d - r^2) / (1 - r^2), r clipped to [1e-6, 1 - 1e-6], kappa 1e-3 at least; mu of a mean of no
     length is the first axis."""
-    m = mean_vectors(unit(vectors)).where((F.col("n") >= least) & (F.col("std_max") >= 1e-6))
+    m = mean_vectors(vectors).where((F.col("n") >= least) & (F.col("std_max") >= 1e-6))
     r = F.least(F.greatest(F.sqrt(dot(F.col("mean"), F.col("mean"))), F.lit(1e-6)), F.lit(1 - 1e-6))
     axis = F.transform("mean", lambda x, i: F.when(i == 0, 1.0).otherwise(0.0))
     mu = F.when(dot(F.col("mean"), F.col("mean")) > 1e-24, normalized(F.col("mean"))).otherwise(axis)
@@ -141,22 +227,68 @@ def log_likelihoods(vectors: DataFrame, fits: DataFrame) -> DataFrame:
     return beside(unit(vectors), fits).select("grp", "id", (F.col("log_c") + F.col("kappa") * dot(F.col("emb"), F.col("mu"))).alias("ll"))
 
 
-def percentiles(rows: DataFrame, value: str, p: float, accuracy: int = 10_000) -> DataFrame:
-    """(grp, cut): the exact interpolated percentile of value in each group.
+#: Bits of a value's order that a pass of `percentiles` counts by.
+DIGIT = 16
+
+
+def _ordered(rows: DataFrame, grp: str) -> DataFrame:
+    """(grp, key): x as a whole number with the order of doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = (b.column(1).to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits ^ (bits >> 63 & np.int64((1 << 63) - 1)))], names=["grp", "key"])
+
+    return rows.mapInArrow(run, f"grp {grp}, key long")
+
 
-    Of a group of more than twice `accuracy` rows a bounded sketch, off by a share of 1 / accuracy at most, gives two values around the
-    percentile; the rows below the first are only counted, those between are sorted. Null values do not count."""
+def _values(found: DataFrame, grp: str) -> DataFrame:
+    """(grp, n, rank, x) of found(grp, n, rank, key): the numbers of `_ordered` back as doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(3).to_numpy(zero_copy_only=False)
+            bits = key ^ (key >> 63 & np.int64((1 << 63) - 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(bits.view(np.float64))], names=["grp", "n", "rank", "x"])
+
+    return found.select("grp", "n", "rank", "key").mapInArrow(run, f"grp {grp}, n long, rank long, x double")
+
+
+def _selected(some: DataFrame, sizes: DataFrame, p: float) -> DataFrame:
+    """(grp, cut) by digits: each pass counts the values that share what is known of the sought one by their next digit, and so finds that
+    digit; the last pass knows the value. Per group it holds a count per digit."""
+    grp = some.schema["grp"].dataType.simpleString()
+    point = (F.col("n") - 1) * F.lit(p)
+    keys = written(_ordered(some, grp), "keys")
+    ranks = F.explode(F.array_distinct(F.array(F.floor(point).cast("long"), F.ceil(point).cast("long"))))
+    sought = written(sizes.select("grp", "n", ranks.alias("rank")).withColumns({"left": F.col("rank"), "known": F.lit(0).cast("long")}), "sought")
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        # The sign makes the first digit count from below: all further ones are of bits without a sign.
+        digit = F.shiftright("key", shift) + (1 << DIGIT - 1) if shift == 64 - DIGIT else F.shiftrightunsigned("key", shift).bitwiseAND((1 << DIGIT) - 1)
+        known = F.lit(0).cast("long") if shift == 64 - DIGIT else F.shiftright("key", shift + DIGIT)
+        counts = keys.select("grp", known.alias("known"), digit.alias("digit")).join(sought.select("grp", "known").distinct(), ["grp", "known"], "left_semi")
+        digits = counts.groupBy("grp", "known", "digit").agg(F.count("*").alias("times")).groupBy("grp", "known").agg(F.sort_array(F.collect_list(F.struct("digit", "times"))).alias("digits"))
+        start = F.struct(F.col("left").alias("left"), F.lit(-1).cast("long").alias("digit"))
+        over = F.aggregate("digits", start, lambda at, d: F.when(at["digit"] >= 0, at).when(at["left"] < d["times"], F.struct(at["left"].alias("left"), d["digit"].cast("long").alias("digit"))).otherwise(F.struct((at["left"] - d["times"]).alias("left"), at["digit"].alias("digit"))))
+        found = sought.join(digits, ["grp", "known"]).select("grp", "n", "rank", "known", over.alias("at"))
+        value = F.col("at.digit") - (1 << DIGIT - 1) if shift == 64 - DIGIT else F.shiftleft("known", DIGIT).bitwiseOR(F.col("at.digit"))
+        sought = written(found.select("grp", "n", "rank", F.col("at.left").alias("left"), value.alias("known")), "sought")
+    values = _values(sought.withColumnRenamed("known", "key"), grp).groupBy("grp", "n").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    return values.select("grp", (F.col("a") + (F.col("b") - F.col("a")) * (point - F.floor(point))).alias("cut"))
+
+
+def percentiles(rows: DataFrame, value: str, p: float, whole: int = 100_000) -> DataFrame:
+    """(grp, cut): the exact interpolated percentile of value in each group. Null values do not count.
+
+    Groups are counted first. While the largest has at most `whole` rows, an aggregate of the group's values gives it; else it is
+    selected digit by digit, so that no task holds or sorts a group. rows are read several times: write them first."""
     x = F.col(value)
     some = rows.where(x.isNotNull()).select("grp", x.cast("double").alias("x"))
-    around, whole = 3 / accuracy, 2 * accuracy
-    near = F.percentile_approx("x", [max(0.0, p - around), min(1.0, p + around)], accuracy)
-    sketch = some.groupBy("grp").agg(F.count("*").alias("n"), near.alias("near"), F.min("x").alias("least"), F.max("x").alias("most"))
-    bounds = sketch.select("grp", "n", F.when(F.col("n") <= whole, F.col("least")).otherwise(F.col("near")[0]).alias("from"), F.when(F.col("n") <= whole, F.col("most")).otherwise(F.col("near")[1]).alias("to"))
-    kept = beside(some, bounds).where("x <= `to`").groupBy("grp", "n", F.when(F.col("x") < F.col("from"), None).otherwise(F.col("x")).alias("x")).agg(F.count("*").alias("times"))
-    upto = kept.withColumn("upto", F.sum("times").over(Window.partitionBy("grp").orderBy(F.col("x").asc_nulls_first())))
-    rank = (F.col("n") - 1) * F.lit(p)
-    at = upto.groupBy("grp", "n").agg(F.min(F.when(F.col("upto") > F.floor(rank), F.col("x"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil(rank), F.col("x"))).alias("b"))
-    return at.select("grp", (F.col("a") + (F.col("b") - F.col("a")) * (rank - F.floor(rank))).alias("cut"))
+    sizes = some.groupBy("grp").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    if most <= whole:
+        return some.groupBy("grp").agg(F.percentile("x", F.lit(p)).alias("cut"))
+    return _selected(some, sizes, p)
 
 
 def outliers(lls: DataFrame, percent: float = 0.1) -> DataFrame:
@@ -164,37 +296,33 @@ def outliers(lls: DataFrame, percent: float = 0.1) -> DataFrame:
     return beside(lls, percentiles(lls, "ll", percent)).where("ll < cut").select("grp", "id", "ll")
 
 
+def _vendi(n: int, e: np.ndarray, normalize: bool) -> float:
+    e = e[e > 1e-14]
+    q = e / e.sum()
+    score = 1.0 if n <= 1 or not len(e) else float(np.exp(-(q * np.log(q + 1e-15)).sum()))
+    return score / n if normalize and n > 1 else score
+
+
 def vendi(vectors: DataFrame, normalize: bool = False) -> DataFrame:
-    """(grp, n, vendi): exp of the entropy of the eigenvalues of X X' / n, by the d x d matrix X' X, summed from partial sums."""
+    """(grp, n, vendi): exp of the entropy of the eigenvalues of X X' / n.
 
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
-        for b in batches:
-            grp = np.array(b.column(0).to_pylist(), dtype=object)
-            if not len(grp):
-                continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(grp), -1)
-            for g in set(grp.tolist()):
-                part = x[grp == g]
-                n, m = sums.get(g, (0, 0.0))
-                sums[g] = n + len(part), m + part.T @ part
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([n for n, _ in sums.values()]), pa.array([m.ravel().tolist() for _, m in sums.values()])], names=["grp", "n", "cells"])
-
-    def entropy(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    They are those of the d x d matrix X' X, summed from partial sums, or for a group of fewer rows than dimensions those of its n x n matrix,
+    from its rows: no group takes more than d x d numbers in a task, or more than it has in a shuffle."""
+    kind = vectors.schema["grp"].dataType.simpleString()
+    some = vectors.where("emb is not null").select("grp", "emb")
+    sizes = written(some.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.size("emb")).alias("d")), "sizes")
+    sized = beside(some, sizes)
+
+    def of_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
-            for n, cells in zip(p.n, p.cells, strict=True):
-                d = math.isqrt(len(cells))
-                e = np.linalg.eigvalsh(np.array(cells).reshape(d, d) / n)
-                e = e[e > 1e-14]
-                q = e / e.sum()
-                score = 1.0 if n <= 1 or not len(e) else float(np.exp(-(q * np.log(q + 1e-15)).sum()))
-                out.append(score / n if normalize and n > 1 else score)
+            for rows in p.rows:
+                x = np.stack(rows).astype(float)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
+                out.append(_vendi(len(x), np.linalg.eigvalsh(x @ x.T / len(x)), normalize))
             yield pd.DataFrame({"grp": p.grp, "n": p.n, "vendi": out})
 
-    kind = vectors.schema["grp"].dataType.simpleString()
-    parts = unit(vectors).select("grp", "emb").mapInArrow(gram, f"grp {kind}, n long, cells array<double>")
-    cells = parts.select("grp", "n", F.posexplode("cells").alias("pos", "x")).groupBy("grp", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    whole = cells.groupBy("grp").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("cells"))
-    return whole.mapInPandas(entropy, f"grp {kind}, n long, vendi double")
+    few = sized.where("n < d").groupBy("grp", "n").agg(F.collect_list("emb").alias("rows")).mapInPandas(of_rows, f"grp {kind}, n long, vendi double")
+    add = lambda a, b: (a[0] + b[0], a[1] + b[1])
+    give = lambda part: (part[0], _vendi(part[0], np.linalg.eigvalsh(part[1] / part[0]), normalize))
+    return few.unionByName(by_group(sized.where("n >= d").select("grp", "emb"), lambda x: (len(x), x.T @ x), add, give, "n long, vendi double"))

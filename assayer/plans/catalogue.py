@@ -388,7 +388,7 @@ def dataset_center_dist(spark, d):
 
 @query(MEANS(True) + "SELECT grp, n >= 2 AND s >= 1e-6 AS sufficient FROM c")
 def sufficient_variance(spark, d):
-    m = S.mean_vectors(S.unit(vectors(spark, d, True)))
+    m = S.mean_vectors(vectors(spark, d, True))
     return m.select("grp", ((F.col("n") >= 2) & (F.col("std_max") >= 1e-6)).alias("sufficient"))
 
 
@@ -517,7 +517,7 @@ def category_outliers(spark, d):
 @query("SELECT lang AS grp, round(quantile_cont(n_chars, 0.1), 4) AS cut FROM documents GROUP BY 1")
 def group_percentiles(spark, d):
     docs = table(spark, d, "documents").select(F.col("lang").alias("grp"), "n_chars")
-    return S.percentiles(docs, "n_chars", 0.1, accuracy=50).withColumn("cut", r4(F.col("cut")))
+    return S.percentiles(docs, "n_chars", 0.1, whole=50).withColumn("cut", r4(F.col("cut")))
 
 
 PARTS = """raw AS (SELECT unnest(['label=' || label::VARCHAR, 'third=' || (vec_id % 3)::VARCHAR]) AS grp, vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
