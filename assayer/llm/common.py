@@ -1,14 +1,9 @@
-"""What the operators of this subpackage share: the shared folder, written tables, words and word hashes."""
+"""What the operators of this subpackage share: written tables, texts, words and word hashes."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,75 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-_made: list[tuple[SparkSession, str]] = []
-_own: dict[str, str] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Let the Python workers import this package when the driver found it by sys.path alone."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if ROOT not in have.split(os.pathsep):
-        env["PYTHONPATH"] = ROOT + (os.pathsep + have if have else "")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset on one machine (tests) one of our own."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="assayer-")
-    return _own[app]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark)}/assayer/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df as a table in the shared folder, read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def mark() -> int:
-    """A point from which free_since counts."""
-    return len(_made)
-
-
-def free_since(point: int, *keep: DataFrame) -> None:
-    """Delete the tables written since the point, but for those that the frames to keep are read from: what came of the others has been
-    written itself, so that no lost executor needs them again."""
-    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
-    for made in _made[point:]:
-        if made[1].rsplit("/", 1)[-1] not in kept:
-            _delete(*made)
-            _made.remove(made)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone, and with it the folder
-            return
-
+from ..store import free_since, mark, new_folder, written  # noqa: F401  for the operators
+from ..workers import ship  # noqa: F401
 
 def from_files(df: DataFrame) -> bool:
     """Whether rows say from which place of which file they come."""
