@@ -33,6 +33,12 @@ def canonical(c: Column | str) -> Column:
     return F.trim(F.split_part(plain, F.lit("("), F.lit(1)))
 
 
+def canonical_text(text: str) -> str:
+    """canonical of a string of the driver."""
+    plain = reduce(lambda x, q: x.replace(q, QUOTES[q]), QUOTES, text.strip(" "))
+    return plain.split("(", 1)[0].strip(" ")
+
+
 def placeholder(c: Column | str) -> Column:
     return _col(c).isNull() | F.lower(F.trim(_col(c))).isin(*PLACEHOLDERS)
 

@@ -12,8 +12,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     v = v.cast("array<double>")
-    norm = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-10))
-    return F.transform(v, lambda x: x / norm)
+    # The norm is the variable of an outer lambda, and so is worked out once a vector and not once an element.
+    norm = F.array(F.greatest(F.sqrt(dot(v, v)), F.lit(1e-10)))
+    return F.transform(norm, lambda n: F.transform(v, lambda x: x / n))[0]
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..store import free_since, mark, new_folder, written  # noqa: F401  for the operators
 from ..workers import ship  # noqa: F401
 
+
 def from_files(df: DataFrame) -> bool:
     """Whether rows say from which place of which file they come."""
     try:

@@ -114,15 +114,19 @@ def similar_pairs(vectors: DataFrame, threshold: float, size: int = BLOCK) -> Da
 
 def mean_similarity(vectors: DataFrame) -> DataFrame:
     """(grp, pairs, mean_sim) over unordered pairs, from the sum of the unit vectors: no pair is made. mean_sim is null without pairs."""
-    m = mean_vectors(vectors)
+    return mean_similarity_of(mean_vectors(vectors))
+
+
+def mean_similarity_of(m: DataFrame) -> DataFrame:
+    """mean_similarity of what `mean_vectors` gives."""
     n = F.col("n").cast("double")
     of_mean = F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x)
     mean = (n * of_mean - F.col("square")) / (n - 1)
     return m.select("grp", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), F.when(n > 1, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean))).alias("mean_sim"))
 
 
-def pair_statistics(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(grp, pairs, mean_sim, min_sim) over unordered pairs; only the least one needs the pairs."""
+def pair_statistics(vectors: DataFrame, size: int = BLOCK, moments: DataFrame | None = None) -> DataFrame:
+    """(grp, pairs, mean_sim, min_sim) over unordered pairs; only the least one needs the pairs. moments: what `mean_vectors` gave."""
 
     def least(grp, ids, x, other, y, same):
         s = np.clip(x @ y.T, -1, 1)
@@ -131,7 +135,7 @@ def pair_statistics(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
 
     b = blocks(vectors, size)
     low = over_pairs(b, b, False, least, "low double").groupBy("grp").agg(F.min("low").alias("min_sim"))
-    return mean_similarity(vectors).join(low, "grp")
+    return (mean_similarity(vectors) if moments is None else mean_similarity_of(moments)).join(low, "grp")
 
 
 def novelty(vectors: DataFrame, seeds: DataFrame, size: int = BLOCK) -> DataFrame:

@@ -132,9 +132,13 @@ def centroid_distances(vectors: DataFrame) -> DataFrame:
 
 
 def closed_form(vectors: DataFrame, least: int = 2) -> DataFrame:
-    """(grp, n, mu, r, kappa): kappa = r (d - r^2) / (1 - r^2), r clipped to [1e-6, 1 - 1e-6], kappa 1e-3 at least; mu of a mean of no
+    return closed_form_of(mean_vectors(vectors), least)
+
+
+def closed_form_of(moments: DataFrame, least: int = 2) -> DataFrame:
+    """(grp, n, mu, r, kappa) of what `mean_vectors` gives: kappa = r (d - r^2) / (1 - r^2), r clipped to [1e-6, 1 - 1e-6], kappa 1e-3 at least; mu of a mean of no
     length is the first axis."""
-    m = mean_vectors(vectors).where((F.col("n") >= least) & (F.col("std_max") >= 1e-6))
+    m = moments.where((F.col("n") >= least) & (F.col("std_max") >= 1e-6))
     r = F.least(F.greatest(F.sqrt(dot(F.col("mean"), F.col("mean"))), F.lit(1e-6)), F.lit(1 - 1e-6))
     axis = F.transform("mean", lambda x, i: F.when(i == 0, 1.0).otherwise(0.0))
     mu = F.when(dot(F.col("mean"), F.col("mean")) > 1e-24, normalized(F.col("mean"))).otherwise(axis)
@@ -208,6 +212,10 @@ def exact_kappa(r: float, d: int) -> float:
 
 
 def fit(vectors: DataFrame, least: int = 2, exact: bool = True) -> DataFrame:
+    return fit_of(mean_vectors(vectors), least, exact)
+
+
+def fit_of(moments: DataFrame, least: int = 2, exact: bool = True) -> DataFrame:
     """(grp, n, mu, r, kappa, log_c): the fit and the log of the density's constant; one small row per group."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +226,7 @@ def fit(vectors: DataFrame, least: int = 2, exact: bool = True) -> DataFrame:
             p["log_c"] = [(k / 2 - 1) * math.log(q) - k / 2 * math.log(2 * math.pi) - log_bessel(k / 2 - 1, q) for q, k in zip(p.kappa, d, strict=True)]
             yield p
 
-    base = closed_form(vectors, least)
+    base = closed_form_of(moments, least)
     return base.mapInPandas(run, T.StructType([*base.schema.fields, T.StructField("log_c", T.DoubleType())]))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -98,6 +98,11 @@ def VEC(grouped: bool = False) -> str:
 v AS (SELECT grp, id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-10)) AS emb FROM raw)"""
 
 
+def space(spark: SparkSession, d: str, columns: list[str]) -> C.Space:
+    """The values that occur, as a schema would list them."""
+    return C.Space(examples(spark, d).agg(*(F.collect_set(c).alias(c) for c in columns)).first().asDict())
+
+
 def expected(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
     ex = examples(spark, d)
     return C.expected_combinations({c: ex.where(F.col(c).isNotNull()).select(c).distinct() for c in columns})
@@ -124,6 +129,10 @@ def groups(spark: SparkSession, d: str, columns: list[str] = COVER) -> DataFrame
     return C.with_counts(expected(spark, d, columns), counts(spark, d, columns), columns)
 
 
+def sizes(spark: SparkSession, d: str, columns: list[str] = COVER) -> DataFrame:
+    return C.group_sizes(space(spark, d, columns), counts(spark, d, columns))
+
+
 # ---- coverage -----------------------------------------------------------------------------------------------------------
 
 
@@ -144,12 +153,12 @@ def coverage_observed(spark, d):
 
 @query(BASE + "SELECT lang, quality, toxic FROM g WHERE n < 3")
 def coverage_missing(spark, d):
-    return C.missing(expected(spark, d, COVER), counts(spark, d), COVER, 3)
+    return C.missing(space(spark, d, COVER), counts(spark, d), 3)
 
 
 @query(BASE + "SELECT count(*) AS expected, count(*) FILTER (n >= 1) AS observed, round(count(*) FILTER (n >= 1)::DOUBLE / count(*), 6) AS ratio FROM g")
 def coverage_ratio(spark, d):
-    return C.completeness(expected(spark, d, COVER), counts(spark, d), COVER).withColumn("ratio", r6(F.col("ratio")))
+    return C.completeness(space(spark, d, COVER), counts(spark, d)).withColumn("ratio", r6(F.col("ratio")))
 
 
 @query(BASE + ", m AS (SELECT greatest(3, (SELECT count(*) FROM ex) // greatest(1, (SELECT count(DISTINCT coalesce(lang,'NA') || '+' || coalesce(quality,'NA') || '+' || coalesce(toxic,'NA')) FROM ex))) AS k) SELECT (SELECT count(*) FROM exp) AS expected, count(*) AS observed, round(count(*)::DOUBLE / (SELECT count(*) FROM exp), 6) AS ratio FROM cnt, m WHERE n >= k")
@@ -157,22 +166,22 @@ def coverage_dynamic_min_count_compat(spark, d):
     ex = examples(spark, d)
     k = ex.agg(F.greatest(F.lit(3), F.floor(F.count("*") / F.greatest(F.lit(1), F.countDistinct(L.composite(COVER))))).alias("k"))
     cnt = counts(spark, d).crossJoin(F.broadcast(k))
-    return C.completeness(expected(spark, d, COVER), cnt, COVER, F.col("k"), intersect=False).withColumn("ratio", r6(F.col("ratio")))
+    return C.completeness(space(spark, d, COVER), cnt, F.col("k"), intersect=False).withColumn("ratio", r6(F.col("ratio")))
 
 
 @query(BASE + "SELECT k, round(sum(k - least(n, k))::DOUBLE / (k * count(*)), 6) AS score FROM g, (SELECT unnest(range(1, greatest(1, (SELECT max(n) FROM g)) + 1)) AS k) GROUP BY k")
 def coverage_vary_curve(spark, d):
-    return C.curve(groups(spark, d)).withColumn("score", r6(F.col("score")))
+    return C.curve(sizes(spark, d)).withColumn("score", r6(F.col("score")))
 
 
 @query(BASE + "SELECT 10::BIGINT AS k, round(sum(10 - least(n, 10))::DOUBLE / (10 * count(*)), 6) AS score, round(1 - sum(10 - least(n, 10))::DOUBLE / (10 * count(*)), 6) AS coverage FROM g")
 def coverage_vary_default(spark, d):
-    return C.curve(groups(spark, d), 10).where("k = 10").select("k", r6(F.col("score")).alias("score"), r6(1 - F.col("score")).alias("coverage"))
+    return C.score_at(sizes(spark, d), 10).select(F.lit(10).cast("long").alias("k"), r6(F.col("score")).alias("score"), r6(1 - F.col("score")).alias("coverage"))
 
 
 @query(BASE + "SELECT count(*) AS group_count, round(avg(n), 6) AS group_mean, round(median(n)::DOUBLE, 6) AS group_median FROM g")
 def coverage_group_stats(spark, d):
-    return groups(spark, d).agg(F.count("*").alias("group_count"), r6(F.avg("n")).alias("group_mean"), r6(F.median("n")).alias("group_median"))
+    return C.weighted_median(sizes(spark, d)).select("group_count", r6(F.col("group_mean")).alias("group_mean"), r6(F.col("group_median")).alias("group_median"))
 
 
 RULES = [["en", "0"], ["fr", "1", "1"], ["de"]]
@@ -191,15 +200,15 @@ def not_realistic_match(spark, d):
 
 @query(BASE + f", r AS (SELECT * FROM g WHERE NOT ({RULE_SQL})) SELECT count(*) AS expected, count(*) FILTER (n >= 1) AS observed, round(count(*) FILTER (n >= 1)::DOUBLE / count(*), 6) AS ratio, (SELECT count(*) FROM exp) - count(*) AS excluded FROM r")
 def coverage_constrained(spark, d):
-    exp = expected(spark, d, COVER)
-    left = C.excluded(exp, rules(spark), COVER)
-    one = C.completeness(left, counts(spark, d), COVER)
-    return one.crossJoin(exp.agg(F.count("*").alias("whole"))).select("expected", "observed", r6(F.col("ratio")).alias("ratio"), (F.col("whole") - F.col("expected")).alias("excluded"))
+    exp = space(spark, d, COVER)
+    left, out = C.excluded(counts(spark, d), rules(spark), COVER), exp.excluded(RULES)
+    return C.completeness(exp, left, excluded=out).select("expected", "observed", r6(F.col("ratio")).alias("ratio"), F.lit(out).cast("long").alias("excluded"))
 
 
 @query(BASE + f"SELECT k, round(sum(k - least(n, k))::DOUBLE / (k * count(*)), 6) AS score FROM g, (SELECT unnest(range(1, 21)) AS k) WHERE NOT ({RULE_SQL}) GROUP BY k")
 def coverage_vary_constrained(spark, d):
-    return C.curve(C.excluded(groups(spark, d), rules(spark), COVER), 20).withColumn("score", r6(F.col("score")))
+    exp = space(spark, d, COVER)
+    return C.curve(C.group_sizes(exp, C.excluded(counts(spark, d), rules(spark), COVER), exp.excluded(RULES)), 20).withColumn("score", r6(F.col("score")))
 
 
 BASE4 = f"WITH {EX}, {EXP(FOUR)}, {CNT(FOUR)}, g AS (SELECT exp.*, coalesce(n, 0)::BIGINT AS n FROM exp LEFT JOIN cnt USING (lang, source, quality, toxic)) "
@@ -207,7 +216,7 @@ BASE4 = f"WITH {EX}, {EXP(FOUR)}, {CNT(FOUR)}, g AS (SELECT exp.*, coalesce(n, 0
 
 @query(BASE4 + "SELECT k, round(sum(k - least(n, k))::DOUBLE / (k * count(*)), 6) AS score FROM g, (SELECT unnest(range(1, 31)) AS k) GROUP BY k")
 def coverage_vary_all(spark, d):
-    return C.curve(groups(spark, d, FOUR), 30).withColumn("score", r6(F.col("score")))
+    return C.curve(sizes(spark, d, FOUR), 30).withColumn("score", r6(F.col("score")))
 
 
 def expected_values(spark: SparkSession) -> DataFrame:
@@ -752,9 +761,23 @@ SCHEMA = Schema.parse(
 )
 
 
-@query("""SELECT DISTINCT col, required, ordinal, value FROM (VALUES ('lang', true, 0, 'en'), ('lang', true, 1, 'de'), ('quality', false, 0, '0'), ('quality', false, 1, '1')) AS t(col, required, ordinal, value)""")
+def schema_of(spark: SparkSession, d: str) -> Schema:
+    """A schema that lists what the documents have: every lang once per source that has it, quality in one cell, toxic without values."""
+    ex = examples(spark, d)
+    pairs = ex.groupBy("lang", "source").agg(F.count("*").alias("n")).where("lang is not null").orderBy("lang", "source").collect()
+    marks = ex.agg(F.array_join(F.array_sort(F.collect_set("quality")), "; ").alias("m")).first().m
+    seeds = [str(r.item_id) for r in table(spark, d, "benchmark").select("item_id").orderBy("item_id").collect()]
+    document = SCHEMA.document | {"constituents": {"lang": {"required": True, "value": [r.lang for r in pairs]}, "marks": {"subConstituents": {"quality": {"value": marks}, "toxic": {"value": None}}}}, "seedExamples": seeds}
+    return Schema.parse(document)
+
+
+_PAIRS_SQL = "pr AS (SELECT lang, source FROM ex WHERE lang IS NOT NULL GROUP BY ALL), mk AS (SELECT DISTINCT quality FROM ex WHERE quality IS NOT NULL)"
+
+
+@query(f"WITH {EX}, {_PAIRS_SQL}, l AS (SELECT DISTINCT lang FROM pr) SELECT 'lang' AS col, true AS required, (row_number() OVER (ORDER BY lang) - 1)::INT AS ordinal, lang AS value FROM l UNION ALL SELECT 'quality', false, (row_number() OVER (ORDER BY quality) - 1)::INT, quality FROM mk")
 def required_split(spark, d):
-    return SCHEMA.expected(spark).withColumn("required", F.col("col").isin(SCHEMA.required))
+    schema = schema_of(spark, d)
+    return schema.expected(spark).withColumn("required", F.col("col").isin(schema.required))
 
 
 @query(f"WITH {EX}, s AS (SELECT * FROM (VALUES ('en'), ('de')) l(lang), (VALUES ('0'), ('1')) q(quality)) SELECT s.lang, s.quality, count(ex.row_id) AS n FROM s LEFT JOIN ex ON s.lang = ex.lang AND s.quality = ex.quality GROUP BY ALL")
@@ -764,16 +787,20 @@ def schema_coverage(spark, d):
     return C.with_counts(C.expected_combinations(values), C.combination_counts(examples(spark, d), ["lang", "quality"]), ["lang", "quality"])
 
 
-@query("SELECT lang, quality, n FROM (VALUES ('en', '0', 2), ('en', '1', 2), ('de', '0', 1), ('de', '1', 1)) AS t(lang, quality, n)")
+@query(f"WITH {EX}, {_PAIRS_SQL} SELECT lang, quality, count(*)::INT AS n FROM pr, mk GROUP BY ALL")
 def expected_with_duplicates(spark, d):
-    """A value that the schema lists twice counts twice."""
-    values = {c: spark.createDataFrame([(v,) for v in SCHEMA.values[c]], "value string") for c in ("lang", "quality")}
+    """A value that the schema lists several times counts as often."""
+    schema = schema_of(spark, d)
+    values = {c: spark.createDataFrame([(v,) for v in schema.values[c]], "value string") for c in ("lang", "quality")}
     return C.expected_combinations(values, distinct=False).groupBy("lang", "quality").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("SELECT 0 AS size, '' AS seeds UNION ALL SELECT 2, a || ',' || b FROM range(4) x(a), range(4) y(b) WHERE a < b")
+@query("""WITH b AS (SELECT (row_number() OVER (ORDER BY item_id) - 1)::INT AS i FROM benchmark)
+SELECT 0 AS size, '' AS seeds UNION ALL SELECT 1, i::VARCHAR FROM b UNION ALL SELECT 2, x.i || ',' || y.i FROM b x JOIN b y ON x.i < y.i""")
 def seed_combinations(spark, d):
-    return spark.createDataFrame([(len(c), ",".join(map(str, c))) for c in drawn_combinations(4, [0, 2], 6)], "size int, seeds string")
+    """All choices of no, one or two seeds of a schema whose seeds are the benchmark's items."""
+    n = len(schema_of(spark, d).seeds)
+    return spark.createDataFrame([(len(c), ",".join(map(str, c))) for c in drawn_combinations(n, [0, 1, 2], n * n + 1)], "size int, seeds string")
 
 
 @query("""SELECT p_partkey, unnest([1, 2]) AS position,
@@ -804,19 +831,26 @@ variants AS (SELECT (row_number() OVER (ORDER BY mask) - 1)::INT AS variant_id,
  CASE WHEN mask = 0 THEN '' ELSE array_to_string(f, ',') || '|' || array_to_string(c, ',') || '|' || s::INT::VARCHAR END AS distinct_key FROM p WHERE len(f) + len(c) + s::INT < 9)"""
 
 
-@query(f"WITH {_VARIANTS} SELECT * FROM variants")
+@query(f"WITH {EX}, {_VARIANTS}, l AS (SELECT lang FROM ex WHERE lang IS NOT NULL GROUP BY 1) SELECT variant_id, CASE WHEN list_contains(string_split(missing_constituents, ','), 'lang') THEN 0 ELSE (SELECT count(*) FROM l) END::INT AS langs, CASE WHEN missing_seeds THEN 0 ELSE (SELECT count(*) FROM benchmark) END::INT AS seeds, missing_fixed, missing_constituents FROM variants")
 def ablation_variants(spark, d):
-    return W.variants(spark, SCHEMA)
+    """What each ablation leaves of the schema of the documents."""
+    schema = schema_of(spark, d)
+    langs, seeds = len(set(schema.values["lang"])), len(schema.seeds)
+    left = lambda gone, n: F.when(gone, 0).otherwise(n).cast("int")
+    return W.variants(spark, schema).select("variant_id", left(F.array_contains(F.split("missing_constituents", ","), "lang"), langs).alias("langs"), left(F.col("missing_seeds"), seeds).alias("seeds"), "missing_fixed", "missing_constituents")
 
 
-@query(f"""WITH {_VARIANTS}, models AS (SELECT * FROM (VALUES ('a_m-1'), ('b_m-2')) t(tag)), combos AS (SELECT range::INT AS combo_id, CASE WHEN range = 0 THEN 0 ELSE 2 END AS n_seeds FROM range(6)),
-r AS (SELECT variant_id, printf('%s_v%03d_s%d_combo%03d_run%d', tag, variant_id, n_seeds, combo_id, run) AS stem, unnest(['schema', 'baseline']) AS kind FROM models, variants, combos, (VALUES (1), (2)) x(run)),
+@query(f"""WITH models AS (SELECT DISTINCT 's' || s_nationkey || '_m-' || s_nationkey AS tag FROM supplier), variants AS (SELECT unnest(range(3))::INT AS variant_id), combos AS (SELECT (row_number() OVER (ORDER BY item_id) - 1)::INT AS combo_id FROM benchmark),
+r AS (SELECT variant_id, printf('%s_v%03d_s%d_combo%03d_run%d', tag, variant_id, 1, combo_id, run) AS stem, unnest(['schema', 'baseline']) AS kind FROM models, variants, combos, (VALUES (1), (2)) x(run)),
 c AS (SELECT *, unnest([0, 1, 2])::INT AS chunk, unnest([25, 25, 10])::INT AS chunk_rows FROM r WHERE kind = 'schema' OR variant_id = 0)
 SELECT {ID_SQL("kind", "stem", "chunk")} AS custom_id, kind, stem, chunk, chunk_rows, (CASE WHEN kind = 'schema' THEN floor((200 + 350 * chunk_rows) * 12 / 10) ELSE 200 + 350 * chunk_rows END)::INT AS max_tokens FROM c""")
 def request_cross_product(spark, d):
-    models = spark.createDataFrame([("a", "m/1"), ("b", "m:2")], "provider string, model string")
-    combos = spark.createDataFrame([(i, len(c), list(c)) for i, c in enumerate(drawn_combinations(4, [0, 2], 5))], "combo_id int, n_seeds int, seeds array<int>")
-    return W.requests(models, W.variants(spark, SCHEMA).select("variant_id"), combos, 2, 60).select("custom_id", "kind", "stem", "chunk", "chunk_rows", "max_tokens")
+    """Models named after the suppliers' nations, three ablations, and a combination per item of the benchmark."""
+    nation = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("k")).distinct()
+    models = nation.select(F.concat(F.lit("s"), "k").alias("provider"), F.concat(F.lit("m/"), "k").alias("model"))
+    items = table(spark, d, "benchmark").select(F.row_number().over(Window.orderBy("item_id")).alias("i"))
+    combos = items.select((F.col("i") - 1).cast("int").alias("combo_id"), F.lit(1).alias("n_seeds"), F.array(F.col("i") - 1).alias("seeds"))
+    return W.requests(models, spark.range(3).select(F.col("id").cast("int").alias("variant_id")), combos, 2, 60).select("custom_id", "kind", "stem", "chunk", "chunk_rows", "max_tokens")
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 6

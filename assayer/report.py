@@ -1,7 +1,8 @@
 """Evaluation of a labelled dataset against its schema: full results as DataFrames, a document of the small ones, row metrics.
 
-Vectors come as columns and are read once per kernel. Results that grow with the rows (pairs, outliers, instances, row metrics)
-stay DataFrames; the document has their counts and the first few in a fixed order.
+Vectors come as columns. What several numbers need (the rows, their categories with vectors, sums per category, fits, likelihoods, similar
+pairs) is a named table, written once and read by all of them. Results that grow with the rows (pairs, outliers, instances, curves, row
+metrics) are frames; the document has their counts and the first few in a fixed order.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from .operators import realism as R
 from .operators import spherical as S
 from .operators import transport as T
 from .schema import Schema
+from .store import written
 
 NAN = float("nan")
 
 
 @dataclass(frozen=True)
 class Options:
-    """k: rows wanted per combination; curve_k: to which k the document lists the curves. least_*: rows a category needs for a fit, for
+    """k: rows wanted per combination; curve_k: to which k the document lists the curves, which frames have whole. least_*: rows a category needs for a fit, for
     diversity, for the marginal mean. shown: categories that the document lists, by name; frames have all."""
 
     k: int = 10
@@ -86,7 +88,7 @@ def evaluate(
     seed_labels(id, label): composite labels of seeds; with them realism has a part per category."""
     if options.k < 1:
         raise ValueError("k is 1 at least")
-    rows = schema.require(rows)
+    rows = written(schema.require(rows), "rows")
     one = lambda v: v.select(F.lit("all").alias("grp"), F.col("id").cast("long").alias("id"), F.col("emb").cast("array<double>").alias("emb"))
     v, s = one(vectors), one(seeds)
     if subset is not None:
@@ -95,15 +97,15 @@ def evaluate(
             raise ValueError(f"no seeds of index {lost}")
     frames: dict[str, DataFrame] = {}
     doc: dict[str, Any] = {"inputs": _inputs(schema, subset, exclusions, s), **_coverage(rows, schema, exclusions, options, frames)}
-    grouped = memberships(rows, schema.columns).join(v.drop("grp"), "id")
-    doc["coverage"] |= _categories(v, grouped, options, frames)
+    grouped = _fitted(rows, schema, v, options, frames)
+    doc["coverage"] |= _categories(grouped, options, frames)
     doc["diversity"] = _diversity(v, grouped, options, frames)
     doc["realism_full"] = _realism(rows, schema, v, s, style and one(style), style_seeds and one(style_seeds), options, frames, "full", grouped, seed_labels)
     doc["realism_subset"] = None
     if subset is not None:
         part = lambda d: d and one(d).where(F.col("id").isin(subset))
         doc["realism_subset"] = _realism(rows, schema, v, part(seeds), style and one(style), part(style_seeds), options, frames, "subset", grouped, seed_labels)
-    out = _row_metrics(rows, schema, v, grouped, frames, options)
+    out = written(_row_metrics(rows, schema, v, grouped, frames, options), "row-metrics")
     doc |= _row_level(out, frames)
     doc["summary"] = _summary(doc, rows, schema)
     fixed = schema.document.get("fixedFields") or {}
@@ -111,6 +113,17 @@ def evaluate(
     return Report(doc, frames, out)
 
 
+def _fitted(rows: DataFrame, schema: Schema, v: DataFrame, options: Options, frames: dict) -> DataFrame:
+    """The rows' vectors under each of their categories, written; with the tables that all the rest reads: moments, fits, likelihoods and
+    category_outliers."""
+    grouped = written(memberships(rows, schema.columns).join(v.drop("grp"), "id"), "grouped")
+    frames["moments"] = written(S.mean_vectors(grouped.select("grp", "id", "emb")), "moments")
+    frames["fits"] = written(S.fit_of(frames["moments"], options.least_samples), "fits")
+    frames["likelihoods"] = written(S.log_likelihoods(grouped, frames["fits"]), "likelihoods")
+    frames["category_outliers"] = written(S.outliers(frames["likelihoods"], options.percentile), "outliers")
+    return grouped
+
+
 def _dicts(df: DataFrame) -> list[dict]:
     return [r.asDict(True) for r in df.collect()]
 
@@ -122,28 +135,27 @@ def _inputs(schema: Schema, subset, exclusions, seeds: DataFrame) -> dict:
 def _coverage(rows: DataFrame, schema: Schema, exclusions, options: Options, frames: dict) -> dict:
     spark, out = rows.sparkSession, {}
     required, every = schema.required, [*schema.required, *schema.optional]
-    values = lambda columns: {c: spark.createDataFrame([(v,) for v in schema.values[c]], "value string") for c in columns}
     rules = spark.createDataFrame([(r,) for r in exclusions or []], "values array<string>")
 
-    def vary(columns: list[str], rules: DataFrame | None = None) -> dict:
+    def vary(name: str, columns: list[str], limited: bool = False) -> dict:
         if not columns:
-            return _curve(None, options, 0)
-        expected = C.expected_combinations(values(columns))
-        wanted = expected if rules is None else C.excluded(expected, rules, columns)
-        groups = C.with_counts(wanted, C.combination_counts(rows, columns), columns)
-        return _curve(groups, options, 0 if rules is None else expected.count() - wanted.count())
+            return _curve(None, None, options, 0)
+        space, counts = C.Space({c: schema.values[c] for c in columns}), C.combination_counts(rows, columns)
+        gone = space.excluded(exclusions) if limited else 0
+        sizes = written(C.group_sizes(space, C.excluded(counts, rules, columns) if limited else counts, gone), "sizes")
+        frames[f"{name}_steps"], frames[f"{name}_curve"] = C.curve_steps(sizes), C.curve(sizes)
+        return _curve(sizes, frames[f"{name}_curve"], options, gone)
 
     ratio = {"expected": 0, "observed": 0, "ratio": 1.0}
     out["coverage_constrained"] = None
     missing: list = []
     if required:
-        expected, counts = C.expected_combinations(values(required)), C.combination_counts(rows, required, elide=True)
-        frames["missing_combinations"] = C.missing(expected, counts, required)
-        ratio = _dicts(C.completeness(expected, counts, required))[0]
-        missing = [list(r) for r in frames["missing_combinations"].orderBy(*required).limit(20).collect()]
+        space, counts = C.Space({c: schema.values[c] for c in required}), written(C.combination_counts(rows, required, elide=True), "combinations")
+        frames["missing_combinations"] = C.missing(space, counts)
+        ratio = _dicts(C.completeness(space, counts))[0]
+        missing = [list(r) for r in C.missing(space, counts, most=20).orderBy(*required).collect()]
         if exclusions:
-            real = C.excluded(expected, rules, required)
-            left = _dicts(C.completeness(real, counts, required))[0]
+            left = _dicts(C.completeness(space, C.excluded(counts, rules, required), excluded=space.excluded(exclusions)))[0]
             out["coverage_constrained"] = {"expected_count": left["expected"], "observed_count": left["observed"], "excluded_count": ratio["expected"] - left["expected"], "missing_count": left["expected"] - left["observed"], "coverage_constrained": left["ratio"]}
     marginal: list[dict] = []
     if required:
@@ -159,50 +171,46 @@ def _coverage(rows: DataFrame, schema: Schema, exclusions, options: Options, fra
         "completeness_ratio": ratio["ratio"], "holistic_completeness_score": C.holistic(rows, schema.optional).first().holistic,
         "marginal_coverage": {m.pop("col"): m for m in marginal}, "marginal_coverage_mean": _mean([m["ratio"] for m in marginal]),
     }
-    out["coverage_vary"] = out["coverage_uncertain"] = vary(required)
-    out["coverage_vary_constrained"] = vary(required, rules) if exclusions else None
-    out["coverage_vary_all"] = vary(every)
+    out["coverage_vary"] = out["coverage_uncertain"] = vary("coverage_vary", required)
+    out["coverage_vary_constrained"] = vary("coverage_vary_constrained", required, True) if exclusions else None
+    out["coverage_vary_all"] = vary("coverage_vary_all", every)
     return out
 
 
-def _curve(groups: DataFrame | None, options: Options, excluded: int) -> dict:
+def _curve(sizes: DataFrame | None, curve: DataFrame | None, options: Options, excluded: int) -> dict:
+    """sizes: a written table of how many expected combinations have how many rows."""
     out = {"default_k": options.k, "excluded_group_count": excluded, "penalty_definition": "1 - min(n, k) / k, averaged over the expected combinations"}
-    sizes = _dicts(groups.groupBy("n").agg(F.count("*").alias("groups")).orderBy("n")) if groups is not None else []
-    total, rows = sum(x["groups"] for x in sizes), sum(x["n"] * x["groups"] for x in sizes)
-    top = max((x["n"] for x in sizes), default=0)
-    steps = {x["n"]: x["groups"] for x in sizes}
-    below, held, scores = 0, 0, []  # groups of fewer than k rows and the rows they have, as k rises
-    for k in range(1, max(min(top, options.curve_k), options.k) + 1):
-        below, held = below + steps.get(k - 1, 0), held + (k - 1) * steps.get(k - 1, 0)
-        scores.append((below * k - held) / (k * total) if total else NAN)
-    middle = groups.agg(F.median("n").alias("m")).first().m if total else NAN
-    listed = min(top, options.curve_k)
+    total = _dicts(C.weighted_median(sizes).join(sizes.agg(F.max("n").alias("top"))))[:1] if sizes is not None else []
+    if not total:
+        return out | {"default_score": NAN, "max_k": 0, "k_values": [], "scores": [], "group_count": 0, "group_count_mean": NAN, "group_count_median": NAN}
+    top = total[0]["top"]
+    listed = curve.where(F.col("k") <= min(top, options.curve_k)).orderBy("k").collect()
     return out | {
-        "default_score": scores[options.k - 1], "max_k": top, "k_values": list(range(1, listed + 1)), "scores": scores[:listed], "group_count": total,
-        "group_count_mean": rows / total if total else NAN, "group_count_median": middle,
+        "default_score": C.score_at(sizes, options.k).first().score, "max_k": top, "k_values": [r.k for r in listed], "scores": [r.score for r in listed],
+        "group_count": int(total[0]["group_count"]), "group_count_mean": float(total[0]["group_mean"]), "group_count_median": total[0]["group_median"],
     }
 
 
-def _categories(v: DataFrame, grouped: DataFrame, options: Options, frames: dict) -> dict:
-    """Fits, outliers and similarities per category; coherence of rows with the parts of their labels; redundant pairs."""
-    fits = S.fit(grouped.select("grp", "id", "emb"), options.least_samples)
-    lls = S.log_likelihoods(grouped, fits)
-    frames["category_outliers"] = S.outliers(lls, options.percentile)
+def _categories(grouped: DataFrame, options: Options, frames: dict) -> dict:
+    """Outliers and similarities per category; coherence of rows with the parts of their labels; redundant pairs."""
+    fits, lls, moments = frames["fits"], frames["likelihoods"], frames["moments"]
     both = grouped.select("grp", "id", "coarse").join(lls, ["grp", "id"], "left").join(fits.select("grp", "kappa"), "grp", "left")
     flag = F.col("coarse") & (F.col("ll") < -F.col("kappa"))
-    frames["hierarchical_results"] = both.groupBy("id").agg(
+    results = both.groupBy("id").agg(
         F.max(F.when(~F.col("coarse"), F.col("grp"))).alias("label"), F.max(F.when(~F.col("coarse"), F.col("ll"))).alias("ll"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("coarse"), F.struct("grp", "ll"))))).alias("coarse"), F.array_sort(F.collect_list(F.when(flag, F.col("grp")))).alias("flags"),
     )
+    frames["hierarchical_results"] = written(results, "coherence")
     whole = grouped.where("not coarse").select("grp", "id", "emb")
-    frames["redundant_pairs_in_labels"] = P.similar_pairs(whole, options.redundancy)
-    within = P.mean_similarity(whole).agg((F.sum(F.col("mean_sim") * F.col("pairs")) / F.sum("pairs")).alias("sim")).first().sim
-    per = fits.select("grp", "n", "kappa").join(P.pair_statistics(grouped.select("grp", "id", "emb")), "grp", "left")
+    frames["redundant_pairs_in_labels"] = written(P.similar_pairs(whole, options.redundancy), "similar")
+    wholes = grouped.where("not coarse").select("grp").distinct()
+    within = P.mean_similarity_of(moments.join(wholes, "grp", "left_semi")).agg((F.sum(F.col("mean_sim") * F.col("pairs")) / F.sum("pairs")).alias("sim")).first().sim
+    per = fits.select("grp", "n", "kappa").join(P.pair_statistics(grouped.select("grp", "id", "emb"), moments=moments), "grp", "left")
     per = per.join(frames["category_outliers"].groupBy("grp").agg(F.count("*").alias("n_outliers")), "grp", "left").fillna(0, ["n_outliers"])
-    frames["category_stats"] = per
+    frames["category_stats"] = written(per, "category-stats")
     stats = {
         r.grp: {"count": r.n, "concentration_kappa": r.kappa, "mean_pairwise_similarity": r.mean_sim, "min_pairwise_similarity": r.min_sim, "n_outliers": r.n_outliers}
-        for r in per.orderBy("grp").limit(options.shown).collect()
+        for r in frames["category_stats"].orderBy("grp").limit(options.shown).collect()
     }
     flagged = frames["hierarchical_results"].where(F.size("flags") > 0)
     return {
@@ -220,9 +228,10 @@ def _diversity(v: DataFrame, grouped: DataFrame, options: Options, frames: dict)
         means = P.mean_similarity(x).select("grp", F.col("mean_sim").alias("mean_pairwise_similarity"))
         return P.dc_scores(x, options.kernel, options.tau).join(S.vendi(x, normalize=True).drop("n"), "grp").join(means, "grp", "left")
 
-    frames["redundant_pairs"] = P.similar_pairs(v, options.redundancy)
+    frames["redundant_pairs"] = written(P.similar_pairs(v, options.redundancy), "similar")
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("n"), F.max("coarse").alias("coarse")).where(F.col("n") >= options.least_subgroup)
-    groups = frames["subgroup_diversity"] = scores(grouped.join(sizes.select("grp"), "grp", "left_semi").select("grp", "id", "emb")).join(sizes.select("grp", "coarse"), "grp")
+    sizes = written(sizes, "sizes")
+    groups = frames["subgroup_diversity"] = written(scores(grouped.join(sizes.select("grp"), "grp", "left_semi").select("grp", "id", "emb")).join(sizes.select("grp", "coarse"), "grp"), "diversity")
     over = (_dicts(scores(v)) or [{}])[0]
     large = groups.where(F.col("coarse") & (F.col("n") >= options.least_marginal) & ~F.isnan("dc_score")).agg(F.avg("dc_score").alias("m")).first().m
     collapse = lambda g: g["dc_score"] < min(1.0, 2 / max(g["n"], 1))
@@ -245,7 +254,7 @@ def _realism(rows, schema, v, s, style, style_seeds, options: Options, frames: d
     if s.isEmpty():
         raise ValueError("realism needs one seed at least")
     inside, cut = R.scope(v, s, options.percentile, options.least_samples)
-    frames[f"instances_{name}"] = P.novelty(v, s).drop("grp").join(inside.drop("grp"), "id").select("id", "novelty_min", "novelty_avg", "ll", "in_scope")
+    frames[f"instances_{name}"] = written(P.novelty(v, s).drop("grp").join(inside.drop("grp"), "id").select("id", "novelty_min", "novelty_avg", "ll", "in_scope"), "instances")
     means = _dicts(frames[f"instances_{name}"].agg(F.avg("novelty_min").alias("mean_dataset_novelty_min"), F.avg("novelty_avg").alias("mean_dataset_novelty_avg"), F.avg(F.col("in_scope").cast("double")).alias("dataset_containment_rate"), F.count(F.when(~F.col("in_scope"), 1)).alias("out_of_scope_count")))[0]
     first = cut.first()
     out = {k: NAN if x is None else x for k, x in means.items()} | {"seed_validity_score": first and first.validity}
@@ -259,7 +268,7 @@ def _realism(rows, schema, v, s, style, style_seeds, options: Options, frames: d
     if seed_labels is not None:
         labelled = s.drop("grp").join(seed_labels.select(F.col("id").cast("long").alias("id"), F.col("label").alias("grp")), "id").select("grp", "id", "emb")
         whole = grouped.where("not coarse" if len(schema.columns) > 1 else "coarse").select("grp", "id", "emb")
-        frames[f"realism_categories_{name}"] = R.category_stats(whole, labelled, options.percentile, options.least_samples)
+        frames[f"realism_categories_{name}"] = written(R.category_stats(whole, labelled, options.percentile, options.least_samples), "realism")
         out["category_stats"] = {r.pop("grp"): r for r in _dicts(frames[f"realism_categories_{name}"].orderBy("grp").limit(options.shown))}
     rules = schema.invalid_combinations()
     if rules:
@@ -272,14 +281,15 @@ def _realism(rows, schema, v, s, style, style_seeds, options: Options, frames: d
 def _row_metrics(rows: DataFrame, schema: Schema, v: DataFrame, grouped: DataFrame, frames: dict, options: Options) -> DataFrame:
     """centroid_dist (to the centroid of the row's composite label, or else to the mean of those of its values), dataset_center_dist, outlier, min_seed_dist."""
     columns, whole = schema.columns, grouped.where("not coarse" if len(schema.columns) > 1 else "coarse").select("grp", "id", "emb")
-    composite = S.centroids(whole).where(F.col("n") >= options.least_samples).select("grp", F.col("centroid").alias("own"))
+    composite = frames["moments"].where(F.col("n") >= options.least_samples).select("grp", normalized(F.col("mean")).alias("own"))
     atoms = F.flatten(F.array(*(F.transform(F.array_distinct(L.atoms_or_na(c)), lambda a, c=c: F.concat(F.lit(f"{c}="), a)) for c in columns)))
     valued = rows.select(F.col("row_id").alias("id"), F.explode(atoms).alias("grp"))
-    centres = S.centroids(valued.join(v.drop("grp"), "id").select("grp", "id", "emb"))
+    places = written(S.centroids(valued.join(v.drop("grp"), "id").select("grp", "id", "emb").unionByName(v.select(F.lit(None).cast("string").alias("grp"), "id", "emb"))), "centres")
+    centres = places.where("grp is not null")
     added = lambda a, b: F.when(F.size(a) == 0, b).otherwise(F.zip_with(a, b, lambda x, y: x + y))
     parts = valued.join(centres, "grp").groupBy("id").agg(F.collect_list("centroid").alias("c"))  # as many as a row has values
     mean = parts.select("id", normalized(F.aggregate("c", F.array().cast("array<double>"), added)).alias("mean"))
-    middle = S.centroids(v).select(F.col("centroid").alias("middle"))
+    middle = places.where("grp is null").select(F.col("centroid").alias("middle"))
     placed = S.unit(v).select("id", "emb").join(whole.select("id", "grp"), "id", "left").join(composite, "grp", "left").join(mean, "id", "left").crossJoin(F.broadcast(middle))
     far = placed.select(F.col("id").alias("row_id"), cosine_distance(F.col("emb"), F.coalesce("own", "mean")).alias("centroid_dist"), cosine_distance(F.col("emb"), F.col("middle")).alias("dataset_center_dist"))
     rules = rows.sparkSession.createDataFrame(schema.invalid_combinations(), ", ".join(f"`{c}` string" for c in columns))
@@ -291,12 +301,10 @@ def _row_metrics(rows: DataFrame, schema: Schema, v: DataFrame, grouped: DataFra
 
 def row_metrics(rows: DataFrame, schema: Schema, vectors: DataFrame, seeds: DataFrame, options: Options = Options()) -> DataFrame:
     """rows with the four metrics of `evaluate` alone: without the document and what only that needs."""
-    rows, frames = schema.require(rows), {}
+    rows, frames = written(schema.require(rows), "rows"), {}
     one = lambda v: v.select(F.lit("all").alias("grp"), F.col("id").cast("long").alias("id"), F.col("emb").cast("array<double>").alias("emb"))
     v = one(vectors)
-    grouped = memberships(rows, schema.columns).join(v.drop("grp"), "id")
-    lls = S.log_likelihoods(grouped, S.fit(grouped.select("grp", "id", "emb"), options.least_samples))
-    frames["category_outliers"] = S.outliers(lls, options.percentile)
+    grouped = _fitted(rows, schema, v, options, frames)
     frames["instances_full"] = P.novelty(v, one(seeds)).select("id", "novelty_min")
     return _row_metrics(rows, schema, v, grouped, frames, options)
 

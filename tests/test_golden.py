@@ -24,13 +24,13 @@ def rows(spark):
 
 
 def test_coverage(spark):
-    exp = spark.createDataFrame([(a, b) for a in "xy" for b in "pq"], "a string, b string")
+    exp = C.Space({"a": ["x", "y"], "b": ["p", "q"]})
     counts = C.combination_counts(rows(spark), ["a", "b"])
     assert {(r.a, r.b): r.n for r in counts.collect()} == {("x", "p"): 3, ("y", "p"): 1, ("y", "q"): 1, ("z", "p"): 1}
-    assert C.completeness(exp, counts, ["a", "b"]).first().ratio == 0.75
-    assert C.completeness(exp, counts, ["a", "b"], intersect=False).first().ratio == 1.0
-    assert [tuple(r) for r in C.missing(exp, counts, ["a", "b"]).collect()] == [("x", "q")]
-    curve = {r.k: round(r.score, 6) for r in C.curve(C.with_counts(exp, counts, ["a", "b"])).collect()}
+    assert C.completeness(exp, counts).first().ratio == 0.75
+    assert C.completeness(exp, counts, intersect=False).first().ratio == 1.0
+    assert [tuple(r) for r in C.missing(exp, counts).collect()] == [("x", "q")]
+    curve = {r.k: round(r.score, 6) for r in C.curve(C.group_sizes(exp, counts)).collect()}
     assert curve == {1: 0.25, 2: 0.5, 3: 0.583333}
     assert C.holistic(rows(spark), ["c"]).first().holistic == 0.5
 
