@@ -40,7 +40,7 @@ class Setup:
     buckets: int = 128
     pairs: int = 4096
     groups: int = 64
-    near: int = 16
+    near: int = 32
     near_pairs: int = 64
     rounds: int = 12
     rate: float = 0.5
@@ -165,15 +165,22 @@ class Factor:
         z -= z.max(2, keepdims=True)
         return (z - np.log(np.exp(z).sum(2, keepdims=True))).reshape(len(codes), -1)
 
+    def table(self) -> np.ndarray:
+        """log10 of the probabilities of all contexts, a slice of contexts at a time."""
+        out = np.empty((self.buckets**2, len(self.bias)), np.float32)
+        for low in range(0, len(out), 128):
+            out[low : low + 128] = self.log_probs(np.arange(low, min(low + 128, len(out)))) / math.log(10)
+        return out
+
     def gradient(self, codes: np.ndarray, kinds: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Observed less expected counts of every feature and choice, and the expected ones."""
         some, at = np.unique(codes, return_inverse=True)
         grad, mass = np.zeros(self.weights.shape), np.zeros(self.weights.shape)
         order = np.argsort(at, kind="stable")
         at, kinds, n = at[order], kinds[order], n[order]
-        for low in range(0, len(some), 512):
-            here = slice(*np.searchsorted(at, [low, low + 512]))
-            few = some[low : low + 512]
+        for low in range(0, len(some), 256):
+            here = slice(*np.searchsorted(at, [low, low + 256]))
+            few = some[low : low + 256]
             seen = np.bincount((at[here] - low) * len(self.bias) + kinds[here], n[here], len(few) * len(self.bias)).reshape(len(few), *self.shape)
             expected = (np.exp(self.log_probs(few)).reshape(seen.shape) * seen.sum(2, keepdims=True)).reshape(len(few), -1)
             lack = seen.reshape(len(few), -1) - expected
@@ -252,7 +259,7 @@ def score(docs: DataFrame, training: Column | None = None, setup: Setup = Setup(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, end, classes, groups, per_group = known.value
-        by_class, by_group = (f.log_probs(np.arange(f.buckets**2)).astype(np.float32) / np.float32(math.log(10)) for f in (classes, groups))
+        by_class, by_group = classes.table(), groups.table()
         words, task, done = Words(setup), TaskContext.get().partitionId() << 36, 0
         count = np.array([0, end], np.int64)
         for part in portions(batches, 1_500_000):
