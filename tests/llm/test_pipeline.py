@@ -41,7 +41,7 @@ def similar(a, b):
     return both and 100 * both >= 80 * len(a | b)
 
 
-def shingles(text, width=5):
+def shingles(text, width=2):
     w = text.encode().lower().split()
     return {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
 
