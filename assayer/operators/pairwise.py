@@ -2,7 +2,8 @@
 
 Vectors of a group are dealt to blocks of bounded size; each task multiplies two blocks and emits sums per row, or the pairs
 that pass. Blocks meet by a shuffle on (group, block, block), so that one group of all vectors is spread over all tasks.
-Neither side is broadcast, and no pair of vectors becomes a row unless it is asked for.
+Neither side is broadcast, and no pair of vectors becomes a row unless it is asked for. Where extremes or a threshold are asked for and
+groups are large, blocks are made within cells around pivots, and those that cannot hold what is asked for do not meet.
 """
 
 from __future__ import annotations
@@ -14,34 +15,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import normalized
+from ..functions.vectors import dot
 from ..store import written
-from .spherical import beside, mean_vectors
+from .cells import GRP_KINDS, Test, above, block_counts, block_items, cells, farthest, matrix, meetings, met_pairs, nearest
+from .spherical import beside, mean_vectors, unit
 
 BLOCK = 1024
 
 
-def blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """vectors(grp, id, emb) -> (grp, blocks, block, items), emb normalised; blocks: their number in the group."""
-    sizes = written(vectors.groupBy("grp").agg(F.ceil(F.count("*") / size).alias("blocks")), "sizes")
-    dealt = beside(vectors, sizes).select("grp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.struct(F.col("id").cast("long").alias("id"), normalized(F.col("emb")).alias("emb")).alias("item"))
-    return dealt.groupBy("grp", "blocks", "block").agg(F.collect_list("item").alias("items"))
+#: Blocks of the largest group from which cells are made: below, all of the few blocks meet.
+PRUNED = 8
 
 
-def _matrix(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
-    items = column[row].values
-    ids = items.field("id").to_numpy(zero_copy_only=False)
-    return ids, items.field("emb").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+def blocks(vectors: DataFrame, size: int = BLOCK, counts: DataFrame | None = None) -> DataFrame:
+    """vectors(grp, id, emb) -> (grp, blocks, block, items), emb normalised; blocks: their number in the group."""
+    return block_items(vectors, block_counts(vectors, size) if counts is None else counts)
 
 
 def over_pairs(x: DataFrame, y: DataFrame, ordered: bool, fn: Callable, schema: str) -> DataFrame:
     """fn(grp, ids_x, X, ids_y, Y, same) -> columns, for each pair of blocks of one group; not ordered: each pair of blocks once.
 
     A block goes to each pair that it is part of: its copies are as many as the blocks of the other side."""
-    kind = x.schema["grp"].dataType.simpleString()
-    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
-    arrow = [{"long": pa.int64(), "double": pa.float64()}[k] for k in kinds]
-    grp_kind = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
     if x is y:
         other = lambda lo, hi: F.explode(F.sequence(lo, hi))
         last = F.col("blocks") - 1
@@ -54,18 +48,38 @@ def over_pairs(x: DataFrame, y: DataFrame, ordered: bool, fn: Callable, schema:
         right = y.join(of(x), "grp").withColumn("bx", every)
     left = left.select("grp", F.col("block").alias("bx"), "by", F.col("items").alias("x"))
     right = right.select("grp", "bx", F.col("block").alias("by"), F.col("items").alias("y"))
-    pairs = left.join(right, ["grp", "bx", "by"]).select("grp", "x", "y", (F.col("bx") == F.col("by")).alias("same"))
+    return each_pair(left.join(right, ["grp", "bx", "by"]).select("grp", "x", "y", (F.col("bx") == F.col("by")).alias("same")), fn, schema)
+
+
+def each_pair(pairs: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """fn over pairs(grp, x, y, same) of blocks."""
+    kind = pairs.schema["grp"].dataType.simpleString()
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    arrow = [{"long": pa.int64(), "double": pa.float64()}[k] for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 grp = b.column(0)[i].as_py()
-                out = fn(grp, *_matrix(b.column(1), i), *_matrix(b.column(2), i), b.column(3)[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([grp] * len(out[0]), grp_kind), *map(pa.array, out, arrow)], names=["grp", *names])
+                out = fn(grp, *matrix(b.column(1), i), *matrix(b.column(2), i), b.column(3)[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([grp] * len(out[0]), GRP_KINDS[kind]), *map(pa.array, out, arrow)], names=["grp", *names])
 
     return pairs.mapInArrow(run, f"grp {kind}, {schema}")
 
 
+def pruned_pairs(vectors: DataFrame, others: DataFrame | None, test: Test, fn: Callable, schema: str, size: int, pruned: int) -> DataFrame:
+    """fn over the pairs of blocks that pass the test; others: the vectors of the other side, None where both sides are one (each pair once).
+
+    Where no group of a side has as many as `pruned` blocks all blocks meet, which costs less than finding out which need to."""
+    sides = [vectors] if others is None else [vectors, others]
+    counts = [block_counts(v, size) for v in sides]
+    if min(c.agg(F.max("blocks")).first()[0] or 0 for c in counts) < pruned:
+        plain = [blocks(v, size, c) for v, c in zip(sides, counts, strict=True)]
+        return over_pairs(plain[0], plain[-1], others is not None, fn, schema)
+    x, y = (made := [cells(v, c, size) for v, c in zip(sides, counts, strict=True)])[0], made[-1]
+    return each_pair(met_pairs(meetings(x, y, test), x, y), fn, schema)
+
+
 def kernel(name: str, x: np.ndarray, y: np.ndarray, tau: float, gamma: float | None = None) -> np.ndarray:
     """cs: cosine / tau; rbf, laplacian: exp(-tau distance); polynomial: (gamma x.y + 1) ** tau with gamma 1 / d by default."""
     if name == "cs":
@@ -98,18 +112,17 @@ def dc_scores(vectors: DataFrame, name: str = "cs", tau: float = 1.0, size: int
     return rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg("p").alias("dc_score"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, size: int = BLOCK, pruned: int = PRUNED) -> DataFrame:
     """(grp, id_a, id_b, sim) with id_a < id_b and sim above the threshold."""
 
     def pick(grp, ids, x, other, y, same):
         s = np.clip(x @ y.T, -1, 1)
         i, j = np.nonzero(s > threshold)
-        keep = ids[i] < other[j] if same else np.ones(len(i), bool)
+        keep = ids[i] < other[j] if same else ids[i] != other[j]
         i, j = i[keep], j[keep]
         return np.minimum(ids[i], other[j]), np.maximum(ids[i], other[j]), s[i, j]
 
-    b = blocks(vectors, size)
-    return over_pairs(b, b, False, pick, "id_a long, id_b long, sim double")
+    return pruned_pairs(vectors, None, above(threshold), pick, "id_a long, id_b long, sim double", size, pruned)
 
 
 def mean_similarity(vectors: DataFrame) -> DataFrame:
@@ -125,7 +138,7 @@ def mean_similarity_of(m: DataFrame) -> DataFrame:
     return m.select("grp", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), F.when(n > 1, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean))).alias("mean_sim"))
 
 
-def pair_statistics(vectors: DataFrame, size: int = BLOCK, moments: DataFrame | None = None) -> DataFrame:
+def pair_statistics(vectors: DataFrame, size: int = BLOCK, moments: DataFrame | None = None, pruned: int = PRUNED) -> DataFrame:
     """(grp, pairs, mean_sim, min_sim) over unordered pairs; only the least one needs the pairs. moments: what `mean_vectors` gave."""
 
     def least(grp, ids, x, other, y, same):
@@ -133,17 +146,18 @@ def pair_statistics(vectors: DataFrame, size: int = BLOCK, moments: DataFrame |
         s = s[np.triu_indices(len(ids), 1)] if same else s.ravel()
         return ([float(s.min())],) if len(s) else ([],)
 
-    b = blocks(vectors, size)
-    low = over_pairs(b, b, False, least, "low double").groupBy("grp").agg(F.min("low").alias("min_sim"))
+    low = pruned_pairs(vectors, None, farthest, least, "low double", size, pruned).groupBy("grp").agg(F.min("low").alias("min_sim"))
     return (mean_similarity(vectors) if moments is None else mean_similarity_of(moments)).join(low, "grp")
 
 
-def novelty(vectors: DataFrame, seeds: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(grp, id, novelty_min, novelty_avg): cosine distances of each vector to the seeds of its group."""
+def novelty(vectors: DataFrame, seeds: DataFrame, size: int = BLOCK, pruned: int = PRUNED) -> DataFrame:
+    """(grp, id, novelty_min, novelty_avg): cosine distances of each vector to the seeds of its group. The mean one is that to the seeds'
+    mean; only the least one needs the pairs."""
 
-    def far(grp, ids, x, other, y, same):
-        d = 1 - np.clip(x @ y.T, -1, 1)
-        return ids, d.min(1), d.sum(1), np.full(len(ids), len(other))
+    def near(grp, ids, x, other, y, same):
+        return ids, (1 - np.clip(x @ y.T, -1, 1)).min(1)
 
-    parts = over_pairs(blocks(vectors, size), blocks(seeds, size), True, far, "id long, low double, total double, n long")
-    return parts.groupBy("grp", "id").agg(F.min("low").alias("novelty_min"), (F.sum("total") / F.sum("n")).alias("novelty_avg"))
+    low = pruned_pairs(vectors, seeds, nearest, near, "id long, low double", size, pruned).groupBy("grp", "id").agg(F.min("low").alias("novelty_min"))
+    means = written(mean_vectors(seeds).select("grp", "mean"), "means")
+    far = beside(unit(vectors), means).groupBy("grp", F.col("id").cast("long").alias("id")).agg(F.avg(1 - dot(F.col("emb"), F.col("mean"))).alias("novelty_avg"))
+    return low.join(far, ["grp", "id"])
