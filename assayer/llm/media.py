@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import html
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,10 @@ from .common import portions, ship, spread, text_bytes, written
 
 ROW = 576
 SEGMENTS = "array<struct<position: int, kind: string, text: string, digest: string, caption: string>>"
-# Elements without visible text, media elements, and elements that end a text.
-_SKIP, _MEDIA = {"script", "style", "template", "noscript"}, {"img", "source", "embed", "video", "audio"}
+# Elements without visible text (the raw ones have no elements inside), media elements, elements that may stay open or have no end,
+# and elements that end a text.
+_RAW, _SKIP, _MEDIA = {"script", "style"}, {"script", "style", "template", "noscript"}, {"img", "source", "embed", "video", "audio"}
+_LEFT_OPEN = {"p", "li", "tr", "td", "th", "dt", "dd", "option", "br", "hr", "img", "source", "embed", "input", "meta", "link", "wbr", "col", "area", "base", "track", "param"}
 _BREAK = {
     "p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "table", "ul", "ol", "pre", "blockquote", "td", "th",
     "body", "title", "nav", "header", "footer", "main", "aside", "dl", "dt", "dd", "hr", "form",
@@ -39,23 +42,101 @@ class _Figure:
         self.captions: list[str] = []
 
 
-class _Segments(HTMLParser):
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
+_ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE) for tag in _SKIP}
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str], int]]:
+    """(kind, name or text, attributes, place behind it) of a page, kind being start, end or text, in time linear in its length.
+
+    A quote that is never closed is a character as any other, so that a tag is unfinished only where no > follows at all: from there on
+    the page is text. A comment without an end is its mark alone; a declaration without one ends before the next < (and is text if it is a marked section)."""
+    last = {c: page.rfind(c) for c in (">", '"', "'", "-->")}
+    at = 0
+    while at < len(page):
+        i = page.find("<", at)
+        if i != at:
+            yield "text", html.unescape(page[at : i if i >= 0 else len(page)]), {}, i if i >= 0 else len(page)
+        if i < 0:
+            return
+        name = _NAME.match(page, i) if last[">"] > i else None
+        if page.startswith("<!--", i):
+            at = page.find("-->", i + 2) + 3 if last["-->"] >= i + 2 else i + 4
+        elif name is None and page[i + 1 : i + 2] in ("!", "?", "/") and page[i + 1 : i + 2]:
+            rest = page.find("<", i + 1)
+            at = page.find(">", i) + 1 if last[">"] > i else rest if rest > 0 else len(page)
+            if last[">"] < i and page.startswith("<![", i):
+                yield "text", html.unescape(page[i:at]), {}, at
+        elif name is None:
+            # Without a > behind it nothing that follows is a tag.
+            at = i + 1 if last[">"] > i else len(page)
+            yield "text", html.unescape(page[i:at]), {}, at
+        else:
+            at, attributes = name.end(), {}
+            while found := _ATTRIBUTE.match(page, at):
+                at, value = found.end(), ""
+                if found[2]:
+                    quote = page[at : at + 1]
+                    if quote in last and quote != ">" and last[quote] > at:
+                        end = page.find(quote, at + 1)
+                        value, at = page[at + 1 : end], end + 1
+                    else:
+                        value = _BARE.match(page, at)[0]
+                        at += len(value)
+                if last[">"] < at:
+                    break
+                attributes[found[1].lower()] = html.unescape(value)
+            if last[">"] < at:
+                # The last > stands within quotes.
+                yield "text", html.unescape(page[i:]), {}, len(page)
+                return
+            at = page.find(">", at) + 1
+            yield "end" if name[1] else "start", name[2].lower(), attributes, at
+            if not name[1] and name[2].lower() in _RAW:
+                end = _ENDS[name[2].lower()].search(page, at)
+                at = end.start() if end else len(page)
+
+
+def _address(attributes: dict[str, str]) -> str:
+    """The address of a media element: src, else that of a lazy loader, else the first of srcset."""
+    first = (attributes.get("srcset") or "").strip().split(maxsplit=1)
+    return attributes.get("src") or attributes.get("data-src") or (first[0].rstrip(",") if first else "")
+
+
+class _Segments:
     """Texts and media references in the order of the page.
 
     A figure's caption, wherever in the figure it stands, goes to its media that have no nearer figure with a caption; else the alt
-    text does. A caption of a figure without media, or without a figure, is text. Whatever is not closed ends with what holds it."""
+    text does. A caption of a figure without media, or without a figure, is text. Whatever is not closed ends with what holds it. Skipped
+    elements that the page never closes are read as if they were not there; a noscript element's media count unless they stand in the
+    page before."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.segments: list[dict] = []
         self.text: list[str] = []
-        self.skip = 0
+        self.skipped: str | None = None
+        self.inside, self.around = Counter(), Counter()
+        self.known: set[str] = set()
         self.figures: list[_Figure] = []
         self.caption: list[str] | None = None
 
-    def parse_marked_section(self, i: int, report: int = 1) -> int:
-        """<![...]>, whatever its name, is a comment."""
-        return self.parse_bogus_comment(i)
+    def read(self, page: str) -> list[dict]:
+        last_end: dict[str, int] = {}
+        for kind, value, attributes, behind in tokens(page):
+            if kind == "text":
+                self.handle_data(value)
+            elif kind == "end":
+                self.handle_endtag(value)
+            elif value in _SKIP and value not in _RAW:
+                if value not in last_end:
+                    last_end[value] = max((m.start() for m in _ENDS[value].finditer(page)), default=-1)
+                if last_end[value] >= behind:
+                    self.handle_starttag(value, attributes)
+            else:
+                self.handle_starttag(value, attributes)
+        return self.finish()
 
     def add_text(self, text: str) -> None:
         if text := text.strip():
@@ -89,17 +170,22 @@ class _Segments(HTMLParser):
             if self.figures:
                 self.figures[-1].media += figure.media
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _SKIP:
-            self.skip += 1
-        elif tag in _MEDIA:
-            found = dict(attrs)
-            if src := found.get("src") or "":
+    def handle_starttag(self, tag: str, attributes: dict[str, str]) -> None:
+        if tag in _MEDIA and self.skipped in (None, "noscript"):
+            if src := _address(attributes):
+                digest = src.removeprefix("sha256:") if src.startswith("sha256:") else hashlib.sha256(src.encode("utf-8", "replace")).hexdigest()
+                if self.skipped and digest in self.known:
+                    return
+                self.known.add(digest)
                 self.flush()
                 if self.figures:
                     self.figures[-1].media.append(len(self.segments))
-                digest = src.removeprefix("sha256:") if src.startswith("sha256:") else hashlib.sha256(src.encode("utf-8", "replace")).hexdigest()
-                self.segments.append({"position": len(self.segments), "kind": "media", "text": None, "digest": digest, "caption": found.get("alt") or None})
+                self.segments.append({"position": len(self.segments), "kind": "media", "text": None, "digest": digest, "caption": attributes.get("alt") or None})
+        elif self.skipped:
+            self.inside[tag] += 1
+        elif tag in _SKIP:
+            if tag not in _RAW:
+                self.skipped, self.inside = tag, Counter()
         elif tag in ("figure", "figcaption"):
             self.end_caption()
             self.flush()
@@ -113,11 +199,21 @@ class _Segments(HTMLParser):
             elif self.caption:
                 self.caption.append(" ")
             self.flush()
+        if not self.skipped and tag not in _LEFT_OPEN and tag not in _SKIP:
+            self.around[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption":
+        if self.skipped:
+            if self.inside[tag] > 0:
+                self.inside[tag] -= 1
+                return
+            if tag == self.skipped or not self.around[tag]:
+                self.skipped = None if tag == self.skipped else self.skipped
+                return
+            self.skipped = None  # with the element that holds it
+        if self.around[tag] > 0:
+            self.around[tag] -= 1
+        if tag == "figcaption":
             self.end_caption()
         elif tag == "figure":
             self.end_figure()
@@ -125,11 +221,10 @@ class _Segments(HTMLParser):
             self.flush()
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if not self.skipped:
             (self.text if self.caption is None else self.caption).append(data)
 
     def finish(self) -> list[dict]:
-        self.close()
         self.end_caption()
         self.flush()
         while self.figures:
@@ -138,13 +233,12 @@ class _Segments(HTMLParser):
 
 
 def segments(page: str) -> list[dict]:
-    parser = _Segments()
-    parser.feed(page)
-    return parser.finish()
+    return _Segments().read(page)
 
 
 def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(doc_id, segments): one row per row of pages; a null or empty page has no segments. Malformed pages are read as far as they go."""
+    """(doc_id, segments): one row per row of pages; a null or empty page has no segments. A malformed page is read to its end, in time
+    linear in its length. Repeated rows and null ids stay apart; extra columns are not read; no pages give no rows."""
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,14 +281,17 @@ DESCRIBED = "digest string, payload_bytes long, payload_sha256 string, tail_crc3
 
 
 def store(payloads: DataFrame) -> DataFrame:
-    """(digest, media), written, of payloads(body): each padded and stored as an image under the digest of its bytes."""
+    """(digest, media), written, of payloads(body): each padded and stored as an image, under the digest of its bytes or, of
+    payloads(digest, body), under the one given, such as that of an address."""
+    given = "digest" in payloads.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
             padded_ = list(map(padded, part.column(part.schema.get_field_index("body")).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).hexdigest() for p in padded_]), pa.array(map(stored, padded_), pa.binary())], names=["digest", "media"])
+            digests = part.column(1) if given else pa.array([hashlib.sha256(p).hexdigest() for p in padded_], pa.string())
+            yield pa.RecordBatch.from_arrays([digests, pa.array(map(stored, padded_), pa.binary())], names=["digest", "media"])
 
-    return written(payloads.select("body").mapInArrow(run, "digest string, media binary"), "media", "zstd")
+    return written(payloads.select("body", *(["digest"] if given else [])).mapInArrow(run, "digest string, media binary"), "media", "zstd")
 
 
 def described(media: DataFrame) -> DataFrame:

@@ -72,11 +72,13 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operator 3 over the table of pages: every segment, resolved against payloads that are the addresses of the references of every
-    other page (there are no media in the test tables)."""
+    """Operator 3 over the table of pages: every segment, resolved against stored payloads of the references of every other page. There are
+    no media in the test tables: the payload of an address is the source of the first page that refers to it."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    known = media.parse_pages(pages.where("page_id % 2 = 0")).select(F.explode("segments.digest").alias("digest")).where("digest is not null")
-    return media.page_sequences(pages, known.select("digest", F.length("digest").cast("long").alias("media_bytes")).distinct())
+    said = media.parse_pages(pages.where("page_id % 2 = 0")).select("doc_id", F.explode("segments.digest").alias("digest")).where("digest is not null")
+    first = said.groupBy("digest").agg(F.min("doc_id").alias("page_id")).join(pages, "page_id")
+    known = media.described(media.store(first.select("digest", F.col("html").cast("binary").alias("body"))))
+    return media.page_sequences(pages, known)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -176,6 +177,49 @@ def test_malformed_pages():
         assert short(page) == want, page
 
 
+def test_unclosed_and_lazy_elements():
+    short = lambda page: [s["text"] or s["digest"] for s in media.segments(page)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for page, want in {
+        "<noscript>a<p>b</p>": ["a", "b"],
+        "<div><template>a</div>b<p>c<template>d</template>": ["b", "c"],
+        "<noscript>a<p>b</p></noscript>c": ["c"],
+        "<img src=a><noscript><img src=a><img src=b></noscript>": [sha("a"), sha("b")],
+        "<template><img src=a></template>x": ["x"],
+        "<picture><source srcset='u.jpg 1x, v.jpg 2x'></picture><img data-src=w>": [sha("u.jpg"), sha("w")],
+        "<!DOCTYPE [<p>x": ["x"],
+        "a<!--b<p>c": ["ab", "c"],
+        '<p title="x>y">z</p>': ["z"],
+        "<p title=\"x>y</p>": ["y"],
+        "<script>if(a<b)'</p>'</script>t": ["t"],
+        "1 < 2 &lt; 3": ["1 < 2 < 3"],
+    }.items():
+        assert short(page) == want, page
+
+
+@pytest.mark.parametrize("page", ['<img src="' * 100_000, "<a " * 333_000, "<!--" * 250_000, "<a " * 333_000 + "x='>", '<p title="' * 100_000 + ">", "<?" * 300_000, "<noscript>" * 80_000 + "</noscript>", "<template>" * 50_000 + "</div>" * 50_000, "<figcaption>" * 80_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    media.segments(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_random_markup_is_read_to_its_end():
+    """Words outside of tags are found whatever stands before them; nothing fails."""
+    r = random.Random(8)
+    parts = ["<p>", "</p>", "<a ", '"', "'", "=", ">", "<", " ", "<noscript>", "<!--", "-->", "<figure>", "</figure>", "<figcaption>", "<img src=", "&amp;", "/", "<template>", "</div>", "<div>"]
+    for _ in range(3000):
+        page = "".join(r.choices(parts, k=r.randint(0, 25)))
+        got = media.segments(page + "'\"--></p></figcaption></figure><p>end</p>")
+        assert any("end" in (s["text"] or s["caption"] or "") for s in got), page
+
+
+def test_payloads_of_addresses(spark):
+    given = spark.createDataFrame([("one", b"x" * 600), ("two", b"")], "digest string, body binary")
+    got = {r.digest: r for r in media.described(media.store(given)).collect()}
+    assert (got["one"].payload_bytes, got["two"].payload_bytes) == (1152, 576) and got["one"].payload_sha256 == hashlib.sha256(media.padded(b"x" * 600)).hexdigest()
+
+
 def test_pages_of_the_table(spark):
     """Every visible word of the given pages is in some segment, in order, and resolving changes neither order nor captions."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
