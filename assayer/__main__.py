@@ -51,7 +51,8 @@ def stage(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def collect(spark: SparkSession, a: argparse.Namespace) -> None:
-    _collected(spark, runs.collect(spark, a.folder, a.results), a)
+    """The whole files of the results; with --stream of a folder of results, of which only new files are read."""
+    _collected(spark, (runs.collect_stream if a.stream else runs.collect)(spark, a.folder, a.results), a)
 
 
 def collect_local(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -124,7 +125,7 @@ def parser() -> argparse.ArgumentParser:
 
     command(evaluate, "schema", "vectors", "seeds", dataset=None, input_dir=None, style=None, style_seeds=None, seed_subset=None, not_realistic=None, coverage_k=10, out_json=None, out_csv=None)
     command(stage, "schema", "folder", runs=1, n=100, chunk=25, max_s=0, inc_s=1, exclude_s="", max_combinations=5, ablation=False, rerun=None, domain=None).add_argument("--models", nargs="+", required=True, help="provider=model")
-    command(collect, "folder", "results", ablation=False)
+    command(collect, "folder", "results", ablation=False, stream=False)
     command(collect_local, "folder", generator=None, rounds=5, chunk=25, ablation=False)
     command(stage_labels, "texts", "vocabulary", "folder", all=False)
     command(collect_labels, "folder", "results", "texts", "vocabulary")

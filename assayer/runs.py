@@ -13,11 +13,13 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from .operators import repair as R
 from .operators import workflow as W
 from .schema import Schema, seed_combinations
-from .sources.tables import read_results, write_requests
+from .sources.tables import read_results, stream_results, write_requests
 from .workers import ship
 
 # The columns of the experiment summaries.
@@ -87,9 +89,13 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def _answers(results: DataFrame) -> DataFrame:
     """(custom_id, text) with no text where the status is not 200; of several answers to an id the longest, then the first."""
-    text = F.when(F.coalesce("status", F.lit(200)) == 200, W.response_text(F.col("body")))
     least = F.max_by("text", F.struct(F.length("text"), "text"))
-    return results.select("custom_id", text.alias("text")).groupBy("custom_id").agg(least.alias("text"))
+    return _texts(results).groupBy("custom_id").agg(least.alias("text"))
+
+
+def _texts(results: DataFrame) -> DataFrame:
+    """(custom_id, text) of results(custom_id, status, body), one by one."""
+    return results.select("custom_id", F.when(F.coalesce("status", F.lit(200)) == 200, W.response_text(F.col("body"))).alias("text"))
 
 
 class Collected(NamedTuple):
@@ -112,15 +118,94 @@ def collect(spark: SparkSession, folder: str, results: DataFrame | str) -> Colle
     needed = lost.where("round is null") if "round" in asked.columns else lost
     whole = found.join(needed.select("stem", "kind").distinct(), ["stem", "kind"], "left_anti")
     chunks = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"])
-    csv = (F.col("kind") == "schema") & F.col("whole_schema")
     files = whole.groupBy("stem", "kind", (F.col("variant_id") == 0).alias("whole_schema")).agg(chunks.alias("chunks"))
+    return _collected(put_together(files), failures.unionByName(unanswered))
+
+
+def put_together(files: DataFrame) -> DataFrame:
+    """(stem, kind, chunks, text, csv) of whole files(stem, kind, whole_schema, chunks); no text where the answers have no rows."""
+    csv = (F.col("kind") == "schema") & F.col("whole_schema")
     plain = R.plain_lines(F.array_join("chunks", "\n"))
-    made = files.select("stem", "kind", "chunks", F.when(csv, R.combined_csv(F.col("chunks"))).otherwise(F.when(plain != "", plain)).alias("text"), csv.alias("csv"))
+    return files.select("stem", "kind", "chunks", F.when(csv, R.combined_csv(F.col("chunks"))).otherwise(F.when(plain != "", plain)).alias("text"), csv.alias("csv"))
+
+
+def _collected(made: DataFrame, failures: DataFrame) -> Collected:
     broken = made.where("text is null")
     raw = broken.select("stem", "kind", F.array_join("chunks", "\n\n").alias("text"))
     unusable = broken.select(F.concat_ws("__", "kind", "stem").alias("custom_id"), F.lit("no rows in the answers").alias("error"))
     texts = made.where("text is not null").select("stem", "kind", "text", F.when(F.col("csv"), R.text_lines(F.col("text"))).alias("examples"))
-    return Collected(texts, failures.unionByName(unanswered).unionByName(unusable), raw)
+    return Collected(texts, failures.unionByName(unusable), raw)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROGRESS = "stem string, kind string, known boolean, whole_schema boolean, lacking long, ids array<string>, chunks array<long>, texts array<string>"
+
+
+def _grow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The state of a file: the best answer to each of its chunks; out comes what it has and lacks now, if something changed."""
+    best = {i: (chunk, first, text) for i, chunk, first, text in zip(*state.get, strict=True)} if state.exists else {}
+    changed, known, whole_schema, needed = False, False, False, 0
+    for p in parts:
+        for i, chunk, first, text, known, whole_schema, needed in zip(*(p[c] for c in ("custom_id", "chunk", "first", "text", "known", "whole_schema", "needed")), strict=True):
+            text = text if isinstance(text, str) else None
+            if i not in best or text is not None and (best[i][2] is None or (len(text), text) > (len(best[i][2]), best[i][2])):
+                best[i], changed = (int(chunk), bool(first), text), True
+    if not changed:
+        return
+    ids, chunks, firsts, texts = map(list, zip(*((i, *b) for i, b in best.items()), strict=True))
+    state.update((ids, chunks, firsts, texts))
+    lacking = int(needed) - sum(first and text is not None for _, first, text in best.values())
+    yield pd.DataFrame({"stem": [key[0]], "kind": [key[1]], "known": [bool(known)], "whole_schema": [bool(whole_schema)], "lacking": [lacking], "ids": [ids], "chunks": [chunks], "texts": [texts]})
+
+
+def follow(spark: SparkSession, folder: str, results: str, files_per_batch: int = 64, **trigger) -> StreamingQuery:
+    """A stream over the files of result lines in a folder, which keeps for each asked file the answers it has and the number it lacks.
+
+    A file that lacks none is put together in the batch that brought its last chunk, and anew when a better answer to one of its chunks comes; batches
+    go to `stream/given` and `stream/progress` in the run's folder, written over when a batch is run again. The stream goes on where it
+    stopped. Ids are looked up in the manifest as it is when the stream is started. trigger: availableNow by default."""
+    ship(spark)
+    asked = manifest(spark, folder)
+    first = F.col("round").isNull() if "round" in asked.columns else F.lit(True)
+    asked = asked.select("custom_id", F.col("stem").alias("name"), "kind", "chunk", first.alias("first"), (F.col("variant_id") == 0).alias("whole_schema"))
+    asked = asked.join(asked.groupBy("name", "kind").agg(F.count(F.when(F.col("first"), 1)).alias("needed")), ["name", "kind"]).withColumn("known", F.lit(True))
+    answers = _texts(stream_results(spark, results, files_per_batch)).join(asked, "custom_id", "left")
+    keyed = answers.select(
+        F.coalesce("name", "custom_id").alias("stem"), F.coalesce("kind", F.lit("")).alias("kind"), "custom_id", "text", F.coalesce("chunk", F.lit(0)).cast("long").alias("chunk"),
+        *(F.coalesce(c, F.lit(False)).alias(c) for c in ("first", "known", "whole_schema")), F.coalesce("needed", F.lit(0)).alias("needed"),
+    )
+    kept = keyed.groupBy("stem", "kind").applyInPandasWithState(_grow, PROGRESS, "ids array<string>, chunks array<long>, firsts array<boolean>, texts array<string>", "update", "NoTimeout")
+
+    def give(changed: DataFrame, batch: int) -> None:
+        at = f"{folder}/stream/progress/batch={batch}"
+        changed.write.mode("overwrite").parquet(at)
+        rows = F.filter(F.arrays_zip("chunks", "texts"), lambda x: x["texts"].isNotNull())
+        whole = spark.read.schema(PROGRESS).parquet(at).where("known and lacking <= 0").withColumn("chunks", F.transform(F.array_sort(rows), lambda x: x["texts"])).where(F.size("chunks") > 0)
+        put_together(whole).write.mode("overwrite").parquet(f"{folder}/stream/given/batch={batch}")
+
+    store = "spark.sql.streaming.stateStore"
+    conf = {f"{store}.providerClass": ROCKS, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = kept.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/stream/marks")
+        return out.trigger(**(trigger or {"availableNow": True})).foreachBatch(give).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def collect_stream(spark: SparkSession, folder: str, results: str, files_per_batch: int = 64) -> Collected:
+    """As `collect`, of a folder of results of which only the files that came since the last call are read."""
+    follow(spark, folder, results, files_per_batch).awaitTermination()
+    latest = lambda rows, columns: rows.groupBy("stem", "kind").agg(F.max_by(F.struct(*columns), "batch").alias("x")).select("stem", "kind", "x.*")
+    progress = latest(spark.read.schema(f"{PROGRESS}, batch int").parquet(f"{folder}/stream/progress"), ["known", "ids", "texts"])
+    given = spark.read.schema("stem string, kind string, chunks array<string>, text string, csv boolean, batch int").parquet(f"{folder}/stream/given")
+    answers = progress.select("known", F.explode(F.arrays_zip("ids", "texts")).alias("x")).select("known", F.col("x.ids").alias("custom_id"), F.col("x.texts").alias("text"))
+    failures = answers.where("not known or text is null").select("custom_id", F.when(~F.col("known"), "unknown id").otherwise("no text").alias("error"))
+    unanswered = manifest(spark, folder).join(answers, "custom_id", "left_anti").select("custom_id", F.lit("no answer").alias("error"))
+    return _collected(latest(given, ["chunks", "text", "csv"]), failures.unionByName(unanswered))
 
 
 #: A service: (body of a request) -> text, or None where it has none.

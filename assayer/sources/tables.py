@@ -54,9 +54,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("text")).where("text <> ''")
 
 
+def result_lines(lines: DataFrame) -> DataFrame:
+    """(custom_id, status, body) of lines(value) of batch results, with the body as JSON text."""
+    of = lambda path: F.get_json_object("value", path)
+    return lines.where(F.trim("value") != "").select(of("$.custom_id").alias("custom_id"), of("$.response.status_code").cast("int").alias("status"), of("$.response.body").alias("body"))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """(custom_id, status, body): the lines of batch results, with the body as JSON text."""
-    return spark.read.text(path).where(F.trim("value") != "").select(F.get_json_object("value", "$.custom_id").alias("custom_id"), F.get_json_object("value", "$.response.status_code").cast("int").alias("status"), F.get_json_object("value", "$.response.body").alias("body"))
+    return result_lines(spark.read.text(path))
+
+
+def stream_results(spark: SparkSession, folder: str, files_per_batch: int) -> DataFrame:
+    """read_results of the files of a folder as a stream."""
+    return result_lines(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder))
 
 
 def labelled_files(spark: SparkSession, folder: str) -> DataFrame:

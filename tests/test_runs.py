@@ -3,6 +3,7 @@
 import csv
 import glob
 import json
+import random
 
 import pytest
 
@@ -129,3 +130,30 @@ def test_repair_command(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k,example_text\n1,hello, world\n")
     cli.main(["repair", "--files", str(tmp_path / "a.csv"), "--out", str(tmp_path / "out")])
     assert "hello, world" in "".join(open(f).read() for f in glob.glob(f"{tmp_path}/out/file=a.csv/*.txt"))
+
+
+def test_a_stream_collects_what_a_batch_does(spark, tmp_path):
+    """Answers in several files, in any order, repeated, bettered, failed and unknown: after each file the stream has what a batch has."""
+    r = random.Random(4)
+    folder, results = str(tmp_path / "run"), tmp_path / "results"
+    results.mkdir()
+    asked = runs.stage(spark, folder, Schema.parse(DOC), [("p", "m/1")], 60, 1, [0, 1], 3).collect()
+    said = [line(q.custom_id, f"example_text,k\nt{q.chunk},a" if q.kind == "schema" else f"b{q.chunk}") for q in asked[:-2]]
+    better = [line(q.custom_id, f"example_text,k\nlonger {q.chunk},a\nx,b" if q.kind == "schema" else f"b{q.chunk}\nmore") for q in asked[:4]]
+    bad = [line(asked[0].custom_id, "x", 500), line(asked[-2].custom_id, "x", 500), line("unknown", "x"), line("other", "x", 500), line(asked[5].custom_id, "   ")]
+    lines = [*said, *r.sample(said, 5), *better, *bad]
+    r.shuffle(lines)
+    given = set()
+    for k in range(3):
+        (results / f"part-{k}.jsonl").write_text("\n".join(lines[k::3]) + "\n")
+        got = runs.collect_stream(spark, folder, str(results))
+        want = runs.collect(spark, folder, str(results))
+        rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+        assert rows(got.texts.select("stem", "kind", "text", "examples")) == rows(want.texts.select("stem", "kind", "text", "examples"))
+        assert rows(got.failures.select("custom_id", "error")) == rows(want.failures.select("custom_id", "error")) and rows(got.raw) == rows(want.raw)
+        given |= {(q.stem, q.kind) for q in got.texts.collect()}
+    assert len(given) > 1
+    # A call without new files reads none and says the same.
+    assert rows(runs.collect_stream(spark, folder, str(results)).texts) == rows(got.texts) and len(glob.glob(f"{folder}/stream/progress/batch=*")) == 3
+    cli.main(["collect", "--stream", "--folder", folder, "--results", str(results)])
+    assert len(glob.glob(f"{folder}/texts-*/kind=*/stem=*")) == len(given)
