@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import runs
 from ..functions import labels as L
 from ..functions.vectors import cosine_distance, normalized
 from ..operators import coverage as C
@@ -24,7 +25,8 @@ from ..operators import workflow as W
 from ..report import row_metrics as row_metrics_of
 from ..schema import Schema
 from ..schema import seed_combinations as drawn_combinations
-from ..sources.tables import unlabelled
+from ..sources.tables import unlabelled, write_requests
+from ..store import new_folder
 from ..workers import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -672,6 +674,18 @@ def chunk_assembly(spark, d):
     return W.assemble(table(spark, d, "conversations"), ["conv_id"], "turn")
 
 
+@query("""WITH x AS (SELECT 'lot ' || (p_partkey // 4) AS stem, p_partkey, p_size % 7 <> 0 AS answered FROM part)
+SELECT stem, string_agg('part ' || p_partkey, chr(10) ORDER BY p_partkey) AS text FROM x GROUP BY 1 HAVING bool_and(answered)""")
+def collection_stream(spark, d):
+    """Answers to a request per part, of which some fail, collected by a stream: the files that lack none, a file being a lot of four parts."""
+    p = table(spark, d, "part").select(F.expr("concat('lot ', p_partkey div 4)").alias("stem"), F.col("p_partkey").cast("long").alias("chunk"), (F.col("p_size") % 7 != 0).alias("answered"))
+    folder = new_folder(spark, "run")
+    write_requests(p.select(F.col("chunk").cast("string").alias("custom_id"), "stem", F.lit("baseline").alias("kind"), "chunk", F.lit(0).alias("variant_id")), f"{folder}/manifest")
+    said = F.struct(F.when(F.col("answered"), 200).otherwise(500).alias("status_code"), F.struct(F.concat(F.lit("part "), "chunk").alias("output_text")).alias("body"))
+    p.select(F.to_json(F.struct(F.col("chunk").cast("string").alias("custom_id"), said.alias("response"))).alias("value")).write.text(f"{folder}/results")
+    return runs.collect_stream(spark, folder, f"{folder}/results").texts.select("stem", "text")
+
+
 @query("""WITH x AS (SELECT p_brand, p_partkey, p_partkey % 2 = 0 AS even, p_size FROM part),
 b AS (SELECT p_brand, bool_or(NOT even) AS odd, bool_or(even) AS even, min_by(even, p_partkey) AS even_first FROM x GROUP BY 1)
 SELECT p_brand, CASE WHEN NOT odd THEN 'k,size' WHEN NOT b.even THEN 'size,note,k' WHEN even_first THEN 'k,size,note' ELSE 'size,note,k' END || chr(10) ||
