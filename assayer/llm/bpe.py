@@ -133,8 +133,8 @@ def decode_tree(codec: Codec, ids: np.ndarray, leaf: int = LEAF) -> bytes:
 def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     """One row per row of docs: ids of the whole text (null: empty) by the ranks in path, and the bytes decoded from them.
 
-    An empty text has no tokens and the digest of no bytes. Repeated rows are encoded each for itself; other columns are
-    not read. No shuffle: a text is encoded where it is read."""
+    An empty text has no tokens and the digest of no bytes. Repeated rows are encoded each for itself and null ids stay
+    null; other columns are not read; no rows give no rows. No shuffle: a text is encoded where it is read."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,7 +96,10 @@ def read_back(formatted: Column) -> Column:
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """The formatted conversations, read back, and what their loss spans cut out: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_blocks."""
+    """The formatted conversations, read back, and what their loss spans cut out: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_blocks.
+
+    A row per conversation; edges (null roles and texts, ties of turns, repeated rows) are those of `format_conversations`. Without
+    assistant turns the loss is empty, with the digest of no bytes. No rows give no rows; extra columns are not read."""
     back = format_conversations(turns).select("conv_id", "blocks", "formatted", "loss", read_back(F.col("formatted")).alias("turns"))
     loss = F.array_join(loss_texts(F.col("formatted"), F.col("loss")), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -145,7 +145,10 @@ def with_edits(kept: DataFrame, edits: DataFrame) -> DataFrame:
 def edit_trees(kept: DataFrame, path: str, with_trees: bool = False) -> DataFrame:
     """What the edits of kept(trees' columns, edits array<struct<start, end, new>>) do, one row per row: tokens before and after them,
     applied one after the other, and the characters that had to be encoded. An edit's range is in characters and is clipped to the text
-    as it then is. with_trees: with the edited trees' columns, so that they can be kept and edited again."""
+    as it then is. with_trees: with the edited trees' columns, so that they can be kept and edited again.
+
+    Rows stay apart whatever their ids, null ones too; no rows give no rows; other columns are not read. The tree of an empty text can be
+    edited as any other."""
     ship(kept.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +170,9 @@ def edit_trees(kept: DataFrame, path: str, with_trees: bool = False) -> DataFram
 
 
 def count_with_edits(docs: DataFrame, path: str, segment: int = SEGMENT) -> DataFrame:
-    """One row per row of docs: tokens of the whole text, and after the planned edits applied to its tree, from a written table of trees."""
+    """One row per row of docs: tokens of the whole text, and after the planned edits applied to its tree, from a written table of trees.
+
+    A null text is empty. Repeated rows and rows of null ids stay apart; a text of any length is one row, whose tree its worker holds. No rows
+    give no rows; extra columns are not read."""
     kept = written(trees(docs, path, segment), "token-trees", "zstd")
     return edit_trees(kept.withColumn("edits", planned_edits(F.col("n_chars"), F.col("doc_id"))), path)

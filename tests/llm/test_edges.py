@@ -4,10 +4,16 @@ import collections
 import hashlib
 import random
 
+import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
+from tiktoken.load import load_tiktoken_bpe
 
-from assayer.llm import bpe, exact, neardup, quality, substring
+from assayer.llm import bpe, counts, exact, media, neardup, packing, quality, substring
+
+RANKS, VOCABULARY = (public_tokenizers.path(f"byte_bpe_50k.{k}") for k in ("tiktoken", "json"))
 
 #: Names that the operators use inside.
 NAMES = ["_sha", "_n", "row", "text_key", "tag", "_new", "new", "sha", "digest", "keep_id", "keep_sha", "body", "kept", "_row", "_digest", "a.b"]
@@ -116,3 +122,21 @@ def test_texts_longer_than_a_portion(spark):
     by = bpe.codec(__import__("public_tokenizers").path("byte_bpe_50k.tiktoken"))
     ids = {x.doc_id: x.n_tokens for x in bpe.encode_decode(df, __import__("public_tokenizers").path("byte_bpe_50k.tiktoken")).collect()}
     assert ids == {i: len(by.bpe.encode_ordinary(t)) for i, t in rows}
+
+
+def test_null_ids_repeated_rows_and_texts_longer_than_a_portion(spark):
+    """Operators that treat each row for itself: rows of a null id and repeated rows stay apart, and a long text is a row as any other."""
+    long = "a long text, of words. " * 400_000
+    rows = [(1, "one text"), (1, "one text"), (None, "no id"), (None, "no id"), (None, None), (2, ""), (3, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(RANKS), special_tokens={})
+    ids = {t: plain.encode_ordinary(t or "") for t in {t for _, t in rows}}
+    got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256) for r in bpe.encode_decode(docs, RANKS).collect()), key=repr)
+    assert got == sorted(((i, len(ids[t]), hashlib.sha256(np.array(ids[t], "<u4").tobytes()).hexdigest()) for i, t in rows), key=repr)
+    got = sorted(((r.doc_id, r.n_bytes, r.payload_sha256) for r in media.text_media(docs).collect()), key=repr)
+    assert got == sorted(((i, len((t or "").encode()), hashlib.sha256(media.padded((t or "").encode())).hexdigest()) for i, t in rows), key=repr)
+    got = sorted(((r.doc_id, r.n_tokens) for r in counts.count_with_edits(docs, RANKS).collect()), key=repr)
+    assert got == sorted(((i, len(ids[t])) for i, t in rows), key=repr)
+    got = packing.pack(docs, VOCABULARY).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count(F.when(F.col("piece") == 0, 1)).alias("rows")).collect()
+    want = {i: (sum(len(ids[t]) + 1 for j, t in rows if i == j), sum(i == j for j, _ in rows)) for i, _ in rows}
+    assert {r.doc_id: (r.n, r.rows) for r in got} == want
