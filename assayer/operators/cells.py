@@ -1,6 +1,6 @@
 """Cells of vectors around pivots: which blocks need not meet.
 
-Pivots are members of a group, about two for each block that the group has, PIVOTS at most, drawn by a hash of the id. Each vector goes to the
+Pivots are members of a group, about PIVOTS, or one for each FEW vectors of a small group, drawn by a hash of the id. Each vector goes to the
 cell of its nearest pivot and a cell has the largest angle to it as its radius. By the triangle inequality two vectors of cells with
 pivots at an angle t are at an angle within t -/+ the sum of the radii, so that pairs of cells which can hold nothing asked for are
 dropped before any vector is sent. Vectors without a direction are a cell of their own, which meets all others.
@@ -22,6 +22,7 @@ from .spherical import beside
 
 #: Pivots of a group, about. Their angles to each other are worked out in one task.
 PIVOTS = 512
+FEW = 8
 #: What rounding may do to an angle.
 SLACK = 1e-6
 GRP_KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
@@ -48,7 +49,7 @@ def block_items(vectors: DataFrame, counts: DataFrame) -> DataFrame:
 
 @dataclass
 class Cells:
-    """blocks(grp, cell, block, items); about(grp, cells: array<struct<cell, blocks, radius, pivot>>), a row per group."""
+    """blocks(grp, cell, block, items); about(grp, cells: array<struct<cell, blocks, n, radius, pivot>>), a row per group."""
 
     blocks: DataFrame
     about: DataFrame
@@ -56,7 +57,7 @@ class Cells:
 
 def cells(vectors: DataFrame, counts: DataFrame, size: int) -> Cells:
     kind = vectors.schema["grp"].dataType.simpleString()
-    wanted = F.least(2 * F.col("blocks"), F.lit(PIVOTS))
+    wanted = F.least(F.col("blocks") * size / FEW, F.lit(PIVOTS))
     drawn = beside(vectors, counts).where(F.pmod(F.xxhash64("id", F.lit(17)), F.ceil(F.col("blocks") * size / wanted)) == 0)
     one = drawn.groupBy("grp", F.col("id").cast("long").alias("id")).agg(normalized(F.first("emb")).alias("emb"))
     some = one.where(F.aggregate("emb", F.lit(0.0), lambda a, x: a + x * x) > 0.25)
@@ -79,12 +80,12 @@ def cells(vectors: DataFrame, counts: DataFrame, size: int) -> Cells:
 
     beside_pivots = beside(block_items(vectors, counts), pivots, "left").select("grp", "items", "pivots")
     placed = written(beside_pivots.mapInArrow(assign, f"grp {kind}, cell int, id long, emb array<double>, angle double"), "placed")
-    sums = written(placed.groupBy("grp", "cell").agg(F.ceil(F.count("*") / size).alias("blocks"), F.max("angle").alias("radius")), "cells")
+    sums = written(placed.groupBy("grp", "cell").agg(F.ceil(F.count("*") / size).alias("blocks"), F.count("*").alias("n"), F.max("angle").alias("radius")), "cells")
     dealt = placed.join(sums, ["grp", "cell"]).select("grp", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.struct("id", "emb").alias("item"))
     blocks = written(dealt.groupBy("grp", "cell", "block").agg(F.collect_list("item").alias("items")), "blocks")
-    listed = sums.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("cell", "blocks", "radius"))).alias("cells")).join(pivots, "grp", "left")
+    listed = sums.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("cell", "blocks", "n", "radius"))).alias("cells")).join(pivots, "grp", "left")
     at = lambda c: F.when(c["cell"] >= 0, F.get("pivots", c["cell"])["emb"])
-    about = listed.select("grp", F.transform("cells", lambda c: F.struct(c["cell"].alias("cell"), c["blocks"].alias("blocks"), c["radius"].alias("radius"), at(c).alias("pivot"))).alias("cells"))
+    about = listed.select("grp", F.transform("cells", lambda c: F.struct(*(c[k].alias(k) for k in ("cell", "blocks", "n", "radius")), at(c).alias("pivot"))).alias("cells"))
     return Cells(blocks, about)
 
 
@@ -94,6 +95,7 @@ class Side:
 
     cell: np.ndarray
     blocks: np.ndarray
+    n: np.ndarray
     radius: np.ndarray
     pivot: np.ndarray
     real: np.ndarray
@@ -102,7 +104,7 @@ class Side:
 def _side(cells_: list[dict], dims: int) -> Side:
     of = lambda k, t: np.array([c[k] for c in cells_], t)
     pivot = np.array([c["pivot"] or [0.0] * dims for c in cells_]).reshape(len(cells_), -1)
-    return Side(of("cell", np.int32), of("blocks", np.int64), of("radius", float), pivot, np.array([c["pivot"] is not None for c in cells_]))
+    return Side(of("cell", np.int32), of("blocks", np.int64), of("n", np.int64), of("radius", float), pivot, np.array([c["pivot"] is not None for c in cells_]))
 
 
 #: What cells must meet, from the angles of their pivots (x cells by y cells).
@@ -127,8 +129,9 @@ def nearest(x: Side, y: Side, t: np.ndarray) -> np.ndarray:
     return t - x.radius[:, None] - y.radius[None] <= bound[:, None] + SLACK
 
 
-def meetings(x: Cells, y: Cells, test: Test) -> DataFrame:
-    """(grp, cx, bx, cy, by), written: the blocks that meet; each pair once where both sides are one."""
+def cell_pairs(x: Cells, y: Cells, test: Test) -> DataFrame:
+    """(grp, cx, nx, cy, ny, sent), written: the cells that meet, with their numbers of blocks and the vectors that are sent for it; each pair
+    once where both sides are one."""
     own = x is y
     kind = x.about.schema["grp"].dataType.simpleString()
 
@@ -142,11 +145,15 @@ def meetings(x: Cells, y: Cells, test: Test) -> DataFrame:
                 # A cell without a pivot has a radius of half a turn: it meets all.
                 met = test(p, q, t) | ~p.real[:, None] | ~q.real[None]
                 m, n = np.nonzero(np.triu(met) if own else met)
-                columns = [pa.array([grp] * len(m), GRP_KINDS[kind]), *(pa.array(a) for a in (p.cell[m], p.blocks[m], q.cell[n], q.blocks[n]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["grp", "cx", "nx", "cy", "ny"])
+                columns = [pa.array([grp] * len(m), GRP_KINDS[kind]), *(pa.array(a) for a in (p.cell[m], p.blocks[m], q.cell[n], q.blocks[n], p.n[m] * q.blocks[n] + q.n[n] * p.blocks[m]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["grp", "cx", "nx", "cy", "ny", "sent"])
 
     both = x.about.join(y.about.withColumnRenamed("cells", "others"), "grp").select("grp", "cells", "others")
-    found = both.mapInArrow(run, f"grp {kind}, cx int, nx long, cy int, ny long")
+    return written(both.mapInArrow(run, f"grp {kind}, cx int, nx long, cy int, ny long, sent long"), "cell-pairs")
+
+
+def meetings(found: DataFrame, own: bool) -> DataFrame:
+    """(grp, cx, bx, cy, by), written: the blocks of the cell pairs; each pair once where both sides are one."""
     first = F.when(F.col("cx") == F.col("cy"), F.col("bx")).otherwise(F.lit(0).cast("long")) if own else F.lit(0).cast("long")
     every = found.withColumn("bx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1)))
     return written(every.select("grp", "cx", "bx", "cy", F.explode(F.sequence(first, F.col("ny") - 1)).alias("by")), "meetings")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from ..store import written
-from .cells import GRP_KINDS, Test, above, block_counts, block_items, cells, farthest, matrix, meetings, met_pairs, nearest
+from .cells import GRP_KINDS, Test, above, block_counts, block_items, cell_pairs, cells, farthest, matrix, meetings, met_pairs, nearest
 from .spherical import beside, mean_vectors, unit
 
 BLOCK = 1024
@@ -70,14 +70,20 @@ def each_pair(pairs: DataFrame, fn: Callable, schema: str) -> DataFrame:
 def pruned_pairs(vectors: DataFrame, others: DataFrame | None, test: Test, fn: Callable, schema: str, size: int, pruned: int) -> DataFrame:
     """fn over the pairs of blocks that pass the test; others: the vectors of the other side, None where both sides are one (each pair once).
 
-    Where no group of a side has as many as `pruned` blocks all blocks meet, which costs less than finding out which need to."""
+    Where no group of a side has as many as `pruned` blocks all blocks meet, which costs less than finding out which need to; so they do where
+    cells, which are smaller than blocks, would have more vectors sent. With 0 cells are made in any case."""
     sides = [vectors] if others is None else [vectors, others]
     counts = [block_counts(v, size) for v in sides]
-    if min(c.agg(F.max("blocks")).first()[0] or 0 for c in counts) < pruned:
-        plain = [blocks(v, size, c) for v, c in zip(sides, counts, strict=True)]
-        return over_pairs(plain[0], plain[-1], others is not None, fn, schema)
-    x, y = (made := [cells(v, c, size) for v, c in zip(sides, counts, strict=True)])[0], made[-1]
-    return each_pair(met_pairs(meetings(x, y, test), x, y), fn, schema)
+    if min(c.agg(F.max("blocks")).first()[0] or 0 for c in counts) >= pruned:
+        x, y = (made := [cells(v, c, size) for v, c in zip(sides, counts, strict=True)])[0], made[-1]
+        met = cell_pairs(x, y, test)
+        n = F.col("blocks") + 1 if others is None else 2 * F.col("others")
+        each = counts[0].join(counts[-1].select("grp", F.col("blocks").alias("others")), "grp")
+        every = each.agg(F.sum(F.col("blocks") * size * n)).first()[0] or 0
+        if not pruned or (met.agg(F.sum("sent")).first()[0] or 0) < every:
+            return each_pair(met_pairs(meetings(met, x is y), x, y), fn, schema)
+    plain = [blocks(v, size, c) for v, c in zip(sides, counts, strict=True)]
+    return over_pairs(plain[0], plain[-1], others is not None, fn, schema)
 
 
 def kernel(name: str, x: np.ndarray, y: np.ndarray, tau: float, gamma: float | None = None) -> np.ndarray:

@@ -36,14 +36,14 @@ def data() -> dict[str, np.ndarray]:
 @pytest.mark.parametrize("threshold", [0.9, 0.2, -0.5])
 def test_similar_pairs(spark, threshold):
     groups = data()
-    got = P.similar_pairs(frame(spark, groups), threshold, size=16, pruned=2).collect()
+    got = P.similar_pairs(frame(spark, groups), threshold, size=16, pruned=0).collect()
     want = {(g, i, j) for g, x in groups.items() for i, j in zip(*np.nonzero(np.triu(cosines(x, x) > threshold, 1)), strict=True)}
     assert len(got) == len(want) and {(r.grp, r.id_a, r.id_b) for r in got} == want
 
 
 def test_least_similarity(spark):
     groups = data()
-    got = {r.grp: r for r in P.pair_statistics(frame(spark, groups), size=16, pruned=2).collect()}
+    got = {r.grp: r for r in P.pair_statistics(frame(spark, groups), size=16, pruned=0).collect()}
     for g, x in groups.items():
         if len(x) > 1:
             s = cosines(x, x)[np.triu_indices(len(x), 1)]
@@ -54,7 +54,7 @@ def test_novelty(spark):
     groups = data()
     seeds = {g: clustered(1 if g == "clusters" else 9, 90, 10) for g in groups if g != "small"}
     seeds["noise"][4] = 0
-    got = {(r.grp, r.id): r for r in P.novelty(frame(spark, groups), frame(spark, seeds), size=16, pruned=2).collect()}
+    got = {(r.grp, r.id): r for r in P.novelty(frame(spark, groups), frame(spark, seeds), size=16, pruned=0).collect()}
     assert {g for g, _ in got} == set(seeds)
     for g in seeds:
         d = 1 - cosines(groups[g], seeds[g])
@@ -66,14 +66,23 @@ def test_what_does_not_meet(spark):
     v = frame(spark, {"all": clustered(1, 2000, 20, 32, 0.02)}).persist()
     made = K.cells(v, K.block_counts(v, 32), 32)
     share = lambda met, y=made: K.share_met(met, made, y).first().share
-    assert share(K.meetings(made, made, K.above(0.95))) < 0.2
+    assert share(K.meetings(K.cell_pairs(made, made, K.above(0.95)), True)) < 0.2
     # The least similarity is that of few clusters, and the nearest seed of a cluster is within it.
-    assert share(K.meetings(made, made, K.farthest)) < 0.2
+    assert share(K.meetings(K.cell_pairs(made, made, K.farthest), True)) < 0.2
     seeds = K.cells(v.where("id % 4 = 0"), K.block_counts(v.where("id % 4 = 0"), 32), 32)
-    assert share(K.meetings(made, seeds, K.nearest), seeds) < 0.3
+    assert share(K.meetings(K.cell_pairs(made, seeds, K.nearest), False), seeds) < 0.3
     assert made.blocks.agg(F.sum(F.size("items"))).first()[0] == 2000
 
 
+def test_noise_meets_in_plain_blocks(spark):
+    """Without clusters nothing can be left out: the pairs are those of all blocks, and the result the same."""
+    x = np.random.default_rng(3).normal(size=(600, 24))
+    got = P.similar_pairs(frame(spark, {"all": x}), 0.6, size=32, pruned=2)
+    assert "meetings" not in "".join(got.inputFiles()) and got.count() == int((np.triu(cosines(x, x), 1) > 0.6).sum())
+    y = clustered(1, 2000, 20, 32, 0.02)
+    assert "meetings" in "".join(P.similar_pairs(frame(spark, {"all": y}), 0.99, size=32, pruned=2).inputFiles())
+
+
 def test_no_rows(spark):
     none = frame(spark, {"a": np.ones((1, 3))}).where("id < 0")
     assert P.similar_pairs(none, 0.5, pruned=0).count() == 0 == P.novelty(none, none, pruned=0).count() == P.pair_statistics(none, pruned=0).count()
