@@ -44,7 +44,7 @@ class Options:
     percentile: float = 0.1
     kernel: str = "cs"
     tau: float = 1.0
-    transport: bool = True  # off for more vectors than a solve holds (transport.matrix refuses them)
+    transport: bool = True  # off to leave out the transport distances, which take a job per half step for large sets
     boots: int = 25
     seed: int = 42
 
