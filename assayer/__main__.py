@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import report, runs
-from .operators import repair as R
+from .operators import splits as X
 from .schema import Schema, parse_indices
 from .sources import tables as T
 from .workers import ship
@@ -91,9 +91,10 @@ def scan_labels(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def repair(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Files of any size: each in splits, written as parts in order."""
     ship(spark)
-    files = spark.read.text(a.files, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), R.repaired(F.col("value")).alias("text"))
-    files.where("text is not null").write.partitionBy("file").text(a.out)
+    rows = X.csv_rows(X.repaired_cells(X.records(X.physical_lines(spark, a.files))))
+    rows.select(F.regexp_extract("doc", r"([^/]+)$", 1).alias("file"), "text").write.partitionBy("file").text(a.out)
 
 
 def _new_version(df: DataFrame, folder: str, name: str, by: list[str], form: str) -> None:

@@ -20,6 +20,7 @@ from ..operators import pairwise as P
 from ..operators import realism as Z
 from ..operators import repair as R
 from ..operators import spherical as S
+from ..operators import splits as X
 from ..operators import transport as T
 from ..operators import workflow as W
 from ..report import row_metrics as row_metrics_of
@@ -888,3 +889,22 @@ def csv_repair(spark, d):
     ]
     text = F.element_at(F.array(*shapes), (F.col("p_partkey") % 6 + 1).cast("int"))
     return table(spark, d, "part").select("p_partkey", R.repaired(text).alias("fixed"))
+
+
+@query("""
+select p_brand as doc, p_partkey::varchar as k,
+  case p_partkey % 3 when 0 then p_type || chr(10) || p_name when 1 then p_type || ', ' || p_name else p_type end as example_text
+from part
+""")
+def csv_repair_splits(spark, d):
+    """A document for each brand in splits of seven lines: cells over two lines, also where a split ends between them, and surplus commas."""
+    key, kind = F.col("p_partkey"), F.col("p_partkey") % 3
+    k = key.cast("string")
+    first = F.when(kind == 0, F.concat(k, F.lit(',"'), "p_type")).when(kind == 1, F.concat_ws(", ", F.concat_ws(",", k, "p_type"), "p_name")).otherwise(F.concat_ws(",", k, "p_type"))
+    second = F.when(kind == 0, F.concat("p_name", F.lit('"'))).otherwise("")
+    part = table(spark, d, "part")
+    rows = part.select(F.col("p_brand").alias("doc"), F.posexplode(F.array(first, second)).alias("i", "value"), (2 * key).alias("n"))
+    lines = rows.select("doc", (F.col("n") + F.col("i")).cast("long").alias("at"), "value")
+    heads = part.select(F.col("p_brand").alias("doc")).distinct().select("doc", F.lit(-1).cast("long").alias("at"), F.lit("k,example_text").alias("value"))
+    cells = X.repaired_cells(X.records(lines.unionByName(heads).select("doc", F.floor(F.col("at") / 7).alias("split"), "at", "value")))
+    return cells.where("at >= 0").select("doc", F.col("cells")[0].alias("k"), F.col("cells")[1].alias("example_text"))
