@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import report, runs
 from .operators import splits as X
+from .operators import workflow as W
 from .schema import Schema, parse_indices
 from .sources import tables as T
 from .workers import ship
@@ -48,10 +49,33 @@ def stage(spark: SparkSession, a: argparse.Namespace) -> None:
     only = spark.read.text(a.rerun).withColumnRenamed("value", "name") if a.rerun else None
     asked = runs.stage(spark, a.folder, _schema(spark, a.schema), models, a.n, a.runs, sizes, a.max_combinations, a.ablation, a.chunk, only, domain=a.domain or "")
     print(f"{asked.count()} requests in {a.folder}")
+    _payloads(spark, a)
+
+
+def _payloads(spark: SparkSession, a: argparse.Namespace) -> None:
+    if a.forms:
+        print(runs.write_payloads(spark, a.folder, dict(f.split("=", 1) for f in a.forms.split(",")), a.model if "model" in a else ""))
+
+
+def _ready(spark: SparkSession, a: argparse.Namespace) -> bool:
+    """Whether the batch is done, by the service's JSON document of it (taken for done without one); SystemExit if it came to nothing."""
+    state = W.batch_state("\n".join(r.value for r in spark.read.text(a.status).collect())) if a.status else "done"
+    if state == "failed":
+        raise SystemExit("the batch failed")
+    if state == "open":
+        print("the batch is not complete yet")
+    return state == "done"
+
+
+def status(spark: SparkSession, a: argparse.Namespace) -> None:
+    for r in runs.status(spark, a.folder, a.results).toLocalIterator():
+        print(" ".join(f"{k}={v}" for k, v in r.asDict().items()))
 
 
 def collect(spark: SparkSession, a: argparse.Namespace) -> None:
     """The whole files of the results; with --stream of a folder of results, of which only new files are read."""
+    if not _ready(spark, a):
+        return
     _collected(spark, (runs.collect_stream if a.stream else runs.collect)(spark, a.folder, a.results), a)
 
 
@@ -75,13 +99,18 @@ def stage_labels(spark: SparkSession, a: argparse.Namespace) -> None:
     done = T.labelled_files(spark, a.texts).select(F.regexp_replace("stem", "_labeled$", "").alias("stem"))
     done = done.where("false") if a.all else done
     print(f"{runs.stage_labels(runs.read_texts(spark, a.texts), done, vocabulary, a.folder).count()} requests in {a.folder}")
+    _payloads(spark, a)
 
 
 def collect_labels(spark: SparkSession, a: argparse.Namespace) -> None:
+    if not _ready(spark, a):
+        return
     vocabulary = runs.load_vocabulary("\n".join(r.value for r in spark.read.text(a.vocabulary).collect()))
-    labels, failures = runs.collect_labels(a.folder, a.results, runs.read_texts(spark, a.texts), list(vocabulary))
-    _new_version(labels.drop("position"), a.folder, "labels", ["stem"], "csv")
-    _failures(failures, a.folder)
+    got = runs.collect_labels(a.folder, a.results, runs.read_texts(spark, a.texts), list(vocabulary))
+    _new_version(got.labels.drop("position"), a.folder, "labels", ["stem"], "csv")
+    if not got.raw.isEmpty():
+        _new_version(got.raw.select("stem", "text"), a.folder, "raw_labels", ["stem"], "text")
+    _failures(got.failures, a.folder)
 
 
 def scan_labels(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -98,10 +127,12 @@ def repair(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _new_version(df: DataFrame, folder: str, name: str, by: list[str], form: str) -> None:
-    """A folder of its own for each collection, so that an earlier one stays until someone removes it."""
+    """A folder of its own for each collection, so that an earlier one stays until someone removes it; `versions` in the folder says which
+    is the current one (`runs.current`)."""
     at = f"{folder}/{name}-{datetime.datetime.now(datetime.UTC):%Y%m%dT%H%M%S%f}"
     out = df.repartition(*by).write.partitionBy(*by)
     out.text(at) if form == "text" else out.csv(at, header=True, quoteAll=True, escape='"')
+    runs.add_version(df.sparkSession, folder, name, at)
     print(at)
 
 
@@ -125,11 +156,12 @@ def parser() -> argparse.ArgumentParser:
         return sub
 
     command(evaluate, "schema", "vectors", "seeds", dataset=None, input_dir=None, style=None, style_seeds=None, seed_subset=None, not_realistic=None, coverage_k=10, out_json=None, out_csv=None)
-    command(stage, "schema", "folder", runs=1, n=100, chunk=25, max_s=0, inc_s=1, exclude_s="", max_combinations=5, ablation=False, rerun=None, domain=None).add_argument("--models", nargs="+", required=True, help="provider=model")
-    command(collect, "folder", "results", ablation=False, stream=False)
+    command(stage, "schema", "folder", runs=1, n=100, chunk=25, max_s=0, inc_s=1, exclude_s="", max_combinations=5, ablation=False, rerun=None, domain=None, forms=None).add_argument("--models", nargs="+", required=True, help="provider=model")
+    command(collect, "folder", "results", ablation=False, stream=False, status=None)
+    command(status, "folder", "results")
     command(collect_local, "folder", generator=None, rounds=5, chunk=25, ablation=False)
-    command(stage_labels, "texts", "vocabulary", "folder", all=False)
-    command(collect_labels, "folder", "results", "texts", "vocabulary")
+    command(stage_labels, "texts", "vocabulary", "folder", all=False, forms=None, model="")
+    command(collect_labels, "folder", "results", "texts", "vocabulary", status=None)
     command(scan_labels, "texts")
     command(repair, "files", "out")
     return top

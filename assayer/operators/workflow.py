@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,22 +62,58 @@ def assemble(chunks: DataFrame, keys: list[str], order: str = "chunk", text: str
 
 
 def with_manifest(results: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(matched, failures) of results by custom_id."""
+    """(matched, failures) of results(custom_id, text[, error]) by custom_id."""
     both = results.join(manifest.withColumn("_known", F.lit(True)), "custom_id", "left")
     ok = F.col("_known").isNotNull() & F.col("text").isNotNull()
-    return both.where(ok).drop("_known"), both.where(~F.coalesce(ok, F.lit(False))).select("custom_id", F.when(F.col("_known").isNull(), "unknown id").otherwise("no text").alias("error"))
+    why = F.coalesce("error", F.lit("no text")) if "error" in results.columns else F.lit("no text")
+    failed = both.where(~F.coalesce(ok, F.lit(False))).select("custom_id", F.when(F.col("_known").isNull(), "unknown id").otherwise(why).alias("error"))
+    return both.where(ok).drop("_known", "error"), failed
 
 
-BODY = "struct<output_text: string, output: array<struct<content: array<struct<type: string, text: string, value: string>>>>, choices: array<struct<message: struct<content: string>>>>"
+BODY = "struct<output_text: string, output: array<struct<content: array<struct<type: string, text: string, value: string>>>>, choices: array<struct<message: struct<content: string>>>, content: array<struct<text: string>>>"
 
 
 def response_text(body: Column) -> Column:
-    """The first non-blank of the plain output, the joined output parts and the first choice of a response in JSON."""
+    """The first non-blank of the plain output, the joined output parts, the first choice and the joined content of a response in JSON."""
     b = F.from_json(body, BODY)
     parts = F.flatten(F.transform(b["output"], lambda o: F.coalesce(o["content"], F.array().cast("array<struct<type: string, text: string, value: string>>"))))
     said = F.array_join(F.filter(F.transform(F.filter(parts, lambda p: p["type"].isin("output_text", "text")), lambda p: F.coalesce(p["text"], p["value"])), lambda t: t.isNotNull()), "")
     some = lambda c: F.when(F.trim(c) != "", c)
-    return F.coalesce(some(b["output_text"]), some(said), some(F.try_element_at(b["choices"], F.lit(1))["message"]["content"]))
+    blocks = F.array_join(b["content"]["text"], "")
+    return F.coalesce(some(b["output_text"]), some(said), some(F.try_element_at(b["choices"], F.lit(1))["message"]["content"]), some(blocks))
+
+
+def payload(requests: DataFrame, form: str, model: str = "") -> DataFrame:
+    """(value): requests(custom_id, body) as JSON lines for a service.
+
+    responses: the body as the input of a posted request, system messages among the others; messages: parameters with the system
+    messages apart. model: where the body names none. Bodies may have a temperature."""
+    names = requests.schema["body"].dataType.names
+    of = lambda name: F.col(f"body.{name}")
+    named = of("model") if "model" in names else F.lit(model)
+    heat = [of("temperature").alias("temperature")] if "temperature" in names else []
+    if form == "responses":
+        body = F.struct(named.alias("model"), of("messages").alias("input"), of("max_tokens").alias("max_output_tokens"), *heat)
+        line = F.struct("custom_id", F.lit("POST").alias("method"), F.lit("/v1/responses").alias("url"), body.alias("body"))
+    elif form == "messages":
+        system = F.array_join(F.filter(of("messages"), lambda m: m["role"] == "system")["content"], "\n")
+        rest = F.filter(of("messages"), lambda m: m["role"] != "system")
+        line = F.struct("custom_id", F.struct(named.alias("model"), of("max_tokens").alias("max_tokens"), F.when(system != "", system).alias("system"), rest.alias("messages"), *heat).alias("params"))
+    else:
+        raise ValueError(f"no form of requests: {form}")
+    return requests.select(F.to_json(line).alias("value"))
+
+
+# What services say of a batch that is done, and of one that came to nothing; anything else is under way.
+DONE = ("completed", "ended")
+FAILED = ("failed", "errored", "cancelled", "canceled", "expired")
+
+
+def batch_state(document: str) -> str:
+    """done, failed or open: what a service's JSON document says of a batch in `status` or `processing_status`."""
+    said = json.loads(document)
+    word = str(said.get("status") or said.get("processing_status") or "").lower()
+    return "done" if word in DONE else "failed" if word in FAILED else "open"
 
 
 def positional_zip(texts: DataFrame, labels: DataFrame, key: str, order: str = "position") -> DataFrame:

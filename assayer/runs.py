@@ -18,8 +18,9 @@ from pyspark.sql.streaming.state import GroupState
 
 from .operators import repair as R
 from .operators import workflow as W
-from .schema import Schema, seed_combinations
+from .schema import Schema, leaves, seed_combinations
 from .sources.tables import read_results, stream_results, write_requests
+from .store import written
 from .workers import ship
 
 # The columns of the experiment summaries.
@@ -42,11 +43,15 @@ def combinations(spark: SparkSession, schema: Schema, sizes: list[int], most: in
 
 
 def variant_table(spark: SparkSession, schema: Schema, ablation: bool, seedless: bool = True) -> DataFrame:
-    """The whole schema, or its ablations too, each with its document as JSON."""
+    """The whole schema, or its ablations too, each with its document as JSON and its system message."""
     rows = W.variants(spark, schema, seedless)
     rows = rows.collect() if ablation else rows.where("variant_id = 0").collect()
-    lean = [(r.variant_id, r.missing_fixed, r.missing_constituents, r.missing_seeds, json.dumps({k: v for k, v in W.variant_document(schema, r).items() if k != "seedExamples"}, ensure_ascii=False)) for r in rows]
-    return spark.createDataFrame(lean, "variant_id int, missing_fixed string, missing_constituents string, missing_seeds boolean, document string")
+    lean = []
+    for r in rows:
+        document = W.variant_document(schema, r)
+        shown = json.dumps({k: v for k, v in document.items() if k != "seedExamples"}, ensure_ascii=False)
+        lean.append((r.variant_id, r.missing_fixed, r.missing_constituents, r.missing_seeds, shown, system_message(document)))
+    return spark.createDataFrame(lean, "variant_id int, missing_fixed string, missing_constituents string, missing_seeds boolean, document string, system string")
 
 
 def generation_prompt(kind: Column, rows: Column, document: Column, seeds: Column, plain: Column, columns: list[str]) -> Column:
@@ -58,6 +63,24 @@ def generation_prompt(kind: Column, rows: Column, document: Column, seeds: Colum
 
 
 SYSTEM = "You write examples that people in the described setting could have written. Keep to the asked form; add no comments."
+NOTES = {
+    "capability": "what the examples are to measure.",
+    "systematizedConcept": "what is meant by it, apart from any setting.",
+    "deploymentPopulation": "who would write the examples; use their words, their knowledge and their manner.",
+    "contextualConstraints": "the setting that all examples belong to, said or unsaid.",
+    "systematizedInstance": "the parts of an example: some always there, others in some examples; their order is free.",
+}
+PARTS_NOTE = "the parts that the concept is made of. A required one is in every example, an optional one in some; several values of one are split by semicolons."
+SEEDS_NOTE = "Examples that people wrote show manner and detail. Take neither their scenes nor their sentences."
+
+
+def system_message(document: dict) -> str:
+    """The system message for a schema or an ablation of it, with a line for each of the parts that it has."""
+    fixed, parts = document.get("fixedFields") or {}, leaves(document.get("constituents") or {})
+    lines = [f"{name}: {note}" for name, note in NOTES.items() if name in fixed]
+    lines += [f"constituents: {PARTS_NOTE}"] if any(leaf.get("value") for _, leaf in parts) else []
+    lines += [SEEDS_NOTE] if document.get("seedExamples") else []
+    return "\n".join([SYSTEM, *(["The schema has these parts."] if lines else []), *lines])
 
 
 def stage(
@@ -76,10 +99,11 @@ def stage(
     prompt = generation_prompt(F.col("kind"), F.col("chunk_rows"), F.col("document"), seeds, F.col("variant_id") > 0, schema.columns)
     full = planned.withColumn("prompt", prompt)
     said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    system = F.lit(" ".join(filter(None, [SYSTEM, domain.strip()])))
+    plain = F.when(F.col("kind") == "baseline", F.lit(SYSTEM)).otherwise(F.col("system"))
+    system = F.concat_ws("\n", plain, F.lit(domain.strip() or None))
     body = F.struct("provider", "model", "max_tokens", F.array(said("system", system), said("user", F.col("prompt"))).alias("messages"))
     write_requests(full.select("custom_id", body.alias("body")), f"{folder}/requests")
-    write_requests(full.drop("prompt", "document", "seed_texts"), f"{folder}/manifest")
+    write_requests(full.drop("prompt", "document", "system", "seed_texts"), f"{folder}/manifest")
     return manifest(spark, folder)
 
 
@@ -87,15 +111,53 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.json(f"{folder}/manifest")
 
 
+def write_payloads(spark: SparkSession, folder: str, forms: dict[str, str], model: str = "") -> str:
+    """The staged requests as lines for their services, in `payloads/provider=...`; forms: provider -> form of `workflow.payload`. Requests
+    that name no provider (those for labels) are the provider `any`. ValueError if a provider has no form."""
+    asked = spark.read.json(f"{folder}/requests")
+    if "provider" not in asked.schema["body"].dataType.names:
+        asked = asked.withColumn("body", F.struct(F.lit("any").alias("provider"), "body.*"))
+    found = {r.provider for r in asked.select("body.provider").distinct().collect()}
+    if lost := found - forms.keys():
+        raise ValueError(f"no form is given for the requests of {sorted(lost)}")
+    for provider in sorted(found):
+        W.payload(asked.where(F.col("body.provider") == provider), forms[provider], model).write.mode("overwrite").text(f"{folder}/payloads/provider={provider}")
+    return f"{folder}/payloads"
+
+
+def status(spark: SparkSession, folder: str, results: DataFrame | str) -> DataFrame:
+    """(asked, answered, failed, waiting) per provider, model and kind of the manifest, as far as it has these columns."""
+    asked = manifest(spark, folder)
+    by = [c for c in ("provider", "model", "kind") if c in asked.columns]
+    answers = _answers(read_results(spark, results) if isinstance(results, str) else results).withColumn("came", F.lit(True))
+    both = asked.join(answers.select("custom_id", "came", F.col("text").isNotNull().alias("good")), "custom_id", "left")
+    n = lambda c: F.count(F.when(c, 1))
+    return both.groupBy(*by).agg(F.count("*").alias("asked"), n(F.col("good")).alias("answered"), n(~F.col("good")).alias("failed"), n(F.col("came").isNull()).alias("waiting"))
+
+
 def _answers(results: DataFrame) -> DataFrame:
-    """(custom_id, text) with no text where the status is not 200; of several answers to an id the longest, then the first."""
-    least = F.max_by("text", F.struct(F.length("text"), "text"))
-    return _texts(results).groupBy("custom_id").agg(least.alias("text"))
+    """(custom_id, text, error) with no text where the status is not 200; of several answers to an id the longest text, then the last
+    in order; of several errors the last in order."""
+    best = F.max_by("text", F.struct(F.length("text"), "text"))
+    return _texts(results).groupBy("custom_id").agg(best.alias("text"), F.max("error").alias("error"))
 
 
 def _texts(results: DataFrame) -> DataFrame:
-    """(custom_id, text) of results(custom_id, status, body), one by one."""
-    return results.select("custom_id", F.when(F.coalesce("status", F.lit(200)) == 200, W.response_text(F.col("body"))).alias("text"))
+    """(custom_id, text, error) of results(custom_id, status, body[, error]), one by one; error only where there is no text."""
+    error = F.col("error") if "error" in results.columns else F.lit(None).cast("string")
+    read = results.select("custom_id", F.when(F.coalesce("status", F.lit(200)) == 200, W.response_text(F.col("body"))).alias("text"), error.alias("error"))
+    return read.withColumn("error", F.when(F.col("text").isNull(), F.coalesce("error", F.lit("no text"))))
+
+
+def add_version(spark: SparkSession, folder: str, name: str, at: str) -> None:
+    """A line in the folder's list of versions. It is written when the version itself is whole, so that readers never see half of one."""
+    spark.createDataFrame([(name, at)], "name string, at string").coalesce(1).write.mode("append").json(f"{folder}/versions")
+
+
+def current(spark: SparkSession, folder: str, name: str) -> str | None:
+    """The path of the newest version of texts, examples or labels of a run; versions carry the time in their names."""
+    found = spark.read.schema("name string, at string").json(f"{folder}/versions").where(F.col("name") == name)
+    return found.agg(F.max("at").alias("at")).first().at
 
 
 class Collected(NamedTuple):
@@ -138,24 +200,27 @@ def _collected(made: DataFrame, failures: DataFrame) -> Collected:
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROGRESS = "stem string, kind string, known boolean, whole_schema boolean, lacking long, ids array<string>, chunks array<long>, texts array<string>"
+PROGRESS = "stem string, kind string, known boolean, whole_schema boolean, lacking long, ids array<string>, chunks array<long>, texts array<string>, errors array<string>"
+STATE = "ids array<string>, chunks array<long>, firsts array<boolean>, texts array<string>, errors array<string>"
 
 
 def _grow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The state of a file: the best answer to each of its chunks; out comes what it has and lacks now, if something changed."""
-    best = {i: (chunk, first, text) for i, chunk, first, text in zip(*state.get, strict=True)} if state.exists else {}
+    best = {i: rest for i, *rest in zip(*state.get, strict=True)} if state.exists else {}
     changed, known, whole_schema, needed = False, False, False, 0
     for p in parts:
-        for i, chunk, first, text, known, whole_schema, needed in zip(*(p[c] for c in ("custom_id", "chunk", "first", "text", "known", "whole_schema", "needed")), strict=True):
-            text = text if isinstance(text, str) else None
-            if i not in best or text is not None and (best[i][2] is None or (len(text), text) > (len(best[i][2]), best[i][2])):
-                best[i], changed = (int(chunk), bool(first), text), True
+        for i, chunk, first, text, error, known, whole_schema, needed in zip(*(p[c] for c in ("custom_id", "chunk", "first", "text", "error", "known", "whole_schema", "needed")), strict=True):
+            text, error = (x if isinstance(x, str) else None for x in (text, error))
+            had, why = best[i][2:] if i in best else (None, None)
+            better = text is not None and (had is None or (len(text), text) > (len(had), had))
+            if i not in best or better or (had is None and text is None and (error or "") > (why or "")):
+                best[i], changed = [int(chunk), bool(first), text, error], True
     if not changed:
         return
-    ids, chunks, firsts, texts = map(list, zip(*((i, *b) for i, b in best.items()), strict=True))
-    state.update((ids, chunks, firsts, texts))
-    lacking = int(needed) - sum(first and text is not None for _, first, text in best.values())
-    yield pd.DataFrame({"stem": [key[0]], "kind": [key[1]], "known": [bool(known)], "whole_schema": [bool(whole_schema)], "lacking": [lacking], "ids": [ids], "chunks": [chunks], "texts": [texts]})
+    ids, chunks, firsts, texts, errors = map(list, zip(*((i, *b) for i, b in best.items()), strict=True))
+    state.update((ids, chunks, firsts, texts, errors))
+    lacking = int(needed) - sum(first and text is not None for _, first, text, _ in best.values())
+    yield pd.DataFrame({"stem": [key[0]], "kind": [key[1]], "known": [bool(known)], "whole_schema": [bool(whole_schema)], "lacking": [lacking], "ids": [ids], "chunks": [chunks], "texts": [texts], "errors": [errors]})
 
 
 def follow(spark: SparkSession, folder: str, results: str, files_per_batch: int = 64, **trigger) -> StreamingQuery:
@@ -171,10 +236,10 @@ def follow(spark: SparkSession, folder: str, results: str, files_per_batch: int
     asked = asked.join(asked.groupBy("name", "kind").agg(F.count(F.when(F.col("first"), 1)).alias("needed")), ["name", "kind"]).withColumn("known", F.lit(True))
     answers = _texts(stream_results(spark, results, files_per_batch)).join(asked, "custom_id", "left")
     keyed = answers.select(
-        F.coalesce("name", "custom_id").alias("stem"), F.coalesce("kind", F.lit("")).alias("kind"), "custom_id", "text", F.coalesce("chunk", F.lit(0)).cast("long").alias("chunk"),
+        F.coalesce("name", "custom_id").alias("stem"), F.coalesce("kind", F.lit("")).alias("kind"), "custom_id", "text", "error", F.coalesce("chunk", F.lit(0)).cast("long").alias("chunk"),
         *(F.coalesce(c, F.lit(False)).alias(c) for c in ("first", "known", "whole_schema")), F.coalesce("needed", F.lit(0)).alias("needed"),
     )
-    kept = keyed.groupBy("stem", "kind").applyInPandasWithState(_grow, PROGRESS, "ids array<string>, chunks array<long>, firsts array<boolean>, texts array<string>", "update", "NoTimeout")
+    kept = keyed.groupBy("stem", "kind").applyInPandasWithState(_grow, PROGRESS, STATE, "update", "NoTimeout")
 
     def give(changed: DataFrame, batch: int) -> None:
         at = f"{folder}/stream/progress/batch={batch}"
@@ -200,10 +265,10 @@ def collect_stream(spark: SparkSession, folder: str, results: str, files_per_bat
     """As `collect`, of a folder of results of which only the files that came since the last call are read."""
     follow(spark, folder, results, files_per_batch).awaitTermination()
     latest = lambda rows, columns: rows.groupBy("stem", "kind").agg(F.max_by(F.struct(*columns), "batch").alias("x")).select("stem", "kind", "x.*")
-    progress = latest(spark.read.schema(f"{PROGRESS}, batch int").parquet(f"{folder}/stream/progress"), ["known", "ids", "texts"])
+    progress = latest(spark.read.schema(f"{PROGRESS}, batch int").parquet(f"{folder}/stream/progress"), ["known", "ids", "texts", "errors"])
     given = spark.read.schema("stem string, kind string, chunks array<string>, text string, csv boolean, batch int").parquet(f"{folder}/stream/given")
-    answers = progress.select("known", F.explode(F.arrays_zip("ids", "texts")).alias("x")).select("known", F.col("x.ids").alias("custom_id"), F.col("x.texts").alias("text"))
-    failures = answers.where("not known or text is null").select("custom_id", F.when(~F.col("known"), "unknown id").otherwise("no text").alias("error"))
+    answers = progress.select("known", F.explode(F.arrays_zip("ids", "texts", "errors")).alias("x")).select("known", F.col("x.ids").alias("custom_id"), F.col("x.texts").alias("text"), "x.errors")
+    failures = answers.where("not known or text is null").select("custom_id", F.when(~F.col("known"), "unknown id").otherwise(F.col("errors")).alias("error"))
     unanswered = manifest(spark, folder).join(answers, "custom_id", "left_anti").select("custom_id", F.lit("no answer").alias("error"))
     return _collected(latest(given, ["chunks", "text", "csv"]), failures.unionByName(unanswered))
 
@@ -309,20 +374,35 @@ def stage_labels(files: DataFrame, labelled: DataFrame, vocabulary: dict[str, li
     return manifest(files.sparkSession, folder)
 
 
-def collect_labels(folder: str, results: DataFrame | str, files: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(labels, failures). labels: stem, position, example_text and the label columns, empty where the answer has too few rows."""
+class Labelled(NamedTuple):
+    """labels: stem, position, example_text and the label columns, empty where the answer has too few rows; failures: custom_id, error; raw:
+    stem, text, rows, expected of the answers that do not have a row for each text. Those without any give no labels."""
+
+    labels: DataFrame
+    failures: DataFrame
+    raw: DataFrame
+
+
+def collect_labels(folder: str, results: DataFrame | str, files: DataFrame, columns: list[str]) -> Labelled:
+    """The labels of the answers beside the texts that they are for."""
     spark = files.sparkSession
     ship(spark)
     asked = manifest(spark, folder)
     found, failures = W.with_manifest(_answers(read_results(spark, results) if isinstance(results, str) else results), asked)
     unanswered = asked.join(found.select("custom_id"), "custom_id", "left_anti").join(failures, "custom_id", "left_anti").select("custom_id", F.lit("no answer").alias("error"))
     texts = examples_of(files.join(found.select("stem"), "stem", "left_semi"))
-    sized = found.select("stem", F.col("text").alias("answer")).join(texts.groupBy("stem").agg(F.count("*").alias("rows")), "stem")
+    sized = found.select("custom_id", "stem", F.col("text").alias("answer")).join(texts.groupBy("stem").agg(F.count("*").alias("rows")), "stem")
+    has = R.per_cell(lambda a: len(R.label_rows(a, columns)), "int")(F.col("answer"))
+    sized = written(sized.withColumn("found", has), "answers")
+    raw = sized.where("found <> rows").select("stem", F.col("answer").alias("text"), F.col("found").alias("rows"), F.col("rows").alias("expected"))
+    empty = sized.where("found = 0").select("custom_id", F.lit("no labels in the answer").alias("error"))
+    texts = texts.join(sized.where("found = 0").select("stem"), "stem", "left_anti")
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = [(s, i, *r) for s, a, n in zip(p.stem, p.answer, p.rows, strict=True) for i, r in enumerate(R.parse_labels(a, columns, int(n)))]
             yield pd.DataFrame(rows, columns=["stem", "position", *columns])
 
-    labels = sized.select("stem", "answer", "rows").mapInPandas(parse, "stem string, position int, " + ", ".join(f"`{c}` string" for c in columns))
-    return W.positional_zip(texts.withColumnRenamed("text", "example_text"), labels, "stem"), failures.unionByName(unanswered)
+    labels = sized.where("found > 0").select("stem", "answer", "rows").mapInPandas(parse, "stem string, position int, " + ", ".join(f"`{c}` string" for c in columns))
+    beside = W.positional_zip(texts.withColumnRenamed("text", "example_text"), labels, "stem")
+    return Labelled(beside, failures.unionByName(unanswered).unionByName(empty), raw)

@@ -55,9 +55,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def result_lines(lines: DataFrame) -> DataFrame:
-    """(custom_id, status, body) of lines(value) of batch results, with the body as JSON text."""
+    """(custom_id, status, body, error) of lines(value) of batch results in either form: a response with a status code and a body, or a
+    result with a type and, where that is `succeeded`, a message. The body is JSON text; error says why there is none to read."""
     of = lambda path: F.get_json_object("value", path)
-    return lines.where(F.trim("value") != "").select(of("$.custom_id").alias("custom_id"), of("$.response.status_code").cast("int").alias("status"), of("$.response.body").alias("body"))
+    code, kind = of("$.response.status_code").cast("int"), of("$.result.type")
+    status = F.coalesce(code, F.when(kind == "succeeded", 200).when(kind.isNotNull(), 500))
+    what = F.when(code.isNotNull(), F.concat(F.lit("status "), code.cast("string"))).otherwise(kind)
+    error = F.when(status != 200, F.concat_ws(": ", what, F.coalesce(of("$.response.error"), of("$.result.error"), of("$.error"))))
+    body = F.coalesce(of("$.response.body"), of("$.result.message"))
+    return lines.where(F.trim("value") != "").select(of("$.custom_id").alias("custom_id"), status.alias("status"), body.alias("body"), error.alias("error"))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 
 from assayer import __main__ as cli
 from assayer import runs
+from assayer.operators import workflow as W
 from assayer.schema import Schema
 
 DOC = {"fixedFields": {"capability": "c"}, "constituents": {"k": {"required": True, "value": ["a", "b"]}}, "seedExamples": ["one", "two", "three"]}
@@ -39,7 +40,7 @@ def test_generation(spark, tmp_path):
     assert list(csv.reader(got["schema"].splitlines())) == [["example_text", "k"], ["t0, more", "a"], ["t1, more", "a"]]
     assert [r.examples for r in texts.collect() if r.kind == "schema"] == ["t0, more\nt1, more"] and raw.isEmpty()
     lost = {r.custom_id: r.error for r in failures.collect()}
-    assert lost["unknown"] == "unknown id" and sorted(set(lost.values())) == ["no answer", "no text", "unknown id"]
+    assert lost["unknown"] == "unknown id" and sorted(set(lost.values())) == ["no answer", "status 500", "unknown id"]
     assert len(lost) == len(rows) - len(whole) - 1 + 1
     cli.main(["collect", "--folder", folder, "--results", str(tmp_path / "results.jsonl")])
     assert len(glob.glob(f"{folder}/texts-*/kind=*/stem=*")) >= 2 and runs.summary(asked).count() == 4
@@ -66,11 +67,14 @@ def test_labels(spark, tmp_path, capsys):
     asked = runs.manifest(spark, folder).collect()
     assert [r.stem for r in asked] == ["one"]
     (tmp_path / "results.jsonl").write_text(line(asked[0].custom_id, "k\na\nb") + "\n")
-    labels, failures = runs.collect_labels(folder, str(tmp_path / "results.jsonl"), runs.read_texts(spark, str(texts)), ["k"])
+    labels, failures, raw = runs.collect_labels(folder, str(tmp_path / "results.jsonl"), runs.read_texts(spark, str(texts)), ["k"])
     assert sorted((r.position, r.example_text, r.k) for r in labels.collect()) == [(0, "first", "a"), (1, "second", "b"), (2, "third", "")]
-    assert failures.collect() == []
+    assert failures.collect() == [] and [(r.stem, r.rows, r.expected) for r in raw.collect()] == [("one", 2, 3)]
     cli.main(["collect-labels", "--folder", folder, "--results", str(tmp_path / "results.jsonl"), "--texts", str(texts), "--vocabulary", str(tmp_path / "v.json")])
-    assert glob.glob(f"{folder}/labels-*/stem=one/*.csv")
+    first = runs.current(spark, folder, "labels")
+    assert glob.glob(f"{first}/stem=one/*.csv")
+    cli.main(["collect-labels", "--folder", folder, "--results", str(tmp_path / "results.jsonl"), "--texts", str(texts), "--vocabulary", str(tmp_path / "v.json")])
+    assert runs.current(spark, folder, "labels") > first and glob.glob(f"{first}/stem=one/*.csv") and runs.current(spark, folder, "examples") is None
 
 
 def test_files_that_cannot_be_put_together(spark, tmp_path):
@@ -157,3 +161,88 @@ def test_a_stream_collects_what_a_batch_does(spark, tmp_path):
     assert rows(runs.collect_stream(spark, folder, str(results)).texts) == rows(got.texts) and len(glob.glob(f"{folder}/stream/progress/batch=*")) == 3
     cli.main(["collect", "--stream", "--folder", folder, "--results", str(results)])
     assert len(glob.glob(f"{folder}/texts-*/kind=*/stem=*")) == len(given)
+
+
+def test_label_answers_that_are_no_table(spark, tmp_path):
+    """They are kept as they came, and their files stay without labels, so that they are asked for again."""
+    folder = str(tmp_path / "run")
+    files = spark.createDataFrame([("none", "a\nb"), ("odd", "a"), ("good", "a"), ("more", "a")], "stem string, text string")
+    asked = {r.stem: r.custom_id for r in runs.stage_labels(files, files.where("false"), {"k": ["x"]}, folder).collect()}
+    said = {"none": "``` \n\n```", "odd": 'x"y\nz"w', "good": "k\nx", "more": "k\nx\ny"}
+    (tmp_path / "r.jsonl").write_text("\n".join(line(asked[s], t) for s, t in said.items()))
+    got = runs.collect_labels(folder, str(tmp_path / "r.jsonl"), files, ["k"])
+    assert sorted((r.stem, r.k) for r in got.labels.collect()) == [("good", "x"), ("more", "x"), ("odd", 'x"y')]
+    assert {r.stem: (r.rows, r.expected) for r in got.raw.collect()} == {"none": (0, 2), "more": (2, 1), "odd": (2, 1)}
+    assert {(r.custom_id, r.error) for r in got.failures.collect()} == {(asked["none"], "no labels in the answer")}
+
+
+def test_results_in_both_forms(spark, tmp_path):
+    """A response with a status code, or a result with a type: texts, and why there is none."""
+    message = lambda *texts: {"content": [{"type": "text", "text": t} for t in texts]}
+    results = {
+        "a": {"response": {"status_code": 200, "body": {"output_text": "A"}}},
+        "b": {"result": {"type": "succeeded", "message": message("B", "b")}},
+        "c": {"result": {"type": "succeeded", "message": message()}},
+        "d": {"result": {"type": "errored", "error": {"type": "overloaded"}}},
+        "e": {"result": {"type": "expired"}},
+        "f": {"result": {"type": "canceled"}},
+        "g": {"response": {"status_code": 429, "body": {}}, "error": {"code": "slow"}},
+        "h": {"response": {"status_code": 200, "body": {"output": [{"content": [{"type": "output_text", "text": "H"}]}]}}},
+    }
+    folder, path = str(tmp_path / "run"), tmp_path / "results"
+    path.mkdir()
+    rows = [(i, f"s{i}", "baseline", 0, 0, "p", "m") for i in [*results, "z"]]
+    spark.createDataFrame(rows, "custom_id string, stem string, kind string, chunk int, variant_id int, provider string, model string").write.json(f"{folder}/manifest")
+    (path / "one.jsonl").write_text("\n".join(json.dumps({"custom_id": i, **r}) for i, r in results.items()))
+    batch, stream = runs.collect(spark, folder, str(path)), runs.collect_stream(spark, folder, str(path))
+    for got in (batch, stream):
+        assert {r.stem: r.text for r in got.texts.collect()} == {"sa": "A", "sb": "Bb", "sh": "H"}
+        why = {"c": "no text", "d": 'errored: {"type":"overloaded"}', "e": "expired", "f": "canceled", "g": 'status 429: {"code":"slow"}', "z": "no answer"}
+        assert {r.custom_id: r.error for r in got.failures.collect()} == why
+    assert [tuple(r) for r in runs.status(spark, folder, str(path)).collect()] == [("p", "m", "baseline", 9, 3, 5, 1)]
+
+
+def test_payloads(spark, tmp_path):
+    folder = str(tmp_path / "run")
+    runs.stage(spark, folder, Schema.parse(DOC), [("p", "m/1"), ("q", "n")], 3, domain="In a town.")
+    with pytest.raises(ValueError, match="q"):
+        runs.write_payloads(spark, folder, {"p": "responses"})
+    runs.write_payloads(spark, folder, {"p": "responses", "q": "messages"})
+    lines = lambda provider: [json.loads(r.value) for r in spark.read.text(f"{folder}/payloads/provider={provider}").collect()]
+    sent = {r.custom_id: r.body for r in spark.read.json(f"{folder}/requests").collect()}
+    for x in lines("p"):
+        body, asked = x["body"], sent[x["custom_id"]]
+        assert (x["method"], x["url"], body["model"], body["max_output_tokens"]) == ("POST", "/v1/responses", "m/1", asked.max_tokens)
+        assert [(m["role"], m["content"]) for m in body["input"]] == [(m.role, m.content) for m in asked.messages]
+    for x in lines("q"):
+        params, asked = x["params"], sent[x["custom_id"]]
+        assert (params["model"], params["max_tokens"], params["system"]) == ("n", asked.max_tokens, asked.messages[0].content)
+        assert [(m["role"], m["content"]) for m in params["messages"]] == [("user", asked.messages[1].content)] and params["system"].endswith("In a town.")
+    assert len(lines("p")) == len(lines("q")) == 2
+    labels = str(tmp_path / "labels")
+    runs.stage_labels(spark.createDataFrame([("s", "a")], "stem string, text string"), spark.createDataFrame([], "stem string"), {"k": ["x"]}, labels)
+    runs.write_payloads(spark, labels, {"any": "messages"}, "m")
+    (row,) = [json.loads(r.value)["params"] for r in spark.read.text(f"{labels}/payloads/provider=any").collect()]
+    assert "system" not in row and (row["model"], row["temperature"]) == ("m", 0)
+
+
+def test_a_batch_is_collected_when_it_is_done(spark, tmp_path, capsys):
+    args = lambda name: ["collect", "--folder", str(tmp_path), "--results", str(tmp_path), "--status", str(tmp_path / name)]
+    (tmp_path / "open.json").write_text('{"status": "in_progress"}')
+    (tmp_path / "bad.json").write_text('{\n"processing_status": "Expired"}')
+    cli.main(args("open.json"))
+    assert "not complete" in capsys.readouterr().out
+    with pytest.raises(SystemExit, match="failed"):
+        cli.main(args("bad.json"))
+    assert [W.batch_state(json.dumps(d)) for d in ({"status": "completed"}, {"processing_status": "ended"}, {}, {"status": "cancelled"})] == ["done", "done", "open", "failed"]
+
+
+def test_system_message_has_the_parts_that_are_there(spark):
+    doc = {"fixedFields": {"capability": "c", "deploymentPopulation": "p"}, "constituents": {"k": {"value": ["a"]}}, "seedExamples": ["s"]}
+    whole = runs.system_message(doc).split("\n")
+    assert [x.split(":")[0] for x in whole[2:5]] == ["capability", "deploymentPopulation", "constituents"] and whole[5] == runs.SEEDS_NOTE
+    rows = {r.variant_id: r for r in runs.variant_table(spark, Schema.parse(doc), True).collect()}
+    assert rows[0].system == "\n".join(whole)
+    for r in rows.values():
+        assert ("capability:" in r.system) == ("capability" not in r.missing_fixed) and ("constituents:" in r.system) == (r.missing_constituents == "") and (runs.SEEDS_NOTE in r.system) == (not r.missing_seeds)
+    assert runs.system_message({}) == runs.SYSTEM
