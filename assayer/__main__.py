@@ -42,6 +42,15 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
         print("\n".join([*([f"{stem}: {got.document['row_level']['n_rows']} rows"] if stem else []), *got.lines()]))
 
 
+def row_metrics(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The row metrics of all labelled datasets of a folder as one table, in as many jobs as for one; vectors have a column `dataset`."""
+    paths = [r.path for r in T.labelled_files(spark, a.input_dir).collect()]
+    if not paths:
+        raise SystemExit("no labelled datasets in the folder")
+    got = report.folder_row_metrics(T.read_folder(spark, paths), _schema(spark, a.schema), _vectors(spark, a.vectors), _vectors(spark, a.seeds))
+    got.write.partitionBy("dataset").csv(a.out, header=True, escape='"')
+
+
 def stage(spark: SparkSession, a: argparse.Namespace) -> None:
     models = [tuple(m.split("=", 1)) for m in a.models]
     skipped = {int(x) for x in a.exclude_s.split(",") if x.strip()}
@@ -156,6 +165,7 @@ def parser() -> argparse.ArgumentParser:
         return sub
 
     command(evaluate, "schema", "vectors", "seeds", dataset=None, input_dir=None, style=None, style_seeds=None, seed_subset=None, not_realistic=None, coverage_k=10, out_json=None, out_csv=None)
+    command(row_metrics, "schema", "input-dir", "vectors", "seeds", "out")
     command(stage, "schema", "folder", runs=1, n=100, chunk=25, max_s=0, inc_s=1, exclude_s="", max_combinations=5, ablation=False, rerun=None, domain=None, forms=None).add_argument("--models", nargs="+", required=True, help="provider=model")
     command(collect, "folder", "results", ablation=False, stream=False, status=None)
     command(status, "folder", "results")

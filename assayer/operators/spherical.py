@@ -138,13 +138,19 @@ def closed_form(vectors: DataFrame, least: int = 2) -> DataFrame:
 def closed_form_of(moments: DataFrame, least: int = 2) -> DataFrame:
     """(grp, n, mu, r, kappa) of what `mean_vectors` gives: kappa = r (d - r^2) / (1 - r^2), r clipped to [1e-6, 1 - 1e-6], kappa 1e-3 at least; mu of a mean of no
     length is the first axis."""
-    m = moments.where((F.col("n") >= least) & (F.col("std_max") >= 1e-6))
+    m = moments.where((F.col("n") >= least) & (F.col("std_max") >= 1e-6) & ~F.isnan("std_max"))
     r = F.least(F.greatest(F.sqrt(dot(F.col("mean"), F.col("mean"))), F.lit(1e-6)), F.lit(1 - 1e-6))
     axis = F.transform("mean", lambda x, i: F.when(i == 0, 1.0).otherwise(0.0))
     mu = F.when(dot(F.col("mean"), F.col("mean")) > 1e-24, normalized(F.col("mean"))).otherwise(axis)
     return m.withColumn("r", r).select("grp", "n", mu.alias("mu"), "r", F.greatest(F.col("r") * (F.size("mean") - F.col("r") ** 2) / (1 - F.col("r") ** 2), F.lit(1e-3)).alias("kappa"))
 
 
+def skipped(moments: DataFrame, least: int = 2) -> DataFrame:
+    """(grp, n, reason) of the groups with rows enough that have no fit: vectors with values that are not finite, or all alike."""
+    reason = F.when(F.isnan("std_max"), "not finite").when(F.col("std_max") < 1e-6, "no variance")
+    return moments.where(F.col("n") >= least).select("grp", "n", reason.alias("reason")).where("reason is not null")
+
+
 @lru_cache(1)
 def _debye(terms: int = 8) -> list[list[tuple[int, float]]]:
     """The polynomials u_k(t) of the uniform expansion of I_v, as (power, factor) pairs, by their recurrence:

@@ -22,7 +22,7 @@ PLACE = ["split", "at"]
 _SPACE = r"[\s\x1c-\x1f]"
 
 
-def physical_lines(spark: SparkSession, path: str) -> DataFrame:
+def physical_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(doc, split, at, value): the lines of text files, as many splits a file as Spark reads it in. at grows within a split."""
     m = F.col("_metadata")
     lines = spark.read.text(path).select(m.file_path.alias("doc"), m.file_block_start.alias("split"), F.monotonically_increasing_id().alias("at"), "value")

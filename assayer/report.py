@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import labels as L
@@ -24,6 +25,7 @@ from .operators import realism as R
 from .operators import spherical as S
 from .operators import transport as T
 from .schema import Schema
+from .sources.tables import numbered
 from .store import written
 
 NAN = float("nan")
@@ -61,10 +63,16 @@ class Report:
         return [*coverage_lines(self.document), *diversity_lines(self.document), *realism_lines(self.document)]
 
 
-def memberships(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(id, grp, coarse): each row under each part of its composite label and under the whole of it, once each."""
-    parts = F.array(*(F.struct(L.part(c).alias("grp"), F.lit(True).alias("coarse")) for c in columns))
-    whole = F.struct(L.composite(columns).alias("grp"), F.lit(len(columns) == 1).alias("coarse"))
+def tagged(grp: Column, by: str | None) -> Column:
+    """A group's key among those of all datasets: with that of its dataset in front."""
+    return grp if by is None else F.concat_ws("\x1f", F.col(by), grp)
+
+
+def memberships(rows: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """(id, grp, coarse): each row under each part of its composite label and under the whole of it, once each; by: a column whose values
+    have categories of their own."""
+    parts = F.array(*(F.struct(tagged(L.part(c), by).alias("grp"), F.lit(True).alias("coarse")) for c in columns))
+    whole = F.struct(tagged(L.composite(columns), by).alias("grp"), F.lit(len(columns) == 1).alias("coarse"))
     return rows.select(F.col("row_id").alias("id"), F.explode(F.array_distinct(F.array_append(parts, whole))).alias("m")).select("id", "m.grp", "m.coarse")
 
 
@@ -113,11 +121,12 @@ def evaluate(
     return Report(doc, frames, out)
 
 
-def _fitted(rows: DataFrame, schema: Schema, v: DataFrame, options: Options, frames: dict) -> DataFrame:
+def _fitted(rows: DataFrame, schema: Schema, v: DataFrame, options: Options, frames: dict, by: str | None = None) -> DataFrame:
     """The rows' vectors under each of their categories, written; with the tables that all the rest reads: moments, fits, likelihoods and
     category_outliers."""
-    grouped = written(memberships(rows, schema.columns).join(v.drop("grp"), "id"), "grouped")
+    grouped = written(memberships(rows, schema.columns, by).join(v.drop("grp"), "id"), "grouped")
     frames["moments"] = written(S.mean_vectors(grouped.select("grp", "id", "emb")), "moments")
+    frames["skipped_categories"] = S.skipped(frames["moments"], options.least_samples)
     frames["fits"] = written(S.fit_of(frames["moments"], options.least_samples), "fits")
     frames["likelihoods"] = written(S.log_likelihoods(grouped, frames["fits"]), "likelihoods")
     frames["category_outliers"] = written(S.outliers(frames["likelihoods"], options.percentile), "outliers")
@@ -213,8 +222,11 @@ def _categories(grouped: DataFrame, options: Options, frames: dict) -> dict:
         for r in frames["category_stats"].orderBy("grp").limit(options.shown).collect()
     }
     flagged = frames["hierarchical_results"].where(F.size("flags") > 0)
+    skipped, first = frames["skipped_categories"].count(), frames["skipped_categories"].orderBy("grp").limit(20).collect()
+    if skipped:
+        warnings.warn(f"{skipped} categories have no fit, as {', '.join(f'{r.grp} ({r.reason})' for r in first)}", RuntimeWarning, stacklevel=3)
     return {
-        "category_stats": stats, "overall_diversity_score": 0.0 if within is None else 1 - within, **_pairs(frames["redundant_pairs_in_labels"], "redundant_pairs"),
+        "category_stats": stats, "skipped_categories_count": skipped, "skipped_categories_sample": [[r.grp, r.reason] for r in first], "overall_diversity_score": 0.0 if within is None else 1 - within, **_pairs(frames["redundant_pairs_in_labels"], "redundant_pairs"),
         "hierarchical_flagged_count": flagged.count(), "hierarchical_flagged_sample": _dicts(flagged.select("id", "label", "ll", "flags").orderBy("id").limit(10)),
     }
 
@@ -278,19 +290,22 @@ def _realism(rows, schema, v, s, style, style_seeds, options: Options, frames: d
     return out
 
 
-def _row_metrics(rows: DataFrame, schema: Schema, v: DataFrame, grouped: DataFrame, frames: dict, options: Options) -> DataFrame:
+def _row_metrics(rows: DataFrame, schema: Schema, v: DataFrame, grouped: DataFrame, frames: dict, options: Options, by: str | None = None) -> DataFrame:
     """centroid_dist (to the centroid of the row's composite label, or else to the mean of those of its values), dataset_center_dist, outlier, min_seed_dist."""
     columns, whole = schema.columns, grouped.where("not coarse" if len(schema.columns) > 1 else "coarse").select("grp", "id", "emb")
     composite = frames["moments"].where(F.col("n") >= options.least_samples).select("grp", normalized(F.col("mean")).alias("own"))
     atoms = F.flatten(F.array(*(F.transform(F.array_distinct(L.atoms_or_na(c)), lambda a, c=c: F.concat(F.lit(f"{c}="), a)) for c in columns)))
-    valued = rows.select(F.col("row_id").alias("id"), F.explode(atoms).alias("grp"))
-    places = written(S.centroids(valued.join(v.drop("grp"), "id").select("grp", "id", "emb").unionByName(v.select(F.lit(None).cast("string").alias("grp"), "id", "emb"))), "centres")
-    centres = places.where("grp is not null")
+    valued = rows.select(F.col("row_id").alias("id"), F.explode(atoms).alias("atom"), *([by] if by else [])).select("id", tagged(F.col("atom"), by).alias("grp"))
+    # The whole of a dataset is a group too; its key has no mark of a value.
+    whole_key = lambda c: F.concat(F.lit("whole "), F.coalesce(c, F.lit(""))).alias("grp")
+    everything = v.select(whole_key(F.col(by) if by else F.lit("")), "id", "emb")
+    places = written(S.centroids(valued.join(v.drop("grp"), "id").select(F.concat(F.lit("value "), "grp").alias("grp"), "id", "emb").unionByName(everything)), "centres")
+    centres = places.where("grp like 'value %'").withColumn("grp", F.expr("substring(grp, 7)"))
     added = lambda a, b: F.when(F.size(a) == 0, b).otherwise(F.zip_with(a, b, lambda x, y: x + y))
     parts = valued.join(centres, "grp").groupBy("id").agg(F.collect_list("centroid").alias("c"))  # as many as a row has values
     mean = parts.select("id", normalized(F.aggregate("c", F.array().cast("array<double>"), added)).alias("mean"))
-    middle = places.where("grp is null").select(F.col("centroid").alias("middle"))
-    placed = S.unit(v).select("id", "emb").join(whole.select("id", "grp"), "id", "left").join(composite, "grp", "left").join(mean, "id", "left").crossJoin(F.broadcast(middle))
+    middle = places.where("grp like 'whole %'").select(F.col("grp").alias("all_of"), F.col("centroid").alias("middle"))
+    placed = S.unit(everything).select("id", "emb", F.col("grp").alias("all_of")).join(middle, "all_of").join(whole.select("id", "grp"), "id", "left").join(composite, "grp", "left").join(mean, "id", "left")
     far = placed.select(F.col("id").alias("row_id"), cosine_distance(F.col("emb"), F.coalesce("own", "mean")).alias("centroid_dist"), cosine_distance(F.col("emb"), F.col("middle")).alias("dataset_center_dist"))
     rules = rows.sparkSession.createDataFrame(schema.invalid_combinations(), ", ".join(f"`{c}` string" for c in columns))
     shown = rows.select("row_id", *(L.or_na(c).alias(c) for c in columns))
@@ -309,6 +324,24 @@ def row_metrics(rows: DataFrame, schema: Schema, vectors: DataFrame, seeds: Data
     return _row_metrics(rows, schema, v, grouped, frames, options)
 
 
+def folder_row_metrics(rows: DataFrame, schema: Schema, vectors: DataFrame, seeds: DataFrame, options: Options = Options()) -> DataFrame:
+    """`row_metrics` of each dataset of rows(dataset, row_id, columns) by vectors(dataset, id, emb), in as many jobs as for one dataset.
+
+    Groups have their dataset in front, and rows a number among those of all datasets; the seeds are the same for all. Datasets
+    without rows have none; a row without a vector has null distances."""
+    rows = written(numbered(schema.require(rows).withColumnRenamed("row_id", "own_id")), "rows")
+    ids = rows.select("dataset", F.col("own_id").alias("id"), F.col("row_id"))
+    own = vectors.select("dataset", F.col("id").cast("long").alias("id"), F.col("emb").cast("array<double>").alias("emb"))
+    # Vectors without a row, whose id is null here, count for the middle of their dataset.
+    every = written(own.join(ids, ["dataset", "id"], "left").select(F.lit("all").alias("grp"), F.col("row_id").alias("id"), "emb", "dataset"), "vectors")
+    v = every.where("id is not null").drop("dataset")
+    frames: dict[str, DataFrame] = {}
+    grouped = _fitted(rows, schema, v, options, frames, "dataset")
+    s = seeds.select(F.lit("all").alias("grp"), F.col("id").cast("long").alias("id"), F.col("emb").cast("array<double>").alias("emb"))
+    frames["instances_full"] = P.novelty(v, s).select("id", "novelty_min")
+    return _row_metrics(rows, schema, every, grouped, frames, options, "dataset").drop("row_id").withColumnRenamed("own_id", "row_id")
+
+
 def _row_level(out: DataFrame, frames: dict) -> dict:
     r = out.agg(F.count("*").alias("n"), *(F.count(F.when(F.col("outlier") == k, 1)).alias(f"o{k}") for k in range(4)), F.avg("centroid_dist").alias("mean"), F.median("centroid_dist").alias("median"), F.avg("dataset_center_dist").alias("center"), F.avg("min_seed_dist").alias("seed")).first()
     of = lambda code: [x.row_id for x in frames["outlier_codes"].where(code).select("row_id").orderBy("row_id").limit(50).collect()]

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import math
 import warnings
+from collections import Counter
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import Schema, parse_exclusions
+from ..store import written
 
 # Column names that hold the example text, in the order in which they are tried.
 TEXT_COLUMNS = ("example", "example text", "example_text", "text", "prompt")
@@ -27,6 +29,39 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return numbered(df)
 
 
+def read_folder(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(dataset, row_id, example and the columns that occur) of CSV datasets as one table: `read_dataset` of each, for any number of files of
+    any size, in the splits that Spark reads them in.
+
+    dataset is the file's stem, ValueError if two have the same; a column that a file lacks is null. Rows of another width than their
+    header are repaired."""
+    from ..operators.splits import PLACE, physical_lines, records, repaired_cells
+
+    stems = [p.rsplit("/", 1)[-1].rsplit(".", 1)[0] for p in paths]
+    if twice := sorted(s for s, n in Counter(stems).items() if n > 1):
+        raise ValueError(f"several files are named {twice}")
+    cells = written(repaired_cells(records(physical_lines(spark, paths))).withColumn("dataset", F.regexp_extract("doc", r"([^/]+)\.[^./]*$", 1)), "cells")
+    place = F.struct(*PLACE)
+    heads = written(cells.groupBy("doc").agg(F.min(F.struct(*PLACE, "cells")).alias("head")), "heads")
+    names = [r.cells for r in heads.select("head.cells").distinct().collect()]  # the distinct headers, of which a folder has few
+    for header in names:
+        text_column(header)
+    trimmed = F.transform("head.cells", F.trim)
+    lower = F.transform(trimmed, F.lower)
+    at = F.array_position(lower, F.filter(F.array(*map(F.lit, TEXT_COLUMNS)), lambda t: F.array_contains(lower, t))[0])
+    rows = cells.join(heads, "doc").where(place > F.struct("head.split", "head.at"))
+    # A row's number is that within its split and the rows of the splits before.
+    before = Window.partitionBy("doc").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("doc", "split").agg(F.count("*").alias("n"))
+    starts = written(sizes.select("doc", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts")
+    within = F.row_number().over(Window.partitionBy("doc", "split").orderBy("at")) - 1
+    rows = rows.withColumn("within", within).join(starts, ["doc", "split"])
+    present = lambda c: F.when(F.trim(c).isin(*MISSING), None).otherwise(c)
+    columns = list(dict.fromkeys(c.strip() for header in names for c in header if c != text_column(header)))
+    of = lambda name: F.try_element_at("cells", F.nullif(F.array_position(trimmed, F.lit(name)), F.lit(0)).cast("int"))
+    return rows.select("dataset", (F.col("start") + F.col("within")).alias("row_id"), present(F.try_element_at("cells", at.cast("int"))).alias("example"), *(present(of(c)).alias(c) for c in columns))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with row_id from 0 in its order. Only the rows per partition are counted; they are one small row each."""
     at = df.withColumn("_at", F.monotonically_increasing_id())

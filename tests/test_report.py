@@ -135,3 +135,63 @@ def test_folder_of_datasets(spark, inputs, tmp_path):
     assert [g["row_level"]["n_rows"] for g in got] == [6, 4] and all(g["coverage_constrained"]["excluded_count"] == 1 for g in got)
     with pytest.raises(SystemExit):
         cli.main(args)
+
+
+def test_row_metrics_of_a_folder(spark, inputs, tmp_path):
+    """Each dataset has the metrics that it has alone, and more datasets make no more jobs. Headers differ in order and names."""
+    from assayer import __main__ as cli
+    from assayer.sources import tables as T
+
+    _, vectors, seeds = inputs
+    folder = tmp_path / "data"
+    folder.mkdir()
+    cells = lambda r: [f'"t{r[0]}, ""x""\ny"', *(x or "" for x in r[1:])]
+    for k, name in enumerate(("one_labeled", "two_labeled", "three_labeled")):
+        some = ROWS[: 6 - k] if k else ROWS
+        order = [0, 1, 2, 3] if k else [2, 3, 0, 1]
+        head = ["text" if k else " Example ", "a", " b", "c"]
+        (folder / f"{name}.csv").write_text("\n".join(",".join(x[i] for i in order) for x in [head, *map(cells, some)]) + "\n")
+    moved = lambda n, k: vectors.selectExpr(f"'{n}' as dataset", "id", f"transform(emb, (x, i) -> x + {k} * i) as emb")
+    v = moved("one_labeled", 0).unionByName(moved("two_labeled", 1).where("id > 0")).unionByName(moved("three_labeled", 2))
+    schema, context, options = Schema.parse(DOC), spark.sparkContext, report.Options(least_samples=2)
+    paths = {n: str(folder / f"{n}.csv") for n in ("one_labeled", "two_labeled", "three_labeled")}
+    every = T.read_folder(spark, list(paths.values()))
+    shown = ["row_id", "example", "a", "b", "c"]
+    key = lambda r: [None if x is None else round(x, 9) if isinstance(x, float) else x for x in r]
+    rows = lambda df, columns: sorted((key(r) for r in df.select(*columns).collect()), key=repr)
+
+    def together(names: list[str], group: str) -> tuple:
+        context.setJobGroup(group, group)
+        got = report.folder_row_metrics(every.where(f"dataset in ({', '.join(map(repr, names))})"), schema, v, seeds, options)
+        out = rows(got, ["dataset", *shown, "outlier", "centroid_dist", "dataset_center_dist", "min_seed_dist"])
+        return out, len(context.statusTracker().getJobIdsForGroup(group))
+
+    all_rows, jobs = together(list(paths), "all")
+    one_rows, one_jobs = together(["two_labeled"], "one")
+    assert jobs <= one_jobs + 3 and one_rows == [r for r in all_rows if r[0] == "two_labeled"]
+    for name, path in paths.items():
+        alone = T.read_dataset(spark, path)
+        assert rows(every.where(f"dataset = '{name}'"), shown) == rows(alone, shown)
+        got = report.row_metrics(alone, schema, v.where(f"dataset = '{name}'").drop("dataset"), seeds, options)
+        # Vectors without a row, as the second and third have, count for the middle of a dataset.
+        assert [r[1:] for r in all_rows if r[0] == name] == rows(got, [*shown, "outlier", "centroid_dist", "dataset_center_dist", "min_seed_dist"])
+    (tmp_path / "s.json").write_text(json.dumps(DOC))
+    v.write.parquet(str(tmp_path / "v"))
+    seeds.write.parquet(str(tmp_path / "seeds"))
+    cli.main(["row-metrics", *(x for k, p in (("schema", "s.json"), ("input-dir", "data"), ("vectors", "v"), ("seeds", "seeds"), ("out", "out")) for x in (f"--{k}", str(tmp_path / p)))])
+    assert spark.read.csv(str(tmp_path / "out"), header=True, multiLine=True, escape='"').groupBy("dataset").count().count() == 3
+
+
+def test_categories_without_a_fit_are_named(spark, inputs):
+    rows, _, seeds = inputs
+    emb = lambda i: [1.0, 2.0, 3.0, 4.0, 5.0] if i in (0, 5) else [float("nan")] * 5 if i == 2 else [float(i), 1.0, 0.0, 2.0, 1.0]
+    from assayer.operators import spherical as S
+
+    table = spark.createDataFrame([(g, i, emb(i)) for g, ids in {"alike": (0, 5), "odd": (1, 2), "good": (1, 3), "few": (2,)}.items() for i in ids], "grp string, id long, emb array<double>")
+    moments = S.mean_vectors(table)
+    assert {(r.grp, r.n, r.reason) for r in S.skipped(moments, 2).collect()} == {("alike", 2, "no variance"), ("odd", 2, "not finite")}
+    assert [r.grp for r in S.fit_of(moments, 2).collect()] == ["good"]
+    v = spark.createDataFrame([(i, emb(0)) for i in range(6)], "id long, emb array<double>")
+    with pytest.warns(RuntimeWarning, match="no variance"):
+        got = report.evaluate(rows, Schema.parse(DOC), v, seeds, options=report.Options(transport=False, least_samples=2))
+    assert got.document["coverage"]["skipped_categories_count"] == got.frames["skipped_categories"].count() > 0
