@@ -26,7 +26,7 @@ from ..operators import workflow as W
 from ..report import row_metrics as row_metrics_of
 from ..schema import Schema
 from ..schema import seed_combinations as drawn_combinations
-from ..sources.tables import unlabelled, write_requests
+from ..sources.tables import result_lines, unlabelled, write_requests
 from ..store import new_folder
 from ..workers import ship
 
@@ -908,3 +908,45 @@ def csv_repair_splits(spark, d):
     heads = part.select(F.col("p_brand").alias("doc")).distinct().select("doc", F.lit(-1).cast("long").alias("at"), F.lit("k,example_text").alias("value"))
     cells = X.repaired_cells(X.records(lines.unionByName(heads).select("doc", F.floor(F.col("at") / 7).alias("split"), "at", "value")))
     return cells.where("at >= 0").select("doc", F.col("cells")[0].alias("k"), F.col("cells")[1].alias("example_text"))
+
+
+@query("""
+select p_partkey::varchar as custom_id,
+  case p_partkey % 6 when 0 then p_name when 1 then p_type || p_name end as text,
+  case p_partkey % 6 when 2 then 'errored: {"type":"' || p_type || '"}' when 3 then 'expired' when 4 then 'status 429: {"code":"slow"}' when 5 then 'no text' end as error
+from part
+""")
+def result_triage(spark, d):
+    """Result lines in both forms, answered and not: the text of each, or why there is none."""
+    text = lambda *cs: F.struct(F.array(*(F.struct(F.lit("text").alias("type"), F.col(c).alias("text")) for c in cs)).alias("content"))
+    part = table(spark, d, "part").withColumn("custom_id", F.col("p_partkey").cast("string"))
+    line = lambda *cs: F.to_json(F.struct("custom_id", *cs))
+    answer = lambda code, body: F.struct(F.lit(code).alias("status_code"), body.alias("body")).alias("response")
+    result = lambda kind, *more: F.struct(F.lit(kind).alias("type"), *more).alias("result")
+    forms = [
+        line(answer(200, F.struct(F.col("p_name").alias("output_text")))),
+        line(result("succeeded", text("p_type", "p_name").alias("message"))),
+        line(result("errored", F.struct(F.col("p_type").alias("type")).alias("error"))),
+        line(result("expired")),
+        line(answer(429, F.struct(F.lit("").alias("output_text"))), F.struct(F.lit("slow").alias("code")).alias("error")),
+        line(result("succeeded", F.struct(F.array().cast("array<string>").alias("content")).alias("message"))),
+    ]
+    lines = part.select(F.get(F.array(*forms), (F.col("p_partkey") % 6).cast("int")).alias("value"))
+    return runs.read_answers(result_lines(lines))
+
+
+@query("""
+with x as (select p_partkey::varchar as id, p_type as model, p_size::int as most, 'Write ' || p_name as said, p_partkey % 2 = 0 as apart from part)
+select id as custom_id, case when apart then 'messages' else 'responses' end as form,
+  case when apart then '{"custom_id":"' || id || '","params":{"model":"' || model || '","max_tokens":' || most || ',"system":"Be brief.","messages":[{"role":"user","content":"' || said || '"}]}}'
+  else '{"custom_id":"' || id || '","method":"POST","url":"/v1/responses","body":{"model":"' || model || '","input":[{"role":"system","content":"Be brief."},{"role":"user","content":"' || said || '"}],"max_output_tokens":' || most || '}}' end as line
+from x
+""")
+def request_payloads(spark, d):
+    """A request per part as a line for one of two services."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    messages = F.array(message("system", F.lit("Be brief.")), message("user", F.concat(F.lit("Write "), "p_name")))
+    body = F.struct(F.col("p_type").alias("model"), F.col("p_size").cast("int").alias("max_tokens"), messages.alias("messages"))
+    asked = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("custom_id"), (F.col("p_partkey") % 2 == 0).alias("apart"), body.alias("body"))
+    lines = [W.payload(asked.where("apart" if form == "messages" else "not apart"), form).withColumn("form", F.lit(form)) for form in ("messages", "responses")]
+    return lines[0].unionByName(lines[1]).select(F.get_json_object("value", "$.custom_id").alias("custom_id"), "form", F.col("value").alias("line"))

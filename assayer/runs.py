@@ -129,13 +129,13 @@ def status(spark: SparkSession, folder: str, results: DataFrame | str) -> DataFr
     """(asked, answered, failed, waiting) per provider, model and kind of the manifest, as far as it has these columns."""
     asked = manifest(spark, folder)
     by = [c for c in ("provider", "model", "kind") if c in asked.columns]
-    answers = _answers(read_results(spark, results) if isinstance(results, str) else results).withColumn("came", F.lit(True))
+    answers = read_answers(read_results(spark, results) if isinstance(results, str) else results).withColumn("came", F.lit(True))
     both = asked.join(answers.select("custom_id", "came", F.col("text").isNotNull().alias("good")), "custom_id", "left")
     n = lambda c: F.count(F.when(c, 1))
     return both.groupBy(*by).agg(F.count("*").alias("asked"), n(F.col("good")).alias("answered"), n(~F.col("good")).alias("failed"), n(F.col("came").isNull()).alias("waiting"))
 
 
-def _answers(results: DataFrame) -> DataFrame:
+def read_answers(results: DataFrame) -> DataFrame:
     """(custom_id, text, error) with no text where the status is not 200; of several answers to an id the longest text, then the last
     in order; of several errors the last in order."""
     best = F.max_by("text", F.struct(F.length("text"), "text"))
@@ -173,7 +173,7 @@ def collect(spark: SparkSession, folder: str, results: DataFrame | str) -> Colle
     """The files whose chunks are all there, put together: CSV by the names of its columns, repaired where it does not parse."""
     ship(spark)
     asked = manifest(spark, folder)
-    found, failures = W.with_manifest(_answers(read_results(spark, results) if isinstance(results, str) else results), asked)
+    found, failures = W.with_manifest(read_answers(read_results(spark, results) if isinstance(results, str) else results), asked)
     lost = asked.join(found.select("custom_id"), "custom_id", "left_anti")
     unanswered = lost.join(failures, "custom_id", "left_anti").select("custom_id", F.lit("no answer").alias("error"))
     # What was asked for later, to make up for missing rows, may stay without an answer.
@@ -324,7 +324,7 @@ def run_local(spark: SparkSession, folder: str, generator: Generator, rounds: in
         answers = spark.read.parquet(f"{folder}/answers").drop("turn")
         asked = manifest(spark, folder)
         rows = R.per_cell(R.row_count, "int")(F.col("text"))
-        made = _answers(answers).join(asked, "custom_id").select("stem", "kind", "chunk", F.coalesce(rows, F.lit(0)).alias("rows"))
+        made = read_answers(answers).join(asked, "custom_id").select("stem", "kind", "chunk", F.coalesce(rows, F.lit(0)).alias("rows"))
         made = made.where("chunk is not null")
         # A file without rows in its last round gets no further one.
         last = asked.groupBy("stem", "kind").agg(F.max("round").alias("round")) if "round" in asked.columns else None
@@ -388,7 +388,7 @@ def collect_labels(folder: str, results: DataFrame | str, files: DataFrame, colu
     spark = files.sparkSession
     ship(spark)
     asked = manifest(spark, folder)
-    found, failures = W.with_manifest(_answers(read_results(spark, results) if isinstance(results, str) else results), asked)
+    found, failures = W.with_manifest(read_answers(read_results(spark, results) if isinstance(results, str) else results), asked)
     unanswered = asked.join(found.select("custom_id"), "custom_id", "left_anti").join(failures, "custom_id", "left_anti").select("custom_id", F.lit("no answer").alias("error"))
     texts = examples_of(files.join(found.select("stem"), "stem", "left_semi"))
     sized = found.select("custom_id", "stem", F.col("text").alias("answer")).join(texts.groupBy("stem").agg(F.count("*").alias("rows")), "stem")

@@ -9,7 +9,7 @@ from assayer.plans import catalogue
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["coverage_counts", "coverage_vary_curve", "coverage_constrained", "marginal_distribution", "multi_value_combos", "outlier_codes", "novelty_min_avg", "dc_score_by_label", "chunk_plan", "custom_ids", "csv_repair", "csv_repair_splits", "required_split", "seed_combinations", "label_csv_parse", "coverage_vary_all", "response_text", "chunk_combination", "example_texts", "shortfall_chunks", "label_ids", "vmf_log_likelihood", "scope_flags", "ablation_variants", "rerun_filter", "existing_output_skip", "seed_lookup", "collection_stream"]
+SOME = ["coverage_counts", "coverage_vary_curve", "coverage_constrained", "marginal_distribution", "multi_value_combos", "outlier_codes", "novelty_min_avg", "dc_score_by_label", "chunk_plan", "custom_ids", "csv_repair", "csv_repair_splits", "required_split", "seed_combinations", "label_csv_parse", "coverage_vary_all", "response_text", "chunk_combination", "example_texts", "shortfall_chunks", "label_ids", "vmf_log_likelihood", "scope_flags", "ablation_variants", "rerun_filter", "existing_output_skip", "seed_lookup", "collection_stream", "result_triage", "request_payloads"]
 
 
 def canon(value):
