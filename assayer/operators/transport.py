@@ -3,7 +3,8 @@
 Of small sets (`MOST` vectors a side, which is counted first) a replicate is a row: both sets go to the tasks as one broadcast row, and the solves
 run in parallel, each with one matrix of costs. Of larger sets nothing is held whole: vectors are dealt to blocks, the potentials are a table
 with a row per block, and each half step of the iteration is a log-sum-exp over pairs of blocks, which meet by a shuffle on (solve, block,
-block); costs are worked out anew each time and never kept. All replicates are solved by the same jobs, a group each.
+block); costs are worked out anew each time and never kept. All replicates are solved by the same jobs, a group each. Where only the seeds
+are few, `thin` solves for their potentials alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..store import free_since, mark, written
+from ..functions.vectors import normalized
 from ..sources.tables import numbered
+from . import thin
 from .pairwise import BLOCK, blocks
 
 MOST, BAND = 6_000, 256
@@ -223,7 +226,7 @@ def _solved_in_blocks(generated: DataFrame, seeds: DataFrame, specs: list[tuple[
     of = lambda *kinds: solves.where(F.col("kind").isin(*kinds)).select("grp")
     copy = lambda side, *kinds: sides[side].withColumn("grp", F.explode(F.array(*(F.lit(f"{k}/{i}") for k, i in specs if k in kinds)))).select("grp", F.col("at").alias("id"), "emb")
     kinds = {k for k, _ in specs}
-    random = of("far").withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(max(2, n_g) - 1)))).select("grp", F.col("id").cast("long").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: _normal(F.xxhash64(F.lit(seed), "grp", "id", k), F.xxhash64(F.lit(seed + 1), "grp", "id", k))).alias("emb"))
+    random = _random(of("far"), max(2, n_g), dims, seed)
     xs = [_drawn(sides["seeds"], n_s, of("near", "ci"), F.lit(seed))]
     ys = [_drawn(sides["seeds"], n_s, of("near"), F.lit(seed + 2)), _drawn(sides["made"], n_g, of("ci"), F.lit(seed + 3)), random]
     if kinds & {"raw", "far"}:
@@ -239,11 +242,62 @@ def _solved_in_blocks(generated: DataFrame, seeds: DataFrame, specs: list[tuple[
     return asked.join(found.select("grp", value.alias("value")), "grp", "left").select("kind", F.coalesce("value", without).alias("value"))
 
 
+def _random(solves: DataFrame, n: int, dims: int, seed: int) -> DataFrame:
+    """(grp, id, emb): for each of solves(grp) n random directions, from hashes of (seed, solve, place)."""
+    every = solves.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return every.select("grp", F.col("id").cast("long").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: _normal(F.xxhash64(F.lit(seed), "grp", "id", k), F.xxhash64(F.lit(seed + 1), "grp", "id", k))).alias("emb"))
+
+
+def _solved_thin(generated: DataFrame, seeds: DataFrame, specs: list[tuple[str, int]], reg: float, seed: int) -> DataFrame | None:
+    """(kind, value) as `_solved` gives, of few seeds; draws of them come from their own generators, the others from hashes of (seed, solve, place).
+    None where the plan of the generated vectors with themselves need not be sparse."""
+    spark = generated.sparkSession
+    s = _unit(np.array([r.emb for r in seeds.select("id", F.col("emb").cast("array<double>").alias("emb")).orderBy("id").collect()], float))  # thin.FEW rows at most
+    made = written(numbered(generated.select(normalized(F.col("emb")).alias("emb"))).select(F.col("row_id").alias("at"), "emb"), "made")
+    n_g = made.count()
+    named = {f"{kind}/{i}": kind for kind, i in specs if kind in ("raw", "far") or (kind == "ci" and min(len(s), n_g) > 1)}
+    drawn = [name for name, kind in named.items() if kind != "far"]
+    # A row per distinct vector, with its weight in each solve; draws are counted by vector.
+    one = written(made.groupBy("emb").agg(F.min("at").alias("id"), F.collect_list("at").alias("rows")), "distinct")
+    of = one.select("id", F.explode("rows").alias("at"))
+    resampled = [name for name in drawn if named[name] == "ci"]
+    draws = spark.range(n_g).select("id", F.explode(F.array(*map(F.lit, resampled)) if resampled else F.array().cast("array<string>")).alias("grp"))
+    places = draws.select("grp", F.pmod(F.xxhash64(F.lit(seed + 3), "grp", "id"), F.lit(n_g)).alias("at"))
+    counted = places.join(of, "at").groupBy("id", "grp").agg(F.count("*").alias("n")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("n"))
+    weight = lambda name: (F.size("rows") if named[name] == "raw" else F.coalesce(F.col("n")[name], F.lit(0))) / F.lit(float(n_g))
+    whole = one.join(counted, "id", "left").select(F.lit("made").alias("grp"), "id", "emb", F.array(*map(weight, drawn)).alias("w"))
+    far = spark.createDataFrame([(name,) for name, kind in named.items() if kind == "far"], "grp string")
+    n_far = max(2, n_g)
+    random = _random(far, n_far, s.shape[1], seed).select("grp", "id", normalized(F.col("emb")).alias("emb"), F.array(F.lit(1.0 / n_far)).alias("w"))
+    rows = written(whole.unionByName(random), "sets")
+    solves, alone = {}, {}
+    for name, kind in named.items():
+        a = np.full(len(s), 1.0 / len(s))
+        if kind == "ci":
+            a = np.bincount(np.random.default_rng((seed, 3, int(name.split("/")[1]))).integers(0, len(s), len(s)), minlength=len(s)) / len(s)
+        solves[name] = ("made", drawn.index(name), a) if kind != "far" else (name, 0, a)
+        own = np.repeat(s, np.rint(a * len(s)).astype(int), 0)
+        alone[name] = plan_cost(own, own, reg) if kind == "ci" or "seeds" not in alone else alone["seeds"]
+        if kind != "ci":
+            alone["seeds"] = alone[name]
+    yy = thin.self_costs(rows, n_far, [(name, grp, at) for name, (grp, at, _) in solves.items()], reg)
+    if yy is None:
+        return None
+    own = {r.solve: r.cost for r in yy.collect()}  # a row per solve
+    both = thin.thin_costs(rows, s, solves, reg)
+    found = [(named[name], max(0.0, both[name] - alone[name] / 2 - own[name] / 2)) for name in named]
+    found += [("ci", float("nan")) for kind, i in specs if kind == "ci" and f"ci/{i}" not in named]
+    out = spark.createDataFrame(found, "kind string, value double")
+    near = [(kind, i) for kind, i in specs if kind == "near"]
+    return out.unionByName(_solved(seeds, seeds, near, reg, seed, thin.FEW, BLOCK)) if near else out
+
+
 # ---- measures -------------------------------------------------------------------------------------------------------------
 
 
 def raw(generated: DataFrame, seeds: DataFrame, reg: float = 0.01, most: int = MOST, size: int = BLOCK) -> DataFrame:
-    """One row: the debiased cost alone, without replicates. Sets of more than `most` vectors are solved in blocks of `size`."""
+    """One row: the debiased cost alone, without replicates. Sets of more than `most` vectors are solved in blocks of `size`,
+    or for the potentials of the seeds where these are few."""
     return _solved(generated, seeds, [("raw", 0)], reg, 0, most, size).select(F.col("value").alias("raw"))
 
 
@@ -267,7 +321,9 @@ def _solved(generated: DataFrame, seeds: DataFrame, specs: list[tuple[str, int]]
     """(kind, value): a solve per spec; near: two resamples of the seeds, far: seeds and random directions, ci: resamples of both sets."""
     spark = generated.sparkSession
     if generated.limit(most + 1).count() > most or seeds.limit(most + 1).count() > most:
-        return _solved_in_blocks(generated, seeds, specs, reg, seed, size)
+        few = 0 < seeds.limit(thin.FEW + 1).count() <= thin.FEW
+        found = _solved_thin(generated, seeds, specs, reg, seed) if few else None
+        return _solved_in_blocks(generated, seeds, specs, reg, seed, size) if found is None else found
     kinds = {"raw": 0, "near": 1, "far": 2, "ci": 3}
     # Both sets as one row, in the order of their ids.
     gathered = lambda v, name: v.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), F.col("emb").cast("array<double>").alias("emb")))), lambda x: x["emb"]).alias(name))
