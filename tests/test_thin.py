@@ -26,3 +26,8 @@ def test_calibration_of_few_seeds(sets):
     got, small = (T.calibrated(generated, seeds, boots=3, reg=0.02, most=most).first() for most in (50, 1000))
     assert got.raw == pytest.approx(exact(x, y, 0.02), abs=1e-8) and got.near == pytest.approx(small.near, abs=1e-9)
     assert got.far == pytest.approx(small.far, abs=0.05) and 0 <= got.low <= got.score <= 1 and got.low <= got.high <= 1
+
+
+def test_raw_cost_of_few_seeds(sets):
+    x, y, generated, seeds = sets
+    assert T.raw(generated, seeds, 0.01, most=50).first().raw == pytest.approx(exact(x, y, 0.01), abs=1e-8)
