@@ -23,6 +23,8 @@ from .spherical import beside
 #: Pivots of a group, about. Their angles to each other are worked out in one task.
 PIVOTS = 512
 FEW = 8
+#: Bands of a group at least, if it has as many blocks, and numbers that a band holds at most, about (32 MB).
+BANDS, HELD = 12, 1 << 22
 #: What rounding may do to an angle.
 SLACK = 1e-6
 GRP_KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
@@ -36,8 +38,10 @@ def matrix(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_counts(vectors: DataFrame, size: int) -> DataFrame:
-    """(grp, blocks), written: how many blocks of about so many vectors a group has."""
-    return written(vectors.groupBy("grp").agg(F.ceil(F.count("*") / size).alias("blocks")), "sizes")
+    """(grp, blocks, bands), written: how many blocks of about so many vectors a group has, and to how many bands they are dealt."""
+    n, numbers = F.count("*"), F.count("*") * F.max(F.size("emb"))
+    blocks, bands = F.ceil(n / size), F.greatest(F.lit(BANDS), F.ceil(numbers / HELD))
+    return written(vectors.groupBy("grp").agg(blocks.alias("blocks"), F.greatest(F.lit(1), F.least(blocks, bands)).cast("long").alias("bands")), "sizes")
 
 
 def block_items(vectors: DataFrame, counts: DataFrame) -> DataFrame:
@@ -165,11 +169,3 @@ def share_met(met: DataFrame, x: Cells, y: Cells) -> DataFrame:
     n = F.col("nx") * (F.col("nx") + 1) / 2 if x is y else F.col("nx") * F.col("ny")
     sizes = of(x, "nx").join(of(y, "ny"), "grp").select("grp", n.alias("every"))
     return sizes.join(met.groupBy("grp").agg(F.count("*").alias("met")), "grp", "left").select("grp", F.coalesce("met", F.lit(0)).alias("met"), (F.coalesce("met", F.lit(0)) / F.col("every")).alias("share"))
-
-
-def met_pairs(met: DataFrame, x: Cells, y: Cells) -> DataFrame:
-    """(grp, x, y, same): the blocks that meet, with their items."""
-    left = x.blocks.select("grp", F.col("cell").alias("cx"), F.col("block").alias("bx"), F.col("items").alias("x"))
-    right = y.blocks.select("grp", F.col("cell").alias("cy"), F.col("block").alias("by"), F.col("items").alias("y"))
-    same = (F.col("cx") == F.col("cy")) & (F.col("bx") == F.col("by")) if x is y else F.lit(False)
-    return met.join(left, ["grp", "cx", "bx"]).join(right, ["grp", "cy", "by"]).select("grp", "x", "y", same.alias("same"))

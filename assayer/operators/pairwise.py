@@ -1,8 +1,8 @@
 """All-pairs kernels over vectors, as products of blocks.
 
-Vectors of a group are dealt to blocks of bounded size; each task multiplies two blocks and emits sums per row, or the pairs
-that pass. Blocks meet by a shuffle on (group, block, block), so that one group of all vectors is spread over all tasks.
-Neither side is broadcast, and no pair of vectors becomes a row unless it is asked for. Where extremes or a threshold are asked for and
+Vectors of a group are dealt to blocks of bounded size, and blocks to bands; each task multiplies the blocks of two bands, of which it holds one, and
+emits sums per row, or the pairs that pass. Blocks meet by a shuffle on (group, band, band), so that one group of all vectors is spread
+over all tasks and a vector is sent once a band, of which there are few. Neither side is broadcast, and no pair of vectors becomes a row unless it is asked for. Where extremes or a threshold are asked for and
 groups are large, blocks are made within cells around pivots, and those that cannot hold what is asked for do not meet.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from ..store import written
-from .cells import GRP_KINDS, Test, above, block_counts, block_items, cell_pairs, cells, farthest, matrix, meetings, met_pairs, nearest
+from .cells import GRP_KINDS, Test, above, block_counts, block_items, cell_pairs, cells, farthest, matrix, meetings, nearest
 from .spherical import beside, mean_vectors, unit
 
 BLOCK = 1024
@@ -32,46 +32,79 @@ def blocks(vectors: DataFrame, size: int = BLOCK, counts: DataFrame | None = Non
     return block_items(vectors, block_counts(vectors, size) if counts is None else counts)
 
 
-def over_pairs(x: DataFrame, y: DataFrame, ordered: bool, fn: Callable, schema: str) -> DataFrame:
-    """fn(grp, ids_x, X, ids_y, Y, same) -> columns, for each pair of blocks of one group; not ordered: each pair of blocks once.
-
-    A block goes to each pair that it is part of: its copies are as many as the blocks of the other side."""
-    if x is y:
-        other = lambda lo, hi: F.explode(F.sequence(lo, hi))
-        last = F.col("blocks") - 1
-        left = x.withColumn("by", other(F.lit(0).cast("long") if ordered else F.col("block"), last))
-        right = y.withColumn("bx", other(F.lit(0).cast("long"), last if ordered else F.col("block")))
+def over_pairs(sides: list[DataFrame], counts: list[DataFrame], fn: Callable, schema: str, met: DataFrame | None = None) -> DataFrame:
+    """fn(grp, ids_x, X, ids_y, Y, same) -> columns, for pairs of blocks of one group; of one side each pair once, in either order.
+
+    sides: one or two of (grp, cell, block, items), with their counts. met(grp, cx, bx, cy, by): the blocks that meet, all of them by default. Blocks
+    are dealt to bands, and a task has a pair of bands, of which it holds one: a block is sent once to each band of the other side at most."""
+    own = len(sides) == 1
+    bands = counts[0].select("grp", F.col("bands").alias("bands_x")).join(counts[-1].select("grp", F.col("bands").alias("bands_y")), "grp")
+    band = lambda cell, block, n: F.pmod(F.col(cell) + F.col(block), F.col(n))
+    turned = F.col("px") > F.col("py") if own else F.lit(False)
+    first, second = F.least("px", "py") if own else F.col("px"), F.greatest("px", "py") if own else F.col("py")
+    dealt, pair = [], ["grp", "px", "py"]
+    if met is None:
+        for k, (side, mine, others) in enumerate(zip(sides, ("bands_x", "bands_y"), ("bands_y", "bands_x"), strict=False)):
+            at = [band("cell", "block", mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1))]
+            to = beside(side, bands).select("grp", "cell", "block", "items", at[k].alias("px"), at[1 - k].alias("py"))
+            dealt.append(to.select("grp", first.alias("px"), second.alias("py"), (turned.cast("int") if own else F.lit(k)).alias("side"), "cell", "block", "items"))
     else:
-        of = lambda df: df.groupBy("grp").agg(F.max("blocks").alias("others"))
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))
-        left = x.join(of(y), "grp").withColumn("by", every)
-        right = y.join(of(x), "grp").withColumn("bx", every)
-    left = left.select("grp", F.col("block").alias("bx"), "by", F.col("items").alias("x"))
-    right = right.select("grp", "bx", F.col("block").alias("by"), F.col("items").alias("y"))
-    return each_pair(left.join(right, ["grp", "bx", "by"]).select("grp", "x", "y", (F.col("bx") == F.col("by")).alias("same")), fn, schema)
-
-
-def each_pair(pairs: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """fn over pairs(grp, x, y, same) of blocks."""
-    kind = pairs.schema["grp"].dataType.simpleString()
+        at = beside(met, bands).select("grp", "cx", "bx", "cy", "by", band("cx", "bx", "bands_x").alias("px"), band("cy", "by", "bands_y").alias("py"))
+        x, y = (F.struct(F.col(c).cast("long").alias("cell"), F.col(b).alias("block")) for c, b in (("cx", "bx"), ("cy", "by")))
+        at = at.select("grp", first.alias("px"), second.alias("py"), F.when(turned, y).otherwise(x).alias("x"), F.when(turned, x).otherwise(y).alias("y"))
+        of_second = F.when(F.col("px") == F.col("py"), 0).otherwise(1) if own else F.lit(1)
+        needed = at.select(*pair, F.explode(F.array(*(F.struct(s.alias("side"), c) for s, c in ((F.lit(0), F.col("x").alias("tile")), (of_second, F.col("y").alias("tile")))))).alias("n"))
+        needed = needed.select(*pair, "n.side", "n.tile.cell", "n.tile.block").distinct()
+        for k, side in enumerate(sides):
+            some = needed if own else needed.where(F.col("side") == k)
+            dealt.append(some.join(side.withColumn("cell", F.col("cell").cast("long")), ["grp", "cell", "block"]).select(*pair, "side", "cell", "block", "items"))
+        dealt.append(at.groupBy(*pair).agg(F.collect_list(F.struct("x", "y")).alias("wanted")).withColumn("side", F.lit(-1)))
+    rows = dealt[0].withColumn("cell", F.col("cell").cast("long"))
+    for more in dealt[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    if met is None:
+        rows = rows.withColumn("wanted", F.lit(None).cast("array<struct<x: struct<cell: bigint, block: bigint>, y: struct<cell: bigint, block: bigint>>>"))
+    return each_pair(rows.select(*pair, "side", "cell", "block", "items", "wanted"), own, fn, schema)
+
+
+def each_pair(rows: DataFrame, own: bool, fn: Callable, schema: str) -> DataFrame:
+    """fn over the pairs of blocks of each pair of bands: rows(grp, px, py, side, cell, block, items, wanted), side 0 being held."""
+    kind = rows.schema["grp"].dataType.simpleString()
     names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
     arrow = [{"long": pa.int64(), "double": pa.float64()}[k] for k in kinds]
 
+    def batch(grp, out) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([grp] * len(out[0]), GRP_KINDS[kind]), *map(pa.array, out, arrow)], names=["grp", *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, wanted = None, [], None
         for b in batches:
             for i in range(b.num_rows):
-                grp = b.column(0)[i].as_py()
-                out = fn(grp, *matrix(b.column(1), i), *matrix(b.column(2), i), b.column(3)[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([grp] * len(out[0]), GRP_KINDS[kind]), *map(pa.array, out, arrow)], names=["grp", *names])
-
-    return pairs.mapInArrow(run, f"grp {kind}, {schema}")
+                grp, px, py, side, cell, block = (b.column(k)[i].as_py() for k in range(6))
+                if (grp, px, py) != key:
+                    key, held, wanted = (grp, px, py), [], None
+                if side < 0:
+                    wanted = {tuple((p[k]["cell"], p[k]["block"]) for k in ("x", "y")) for p in b.column(7)[i].as_py()}
+                    continue
+                name, (ids, x) = (cell, block), matrix(b.column(6), i)
+                alone = own and px == py
+                for other, others, y in held if alone or side else ():
+                    if wanted is None or (other, name) in wanted or (alone and (name, other) in wanted):
+                        yield batch(grp, fn(grp, others, y, ids, x, False))
+                if alone and (wanted is None or (name, name) in wanted):
+                    yield batch(grp, fn(grp, ids, x, ids, x, True))
+                if not side:
+                    held.append((name, ids.copy(), x.copy()))
+
+    dealt = rows.repartition("grp", "px", "py").sortWithinPartitions("grp", "px", "py", "side", "cell", "block")
+    return dealt.mapInArrow(run, f"grp {kind}, {schema}")
 
 
 def pruned_pairs(vectors: DataFrame, others: DataFrame | None, test: Test, fn: Callable, schema: str, size: int, pruned: int) -> DataFrame:
     """fn over the pairs of blocks that pass the test; others: the vectors of the other side, None where both sides are one (each pair once).
 
     Where no group of a side has as many as `pruned` blocks all blocks meet, which costs less than finding out which need to; so they do where
-    cells, which are smaller than blocks, would have more vectors sent. With 0 cells are made in any case."""
+    cells, which are smaller than blocks, would have more vectors meet blocks. With 0 cells are made in any case."""
     sides = [vectors] if others is None else [vectors, others]
     counts = [block_counts(v, size) for v in sides]
     if min(c.agg(F.max("blocks")).first()[0] or 0 for c in counts) >= pruned:
@@ -81,9 +114,13 @@ def pruned_pairs(vectors: DataFrame, others: DataFrame | None, test: Test, fn: C
         each = counts[0].join(counts[-1].select("grp", F.col("blocks").alias("others")), "grp")
         every = each.agg(F.sum(F.col("blocks") * size * n)).first()[0] or 0
         if not pruned or (met.agg(F.sum("sent")).first()[0] or 0) < every:
-            return each_pair(met_pairs(meetings(met, x is y), x, y), fn, schema)
-    plain = [blocks(v, size, c) for v, c in zip(sides, counts, strict=True)]
-    return over_pairs(plain[0], plain[-1], others is not None, fn, schema)
+            return over_pairs([side.blocks for side in made], counts, fn, schema, meetings(met, x is y))
+    return over_pairs([plain(v, size, c) for v, c in zip(sides, counts, strict=True)], counts, fn, schema)
+
+
+def plain(vectors: DataFrame, size: int, counts: DataFrame) -> DataFrame:
+    """(grp, cell, block, items): blocks without cells."""
+    return blocks(vectors, size, counts).select("grp", F.lit(0).cast("long").alias("cell"), "block", "items")
 
 
 def kernel(name: str, x: np.ndarray, y: np.ndarray, tau: float, gamma: float | None = None) -> np.ndarray:
@@ -111,10 +148,20 @@ def dc_scores(vectors: DataFrame, name: str = "cs", tau: float = 1.0, size: int
     """(grp, n, dc_score): the mean over rows of exp(K_ii) / sum_j exp(K_ij). Each term is exp(K_ij - K_ii), which a small tau cannot overflow."""
 
     def sums(grp, ids, x, other, y, same):
-        return ids, np.exp(kernel(name, x, y, tau) - own_kernel(name, x, tau)[:, None]).sum(1)
-
-    b = blocks(vectors, size)
-    rows = over_pairs(b, b, True, sums, "id long, total double").groupBy("grp", "id").agg((1 / F.sum("total")).alias("p"))
+        """Kernels are symmetric: a pair of blocks has the sums of the rows of both."""
+        k, own, others = kernel(name, x, y, tau), own_kernel(name, x, tau), own_kernel(name, y, tau)
+        if same:
+            return ids, np.exp(np.subtract(k, own[:, None], out=k)).sum(1)
+        most = max(own.max(), others.max())
+        if most - min(own.min(), others.min()) < 50:
+            e = np.exp(np.subtract(k, most, out=k), out=k)
+            totals = e.sum(1) * np.exp(most - own), e.sum(0) * np.exp(most - others)
+        else:
+            totals = np.exp(k - own[:, None]).sum(1), np.exp(k - others[None]).sum(0)
+        return np.concatenate([ids, other]), np.concatenate(totals)
+
+    counts = block_counts(vectors, size)
+    rows = over_pairs([plain(vectors, size, counts)], [counts], sums, "id long, total double").groupBy("grp", "id").agg((1 / F.sum("total")).alias("p"))
     return rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg("p").alias("dc_score"))
 
 
