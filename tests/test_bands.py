@@ -37,3 +37,7 @@ def test_cs_sends_a_block_once_a_band(spark, sent):
     for tau in (0.5, 0.01):
         k = zeros @ zeros.T / tau
         assert P.dc_scores(vectors(spark, zeros), "cs", tau, size=4).first().dc_score == pytest.approx(np.mean(1 / np.exp(k - np.diag(k)[:, None]).sum(1)), rel=1e-9)
+
+
+def test_rbf_sends_a_block_once_a_band(spark, sent):
+    scored(spark, sent, "rbf", 1.0, lambda s: np.exp(-(2 - 2 * s)))
