@@ -41,3 +41,7 @@ def test_cs_sends_a_block_once_a_band(spark, sent):
 
 def test_rbf_sends_a_block_once_a_band(spark, sent):
     scored(spark, sent, "rbf", 1.0, lambda s: np.exp(-(2 - 2 * s)))
+
+
+def test_polynomial_sends_a_block_once_a_band(spark, sent):
+    scored(spark, sent, "polynomial", 3.0, lambda s: (s / 8 + 1) ** 3)
