@@ -45,3 +45,13 @@ def test_rbf_sends_a_block_once_a_band(spark, sent):
 
 def test_polynomial_sends_a_block_once_a_band(spark, sent):
     scored(spark, sent, "polynomial", 3.0, lambda s: (s / 8 + 1) ** 3)
+
+
+@pytest.mark.parametrize("pruned", [10_000, 0])
+def test_similar_pairs_send_a_block_once_a_band(spark, sent, pruned):
+    """All blocks, and those of cells that meet."""
+    x = unit(3)
+    got = {(r.id_a, r.id_b) for r in P.similar_pairs(vectors(spark, x), 0.8, size=12, pruned=pruned).collect()}
+    assert got == set(zip(*(a.tolist() for a in np.nonzero(np.triu(x @ x.T > 0.8, 1))), strict=True))
+    # Of cells the lists of pairs are a row for each of the 78 pairs of bands.
+    assert sent[0] <= (50 * 12 if pruned else 12 * 300 + 78)
