@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
 from .operators import repair as R
 from .operators import workflow as W
@@ -201,30 +200,25 @@ def _collected(made: DataFrame, failures: DataFrame) -> Collected:
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROGRESS = "stem string, kind string, known boolean, whole_schema boolean, lacking long, ids array<string>, chunks array<long>, texts array<string>, errors array<string>"
-STATE = "ids array<string>, chunks array<long>, firsts array<boolean>, texts array<string>, errors array<string>"
-
-
-def _grow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state of a file: the best answer to each of its chunks; out comes what it has and lacks now, if something changed."""
-    best = {i: rest for i, *rest in zip(*state.get, strict=True)} if state.exists else {}
-    changed, known, whole_schema, needed = False, False, False, 0
-    for p in parts:
-        for i, chunk, first, text, error, known, whole_schema, needed in zip(*(p[c] for c in ("custom_id", "chunk", "first", "text", "error", "known", "whole_schema", "needed")), strict=True):
-            text, error = (x if isinstance(x, str) else None for x in (text, error))
-            had, why = best[i][2:] if i in best else (None, None)
-            better = text is not None and (had is None or (len(text), text) > (len(had), had))
-            if i not in best or better or (had is None and text is None and (error or "") > (why or "")):
-                best[i], changed = [int(chunk), bool(first), text, error], True
-    if not changed:
-        return
-    ids, chunks, firsts, texts, errors = map(list, zip(*((i, *b) for i, b in best.items()), strict=True))
-    state.update((ids, chunks, firsts, texts, errors))
-    lacking = int(needed) - sum(first and text is not None for _, first, text, _ in best.values())
-    yield pd.DataFrame({"stem": [key[0]], "kind": [key[1]], "known": [bool(known)], "whole_schema": [bool(whole_schema)], "lacking": [lacking], "ids": [ids], "chunks": [chunks], "texts": [texts], "errors": [errors]})
+
+
+def _progress(changed: DataFrame) -> DataFrame:
+    """PROGRESS of files(stem, kind, known, whole_schema, needed, answers): the best answer to each request, and how many chunks are lacking.
+
+    An answer with a text is better than one without, a longer text better than a shorter one, then the later in order; of errors the last."""
+    text = lambda a: F.struct(a["custom_id"].alias("custom_id"), a["text"].isNotNull().alias("has"), F.coalesce(F.length(a["text"]), F.lit(0)).alias("length"), a["text"].alias("text"), a["error"].alias("error"), a["chunk"].alias("chunk"), a["first"].alias("first"))
+    in_order = F.array_sort(F.transform("answers", text))
+    # The list is the variable of an outer lambda, and so is sorted once.
+    last = lambda o: F.filter(o, lambda a, i: ~F.coalesce(F.get(o, i + 1)["custom_id"] == a["custom_id"], F.lit(False)))
+    best = changed.withColumn("best", F.transform(F.array(in_order), last)[0])
+    met = F.size(F.filter("best", lambda a: a["first"] & a["has"]))
+    of = lambda name: F.transform("best", lambda a: a[name])
+    return best.select("stem", "kind", "known", "whole_schema", (F.col("needed") - met).alias("lacking"), of("custom_id").alias("ids"), of("chunk").alias("chunks"), of("text").alias("texts"), of("error").alias("errors"))
 
 
 def follow(spark: SparkSession, folder: str, results: str, files_per_batch: int = 64, **trigger) -> StreamingQuery:
-    """A stream over the files of result lines in a folder, which keeps for each asked file the answers it has and the number it lacks.
+    """A stream over the files of result lines in a folder, which keeps for each asked file the distinct answers it has, and gives the best of
+    them and the number it lacks.
 
     A file that lacks none is put together in the batch that brought its last chunk, and anew when a better answer to one of its chunks comes; batches
     go to `stream/given` and `stream/progress` in the run's folder, written over when a batch is run again. The stream goes on where it
@@ -239,11 +233,12 @@ def follow(spark: SparkSession, folder: str, results: str, files_per_batch: int
         F.coalesce("name", "custom_id").alias("stem"), F.coalesce("kind", F.lit("")).alias("kind"), "custom_id", "text", "error", F.coalesce("chunk", F.lit(0)).cast("long").alias("chunk"),
         *(F.coalesce(c, F.lit(False)).alias(c) for c in ("first", "known", "whole_schema")), F.coalesce("needed", F.lit(0)).alias("needed"),
     )
-    kept = keyed.groupBy("stem", "kind").applyInPandasWithState(_grow, PROGRESS, STATE, "update", "NoTimeout")
+    answer = F.struct("custom_id", "text", "error", "chunk", "first")
+    kept = keyed.groupBy("stem", "kind").agg(F.max("known").alias("known"), F.max("whole_schema").alias("whole_schema"), F.max("needed").alias("needed"), F.collect_set(answer).alias("answers"))
 
     def give(changed: DataFrame, batch: int) -> None:
         at = f"{folder}/stream/progress/batch={batch}"
-        changed.write.mode("overwrite").parquet(at)
+        _progress(changed).write.mode("overwrite").parquet(at)
         rows = F.filter(F.arrays_zip("chunks", "texts"), lambda x: x["texts"].isNotNull())
         whole = spark.read.schema(PROGRESS).parquet(at).where("known and lacking <= 0").withColumn("chunks", F.transform(F.array_sort(rows), lambda x: x["texts"])).where(F.size("chunks") > 0)
         put_together(whole).write.mode("overwrite").parquet(f"{folder}/stream/given/batch={batch}")

@@ -136,6 +136,20 @@ def test_repair_command(spark, tmp_path):
     assert "hello, world" in "".join(open(f).read() for f in glob.glob(f"{tmp_path}/out/file=a.csv/*.txt"))
 
 
+def test_the_state_of_a_stream_is_a_native_aggregate(spark, tmp_path):
+    """No call of Python per file; the best answer stays, also over batches."""
+    folder, results = str(tmp_path / "run"), tmp_path / "results"
+    results.mkdir()
+    asked = runs.stage(spark, folder, Schema.parse(DOC), [("p", "m/1")], 25, 1, [0], 1).where("kind = 'baseline'").collect()
+    for k, text in enumerate(("b", "longer", "c")):
+        (results / f"part-{k}.jsonl").write_text(line(asked[0].custom_id, text) + "\n")
+        query = runs.follow(spark, folder, str(results))
+        query.awaitTermination()
+        assert [o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]] == ["stateStoreSave"]
+    got = spark.read.parquet(f"{folder}/stream/given").where(f"stem = '{asked[0].stem}'").orderBy("batch").collect()
+    assert [r.text for r in got] == ["b", "longer", "longer"]
+
+
 def test_a_stream_collects_what_a_batch_does(spark, tmp_path):
     """Answers in several files, in any order, repeated, bettered, failed and unknown: after each file the stream has what a batch has."""
     r = random.Random(4)
