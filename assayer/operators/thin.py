@@ -6,12 +6,14 @@ a Newton step of all replicates is one aggregation. Resamples of one set are wei
 
 Of a set with itself the plan stays near the diagonal: with a cost of 0 to itself a vector has a scaling of at most the root of its weight, so that
 of the marginal of n vectors of like weight at most the share n exp(-cut / reg) lies beyond a cost of `cut`. Pairs within it are a sparse
-graph, on which the scalings settle; vectors without such a pair stay where they are at no cost. Equal vectors are one with their weights added.
+graph, and nothing passes between its components: each of up to TOGETHER vectors is solved in a task, in all solves at once, and only larger ones
+take a job per round. Vectors without such a pair stay where they are at no cost. Equal vectors are one with their weights added.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ FEW = 128
 #: What is left out of a marginal, as a share of it.
 LEFT_OUT = 1e-9
 #: Least similarity of the pairs of a sparse graph, and pairs a vector at most.
-LEAST, EDGES = 0.3, 32
+LEAST, EDGES = 0.3, 256
+#: Vectors of a component that a task solves (two matrices of 32 MB), and rounds in which components are looked for.
+TOGETHER, TURNS = 2_000, 8
 
 
 def _sums(c: np.ndarray, b: np.ndarray, f: np.ndarray, reg: float) -> np.ndarray:
@@ -139,14 +143,88 @@ def self_costs(sets: DataFrame, total: int, solves: list[tuple[str, str, int]],
     pairs = written(similar_pairs(sets.select("grp", "id", "emb"), least), "near")
     if pairs.count() > EDGES * sets.count():
         return None
-    names = spark.createDataFrame(solves, "solve string, grp string, at int")
     arcs = pairs.select("grp", F.col("id_a").alias("id"), F.col("id_b").alias("other"), "sim").unionByName(pairs.select("grp", F.col("id_b").alias("id"), F.col("id_a").alias("other"), "sim"))
+    roots, classes = _classes(arcs)
+    within = (~F.col("open")) & (F.col("n") <= TOGETHER)
+    members = sets.join(roots, ["grp", "id"]).join(classes.where(within), ["grp", "root"]).select("grp", "root", "emb", "w")
+    cost = _together(members, solves, least, reg, rounds, tol * total)
+    if classes.where(~within).limit(1).count():
+        rest = roots.join(classes.where(~within), ["grp", "root"]).select("grp", "id")
+        cost = cost.unionByName(_apart(sets, arcs.join(rest, ["grp", "id"], "left_semi"), solves, reg, rounds, tol * total))
+    names = spark.createDataFrame([(name,) for name, _, _ in solves], "solve string")
+    return written(names.join(cost.groupBy("solve").agg(F.sum("cost").alias("cost")), "solve", "left").select("solve", F.coalesce("cost", F.lit(0.0)).alias("cost")), "costs")
+
+
+def _classes(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(grp, id, root), written, and (grp, root, n, open), written: the vectors of arcs(grp, id, other) by the least id that reached them. Classes that
+    no arc leaves are components; the others, of components too wide for TURNS rounds, are open."""
+    point = mark()
+    found = written(arcs.groupBy("grp", "id").agg(F.min("other").alias("low")).select("grp", "id", F.least("id", "low").alias("next")), "roots")
+    for _ in range(TURNS):
+        roots = found.select("grp", "id", F.col("next").alias("root"))
+        seen = arcs.join(roots.select("grp", F.col("id").alias("other"), F.col("root").alias("to")), ["grp", "other"]).groupBy("grp", "id").agg(F.min("to").alias("low"), F.max("to").alias("high"))
+        next_ = roots.join(seen, ["grp", "id"]).select("grp", "id", "root", F.least("root", "low").alias("next"), ((F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))).alias("open"))
+        found = written(next_, "roots")
+        free_since(point, found)
+        if not found.where("open").limit(1).count():
+            break
+    return found.select("grp", "id", "root"), written(found.groupBy("grp", "root").agg(F.count("*").alias("n"), F.max("open").alias("open")), "classes")
+
+
+def _together(members: DataFrame, solves: list[tuple[str, str, int]], least: float, reg: float, rounds: int, tol: float) -> DataFrame:
+    """(solve, cost) per task: the costs of whole components, members(grp, root, emb, w)."""
+    of: dict[str, list[tuple[str, int]]] = {}
+    for name, grp, at in solves:
+        of.setdefault(grp, []).append((name, at))
+
+    def costs(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Of vectors x(n, d) and weights a(n, solves)."""
+        c = 1 - np.clip(x @ x.T, -1, 1)
+        np.fill_diagonal(c, 0)
+        k = np.where(c < 1 - least, np.exp(-c / reg), 0)
+        u = np.sqrt(a)
+        for _ in range(rounds):
+            s = k @ u
+            off = np.abs(np.divide(u * s, a, out=np.ones_like(a), where=a > 0) - 1).max()
+            # Half of the way to the potentials that meet the marginals now.
+            u = np.sqrt(np.divide(u * a, s, out=np.zeros_like(a), where=a > 0))
+            if off < min(tol, 1e-6):
+                break
+        return (u * ((k * c) @ u)).sum(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, float] = {}
+        key, xs, ws = None, [], []
+
+        def close() -> None:
+            if key and key[0] in of:
+                names, places = zip(*of[key[0]], strict=True)
+                for name, cost in zip(names, costs(np.vstack(xs), np.vstack(ws)[:, list(places)]), strict=True):
+                    held[name] = held.get(name, 0.0) + float(cost)
+
+        for b in batches:
+            for now, rows in groupby(range(b.num_rows), list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)).__getitem__):
+                if now != key:
+                    close()
+                    key, xs, ws = now, [], []
+                at = list(rows)
+                for held_, column in ((xs, 2), (ws, 3)):
+                    held_.append(b.column(column).slice(at[0], len(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.float64())], names=["solve", "cost"])
+
+    return members.repartition("grp", "root").sortWithinPartitions("grp", "root").mapInArrow(run, "solve string, cost double")
+
+
+def _apart(sets: DataFrame, arcs: DataFrame, solves: list[tuple[str, str, int]], reg: float, rounds: int, tol: float) -> DataFrame:
+    """(solve, cost) of the vectors that arcs(grp, id, other, sim) link, each round a job."""
+    names = sets.sparkSession.createDataFrame(solves, "solve string, grp string, at int")
+    point = mark()
     ends = sets.join(arcs.select("grp", "id").distinct(), ["grp", "id"], "left_semi").select("grp", "id", F.posexplode("w").alias("at", "a")).where("a > 0")
     nodes = written(ends.join(F.broadcast(names), ["grp", "at"]).select("solve", "grp", "id", "a", F.sqrt("a").alias("u")), "nodes")
     held = lambda n, name: n.select("solve", "grp", F.col("id").alias(name), F.col("u").alias(f"u_{name}"))
     linked = arcs.withColumn("k", F.exp((F.col("sim") - 1) / reg))
     for _ in range(rounds):
-        point = mark()
         sent = linked.join(held(nodes, "other"), ["grp", "other"]).groupBy("solve", "grp", "id").agg(F.sum(F.col("k") * F.col("u_other")).alias("s"))
         met = nodes.join(sent, ["solve", "grp", "id"], "left").withColumn("s", F.col("u") + F.coalesce("s", F.lit(0.0)))
         # Half of the way to the potentials that meet the marginals now.
@@ -154,8 +232,7 @@ def self_costs(sets: DataFrame, total: int, solves: list[tuple[str, str, int]],
         nodes = written(new, "nodes")
         off = nodes.agg(F.max("off")).first()[0]
         free_since(point, nodes)
-        if off is None or off < min(tol * total, 1e-6):
+        if off is None or off < min(tol, 1e-6):
             break
     both = linked.join(held(nodes, "id"), ["grp", "id"]).join(held(nodes, "other"), ["solve", "grp", "other"])
-    cost = both.groupBy("solve").agg(F.sum(F.col("u_id") * F.col("u_other") * F.col("k") * (1 - F.col("sim"))).alias("cost"))
-    return written(names.join(cost, "solve", "left").select("solve", F.coalesce("cost", F.lit(0.0)).alias("cost")), "costs")
+    return both.groupBy("solve").agg(F.sum(F.col("u_id") * F.col("u_other") * F.col("k") * (1 - F.col("sim"))).alias("cost"))

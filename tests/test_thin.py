@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from assayer.operators import thin
 from assayer.operators import transport as T
 
 
@@ -31,3 +32,25 @@ def test_calibration_of_few_seeds(sets):
 def test_raw_cost_of_few_seeds(sets):
     x, y, generated, seeds = sets
     assert T.raw(generated, seeds, 0.01, most=50).first().raw == pytest.approx(exact(x, y, 0.01), abs=1e-8)
+
+
+@pytest.mark.parametrize("together", [2_000, 20])
+def test_components_are_solved_in_tasks(spark, monkeypatch, together):
+    """Only components larger than a task solves take a job per round; the costs are those of the whole set's dense plan."""
+    r = np.random.default_rng(5)
+    base = T._unit(r.normal(size=(12, 24)))
+    # Eleven clusters of six, and a chain whose ends have no pair.
+    angles = np.linspace(0, 1.5, 40)
+    chain = np.cos(angles)[:, None] * base[11] + np.sin(angles)[:, None] * T._unit(base[:1] - (base[0] @ base[11]) * base[11])
+    x = T._unit(np.vstack([np.repeat(base[:11], 6, 0) + 0.02 * r.normal(size=(66, 24)), chain]))
+    a = np.stack([np.full(len(x), 1 / len(x)), r.integers(0, 3, len(x)) / len(x)], 1)
+    sets = spark.createDataFrame([("made", i, v.tolist(), w.tolist()) for i, (v, w) in enumerate(zip(x, a, strict=True))], "grp string, id long, emb array<double>, w array<double>")
+    made, plain = [], thin.written
+    monkeypatch.setattr(thin, "written", lambda df, name: made.append(name) or plain(df, name))
+    monkeypatch.setattr(thin, "TOGETHER", together, raising=False)
+    got = {r.solve: r.cost for r in thin.self_costs(sets, len(x), [("raw", "made", 0), ("ci", "made", 1)], 0.01).collect()}
+    assert got["raw"] == pytest.approx(T.plan_cost(x, x, 0.01, 20_000, 1e-12), abs=1e-8)
+    drawn = np.repeat(x, np.rint(a[:, 1] * len(x)).astype(int), 0)
+    scale = len(drawn) / len(x)
+    assert got["ci"] == pytest.approx(scale * T.plan_cost(drawn, drawn, 0.01, 20_000, 1e-12), abs=1e-6)
+    assert ("nodes" in made) == (together < 40)
