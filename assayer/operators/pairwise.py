@@ -21,6 +21,8 @@ from .cells import GRP_KINDS, Test, above, block_counts, block_items, cell_pairs
 from .spherical import beside, mean_vectors, unit
 
 BLOCK = 1024
+#: Partitions at most that pairs of bands are dealt to beyond the session's number.
+PARTITIONS = 1024
 
 
 #: Blocks of the largest group from which cells are made: below, all of the few blocks meet.
@@ -64,10 +66,18 @@ def over_pairs(sides: list[DataFrame], counts: list[DataFrame], fn: Callable, sc
         rows = rows.unionByName(more, allowMissingColumns=True)
     if met is None:
         rows = rows.withColumn("wanted", F.lit(None).cast("array<struct<x: struct<cell: bigint, block: bigint>, y: struct<cell: bigint, block: bigint>>>"))
-    return each_pair(rows.select(*pair, "side", "cell", "block", "items", "wanted"), own, fn, schema)
+    return each_pair(rows.select(*pair, "side", "cell", "block", "items", "wanted"), own, fn, schema, spread(bands))
 
 
-def each_pair(rows: DataFrame, own: bool, fn: Callable, schema: str) -> DataFrame:
+def spread(bands: DataFrame) -> list[int]:
+    """The number of partitions for the pairs of bands, if it is to be more than the session's: they are few and each much work, so that of two in a
+    partition the second is waited for."""
+    most = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(PARTITIONS, 2 * (bands.agg(F.sum(F.col("bands_x") * F.col("bands_y"))).first()[0] or 0))
+    return [wanted] if wanted > most else []
+
+
+def each_pair(rows: DataFrame, own: bool, fn: Callable, schema: str, partitions: list[int]) -> DataFrame:
     """fn over the pairs of blocks of each pair of bands: rows(grp, px, py, side, cell, block, items, wanted), side 0 being held."""
     kind = rows.schema["grp"].dataType.simpleString()
     names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
@@ -96,7 +106,7 @@ def each_pair(rows: DataFrame, own: bool, fn: Callable, schema: str) -> DataFram
                 if not side:
                     held.append((name, ids.copy(), x.copy()))
 
-    dealt = rows.repartition("grp", "px", "py").sortWithinPartitions("grp", "px", "py", "side", "cell", "block")
+    dealt = rows.repartition(*partitions, "grp", "px", "py").sortWithinPartitions("grp", "px", "py", "side", "cell", "block")
     return dealt.mapInArrow(run, f"grp {kind}, {schema}")
 
 
@@ -130,7 +140,11 @@ def kernel(name: str, x: np.ndarray, y: np.ndarray, tau: float, gamma: float | N
     if name == "polynomial":
         return ((gamma or 1.0 / x.shape[1]) * (x @ y.T) + 1.0) ** tau
     if name == "rbf":
-        return np.exp(-tau * np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+        # One product of matrices has the squares too.
+        one = lambda m: np.ones((len(m), 1))
+        square = lambda m: -tau * (m * m).sum(1, keepdims=True)
+        k = np.hstack([2 * tau * x, square(x), one(x)]) @ np.hstack([y, one(y), square(y)]).T
+        return np.exp(np.minimum(k, 0, out=k), out=k)
     if name == "laplacian":
         return np.exp(-tau * np.stack([np.abs(x - row).sum(1) for row in y], 1))
     raise ValueError(f"no kernel {name}")

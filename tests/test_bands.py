@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.operators import pairwise as P
 
@@ -55,3 +56,21 @@ def test_similar_pairs_send_a_block_once_a_band(spark, sent, pruned):
     assert got == set(zip(*(a.tolist() for a in np.nonzero(np.triu(x @ x.T > 0.8, 1))), strict=True))
     # Of cells the lists of pairs are a row for each of the 78 pairs of bands.
     assert sent[0] <= (50 * 12 if pruned else 12 * 300 + 78)
+
+
+def test_pairs_of_bands_wait_for_few_others(spark, monkeypatch):
+    """The 78 pairs of bands of a group are not dealt to the session's 4 partitions."""
+    x, seen, plain = unit(4), [], P.each_pair
+
+    def dealt(*a):
+        seen.append(plain(*a[:2], lambda grp, ids, x, other, y, same: (ids,), "id long", *a[4:]).groupBy(F.spark_partition_id()).agg(F.count_distinct("id").alias("n")).count())
+        return plain(*a)
+
+    monkeypatch.setattr(P, "each_pair", dealt)
+    P.dc_scores(vectors(spark, x), "rbf", size=12).first()
+    assert seen[0] > 50
+
+
+def test_rbf_kernel_of_any_length(spark):
+    x, y = 3 * unit(7, 40), unit(8, 30)
+    assert np.allclose(P.kernel("rbf", x, y, 0.7), np.exp(-0.7 * ((x[:, None] - y[None]) ** 2).sum(2)), rtol=1e-12, atol=0)
