@@ -138,7 +138,15 @@ def kernel(name: str, x: np.ndarray, y: np.ndarray, tau: float, gamma: float | N
     if name == "cs":
         return x @ y.T / tau
     if name == "polynomial":
-        return ((gamma or 1.0 / x.shape[1]) * (x @ y.T) + 1.0) ** tau
+        k = (gamma or 1.0 / x.shape[1]) * x @ y.T
+        k += 1.0
+        if tau not in range(1, 9):
+            return k**tau
+        # Products take less than half of the time of a general power.
+        out = k.copy()
+        for _ in range(int(tau) - 1):
+            out *= k
+        return out
     if name == "rbf":
         # One product of matrices has the squares too.
         one = lambda m: np.ones((len(m), 1))

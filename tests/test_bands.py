@@ -71,6 +71,20 @@ def test_pairs_of_bands_wait_for_few_others(spark, monkeypatch):
     assert seen[0] > 50
 
 
+@pytest.mark.parametrize("tau", [1.0, 3.0, 2.5, 12.0])
+def test_powers_of_the_polynomial_kernel(monkeypatch, tau):
+    """Whole powers take no general power, which costs twice the rest of the kernel."""
+    x, y = unit(5, 40), unit(6, 30)
+    assert np.allclose(P.kernel("polynomial", x, y, tau), (x @ y.T / 8 + 1) ** tau, rtol=1e-13, atol=0)
+    if tau == 3.0:
+
+        class Refusing(np.ndarray):
+            def __pow__(self, other):
+                raise AssertionError("general power")
+
+        P.kernel("polynomial", x.view(Refusing), y, tau)
+
+
 def test_rbf_kernel_of_any_length(spark):
     x, y = 3 * unit(7, 40), unit(8, 30)
     assert np.allclose(P.kernel("rbf", x, y, 0.7), np.exp(-0.7 * ((x[:, None] - y[None]) ** 2).sum(2)), rtol=1e-12, atol=0)
