@@ -88,3 +88,12 @@ def test_powers_of_the_polynomial_kernel(monkeypatch, tau):
 def test_rbf_kernel_of_any_length(spark):
     x, y = 3 * unit(7, 40), unit(8, 30)
     assert np.allclose(P.kernel("rbf", x, y, 0.7), np.exp(-0.7 * ((x[:, None] - y[None]) ** 2).sum(2)), rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("pruned", [10_000, 0])
+def test_similar_pairs_are_dealt_to_partitions_of_their_own(spark, monkeypatch, pruned):
+    """All blocks, and those of cells that meet: two partitions a pair of bands, of the session's 4."""
+    seen, plain = [], P.each_pair
+    monkeypatch.setattr(P, "each_pair", lambda *a: seen.append(a[4:]) or plain(*a))
+    P.similar_pairs(vectors(spark, unit(9)), 0.8, size=12, pruned=pruned).count()
+    assert seen == [([288],)]
