@@ -53,7 +53,8 @@ def block_items(vectors: DataFrame, counts: DataFrame) -> DataFrame:
 
 @dataclass
 class Cells:
-    """blocks(grp, cell, block, items); about(grp, cells: array<struct<cell, blocks, n, radius, pivot>>), a row per group."""
+    """blocks(grp, cell, block, items), to be written by who needs them; about(grp, cells: array<struct<cell, blocks, n, radius, pivot>>), a row per
+    group."""
 
     blocks: DataFrame
     about: DataFrame
@@ -86,7 +87,7 @@ def cells(vectors: DataFrame, counts: DataFrame, size: int) -> Cells:
     placed = written(beside_pivots.mapInArrow(assign, f"grp {kind}, cell int, id long, emb array<double>, angle double"), "placed")
     sums = written(placed.groupBy("grp", "cell").agg(F.ceil(F.count("*") / size).alias("blocks"), F.count("*").alias("n"), F.max("angle").alias("radius")), "cells")
     dealt = placed.join(sums, ["grp", "cell"]).select("grp", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.struct("id", "emb").alias("item"))
-    blocks = written(dealt.groupBy("grp", "cell", "block").agg(F.collect_list("item").alias("items")), "blocks")
+    blocks = dealt.groupBy("grp", "cell", "block").agg(F.collect_list("item").alias("items"))
     listed = sums.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("cell", "blocks", "n", "radius"))).alias("cells")).join(pivots, "grp", "left")
     at = lambda c: F.when(c["cell"] >= 0, F.get("pivots", c["cell"])["emb"])
     about = listed.select("grp", F.transform("cells", lambda c: F.struct(*(c[k].alias(k) for k in ("cell", "blocks", "n", "radius")), at(c).alias("pivot"))).alias("cells"))

@@ -124,7 +124,7 @@ def pruned_pairs(vectors: DataFrame, others: DataFrame | None, test: Test, fn: C
         each = counts[0].join(counts[-1].select("grp", F.col("blocks").alias("others")), "grp")
         every = each.agg(F.sum(F.col("blocks") * size * n)).first()[0] or 0
         if not pruned or (met.agg(F.sum("sent")).first()[0] or 0) < every:
-            return over_pairs([side.blocks for side in made], counts, fn, schema, meetings(met, x is y))
+            return over_pairs([written(side.blocks, "blocks") for side in made], counts, fn, schema, meetings(met, x is y))
     return over_pairs([plain(v, size, c) for v, c in zip(sides, counts, strict=True)], counts, fn, schema)
 
 
@@ -187,15 +187,26 @@ def dc_scores(vectors: DataFrame, name: str = "cs", tau: float = 1.0, size: int
     return rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg("p").alias("dc_score"))
 
 
+def passing(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x and of y, none longer than 1, of a cosine above the threshold, with the cosine.
+
+    A product in single precision, off by less than its bound for so many terms, says which pairs may pass. Only their cosines are worked out in
+    double, unless the pairs are more than the rows of both."""
+    error = (x.shape[1] + 2) * float(np.finfo(np.float32).eps)
+    i, j = np.divmod(np.flatnonzero(x.astype(np.float32) @ y.astype(np.float32).T > threshold - error), len(y))
+    s = np.clip(np.einsum("ij,ij->i", x[i], y[j]) if len(i) <= len(x) + len(y) else (x @ y.T)[i, j], -1, 1)
+    keep = s > threshold
+    return i[keep], j[keep], s[keep]
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, size: int = BLOCK, pruned: int = PRUNED) -> DataFrame:
     """(grp, id_a, id_b, sim) with id_a < id_b and sim above the threshold."""
 
     def pick(grp, ids, x, other, y, same):
-        s = np.clip(x @ y.T, -1, 1)
-        i, j = np.nonzero(s > threshold)
+        i, j, s = passing(x, y, threshold)
         keep = ids[i] < other[j] if same else ids[i] != other[j]
         i, j = i[keep], j[keep]
-        return np.minimum(ids[i], other[j]), np.maximum(ids[i], other[j]), s[i, j]
+        return np.minimum(ids[i], other[j]), np.maximum(ids[i], other[j]), s[keep]
 
     return pruned_pairs(vectors, None, above(threshold), pick, "id_a long, id_b long, sim double", size, pruned)
 

@@ -97,3 +97,37 @@ def test_similar_pairs_are_dealt_to_partitions_of_their_own(spark, monkeypatch,
     monkeypatch.setattr(P, "each_pair", lambda *a: seen.append(a[4:]) or plain(*a))
     P.similar_pairs(vectors(spark, unit(9)), 0.8, size=12, pruned=pruned).count()
     assert seen == [([288],)]
+
+
+class Singly(np.ndarray):
+    """Refuses products of whole blocks in double."""
+
+    def __matmul__(self, other):
+        assert self.dtype == np.float32
+        return np.asarray(self) @ np.asarray(other)
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.3])
+def test_few_pairs_pass_by_a_product_in_single(threshold):
+    """The pairs and cosines are those of the product in double, also where the cosine is off the threshold by less than single precision tells."""
+    x, y = unit(10, 200, 64), unit(11, 150, 64)
+    for k, off in enumerate((1e-9, -1e-9, 1e-12, -1e-12)):
+        along = y[k] - (y[k] @ x[k]) * x[k]
+        y[k] = (threshold + off) * x[k] + np.sqrt(1 - (threshold + off) ** 2) * along / np.linalg.norm(along)
+    i, j, s = P.passing(x.view(Singly), y.view(Singly), threshold)
+    want = x @ y.T
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(a.tolist() for a in np.nonzero(want > threshold)), strict=True)) >= {(0, 0), (2, 2)}
+    assert np.allclose(s, want[i, j], rtol=0, atol=1e-14)
+
+
+def test_many_pairs_pass():
+    """More than the blocks have rows; copies, rows without a direction and rows that are not finite."""
+    x = unit(12, 90, 3)
+    x[10:40], x[50], x[51] = x[5], 0, np.nan
+    for threshold in (-1.5, -0.2, 0.0, 0.95, 1.0):
+        want = np.clip(x @ x.T, -1, 1)
+        i, j, s = P.passing(x, x, threshold)
+        near = np.abs(want - threshold) < 1e-14
+        got = np.zeros_like(near)
+        got[i, j] = True
+        assert (got | near).tolist() == ((want > threshold) | near).tolist() and np.allclose(s, want[i, j], rtol=0, atol=1e-14)

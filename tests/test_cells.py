@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import cells as K
 from assayer.operators import pairwise as P
+from assayer.store import _made, mark
 
 
 def clustered(seed: int, n: int, centres: int, dims: int = 12, noise: float = 0.05) -> np.ndarray:
@@ -86,3 +87,12 @@ def test_noise_meets_in_plain_blocks(spark):
 def test_no_rows(spark):
     none = frame(spark, {"a": np.ones((1, 3))}).where("id < 0")
     assert P.similar_pairs(none, 0.5, pruned=0).count() == 0 == P.novelty(none, none, pruned=0).count() == P.pair_statistics(none, pruned=0).count()
+
+
+def test_blocks_of_cells_are_written_only_if_they_meet(spark):
+    """Noise, whose blocks all meet, has those of cells neither shuffled nor written."""
+    start, made = mark(), lambda: [path.rsplit("/", 1)[-1].split("-")[0] for _, path in _made[start:]]
+    P.similar_pairs(frame(spark, {"all": np.random.default_rng(3).normal(size=(600, 24))}), 0.6, size=32, pruned=2)
+    assert "placed" in made() and "blocks" not in made()
+    P.similar_pairs(frame(spark, {"all": clustered(1, 2000, 20, 32, 0.02)}), 0.99, size=32, pruned=2)
+    assert made().count("blocks") == 1
