@@ -2,16 +2,18 @@
 
 Between m seeds and any number of vectors the entropic problem has m unknowns: given the seeds' potentials, those of the other side follow row by
 row. The dual in the seeds' potentials is concave, and its value, gradient (m) and curvature (m x m) are sums over the vectors, so that
-a Newton step of all replicates is one aggregation. Resamples of one set are weights on its rows; costs are worked out once for all of them.
+a Newton step of all replicates is one aggregation. Resamples of one set are weights on its rows; costs are worked out and written once for all.
 
 Of a set with itself the plan stays near the diagonal: with a cost of 0 to itself a vector has a scaling of at most the root of its weight, so that
 of the marginal of n vectors of like weight at most the share n exp(-cut / reg) lies beyond a cost of `cut`. Pairs within it are a sparse
 graph, and nothing passes between its components: each of up to TOGETHER vectors is solved in a task, in all solves at once, and only larger ones
-take a job per round. Vectors without such a pair stay where they are at no cost. Equal vectors are one with their weights added.
+take a job per round. Vectors without such a pair stay where they are at no cost. Equal vectors are one with their weights added. Random directions
+need no pairs where the mean of their cost says that it is none.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -25,8 +27,8 @@ from .pairwise import similar_pairs
 
 #: Seeds at most: a replicate's curvature has their square of numbers.
 FEW = 128
-#: What is left out of a marginal, as a share of it.
-LEFT_OUT = 1e-9
+#: What is left out of a marginal, as a share of it, and the chance at most that a random cost taken as 0 is more than that.
+LEFT_OUT, CHANCE = 1e-9, 1e-6
 #: Least similarity of the pairs of a sparse graph, and pairs a vector at most.
 LEAST, EDGES = 0.3, 256
 #: Vectors of a component that a task solves (two matrices of 32 MB), and rounds in which components are looked for.
@@ -44,8 +46,20 @@ def _sums(c: np.ndarray, b: np.ndarray, f: np.ndarray, reg: float) -> np.ndarray
     return np.concatenate([[-reg * float(b @ (top + np.log(total))[:, 0]), float((shares * c).sum())], shares.sum(0), (shares.T @ p).ravel()])
 
 
-def _pass(rows: DataFrame, seeds: np.ndarray, solves: dict[str, tuple[str, int, np.ndarray]], tried: dict[str, list[np.ndarray]], reg: float) -> dict[str, np.ndarray]:
-    """For each solve the sums of the potentials tried, a row each, over rows(grp, emb, w): emb of unit length, w a weight per solve of the group."""
+def seed_costs(rows: DataFrame, seeds: np.ndarray) -> DataFrame:
+    """(grp, c, w), written, of rows(grp, emb, w): the costs to the seeds of vectors of unit length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = 1 - np.clip(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) @ seeds.T, -1, 1)
+            ends = pa.array(np.arange(len(c) + 1) * len(seeds), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(c.ravel())), b.column(2)], names=["grp", "c", "w"])
+
+    return written(rows.select("grp", "emb", "w").mapInArrow(run, "grp string, c array<double>, w array<double>"), "costs")
+
+
+def _pass(rows: DataFrame, solves: dict[str, tuple[str, int, np.ndarray]], tried: dict[str, list[np.ndarray]], reg: float) -> dict[str, np.ndarray]:
+    """For each solve the sums of the potentials tried, a row each, over rows(grp, c, w): c the costs to the seeds, w a weight per solve of the group."""
     of: dict[str, list] = {}
     for name, fs in tried.items():
         grp, at, a = solves[name]
@@ -54,12 +68,14 @@ def _pass(rows: DataFrame, seeds: np.ndarray, solves: dict[str, tuple[str, int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for b in batches:
-            keys = np.array(b.column(0).to_pylist())
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+            keys = b.column(0).dictionary_encode()
+            every = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             w = b.column(2)
-            for grp in set(keys.tolist()) & of.keys():
-                rows_ = np.nonzero(keys == grp)[0]
-                c = 1 - np.clip(x[rows_] @ seeds.T, -1, 1)
+            for code, grp in enumerate(keys.dictionary.to_pylist()):
+                if grp not in of:
+                    continue
+                rows_ = np.nonzero(keys.indices.to_numpy() == code)[0]
+                c = every[rows_]
                 weights = w.take(pa.array(rows_)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows_), -1)
                 for name, at, some, fs in of[grp]:
                     on = np.nonzero(weights[:, at] > 0)[0]
@@ -78,7 +94,7 @@ def _pass(rows: DataFrame, seeds: np.ndarray, solves: dict[str, tuple[str, int,
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["solve", "sums"])
 
     schema = "solve string, sums binary"
-    parts = rows.select("grp", "emb", "w").mapInArrow(run, schema).repartition("solve").mapInArrow(merged, schema)
+    parts = rows.select("grp", "c", "w").mapInArrow(run, schema).repartition("solve").mapInArrow(merged, schema)
     return {r.solve: np.frombuffer(r.sums).reshape(len(tried[r.solve]), -1) for r in parts.collect()}  # a row per solve
 
 
@@ -94,8 +110,9 @@ def _steps(a: np.ndarray, sums: np.ndarray, reg: float) -> list[np.ndarray]:
     return [newton, newton * (np.log1p(far) / far if far > 0 else 1.0), turn]
 
 
-def thin_costs(rows: DataFrame, seeds: np.ndarray, solves: dict[str, tuple[str, int, np.ndarray]], reg: float, rounds: int = 1000, tol: float = 1e-9) -> dict[str, float]:
-    """<P, C> of the entropic plan between weighted seeds and rows(grp, emb, w), for each of solves: name -> (grp, place in w, weights of the seeds).
+def thin_costs(rows: DataFrame, solves: dict[str, tuple[str, int, np.ndarray]], reg: float, rounds: int = 1000, tol: float = 1e-9) -> dict[str, float]:
+    """<P, C> of the entropic plan between weighted seeds and rows(grp, c, w) of `seed_costs`, for each of solves: name -> (grp, place in w, weights of the
+    seeds).
 
     The regularisation falls to `reg` in steps of about three; a solve has settled when its marginals are met."""
     weights = {name: a[a > 0] for name, (_, _, a) in solves.items()}
@@ -109,7 +126,7 @@ def thin_costs(rows: DataFrame, seeds: np.ndarray, solves: dict[str, tuple[str,
         tried = {name: [f[name]] for name in solves}
         best: dict[str, float] = {}
         for _ in range(rounds if step == reg else 30):
-            found = _pass(rows, seeds, solves, tried, step)
+            found = _pass(rows, solves, tried, step)
             following = {}
             for name, sums in found.items():
                 a = weights[name]
@@ -131,6 +148,18 @@ def self_cut(reg: float, n: int) -> float:
     return reg * (np.log(max(n, 2)) - np.log(LEFT_OUT))
 
 
+def none_between(n: int, dims: int, reg: float) -> bool:
+    """Whether n random directions cost nothing with themselves: more than LEFT_OUT by a chance of CHANCE at most.
+
+    No entry of the plan is above exp(-c / reg) / n, and the cosine of two directions has a known density, so that the mean of the cost has a
+    bound, and its chance to be so many times the mean is at most one to as many."""
+    if dims < 4:
+        return False
+    c = np.geomspace(1e-9, 2, 100_000)[:-1]
+    density = (dims - 3) / 2 * np.log(c * (2 - c)) - (math.lgamma(0.5) + math.lgamma((dims - 1) / 2) - math.lgamma(dims / 2))
+    return (n - 1) * float(np.trapezoid(np.exp(density - c / reg) * c, c)) < LEFT_OUT * CHANCE
+
+
 def self_costs(sets: DataFrame, total: int, solves: list[tuple[str, str, int]], reg: float, rounds: int = 1000, tol: float = 1e-9) -> DataFrame | None:
     """(solve, cost), written: <P, C> of the entropic plan of each weighting of sets(grp, id, emb, w) with itself; solves: (name, grp, place in w).
 

@@ -243,9 +243,25 @@ def _solved_in_blocks(generated: DataFrame, seeds: DataFrame, specs: list[tuple[
 
 
 def _random(solves: DataFrame, n: int, dims: int, seed: int) -> DataFrame:
-    """(grp, id, emb): for each of solves(grp) n random directions, from hashes of (seed, solve, place)."""
-    every = solves.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return every.select("grp", F.col("id").cast("long").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: _normal(F.xxhash64(F.lit(seed), "grp", "id", k), F.xxhash64(F.lit(seed + 1), "grp", "id", k))).alias("emb"))
+    """(grp, id, emb): for each of solves(grp), a row each, n random unit vectors, from hashes of (seed, solve, place).
+
+    A number is a row until a task puts the numbers of a vector, which follow one another, together: of rows, hashes are compiled."""
+    every = solves.sparkSession.range(n).crossJoin(F.broadcast(solves))
+    numbers = every.select("grp", "id", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("k"))
+    normal = _normal(F.xxhash64(F.lit(seed), "grp", "id", "k"), F.xxhash64(F.lit(seed + 1), "grp", "id", "k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pa.concat_batches([rest, b])
+            whole = b.num_rows // dims
+            rest = b.slice(whole * dims)
+            x = _unit(b.column(2).to_numpy()[: whole * dims].reshape(-1, dims))
+            first = pa.array(np.arange(whole) * dims)
+            emb = pa.ListArray.from_arrays(pa.array(np.arange(whole + 1) * dims, pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(first), b.column(1).take(first), emb], names=["grp", "id", "emb"])
+
+    return numbers.select("grp", "id", normal.alias("x")).mapInArrow(run, "grp string, id long, emb array<double>")
 
 
 def _solved_thin(generated: DataFrame, seeds: DataFrame, specs: list[tuple[str, int]], reg: float, seed: int) -> DataFrame | None:
@@ -263,13 +279,15 @@ def _solved_thin(generated: DataFrame, seeds: DataFrame, specs: list[tuple[str,
     resampled = [name for name in drawn if named[name] == "ci"]
     draws = spark.range(n_g).select("id", F.explode(F.array(*map(F.lit, resampled)) if resampled else F.array().cast("array<string>")).alias("grp"))
     places = draws.select("grp", F.pmod(F.xxhash64(F.lit(seed + 3), "grp", "id"), F.lit(n_g)).alias("at"))
-    counted = places.join(of, "at").groupBy("id", "grp").agg(F.count("*").alias("n")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("n"))
+    # Spark takes the draws for as many as the range has, and would send all of them to the driver and to every task.
+    counted = places.join(of.hint("merge"), "at").groupBy("id", "grp").agg(F.count("*").alias("n")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("n"))
     weight = lambda name: (F.size("rows") if named[name] == "raw" else F.coalesce(F.col("n")[name], F.lit(0))) / F.lit(float(n_g))
     whole = one.join(counted, "id", "left").select(F.lit("made").alias("grp"), "id", "emb", F.array(*map(weight, drawn)).alias("w"))
     far = spark.createDataFrame([(name,) for name, kind in named.items() if kind == "far"], "grp string")
     n_far = max(2, n_g)
-    random = _random(far, n_far, s.shape[1], seed).select("grp", "id", normalized(F.col("emb")).alias("emb"), F.array(F.lit(1.0 / n_far)).alias("w"))
-    rows = written(whole.unionByName(random), "sets")
+    random = _random(far, n_far, s.shape[1], seed).withColumn("w", F.array(F.lit(1.0 / n_far)))
+    lone = thin.none_between(n_far, s.shape[1], reg)
+    sets = written(whole if lone else whole.unionByName(random), "sets")
     solves, alone = {}, {}
     for name, kind in named.items():
         a = np.full(len(s), 1.0 / len(s))
@@ -280,12 +298,12 @@ def _solved_thin(generated: DataFrame, seeds: DataFrame, specs: list[tuple[str,
         alone[name] = plan_cost(own, own, reg) if kind == "ci" or "seeds" not in alone else alone["seeds"]
         if kind != "ci":
             alone["seeds"] = alone[name]
-    yy = thin.self_costs(rows, n_far, [(name, grp, at) for name, (grp, at, _) in solves.items()], reg)
+    yy = thin.self_costs(sets, n_far, [(name, grp, at) for name, (grp, at, _) in solves.items() if not (lone and named[name] == "far")], reg)
     if yy is None:
         return None
     own = {r.solve: r.cost for r in yy.collect()}  # a row per solve
-    both = thin.thin_costs(rows, s, solves, reg)
-    found = [(named[name], max(0.0, both[name] - alone[name] / 2 - own[name] / 2)) for name in named]
+    both = thin.thin_costs(thin.seed_costs(sets.unionByName(random) if lone else sets, s), solves, reg)
+    found = [(named[name], max(0.0, both[name] - alone[name] / 2 - own.get(name, 0.0) / 2)) for name in named]
     found += [("ci", float("nan")) for kind, i in specs if kind == "ci" and f"ci/{i}" not in named]
     out = spark.createDataFrame(found, "kind string, value double")
     near = [(kind, i) for kind, i in specs if kind == "near"]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.operators import thin
 from assayer.operators import transport as T
@@ -54,3 +55,37 @@ def test_components_are_solved_in_tasks(spark, monkeypatch, together):
     scale = len(drawn) / len(x)
     assert got["ci"] == pytest.approx(scale * T.plan_cost(drawn, drawn, 0.01, 20_000, 1e-12), abs=1e-6)
     assert ("nodes" in made) == (together < 40)
+
+
+def test_draws_are_not_broadcast(spark, sets, monkeypatch):
+    """Spark takes the draws of all replicates for as few as the range that they are made of."""
+    _, _, generated, seeds = sets
+    plans, plain = {}, T.written
+    monkeypatch.setattr(T, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and plain(df, name))
+    T.calibrated(generated, seeds, boots=2, reg=0.02, most=50).collect()
+    assert "SortMergeJoin" in plans["sets"] and "BroadcastHashJoin" not in plans["sets"]
+
+
+def test_random_directions_are_the_same_draws(spark):
+    solves = spark.createDataFrame([("far/0",), ("far/1",)], "grp string")
+    every = solves.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(29)))).select("grp", F.col("id").cast("long").alias("id"))
+    number = lambda k: T._normal(F.xxhash64(F.lit(42), "grp", "id", k), F.xxhash64(F.lit(43), "grp", "id", k))
+    asked = {(r.grp, r.id): r.emb for r in every.select("grp", "id", F.transform(F.sequence(F.lit(0), F.lit(6)), number).alias("emb")).collect()}
+    got = {(r.grp, r.id): r.emb for r in T._random(solves, 30, 7, 42).collect()}
+    assert got.keys() == asked.keys()
+    for key, emb in got.items():
+        assert np.allclose(emb, np.array(asked[key]) / np.linalg.norm(asked[key]), atol=1e-12)
+
+
+def test_random_directions_meet_only_where_they_may_cost(spark, monkeypatch):
+    """Of many dimensions no pair of random directions is looked for; the values are those of dense plans that have all pairs."""
+    assert thin.none_between(10**7, 64, 0.01) and not thin.none_between(300, 16, 0.02) and not thin.none_between(300, 3, 0.001)
+    r = np.random.default_rng(3)
+    x, y = T._unit(r.normal(size=(120, 64))), T._unit(r.normal(size=(6, 64)))
+    frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, emb array<double>")
+    met, plain = [], thin.self_costs
+    monkeypatch.setattr(thin, "self_costs", lambda sets, *a: met.extend(v.grp for v in sets.select("grp").distinct().collect()) or plain(sets, *a))
+    got = [v.value for v in T._solved(frame(x), frame(y), [("raw", 0), ("far", 0)], 0.01, 42, 50, 1024).collect()]
+    random = [v.emb for v in T._random(spark.createDataFrame([("far/0",)], "grp string"), 120, 64, 42).orderBy("id").collect()]
+    assert got == pytest.approx([exact(x, y, 0.01), exact(T._unit(np.array(random)), y, 0.01)], abs=1e-8)
+    assert met == ["made"]
