@@ -6,8 +6,8 @@ a Newton step of all replicates is one aggregation. Resamples of one set are wei
 
 Of a set with itself the plan stays near the diagonal: with a cost of 0 to itself a vector has a scaling of at most the root of its weight, so that
 of the marginal of n vectors of like weight at most the share n exp(-cut / reg) lies beyond a cost of `cut`. Pairs within it are a sparse
-graph, and nothing passes between its components: each of up to TOGETHER vectors is solved in a task, in all solves at once, and only larger ones
-take a job per round. Vectors without such a pair stay where they are at no cost. Equal vectors are one with their weights added. Random directions
+graph, and nothing passes between its components: each of up to TOGETHER vectors is solved in a task, in all solves at once, by bands of rows that are
+worked out anew in each round where a task does not hold them, and only larger ones take a job per round. Vectors without such a pair stay where they are at no cost. Equal vectors are one with their weights added. Random directions
 need no pairs where the mean of their cost says that it is none.
 """
 
@@ -31,8 +31,9 @@ FEW = 128
 LEFT_OUT, CHANCE = 1e-9, 1e-6
 #: Least similarity of the pairs of a sparse graph, and pairs a vector at most.
 LEAST, EDGES = 0.3, 256
-#: Vectors of a component that a task solves (two matrices of 32 MB), and rounds in which components are looked for.
-TOGETHER, TURNS = 2_000, 8
+#: Vectors of a component that a task solves, those of which it holds the matrices (two of 32 MB), the rows of which it has at a time else, and rounds in
+#: which components are looked for.
+TOGETHER, HELD, BAND, TURNS = 12_288, 2_000, 512, 8
 
 
 def _sums(c: np.ndarray, b: np.ndarray, f: np.ndarray, reg: float) -> np.ndarray:
@@ -175,7 +176,8 @@ def self_costs(sets: DataFrame, total: int, solves: list[tuple[str, str, int]],
     arcs = pairs.select("grp", F.col("id_a").alias("id"), F.col("id_b").alias("other"), "sim").unionByName(pairs.select("grp", F.col("id_b").alias("id"), F.col("id_a").alias("other"), "sim"))
     roots, classes = _classes(arcs)
     within = (~F.col("open")) & (F.col("n") <= TOGETHER)
-    members = sets.join(roots, ["grp", "id"]).join(classes.where(within), ["grp", "root"]).select("grp", "root", "emb", "w")
+    # A row per vector: few bytes in files, and many on the driver if it were broadcast.
+    members = sets.join(roots.hint("merge"), ["grp", "id"]).join(classes.where(within), ["grp", "root"]).select("grp", "root", "emb", "w")
     cost = _together(members, solves, least, reg, rounds, tol * total)
     if classes.where(~within).limit(1).count():
         rest = roots.join(classes.where(~within), ["grp", "root"]).select("grp", "id")
@@ -192,7 +194,7 @@ def _classes(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for _ in range(TURNS):
         roots = found.select("grp", "id", F.col("next").alias("root"))
         seen = arcs.join(roots.select("grp", F.col("id").alias("other"), F.col("root").alias("to")), ["grp", "other"]).groupBy("grp", "id").agg(F.min("to").alias("low"), F.max("to").alias("high"))
-        next_ = roots.join(seen, ["grp", "id"]).select("grp", "id", "root", F.least("root", "low").alias("next"), ((F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))).alias("open"))
+        next_ = roots.join(seen.hint("merge"), ["grp", "id"]).select("grp", "id", "root", F.least("root", "low").alias("next"), ((F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))).alias("open"))
         found = written(next_, "roots")
         free_since(point, found)
         if not found.where("open").limit(1).count():
@@ -208,18 +210,23 @@ def _together(members: DataFrame, solves: list[tuple[str, str, int]], least: flo
 
     def costs(x: np.ndarray, a: np.ndarray) -> np.ndarray:
         """Of vectors x(n, d) and weights a(n, solves)."""
-        c = 1 - np.clip(x @ x.T, -1, 1)
-        np.fill_diagonal(c, 0)
-        k = np.where(c < 1 - least, np.exp(-c / reg), 0)
+
+        def bands() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for at in range(0, len(x), BAND):
+                c = 1 - np.clip(x[at : at + BAND] @ x.T, -1, 1)
+                c[np.arange(len(c)), np.arange(at, at + len(c))] = 0
+                yield c, np.where(c < 1 - least, np.exp(-c / reg), 0)
+
+        held = list(bands()) if len(x) <= HELD else None
         u = np.sqrt(a)
         for _ in range(rounds):
-            s = k @ u
+            s = np.vstack([k @ u for _, k in held or bands()])
             off = np.abs(np.divide(u * s, a, out=np.ones_like(a), where=a > 0) - 1).max()
             # Half of the way to the potentials that meet the marginals now.
             u = np.sqrt(np.divide(u * a, s, out=np.zeros_like(a), where=a > 0))
             if off < min(tol, 1e-6):
                 break
-        return (u * ((k * c) @ u)).sum(0)
+        return (u * np.vstack([(k * c) @ u for c, k in held or bands()])).sum(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, float] = {}
@@ -242,7 +249,9 @@ def _together(members: DataFrame, solves: list[tuple[str, str, int]], least: flo
         close()
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.float64())], names=["solve", "cost"])
 
-    return members.repartition("grp", "root").sortWithinPartitions("grp", "root").mapInArrow(run, "solve string, cost double")
+    # Components are much work for few bytes: with a number of partitions Spark does not put them together.
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(parts, "grp", "root").sortWithinPartitions("grp", "root").mapInArrow(run, "solve string, cost double")
 
 
 def _apart(sets: DataFrame, arcs: DataFrame, solves: list[tuple[str, str, int]], reg: float, rounds: int, tol: float) -> DataFrame:

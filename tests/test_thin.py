@@ -89,3 +89,17 @@ def test_random_directions_meet_only_where_they_may_cost(spark, monkeypatch):
     random = [v.emb for v in T._random(spark.createDataFrame([("far/0",)], "grp string"), 120, 64, 42).orderBy("id").collect()]
     assert got == pytest.approx([exact(x, y, 0.01), exact(T._unit(np.array(random)), y, 0.01)], abs=1e-8)
     assert met == ["made"]
+
+
+def test_larger_components_are_solved_by_bands(spark, monkeypatch):
+    """A near copy of one vector after another: one component, of which a task holds some rows at a time, and no job per round."""
+    assert thin.TOGETHER >= 8_000
+    r = np.random.default_rng(7)
+    x = T._unit(r.normal(size=24) + 0.05 * r.normal(size=(50, 24)))
+    sets = spark.createDataFrame([("made", i, v.tolist(), [1 / 50]) for i, v in enumerate(x)], "grp string, id long, emb array<double>, w array<double>")
+    made, plain = [], thin.written
+    monkeypatch.setattr(thin, "written", lambda df, name: made.append(name) or plain(df, name))
+    monkeypatch.setattr(thin, "HELD", 10)
+    monkeypatch.setattr(thin, "BAND", 7)
+    got = thin.self_costs(sets, len(x), [("raw", "made", 0)], 0.01).first().cost
+    assert got == pytest.approx(T.plan_cost(x, x, 0.01, 20_000, 1e-12), abs=1e-8) and "nodes" not in made
